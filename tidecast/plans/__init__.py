@@ -5,5 +5,6 @@ def load_all():
     """Import every query module so that the registry is complete."""
     from . import queries_orders  # noqa: F401
     from . import queries_series  # noqa: F401
+    from . import queries_words  # noqa: F401
     from .registry import ORACLE, REGISTRY
     return REGISTRY, ORACLE

@@ -94,16 +94,16 @@ def monthly_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def monthly_word_lists(spark: SparkSession, sf_dir: str, top: int = 8) -> DataFrame:
-    """(month, word, score): each month's ``top`` tokens, score = n / month max.
+    """(month, word, pos, score): each month's ``top`` tokens, score = n / month max.
 
     The window runs after the (month, word) aggregation, so a partition holds
     one month's distinct tokens - bounded by the vocabulary, not by the data.
     """
     counts = monthly_word_counts(spark, sf_dir)
     w = Window.partitionBy("month").orderBy(F.desc("n_lines"), F.asc("word"))
-    ranked = counts.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= top)
+    ranked = counts.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= top)
     mx = Window.partitionBy("month")
-    return ranked.select("month", "word",
+    return ranked.select("month", "word", "pos",
                          (F.col("n_lines") / F.max("n_lines").over(mx)).alias("score"))
 
 
