@@ -71,9 +71,10 @@ def blank_to_null(c: Column) -> Column:
     return F.when(c == "", F.lit(None)).otherwise(c)
 
 
-def normalise_record(raw: DataFrame, url_prefix: str = "watch?v=") -> DataFrame:
+def normalise_record(raw: DataFrame, url_prefix: str = "watch?v=", keep=()) -> DataFrame:
     """Python-``or`` defaults of a dumped record (id, webpage_url, uploader, channel, ...)."""
     return raw.select(
+        *keep,
         F.coalesce(F.col("title"), F.lit("")).alias("title"),
         iso_upload_date(F.col("upload_date")).alias("upload_date"),
         F.coalesce(F.col("view_count").cast("bigint"), F.lit(0)).alias("view_count"),

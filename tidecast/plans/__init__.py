@@ -6,5 +6,6 @@ def load_all():
     from . import queries_orders  # noqa: F401
     from . import queries_series  # noqa: F401
     from . import queries_words  # noqa: F401
+    from . import queries_items  # noqa: F401
     from .registry import ORACLE, REGISTRY
     return REGISTRY, ORACLE
