@@ -121,3 +121,15 @@ def _flagship_sql():
 @register("features_monthly", _flagship_sql())
 def features_monthly(spark, sf_dir):
     return comparable(feature_table(spark, sf_dir, "monthly"))
+
+
+# --- SNK1 -> SRC1 round trip -------------------------------------------------------
+@register("orders_csv_roundtrip", _period_sql("monthly"))
+def orders_csv_roundtrip(spark, sf_dir):
+    """Order facts written as the reference's order CSV (SNK-style writer),
+    read back with the typed CSV source (SRC1), then aggregated monthly."""
+    from ..session import scratch_path
+    from ..sources.files import load_orders_csv
+    path = scratch_path(spark, "orders-csv")
+    order_facts(spark, sf_dir).write.mode("overwrite").option("header", True).csv(path)
+    return comparable(agg.aggregate_periods(load_orders_csv(spark, path), "monthly"))
