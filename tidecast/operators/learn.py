@@ -71,10 +71,11 @@ def _y_pop_std(x: DataFrame) -> float:
 def fit_word_model(x: DataFrame, method: str, n: int):
     """Fit one of the reference's four estimators on the standardised design."""
     if method == "ridge":
-        # sklearn: ||y - Xw||² + α||w||².  Spark's normal-equation solver fits on
-        # y / σ_pop(y) with penalty λ/2·||w'||² over 1/(2n)Σ: λ = α / (n σ_pop(y)).
+        # sklearn: ||y - Xw||² + α||w||².  Spark's normal-equation solver scales
+        # the penalty with the label's population std: λ = α·σ_pop(y) / n gives
+        # the closed-form minimiser (checked against NumPy in the tests).
         sy = _y_pop_std(x) or 1.0
-        lr = LinearRegression(featuresCol="features", labelCol="y", regParam=RIDGE_ALPHA / (n * sy),
+        lr = LinearRegression(featuresCol="features", labelCol="y", regParam=RIDGE_ALPHA * sy / n,
                               elasticNetParam=0.0, standardization=False, solver="normal")
         return lr.fit(x), "coef"
     if method == "lasso":
