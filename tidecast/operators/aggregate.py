@@ -1,11 +1,12 @@
 """Period aggregation, pivots and profiles (A1-A9, J1, PF1, PF5, PF13).
 
 The reference scans the order table six times (one base aggregate plus five
-pivot tables) and chains five left merges on ``period``.  Here the base
-statistics and every pivot cell are conditional aggregates of ONE
-``groupBy(period)``: one scan, one shuffle, map-side partial aggregation, and
-no join at all (a period with no rows for a pivot value gets 0, exactly what
-the left merge + ``fillna(0)`` produced).
+pivot tables) and chains five left merges on ``period``.  Here the order
+facts are scanned ONCE: each order yields a base row and one row per pivot
+key, a single ``groupBy(period, key, value)`` partially aggregates them
+before the only shuffle, and the small long result is widened by a
+conditional aggregation - no join at all (a period without rows for a pivot
+value gets 0, exactly what the left merge + ``fillna(0)`` produced).
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import calendar_columns, period_key, period_start_date
+from ..session import checkpoint_root
 
 BASE_COLUMNS = ["order_count", "total_sales", "avg_order_value", "std_order_value",
                 "total_quantity", "avg_quantity", "unique_customers", "avg_delivery_time",
@@ -52,6 +54,13 @@ def _z(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
 
 
+BASE_KEY = "__all__"
+
+
+def _base_only(c: Column) -> Column:
+    return F.when(F.col("k") == BASE_KEY, c)
+
+
 def base_aggregates() -> list[Column]:
     """Per-period statistics; NaN -> 0 as the reference's ``fillna(0)``.
 
@@ -62,42 +71,47 @@ def base_aggregates() -> list[Column]:
     return [
         F.count("order_id").alias("order_count"),
         _z(F.sum("order_total")).alias("total_sales"),
-        _z(F.avg("order_total")).alias("avg_order_value"),
-        _z(F.stddev_samp("order_total")).alias("std_order_value"),
-        _z(F.sum("quantity").cast("double")).alias("total_quantity"),
-        _z(F.avg("quantity")).alias("avg_quantity"),
-        F.countDistinct("customer_id_x").alias("unique_customers"),
-        _z(F.avg("delivery_time_minutes")).alias("avg_delivery_time"),
-        _z(F.stddev_samp("delivery_time_minutes")).alias("std_delivery_time"),
-        _z(F.avg("rating")).alias("avg_rating"),
+        _z(F.avg(_base_only(F.col("order_total")))).alias("avg_order_value"),
+        _z(F.stddev_samp(_base_only(F.col("order_total")))).alias("std_order_value"),
+        _z(F.sum(_base_only(F.col("quantity"))).cast("double")).alias("total_quantity"),
+        _z(F.avg(_base_only(F.col("quantity")))).alias("avg_quantity"),
+        F.countDistinct(_base_only(F.col("customer_id_x"))).alias("unique_customers"),
+        _z(F.avg(_base_only(F.col("delivery_time_minutes")))).alias("avg_delivery_time"),
+        _z(F.stddev_samp(_base_only(F.col("delivery_time_minutes")))).alias("std_delivery_time"),
+        _z(F.avg(_base_only(F.col("rating")))).alias("avg_rating"),
     ]
 
 
-def pivot_aggregates(spec: PivotSpec, values: list[str]) -> list[Column]:
-    """One conditional aggregate per pivot value (null keys never match)."""
-    out = []
-    for v in values:
-        hit = F.col(spec.column) == F.lit(v)
-        if spec.measure == "sum":
-            agg = F.sum(F.when(hit, F.col("order_total")))
-        else:
-            agg = F.count(F.when(hit, F.col("order_id"))).cast("double")
-        out.append(_z(agg).alias(spec.name(v)))
-    return out
-
-
-def distinct_pivot_values(facts: DataFrame, specs: list[PivotSpec] = PIVOTS,
-                          max_values: int = MAX_PIVOT_VALUES) -> dict[str, list[str]]:
-    """Sorted distinct non-null values of every pivot key in ONE job.
+def period_partials(facts: DataFrame, freq: str, specs: list[PivotSpec], with_base: bool = True) -> DataFrame:
+    """ONE scan of the order facts -> (period, k, v, statistics), long and small.
 
-    The result is bounded: at most ``max_values`` rows reach the driver, and
-    more than that raises instead of building an unbounded wide schema.
+    Every order contributes a base row (k = ``__all__``) and one row per pivot
+    key (k = key column, v = its value); a single ``groupBy(period, k, v)``
+    with map-side partial aggregation reduces them before the only shuffle.
+    The result has periods x (1 + pivot values) rows, whatever the data size.
     """
-    cols = [s.column for s in specs]
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v"))
-                                for c in cols])).alias("kv")
-    rows = (facts.select(pairs).select("kv.k", "kv.v").where(F.col("v").isNotNull())
-            .distinct().limit(max_values + 1).collect())
+    entries = []
+    if with_base:
+        entries.append(F.struct(F.lit(BASE_KEY).alias("k"), F.lit(None).cast("string").alias("v")))
+    entries += [F.struct(F.lit(sp.column).alias("k"), F.col(sp.column).cast("string").alias("v"))
+                for sp in specs]
+    rows = (facts.where(F.col("order_date").isNotNull())
+            .select(period_key("order_date", freq).alias("period"), "order_id", "order_total", "quantity",
+                    "customer_id_x", "delivery_time_minutes", "rating",
+                    F.explode(F.array(*entries)).alias("kv"))
+            .select("period", "kv.k", "kv.v", "order_id", "order_total", "quantity", "customer_id_x",
+                    "delivery_time_minutes", "rating")
+            .where((F.col("k") == BASE_KEY) | F.col("v").isNotNull()))
+    return rows.groupBy("period", "k", "v").agg(*base_aggregates())
+
+
+def pivot_values_of(partials: DataFrame, specs: list[PivotSpec],
+                    max_values: int = MAX_PIVOT_VALUES) -> dict[str, list[str]]:
+    """Sorted distinct values per pivot key, read from the small partials
+    (bounded: more than ``max_values`` raises instead of widening the schema)."""
+    cols = [sp.column for sp in specs]
+    rows = (partials.where(F.col("k") != BASE_KEY).select("k", "v").distinct()
+            .limit(max_values + 1).collect())
     if len(rows) > max_values:
         raise ValueError(f"more than {max_values} pivot values; keep the data long instead")
     out: dict[str, list[str]] = {c: [] for c in cols}
@@ -106,6 +120,28 @@ def distinct_pivot_values(facts: DataFrame, specs: list[PivotSpec] = PIVOTS,
     return {c: sorted(v) for c, v in out.items()}
 
 
+def _widen(partials: DataFrame, specs: list[PivotSpec], values: dict[str, list[str]],
+           with_base: bool = True) -> tuple[DataFrame, list[str]]:
+    """Long partials -> one row per period: base statistics + pivot cells (0 if absent)."""
+    base = F.col("k") == BASE_KEY
+    aggs = [F.max(F.when(base, F.col(c))).alias(c) for c in BASE_COLUMNS] if with_base else []
+    names = []
+    for sp in specs:
+        measure = F.col("total_sales") if sp.measure == "sum" else F.col("order_count").cast("double")
+        for v in values.get(sp.column, []):
+            hit = (F.col("k") == sp.column) & (F.col("v") == v)
+            aggs.append(_z(F.max(F.when(hit, measure))).alias(sp.name(v)))
+            names.append(sp.name(v))
+    return partials.groupBy("period").agg(*aggs), names
+
+
+def _materialise(partials: DataFrame) -> DataFrame:
+    """The partials are read twice (values, then the wide table); a reliable
+    checkpoint in the shared folder keeps the big scan to one pass."""
+    checkpoint_root(partials.sparkSession)
+    return partials.checkpoint(eager=True)
+
+
 def aggregate_periods(facts: DataFrame, freq: str = "monthly", *,
                       pivots: list[PivotSpec] | None = None,
                       pivot_values: dict[str, list[str]] | None = None,
@@ -115,18 +151,21 @@ def aggregate_periods(facts: DataFrame, freq: str = "monthly", *,
     Columns: period, 10 statistics, date, day_of_week, month, week_of_year,
     pivot columns in reference order, and ``year_month`` for monthly data.
     ``month_as_date`` reproduces the pipeline's ``month := date``.
+    Without pivots this is one lazy ``groupBy(period)``; with pivots and no
+    given values, the big input is still scanned once (see ``period_partials``).
     """
     pivots = pivots or []
-    if pivots and pivot_values is None:
-        pivot_values = distinct_pivot_values(facts, pivots)
-    p = period_key("order_date", freq).alias("period")
-    aggs = base_aggregates()
-    pivot_cols: list[str] = []
-    for spec in pivots:
-        cols = pivot_aggregates(spec, pivot_values.get(spec.column, []))
-        aggs += cols
-        pivot_cols += [spec.name(v) for v in pivot_values.get(spec.column, [])]
-    agg = facts.where(F.col("order_date").isNotNull()).groupBy(p).agg(*aggs)
+    if not pivots:
+        p = period_key("order_date", freq).alias("period")
+        agg = (facts.where(F.col("order_date").isNotNull()).withColumn("k", F.lit(BASE_KEY))
+               .groupBy(p).agg(*base_aggregates()))
+        pivot_cols: list[str] = []
+    else:
+        partials = period_partials(facts, freq, pivots)
+        if pivot_values is None:
+            partials = _materialise(partials)
+            pivot_values = pivot_values_of(partials, pivots)
+        agg, pivot_cols = _widen(partials, pivots, pivot_values)
     date = period_start_date("period", freq)
     cal = calendar_columns(date)
     month = date if month_as_date else cal["month"]
@@ -140,14 +179,19 @@ def aggregate_periods(facts: DataFrame, freq: str = "monthly", *,
 
 def pivot_table(facts: DataFrame, name: str, freq: str = "monthly",
                 values: list[str] | None = None) -> DataFrame:
-    """A single reference pivot (``get_*_features``): period + one column per value."""
+    """A single reference pivot (``get_*_features``): period + one column per value.
+
+    Only periods with at least one non-null key exist, as in the reference.
+    """
     spec = PIVOT_BY_NAME[name]
+    partials = period_partials(facts, freq, [spec], with_base=False)
     if values is None:
-        values = distinct_pivot_values(facts, [spec])[spec.column]
-    p = period_key("order_date", freq).alias("period")
-    # Only periods that have at least one non-null key exist in the reference's pivot.
-    base = facts.where(F.col("order_date").isNotNull() & F.col(spec.column).isNotNull())
-    return base.groupBy(p).agg(*pivot_aggregates(spec, values))
+        partials = _materialise(partials)
+        vals = pivot_values_of(partials, [spec])
+    else:
+        vals = {spec.column: values}
+    wide, _ = _widen(partials, [spec], vals, with_base=False)
+    return wide
 
 
 def full_dataset(facts: DataFrame, freq: str = "monthly",

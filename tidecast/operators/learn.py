@@ -30,6 +30,16 @@ WORD_METHODS = ("ridge", "lasso", "random_forest", "gradient_boosting")
 
 
 # --- helpers ---------------------------------------------------------------------
+ROWS_PER_TRAIN_PARTITION = 50_000
+
+
+def sized_for_fit(df: DataFrame, n_rows: int) -> DataFrame:
+    """Training sets here have one row per month / window; iterative solvers
+    launch a job per iteration, so they get partitions sized by rows
+    (ceil(n / 50k)), not the shuffle-partition count of the job that built them."""
+    return df.coalesce(max(1, -(-n_rows // ROWS_PER_TRAIN_PARTITION)))
+
+
 def _lit_array(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
@@ -61,7 +71,7 @@ def word_design(words: DataFrame, sales: DataFrame):
     hot = F.transform(voc, lambda w: F.when(F.array_contains(F.col("words"), w), 1.0).otherwise(0.0))
     x = train.select("month", F.col("sales").cast("double").alias("y"),
                      array_to_vector(_scale_array(hot, means, stds)).alias("features"))
-    return x, vocab, n_months, train
+    return sized_for_fit(x, n_months), vocab, n_months, train
 
 
 def _y_pop_std(x: DataFrame) -> float:
@@ -171,6 +181,7 @@ def forecast(full: DataFrame, p: ForecastParams, model: str = "gbt") -> tuple[Da
     ylo, yrange = float(ylo_hi[0]), float(ylo_hi[1] - ylo_hi[0]) or 1.0
     design = seq.select("period", "y", "is_val", _design(seq, len(SEQUENCE_FEATURES), seq_stats, extra_stats)
                         .alias("features"), ((F.col("y") - F.lit(ylo)) / F.lit(yrange)).alias("y_scaled"))
+    design = sized_for_fit(design, n)
     if model == "gbt":
         est = GBTRegressor(featuresCol="features", labelCol="y_scaled", maxIter=p.max_iter, maxDepth=3,
                            stepSize=0.1, seed=p.seed, validationIndicatorCol="is_val",
@@ -245,6 +256,7 @@ def word_forecast(matrix: DataFrame, next_vec: DataFrame, length: int = 12, min_
     ylo, yr = float(ylh[0]), float(ylh[1] - ylh[0]) or 1.0
     design = seq.select("period", "y", _design(seq, len(feats), seq_stats, extra_stats).alias("features"),
                         ((F.col("y") - F.lit(ylo)) / F.lit(yr)).alias("y_scaled"))
+    design = sized_for_fit(design, rec["n_samples"])
     fitted = LinearRegression(featuresCol="features", labelCol="y_scaled", regParam=1e-2,
                               elasticNetParam=0.0).fit(design)
     pred = fitted.transform(design).withColumn("y_pred", F.col("prediction") * F.lit(yr) + F.lit(ylo))
