@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import calendar_columns, period_key, period_start_date
-from ..session import checkpoint_root
+from ..session import materialise
 
 BASE_COLUMNS = ["order_count", "total_sales", "avg_order_value", "std_order_value",
                 "total_quantity", "avg_quantity", "unique_customers", "avg_delivery_time",
@@ -136,10 +136,9 @@ def _widen(partials: DataFrame, specs: list[PivotSpec], values: dict[str, list[s
 
 
 def _materialise(partials: DataFrame) -> DataFrame:
-    """The partials are read twice (values, then the wide table); a reliable
-    checkpoint in the shared folder keeps the big scan to one pass."""
-    checkpoint_root(partials.sparkSession)
-    return partials.checkpoint(eager=True)
+    """The partials are read twice (values, then the wide table); writing the
+    small table once to the shared folder keeps the big scan to one pass."""
+    return materialise(partials, "period-partials")
 
 
 def aggregate_periods(facts: DataFrame, freq: str = "monthly", *,
@@ -201,6 +200,12 @@ def full_dataset(facts: DataFrame, freq: str = "monthly",
                              month_as_date=True)
 
 
+def aggregate_monthly(facts: DataFrame) -> DataFrame:
+    """A2: monthly A1 with ``year_month`` and ``month := date`` (older callers)."""
+    m = aggregate_periods(facts, "monthly")
+    return m.withColumns({"year_month": F.col("period"), "month": F.col("date")})
+
+
 def data_profile(facts: DataFrame) -> DataFrame:
     """Totals, date range, sorted distinct categories / segments, month count."""
     return facts.agg(

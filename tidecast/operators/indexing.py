@@ -4,9 +4,9 @@
 Here the distinct keys are range-partitioned by a sort, each row gets its
 position inside its partition from ``monotonically_increasing_id`` (the
 partition id lives in the upper 31 bits), and per-partition counts - one
-number per partition - give the offsets.  The sorted frame is checkpointed
-(reliably, under ``spark.checkpoint.dir``) so both passes see the same
-partitioning even under AQE or a lost executor.
+number per partition - give the offsets.  The ranked frame is written once
+to the shared checkpoint folder and re-read, so both passes see the same
+rows and partitions even under AQE or a lost executor.
 """
 
 from __future__ import annotations
@@ -14,16 +14,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_root
+from ..session import materialise
 
 
 def dense_index(keys: DataFrame, col: str, index_col: str = "idx") -> DataFrame:
     """(col, idx) with idx = 0-based rank of the distinct, ascending keys."""
-    checkpoint_root(keys.sparkSession)
     mid = F.monotonically_increasing_id()
-    ranked = (keys.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)
-              .select(col, F.spark_partition_id().alias("_pid"), mid.alias("_mid"))
-              .checkpoint(eager=True))
+    ranked = materialise(keys.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)
+                         .select(col, F.spark_partition_id().alias("_pid"), mid.alias("_mid")),
+                         "dense-index")
     counts = sorted((r["_pid"], r["n"]) for r in
                     ranked.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, acc = {}, 0

@@ -44,6 +44,12 @@ def top_n(items: DataFrame, keys: list[str], n: int, order: list[Column]) -> Dat
     return items.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def in_month(items: DataFrame, year: int, month: int, ts_col: str = "upload_ts") -> DataFrame:
+    """PF8: items published in [first day of the month, first day of the next)."""
+    from ..functions.calendar import month_range_filter
+    return items.where(month_range_filter(F.col(ts_col), year, month))
+
+
 def top_per_month(items: DataFrame, n: int = 10, ts_col: str = "upload_ts") -> DataFrame:
     """T6 + PF8: top n by views per keyword x year x month (ties: url, collection order)."""
     it = items.withColumns(year_month_cols(F.col(ts_col)))

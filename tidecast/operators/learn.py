@@ -152,16 +152,20 @@ def _design(seq: DataFrame, n_feat: int, seq_stats, extra_stats) -> Column:
     return array_to_vector(F.concat(F.flatten(scaled_rows), ex_scaled))
 
 
-def forecast(full: DataFrame, p: ForecastParams, model: str = "gbt") -> tuple[DataFrame, dict]:
+def forecast(full: DataFrame, p: ForecastParams, model: str = "gbt",
+             fitted=None) -> tuple[DataFrame, dict]:
     """M13 + M15 + M17: scale (fit on the training prefix), train, evaluate, predict.
 
     Returns (per-window predictions, prediction record).  ``model`` is
     ``gbt`` (GBTRegressor with the validation suffix as early-stopping set) or
     ``huber`` (LinearRegression with Huber loss, the reference's loss).
+    A previously saved model (M19) can be passed as ``fitted``; it is then
+    evaluated and used for the prediction instead of training a new one.
     """
     L = p.resolved_sequence_length()
     extras = _extras(full.columns)
-    seq = sq.build_sequences(full, SEQUENCE_FEATURES, p.target, L, extras=extras,
+    features = [c for c in SEQUENCE_FEATURES if c in full.columns]      # PF4: keep those present
+    seq = sq.build_sequences(full, features, p.target, L, extras=extras,
                              same_period_extras=p.same_period_extras)
     if not p.same_period_extras:
         seq = seq.where(F.col("x_extra").isNotNull())
@@ -175,14 +179,16 @@ def forecast(full: DataFrame, p: ForecastParams, model: str = "gbt") -> tuple[Da
         seq.unpersist()
         return None, record
     train = seq.where(~F.col("is_val"))
-    seq_stats = _pooled_stats(train, len(SEQUENCE_FEATURES))
+    seq_stats = _pooled_stats(train, len(features))
     extra_stats = _row_stats(train, "x_extra", len(extras) if extras else 0)
     ylo_hi = train.agg(F.min("y"), F.max("y")).first()
     ylo, yrange = float(ylo_hi[0]), float(ylo_hi[1] - ylo_hi[0]) or 1.0
-    design = seq.select("period", "y", "is_val", _design(seq, len(SEQUENCE_FEATURES), seq_stats, extra_stats)
+    design = seq.select("period", "y", "is_val", _design(seq, len(features), seq_stats, extra_stats)
                         .alias("features"), ((F.col("y") - F.lit(ylo)) / F.lit(yrange)).alias("y_scaled"))
     design = sized_for_fit(design, n)
-    if model == "gbt":
+    if fitted is not None:
+        pass
+    elif model == "gbt":
         est = GBTRegressor(featuresCol="features", labelCol="y_scaled", maxIter=p.max_iter, maxDepth=3,
                            stepSize=0.1, seed=p.seed, validationIndicatorCol="is_val",
                            validationTol=0.01)
@@ -197,9 +203,9 @@ def forecast(full: DataFrame, p: ForecastParams, model: str = "gbt") -> tuple[Da
         "y_pred", F.col("prediction") * F.lit(yrange) + F.lit(ylo)).select("period", "y", "y_pred", "is_val")
     allm = met.regression_metrics(pred).first()
     hold = met.regression_metrics(pred.where("is_val")).first()
-    nxt = sq.next_window(full, SEQUENCE_FEATURES, L, extras=extras)
+    nxt = sq.next_window(full, features, L, extras=extras)
     nxt_pred = fitted.transform(nxt.select(
-        _design(nxt, len(SEQUENCE_FEATURES), seq_stats, extra_stats).alias("features"))).first()
+        _design(nxt, len(features), seq_stats, extra_stats).alias("features"))).first()
     last = ts.last_observation(full, p.target).first()
     predicted = float(nxt_pred["prediction"]) * yrange + ylo if nxt_pred else None
     last_value = float(last["last_value"])

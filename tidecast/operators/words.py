@@ -27,6 +27,26 @@ def multi_hot_long(words: DataFrame, vocab: DataFrame) -> DataFrame:
     return words.select("month", "word").distinct().join(vocab, "word")
 
 
+def multi_hot_vectors(words: DataFrame, vocab_words: list[str]) -> DataFrame:
+    """M1 as ML vectors: (month, features) with a binary CountVectorizer over
+    the given ALPHABETICAL vocabulary (the default fit orders by frequency)."""
+    from pyspark.ml.feature import CountVectorizerModel
+    lists = words.groupBy("month").agg(F.collect_set("word").alias("words"))
+    cv = CountVectorizerModel.from_vocabulary(sorted(vocab_words), inputCol="words",
+                                              outputCol="features", binary=True)
+    return cv.transform(lists).select("month", "features")
+
+
+def coverage_info(words: DataFrame, sales: DataFrame) -> DataFrame:
+    """Sorted distinct months of both inputs and their counts (the sales
+    count is a row count, as in the reference)."""
+    w = words.agg(F.array_sort(F.collect_set("month")).alias("input_data_months"))
+    s = sales_month_key(sales).agg(F.array_sort(F.collect_set("month_str")).alias("sales_data_months"),
+                                   F.count(F.lit(1)).alias("total_sales_months"))
+    return (w.withColumn("_one", F.lit(1)).join(F.broadcast(s.withColumn("_one", F.lit(1))), "_one")
+            .drop("_one").withColumn("total_input_months", F.size("input_data_months").cast("bigint")))
+
+
 def sales_month_key(sales: DataFrame) -> DataFrame:
     """Sales with the 'yyyy-MM' month string used by the word data."""
     return sales.withColumn("month_str", F.date_format("month", "yyyy-MM"))

@@ -52,7 +52,7 @@ def run_demand_forecast(spark: SparkSession, sf_dir: str, out_base: str,
     else:
         existing = None if retrain else sinks.load_latest_model(spark, f"{out_base}/models",
                                                                 _MODEL_CLASSES[model])
-        _, rec = learn.forecast(feats, p, model)
+        _, rec = learn.forecast(feats, p, model, fitted=existing)
         if existing is None and "_model" in rec:
             sinks.save_model(rec["_model"], f"{out_base}/models")
     rec.pop("_model", None)

@@ -223,3 +223,44 @@ def explain_report_lines(spark, sf_dir):
     words, sales = _inputs(spark, sf_dir)
     e = ex.explanations(words, wd.correlation_scores(words, sales), sales)
     return ex.report_lines(e)
+
+
+@register("coverage_info", wsql("""
+SELECT array_to_string(list_sort(list(DISTINCT wl.month)), '|') AS input_data_months,
+       (SELECT array_to_string(list_sort(list(DISTINCT strftime(month, '%Y-%m'))), '|') FROM sales) AS sales_data_months,
+       (SELECT count(*) FROM sales) AS total_sales_months,
+       CAST(count(DISTINCT wl.month) AS BIGINT) AS total_input_months
+FROM wl"""))
+def coverage_info(spark, sf_dir):
+    """Months present in the word data and in the sales data."""
+    words, sales = _inputs(spark, sf_dir)
+    info = wd.coverage_info(words, sales)
+    return info.withColumns({"input_data_months": F.array_join("input_data_months", "|"),
+                             "sales_data_months": F.array_join("sales_data_months", "|")})
+
+
+def _word_seq_sql():
+    cells = ", ".join(
+        f"coalesce(max(CASE WHEN wl.word = '{w}' THEN wl.score END), 0) AS \"word_score_{w}\""
+        for w in TEST_VOCABULARY)
+    cols = ", ".join(f'"word_score_{w}"' for w in TEST_VOCABULARY)
+    return wsql(f"""
+, mx AS (SELECT s.month, strftime(s.month, '%Y-%m') AS period, s.sales, {cells}
+         FROM sales s LEFT JOIN wl ON wl.month = strftime(s.month, '%Y-%m') GROUP BY s.month, s.sales),
+t AS (SELECT *, row_number() OVER (ORDER BY period) AS rn FROM mx),
+u AS (UNPIVOT (SELECT rn, {cols}, sales FROM t) ON {cols}, sales INTO NAME feature VALUE value)
+SELECT r.period, CAST(s.rn - r.rn + 13 AS INTEGER) AS step, u.feature, CAST(u.value AS FLOAT) AS value
+FROM t r JOIN t s ON s.rn BETWEEN r.rn - 12 AND r.rn - 1 JOIN u ON u.rn = s.rn
+WHERE r.rn > 12""")
+
+
+@register("word_sequences", _word_seq_sql())
+def word_sequences(spark, sf_dir):
+    """12-month windows of (word scores ++ sales), long view (sales last)."""
+    from ..operators import sequences as sq
+    words, sales = _inputs(spark, sf_dir)
+    m = wd.word_score_matrix(sales, words.select("month", "word", "score"))
+    feats = sorted(c for c in m.columns if c.startswith("word_score_")) + ["sales"]
+    m = m.withColumn("period", F.date_format("month", "yyyy-MM"))
+    seq = sq.build_sequences(m, feats, "sales", 12)
+    return comparable(sq.sequences_long(seq, feats).withColumn("step", F.col("step").cast("int")))

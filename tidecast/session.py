@@ -63,3 +63,14 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint root (never reused)."""
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialise(df, name: str):
+    """Write ``df`` once to a fresh folder of the shared checkpoint root and
+    read it back: the lineage is cut, later actions read the small written
+    table, and - unlike ``checkpoint()``, whose write job recomputes an
+    uncached plan - the input is computed exactly once."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
