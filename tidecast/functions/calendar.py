@@ -30,6 +30,26 @@ def period_key(ts, freq: str) -> Column:
     raise ValueError(f"unknown freq {freq!r}")
 
 
+def period_group_key(ts, freq: str) -> Column:
+    """Grouping key as a ``date`` (day, Monday, first of month): cheaper to hash
+    and compare than a formatted string; label it after aggregation."""
+    ts = _col(ts)
+    d = F.to_date(ts)
+    if freq == "daily":
+        return d
+    if freq == "weekly":
+        return F.date_sub(d, F.weekday(d))
+    if freq == "monthly":
+        return F.trunc(d, "MM")
+    raise ValueError(f"unknown freq {freq!r}")
+
+
+def period_label(key, freq: str) -> Column:
+    """Date grouping key -> the reference's period value ('yyyy-MM' for months)."""
+    key = _col(key)
+    return F.date_format(key, "yyyy-MM") if freq == "monthly" else key
+
+
 def period_start_date(period, freq: str) -> Column:
     """First day of a period key as a ``date``."""
     period = _col(period)

@@ -16,7 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import calendar_columns, period_key, period_start_date
+from ..functions.calendar import (calendar_columns, period_group_key, period_key, period_label,
+                                  period_start_date)
 from ..session import materialise
 
 BASE_COLUMNS = ["order_count", "total_sales", "avg_order_value", "std_order_value",
@@ -96,13 +97,14 @@ def period_partials(facts: DataFrame, freq: str, specs: list[PivotSpec], with_ba
     entries += [F.struct(F.lit(sp.column).alias("k"), F.col(sp.column).cast("string").alias("v"))
                 for sp in specs]
     rows = (facts.where(F.col("order_date").isNotNull())
-            .select(period_key("order_date", freq).alias("period"), "order_id", "order_total", "quantity",
+            .select(period_group_key("order_date", freq).alias("period"), "order_id", "order_total", "quantity",
                     "customer_id_x", "delivery_time_minutes", "rating",
                     F.explode(F.array(*entries)).alias("kv"))
             .select("period", "kv.k", "kv.v", "order_id", "order_total", "quantity", "customer_id_x",
                     "delivery_time_minutes", "rating")
             .where((F.col("k") == BASE_KEY) | F.col("v").isNotNull()))
-    return rows.groupBy("period", "k", "v").agg(*base_aggregates())
+    agg = rows.groupBy("period", "k", "v").agg(*base_aggregates())
+    return agg.withColumn("period", period_label(F.col("period"), freq))
 
 
 def pivot_values_of(partials: DataFrame, specs: list[PivotSpec],
@@ -155,9 +157,10 @@ def aggregate_periods(facts: DataFrame, freq: str = "monthly", *,
     """
     pivots = pivots or []
     if not pivots:
-        p = period_key("order_date", freq).alias("period")
+        p = period_group_key("order_date", freq).alias("period")
         agg = (facts.where(F.col("order_date").isNotNull()).withColumn("k", F.lit(BASE_KEY))
-               .groupBy(p).agg(*base_aggregates()))
+               .groupBy(p).agg(*base_aggregates())
+               .withColumn("period", period_label(F.col("period"), freq)))
         pivot_cols: list[str] = []
     else:
         partials = period_partials(facts, freq, pivots)

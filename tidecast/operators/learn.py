@@ -27,6 +27,7 @@ LASSO_ALPHA = 0.1
 TREES = 100
 SEED = 42
 WORD_METHODS = ("ridge", "lasso", "random_forest", "gradient_boosting")
+MAX_MODEL_WORDS = 10_000   # dense design columns; beyond it use the sparse correlation score (M10)
 
 
 # --- helpers ---------------------------------------------------------------------
@@ -58,8 +59,14 @@ def word_design(words: DataFrame, sales: DataFrame):
     The vocabulary (sorted) is needed on the driver to name coefficients -
     one entry per distinct word, the model's own dimension.
     """
+    words = words.select("month", "word")
     train = training_set(words, sales).persist()   # one row per month
-    vocab = [r["word"] for r in words.select("word").distinct().orderBy("word").collect()]
+    # vocabulary of ALL months (also months without a sale), bounded before it is collected
+    vocab = [r["word"] for r in words.select("word").distinct().orderBy("word")
+             .limit(MAX_MODEL_WORDS + 1).collect()]
+    if len(vocab) > MAX_MODEL_WORDS:
+        train.unpersist()
+        raise ValueError(f"more than {MAX_MODEL_WORDS} words: use words.correlation_scores (sparse)")
     n_months = train.count()
     # presence rate per word over the training months (sparse groupBy)
     pres = {r["word"]: r["n"] for r in
@@ -109,12 +116,16 @@ def fit_word_model(x: DataFrame, method: str, n: int):
 
 def word_importance(words: DataFrame, sales: DataFrame, method: str = "gradient_boosting") -> DataFrame:
     """M6-M9 + A12 + F5: (word, score, raw_importance, direction)."""
+    # (month, word) pairs are small (months x list length) and read three times here
+    words = words.select("month", "word").persist()
     x, vocab, n, train = word_design(words, sales)
     if n == 0:
         train.unpersist()
+        words.unpersist()
         raise ValueError("no month has both words and sales")
     model, kind = fit_word_model(x, method, n)
     train.unpersist()
+    words.unpersist()
     raw = (model.coefficients if kind == "coef" else model.featureImportances).toArray().tolist()
     spark = words.sparkSession
     df = spark.createDataFrame([(w, float(v)) for w, v in zip(vocab, raw)],

@@ -24,7 +24,7 @@ from ..operators import timeseries as ts
 from ..operators import words as wd
 from ..params import FREQS, MIN_DATA_MONTHS, MIN_WINDOWS_COMPARE, ForecastParams
 from ..sources import sinks
-from ..sources.tables import items_from_events, monthly_sales, monthly_word_lists, order_facts
+from ..sources.tables import items_from_events, monthly_sales, order_facts, shared_word_lists
 
 _MODEL_CLASSES = {"gbt": GBTRegressionModel, "huber": LinearRegressionModel}
 
@@ -110,7 +110,7 @@ def check_new_data(words: DataFrame, sales: DataFrame, min_months: int = MIN_DAT
 
 def run_word_forecast(spark: SparkSession, sf_dir: str, out_base: str) -> dict:
     """Pipeline C: word scores + sales -> sequences -> model -> next month."""
-    words, sales = monthly_word_lists(spark, sf_dir), monthly_sales(spark, sf_dir)
+    words, sales = shared_word_lists(spark, sf_dir), monthly_sales(spark, sf_dir)
     scores = words.select("month", "word", "score")
     if not check_new_data(scores, sales):
         rec = {"status": "insufficient_data", "freq": "monthly", "model": "words_linear"}

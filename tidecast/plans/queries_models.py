@@ -5,13 +5,13 @@ from __future__ import annotations
 from ..operators import learn
 from ..operators import words as wd
 from ..params import ForecastParams
-from ..sources.tables import monthly_sales, monthly_word_lists, order_facts
+from ..sources.tables import monthly_sales, order_facts, shared_word_lists
 from .registry import comparable, register
 
 
 def _word_importance(method):
     def q(spark, sf_dir):
-        words, sales = monthly_word_lists(spark, sf_dir), monthly_sales(spark, sf_dir)
+        words, sales = shared_word_lists(spark, sf_dir), monthly_sales(spark, sf_dir)
         return comparable(learn.word_importance(words, sales, method))
     return q
 
@@ -35,7 +35,7 @@ register("forecast_huber")(_forecast("huber"))
 @register("forecast_words")
 def forecast_words(spark, sf_dir):
     """Pipeline C: word-score matrix + sales sequences -> next month's sales."""
-    words, sales = monthly_word_lists(spark, sf_dir), monthly_sales(spark, sf_dir)
+    words, sales = shared_word_lists(spark, sf_dir), monthly_sales(spark, sf_dir)
     scores = words.select("month", "word", "score")
     matrix = wd.word_score_matrix(sales, scores)
     rec = learn.word_forecast(matrix, wd.next_month_vector(scores, sales))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import explain as ex
 from ..operators import words as wd
-from ..sources.tables import monthly_sales, monthly_word_lists
+from ..sources.tables import monthly_sales, monthly_word_lists, shared_word_lists
 from .registry import comparable, register
 from .sql_blocks import cast_wrap
 
@@ -43,7 +43,7 @@ def wsql(body: str) -> str:
 
 
 def _inputs(spark, sf_dir):
-    return monthly_word_lists(spark, sf_dir), monthly_sales(spark, sf_dir)
+    return shared_word_lists(spark, sf_dir), monthly_sales(spark, sf_dir)
 
 
 @register("word_lists", cast_wrap(wsql("SELECT month, word, CAST(pos AS INTEGER) AS pos, score FROM wl"),

@@ -18,7 +18,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import period_key
+from ..functions.calendar import period_group_key, period_label
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -88,15 +88,17 @@ def monthly_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows - before the part join, so the wide lineitem side never meets part.
     """
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    # month key computed on orders (4x fewer rows than lines) as a cheap date
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", period_group_key("o_orderdate", "monthly").alias("m"))
     per_part = (lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-                .groupBy(period_key("o_orderdate", "monthly").alias("month"), "l_partkey")
-                .agg(F.count(F.lit(1)).alias("n")))
+                .groupBy("m", "l_partkey").agg(F.count(F.lit(1)).alias("n")))
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     tokens = (per_part.join(parts, per_part.l_partkey == parts.p_partkey)
-              .select("month", F.explode(F.split("p_name", " ")).alias("word"), "n")
+              .select("m", F.explode(F.split("p_name", " ")).alias("word"), "n")
               .where(F.col("word") != ""))
-    return tokens.groupBy("month", "word").agg(F.sum("n").alias("n_lines"))
+    return (tokens.groupBy("m", "word").agg(F.sum("n").alias("n_lines"))
+            .select(period_label(F.col("m"), "monthly").alias("month"), "word", "n_lines"))
 
 
 def monthly_word_lists(spark: SparkSession, sf_dir: str, top: int = 8) -> DataFrame:
@@ -113,6 +115,14 @@ def monthly_word_lists(spark: SparkSession, sf_dir: str, top: int = 8) -> DataFr
                          (F.col("n_lines") / F.max("n_lines").over(mx)).alias("score"))
 
 
+def shared_word_lists(spark: SparkSession, sf_dir: str, top: int = 8) -> DataFrame:
+    """``monthly_word_lists`` written once to the shared checkpoint folder and
+    re-read: jobs that read the lists several times (vocabulary, training
+    months, per-word statistics, explanations) run the lineitem join once."""
+    from ..session import materialise
+    return materialise(monthly_word_lists(spark, sf_dir, top), "word-lists")
+
+
 def items_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collected text items (reference video-record schema) derived from ``events``.
 
