@@ -58,12 +58,16 @@ def top_per_month(items: DataFrame, n: int = 10, ts_col: str = "upload_ts") -> D
 
 
 def year_filter_top(items: DataFrame, year: int | None = None, cap: int = 50) -> DataFrame:
-    """PF7 + T7: keep non-empty ``yyyyMMdd`` dates of the year, sort by views, cap per keyword x year."""
-    it = items.where((F.col("upload_date") != "") & F.col("upload_date").isNotNull())
+    """T7 + PF7: per keyword the first ``cap`` results in collection order (the
+    search cap comes first), then only non-empty ``yyyyMMdd`` dates of the
+    year, ranked by views (ties: collection order)."""
+    capped = top_n(items, ["keyword"], cap, [F.asc("seq_no")]).drop("rank")
+    it = capped.where((F.col("upload_date") != "") & F.col("upload_date").isNotNull())
     it = it.withColumn("year", F.substring("upload_date", 1, 4))
     if year is not None:
         it = it.where(F.col("upload_date").startswith(str(year)))
-    return top_n(it, ["keyword", "year"], cap, [F.desc("view_count"), F.asc("seq_no")])
+    w = Window.partitionBy("keyword", "year").orderBy(F.desc("view_count"), F.asc("seq_no"))
+    return it.withColumn("rank", F.row_number().over(w))
 
 
 def iso_upload_date(raw: Column) -> Column:

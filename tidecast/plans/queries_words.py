@@ -264,3 +264,18 @@ def word_sequences(spark, sf_dir):
     m = m.withColumn("period", F.date_format("month", "yyyy-MM"))
     seq = sq.build_sequences(m, feats, "sales", 12)
     return comparable(sq.sequences_long(seq, feats).withColumn("step", F.col("step").cast("int")))
+
+
+@register("word_data_gate", wsql("""
+SELECT CAST((SELECT count(DISTINCT month) FROM wl) AS BIGINT) AS n_word_months,
+       CAST((SELECT count(*) FROM sales) AS BIGINT) AS n_sales_months,
+       CASE WHEN greatest((SELECT count(DISTINCT month) FROM wl), (SELECT count(*) FROM sales)) >= 12
+            THEN 'success' ELSE 'insufficient_data' END AS status"""))
+def word_data_gate(spark, sf_dir):
+    """PF12 of the word pipeline: enough months in either input (>= 12)."""
+    words, sales = _inputs(spark, sf_dir)
+    w = words.agg(F.countDistinct("month").cast("bigint").alias("n_word_months"))
+    s = sales.agg(F.count(F.lit(1)).cast("bigint").alias("n_sales_months"))
+    g = wd.with_scalars(w, s)
+    return g.withColumn("status", F.when(F.greatest("n_word_months", "n_sales_months") >= 12,
+                                         F.lit("success")).otherwise(F.lit("insufficient_data")))
