@@ -27,6 +27,7 @@ LASSO_ALPHA = 0.1
 TREES = 100
 SEED = 42
 WORD_METHODS = ("ridge", "lasso", "random_forest", "gradient_boosting")
+HUBER_L2 = 0.1
 MAX_MODEL_WORDS = 10_000   # dense design columns; beyond it use the sparse correlation score (M10)
 
 
@@ -205,8 +206,10 @@ def forecast(full: DataFrame, p: ForecastParams, model: str = "gbt",
                            validationTol=0.01)
         fitted = est.fit(design)
     elif model == "huber":
+        # L·F + extras features exceed the training windows (p > n): a firm L2
+        # penalty converges (and generalises) where a weak one runs out of iterations.
         est = LinearRegression(featuresCol="features", labelCol="y_scaled", loss="huber", epsilon=1.35,
-                               regParam=1e-3, elasticNetParam=0.0, maxIter=200)
+                               regParam=HUBER_L2, elasticNetParam=0.0, maxIter=200)
         fitted = est.fit(design.where(~F.col("is_val")))
     else:
         raise ValueError(f"unknown model {model!r}")
