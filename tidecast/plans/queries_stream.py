@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from ..streaming.period_stream import run_available
+from ..streaming.period_stream import monthly_rollup, run_available
 from .registry import comparable, register
 
 
@@ -24,3 +24,15 @@ register("stream_weekly_agg", """
 SELECT CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS period, event_type, count(*) AS n_events,
        CAST(sum(value) AS FLOAT) AS total_value
 FROM events GROUP BY 1, 2""")(_stream("weekly"))
+
+
+@register("stream_orders_monthly", """
+SELECT strftime(o_orderdate, '%Y-%m') AS period, count(*) AS n_events, CAST(sum(o_totalprice) AS FLOAT) AS total_value
+FROM orders GROUP BY 1""")
+def stream_orders_monthly(spark, sf_dir):
+    """ST1 on arriving order files: daily windows in the stream (with an
+    approximate distinct-customer count), exact monthly roll-up in batch."""
+    schema = table(spark, sf_dir, "orders").schema
+    daily = run_available(spark, sf_dir, "orders.parquet", schema, "o_orderdate", [], "o_totalprice",
+                          "daily", distinct_col="o_custkey")
+    return comparable(monthly_rollup(daily))
