@@ -103,11 +103,6 @@ def explanations(month_words: DataFrame, importance: DataFrame, sales: DataFrame
 # so the per-month text is produced by an Arrow-batched pandas UDF: one row
 # per month, a small helper, never in a hot path.
 
-_FACTOR = T.ArrayType(T.StructType([T.StructField("word", T.StringType()),
-                                    T.StructField("score", T.DoubleType()),
-                                    T.StructField("impact", T.StringType())]))
-
-
 def _fmt_report(month, pred, actual, pos, neg, summ) -> str:
     lines = ["\n" + REPORT_RULE, REPORT_TITLE.format(month=month), REPORT_RULE]
     has_actual = actual is not None and not pd.isna(actual) and actual != 0

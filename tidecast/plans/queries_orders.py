@@ -9,7 +9,7 @@ from ..operators import timeseries as ts
 from ..params import LAG_PRESETS, ROLLING_PRESETS
 from ..sources.tables import order_facts
 from .registry import comparable, register
-from .sql_blocks import cast_wrap, f, period_sql, period_table_sql, with_facts
+from .sql_blocks import cast_wrap, period_sql, period_table_sql, with_facts
 
 
 def _period_sql(freq):

@@ -38,9 +38,6 @@ RAW_ITEM_SCHEMA = T.StructType([
     T.StructField("duration", T.StringType()),
 ])
 
-_STEM = r"([^/]+)\.json$"
-
-
 def list_files(spark: SparkSession, pattern: str) -> list[str]:
     """Sorted paths matching a glob on any Hadoop file system (metadata only)."""
     jvm = spark.sparkContext._jvm
