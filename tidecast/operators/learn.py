@@ -288,6 +288,8 @@ def word_forecast(matrix: DataFrame, next_vec: DataFrame, length: int = 12, min_
     last = ts.last_observation(m, "sales").first()
     predicted = float(out["prediction"]) * yr + ylo
     rec.update(status="success", **{k: float(allm[k]) for k in ("MAE", "MSE", "RMSE", "R2", "MAPE")},
+               n_word_columns=len(word_cols), sequence_length=length,
+               timestamp=_dt.datetime.now(_dt.timezone.utc).isoformat(timespec="seconds"),
                last_period=str(last["last_period"]), last_value=float(last["last_value"]),
                predicted_value=predicted,
                change_percent=((predicted - float(last["last_value"])) / float(last["last_value"]) * 100)

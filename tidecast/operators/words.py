@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import next_month_string
 from .indexing import dense_index
 
 MAX_WIDE_WORDS = 10_000
@@ -152,8 +151,8 @@ def next_month_vector(scores: DataFrame, sales: DataFrame, as_of_month: str | No
     """
     months = scores.select("month").distinct()
     last_sale = as_of_month or sales_month_key(sales).agg(F.max("month_str")).first()[0]
-    target = months.sparkSession.range(1).select(
-        next_month_string(F.to_date(F.lit(last_sale + "-01"))).alias("m")).first()["m"]
+    y, m = (int(x) for x in last_sale.split("-"))
+    target = f"{y + m // 12:04d}-{m % 12 + 1:02d}"      # December rolls over
     has_target = months.where(F.col("month") == target).limit(1).count() > 0
     chosen = target if has_target else months.agg(F.max("month")).first()[0]
     vocab = scores.select("word").distinct()

@@ -116,7 +116,7 @@ def run_word_forecast(spark: SparkSession, sf_dir: str, out_base: str) -> dict:
         rec = {"status": "insufficient_data", "freq": "monthly", "model": "words_linear"}
     else:
         rec = learn.word_forecast(wd.word_score_matrix(sales, scores), wd.next_month_vector(scores, sales))
-    sinks.write_prediction(spark, rec, f"{out_base}/prediction_words")
+    sinks.write_word_prediction(spark, rec, f"{out_base}/prediction_words")
     return rec
 
 

@@ -46,6 +46,22 @@ def write_prediction(spark: SparkSession, record: dict, path: str, execution_tim
     prediction_frame(spark, record, execution_time).coalesce(1).write.mode("overwrite").json(path)
 
 
+def word_prediction_frame(spark: SparkSession, record: dict) -> DataFrame:
+    """SNK3: the word pipeline's record - status, prediction, data_info, timestamp."""
+    row = {"status": record.get("status"), "prediction": record.get("predicted_value"),
+           "data_info": {"n_samples": record.get("n_samples"), "n_word_columns": record.get("n_word_columns"),
+                         "sequence_length": record.get("sequence_length"),
+                         "last_period": record.get("last_period"), "source_month": record.get("source_month")},
+           "timestamp": record.get("timestamp")}
+    schema = ("status string, prediction double, data_info struct<n_samples:bigint,n_word_columns:bigint,"
+              "sequence_length:bigint,last_period:string,source_month:string>, timestamp string")
+    return spark.createDataFrame([row], schema)
+
+
+def write_word_prediction(spark: SparkSession, record: dict, path: str) -> None:
+    word_prediction_frame(spark, record).coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_word_scores(importance: DataFrame, path: str) -> None:
     """SNK4: (word, score, raw_importance, direction), highest score first."""
     importance.orderBy(F.desc("score"), F.asc("word")).write.mode("overwrite").json(path)
