@@ -157,6 +157,34 @@ def _row_stats(df: DataFrame, col: str, n: int):
     return [r[f"m{i}"] or 0.0 for i in range(n)], [r[f"s{i}"] or 0.0 for i in range(n)]
 
 
+def _sum_of(f: int, square: bool):
+    if square:
+        return lambda acc, row: acc + row[f] * row[f]
+    return lambda acc, row: acc + row[f]
+
+
+def _train_stats(train: DataFrame, n_feat: int, n_extra: int):
+    """Pooled sequence statistics, extras statistics and the target range in
+    ONE aggregation over the training windows (instead of one job each).
+
+    Pooled mean / population std use the per-window sums and sums of squares
+    of every timestep (``aggregate`` over the window array): no explode.
+    """
+    aggs = [F.sum(F.size("x_seq")).alias("cells")]
+    for f in range(n_feat):
+        aggs += [F.sum(F.aggregate("x_seq", F.lit(0.0), _sum_of(f, False))).alias(f"s{f}"),
+                 F.sum(F.aggregate("x_seq", F.lit(0.0), _sum_of(f, True))).alias(f"q{f}")]
+    for i in range(n_extra):
+        aggs += [F.avg(F.col("x_extra")[i]).alias(f"em{i}"), F.stddev_pop(F.col("x_extra")[i]).alias(f"es{i}")]
+    aggs += [F.min("y").alias("ylo"), F.max("y").alias("yhi")]
+    r = train.agg(*aggs).first()
+    cells = float(r["cells"])
+    means = [r[f"s{f}"] / cells for f in range(n_feat)]
+    stds = [max(r[f"q{f}"] / cells - means[f] ** 2, 0.0) ** 0.5 for f in range(n_feat)]
+    extra = ([r[f"em{i}"] or 0.0 for i in range(n_extra)], [r[f"es{i}"] or 0.0 for i in range(n_extra)])
+    return (means, stds), extra, float(r["ylo"]), float(r["yhi"])
+
+
 def _design(seq: DataFrame, n_feat: int, seq_stats, extra_stats) -> Column:
     m, s = seq_stats
     scaled_rows = F.transform("x_seq", lambda row: _scale_array(row, m, s))
@@ -191,10 +219,8 @@ def forecast(full: DataFrame, p: ForecastParams, model: str = "gbt",
         seq.unpersist()
         return None, record
     train = seq.where(~F.col("is_val"))
-    seq_stats = _pooled_stats(train, len(features))
-    extra_stats = _row_stats(train, "x_extra", len(extras) if extras else 0)
-    ylo_hi = train.agg(F.min("y"), F.max("y")).first()
-    ylo, yrange = float(ylo_hi[0]), float(ylo_hi[1] - ylo_hi[0]) or 1.0
+    seq_stats, extra_stats, ylo, yhi = _train_stats(train, len(features), len(extras) if extras else 0)
+    yrange = (yhi - ylo) or 1.0
     design = seq.select("period", "y", "is_val", _design(seq, len(features), seq_stats, extra_stats)
                         .alias("features"), ((F.col("y") - F.lit(ylo)) / F.lit(yrange)).alias("y_scaled"))
     design = sized_for_fit(design, n)
@@ -209,14 +235,18 @@ def forecast(full: DataFrame, p: ForecastParams, model: str = "gbt",
         # L·F + extras features exceed the training windows (p > n): a firm L2
         # penalty converges (and generalises) where a weak one runs out of iterations.
         est = LinearRegression(featuresCol="features", labelCol="y_scaled", loss="huber", epsilon=1.35,
-                               regParam=HUBER_L2, elasticNetParam=0.0, maxIter=200)
+                               regParam=HUBER_L2, elasticNetParam=0.0, maxIter=200, tol=1e-5)
         fitted = est.fit(design.where(~F.col("is_val")))
     else:
         raise ValueError(f"unknown model {model!r}")
     pred = fitted.transform(design).withColumn(
         "y_pred", F.col("prediction") * F.lit(yrange) + F.lit(ylo)).select("period", "y", "y_pred", "is_val")
-    allm = met.regression_metrics(pred).first()
-    hold = met.regression_metrics(pred.where("is_val")).first()
+    # in-sample (all windows) and holdout metrics in one aggregation
+    scoped = pred.select("*", F.explode(F.array(F.lit("all"), F.when(F.col("is_val"), F.lit("holdout"))))
+                         .alias("scope")).where(F.col("scope").isNotNull())
+    by_scope = {r["scope"]: r for r in met.regression_metrics(scoped, group_cols=["scope"]).collect()}
+    allm = by_scope["all"]
+    hold = by_scope.get("holdout") or {"MAE": None, "RMSE": None}
     nxt = sq.next_window(full, features, L, extras=extras)
     nxt_pred = fitted.transform(nxt.select(
         _design(nxt, len(features), seq_stats, extra_stats).alias("features"))).first()
