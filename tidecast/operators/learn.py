@@ -139,24 +139,6 @@ def _extras(cols: list[str]) -> list[str]:
     return [c for c in cols if c.startswith(EXTRA_PREFIXES)]
 
 
-def _pooled_stats(seq: DataFrame, n_feat: int):
-    """Per-feature mean / population std over every timestep of the given windows."""
-    long = seq.select(F.posexplode(F.flatten("x_seq")).alias("p", "v")).select(
-        (F.col("p") % n_feat).alias("f"), "v")
-    rows = {r["f"]: (r["m"], r["s"]) for r in
-            long.groupBy("f").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).collect()}
-    return [rows[i][0] for i in range(n_feat)], [rows[i][1] or 0.0 for i in range(n_feat)]
-
-
-def _row_stats(df: DataFrame, col: str, n: int):
-    if n == 0:
-        return [], []
-    el = [F.col(col)[i] for i in range(n)]
-    r = df.agg(*[F.avg(e).alias(f"m{i}") for i, e in enumerate(el)],
-               *[F.stddev_pop(e).alias(f"s{i}") for i, e in enumerate(el)]).first()
-    return [r[f"m{i}"] or 0.0 for i in range(n)], [r[f"s{i}"] or 0.0 for i in range(n)]
-
-
 def _sum_of(f: int, square: bool):
     if square:
         return lambda acc, row: acc + row[f] * row[f]
@@ -300,10 +282,8 @@ def word_forecast(matrix: DataFrame, next_vec: DataFrame, length: int = 12, min_
     seq = sq.build_sequences(m, feats, "sales", length)
     seq = seq.withColumn("x_extra", F.slice("x_last", 1, len(word_cols)))
     rec["n_samples"] = seq.count()
-    seq_stats = _pooled_stats(seq, len(feats))
-    extra_stats = _row_stats(seq, "x_extra", len(word_cols))
-    ylh = seq.agg(F.min("y"), F.max("y")).first()
-    ylo, yr = float(ylh[0]), float(ylh[1] - ylh[0]) or 1.0
+    seq_stats, extra_stats, ylo, yhi = _train_stats(seq, len(feats), len(word_cols))
+    yr = (yhi - ylo) or 1.0
     design = seq.select("period", "y", _design(seq, len(feats), seq_stats, extra_stats).alias("features"),
                         ((F.col("y") - F.lit(ylo)) / F.lit(yr)).alias("y_scaled"))
     design = sized_for_fit(design, rec["n_samples"])
