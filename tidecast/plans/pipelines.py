@@ -35,14 +35,17 @@ def feature_table(facts: DataFrame, p: ForecastParams) -> DataFrame:
     return ts.add_time_series_features(full, p.target, p.resolved_lags(), p.resolved_windows())
 
 
-def run_demand_forecast(spark: SparkSession, sf_dir: str, out_base: str,
+def run_demand_forecast(spark: SparkSession, facts: DataFrame | str, out_base: str,
                         p: ForecastParams | None = None, model: str = "huber",
                         retrain: bool = True) -> dict:
     """Pipeline A: orders -> period table + features (written) -> train or load
-    -> evaluate -> next-period prediction -> prediction JSON."""
+    -> evaluate -> next-period prediction -> prediction JSON.
+
+    ``facts`` is an order-facts frame (reference column names, e.g. from
+    ``files.load_orders_csv``) or a driver-table folder."""
     p = p or ForecastParams()
     t0 = time.perf_counter()
-    facts = order_facts(spark, sf_dir)
+    facts = order_facts(spark, facts) if isinstance(facts, str) else facts
     table_path = f"{out_base}/processed"
     sinks.write_period_table(feature_table(facts, p), table_path, p.freq)
     feats = spark.read.parquet(table_path).where(F.col("freq") == p.freq).drop("freq")
@@ -62,10 +65,11 @@ def run_demand_forecast(spark: SparkSession, sf_dir: str, out_base: str,
     return rec
 
 
-def run_comparison(spark: SparkSession, sf_dir: str, freqs=FREQS, model: str = "huber") -> DataFrame:
+def run_comparison(spark: SparkSession, facts: DataFrame | str, freqs=FREQS,
+                   model: str = "huber") -> DataFrame:
     """One forecast per grain; a failing grain is reported, not fatal;
     the best grain has the highest R2 among successful ones (A13)."""
-    facts = order_facts(spark, sf_dir)
+    facts = order_facts(spark, facts) if isinstance(facts, str) else facts
     records = []
     for freq in freqs:
         try:
@@ -108,10 +112,14 @@ def check_new_data(words: DataFrame, sales: DataFrame, min_months: int = MIN_DAT
     return max(n_w, n_s) >= min_months
 
 
-def run_word_forecast(spark: SparkSession, sf_dir: str, out_base: str) -> dict:
-    """Pipeline C: word scores + sales -> sequences -> model -> next month."""
-    words, sales = shared_word_lists(spark, sf_dir), monthly_sales(spark, sf_dir)
-    scores = words.select("month", "word", "score")
+def run_word_forecast(spark: SparkSession, scores: DataFrame | str, out_base: str,
+                      sales: DataFrame | None = None) -> dict:
+    """Pipeline C: word scores (month, word, score) + sales (month, sales)
+    -> sequences -> model -> next month.  A string is a driver-table folder."""
+    if isinstance(scores, str):
+        sf_dir = scores
+        scores = shared_word_lists(spark, sf_dir).select("month", "word", "score")
+        sales = monthly_sales(spark, sf_dir)
     if not check_new_data(scores, sales):
         rec = {"status": "insufficient_data", "freq": "monthly", "model": "words_linear"}
     else:
@@ -120,13 +128,23 @@ def run_word_forecast(spark: SparkSession, sf_dir: str, out_base: str) -> dict:
     return rec
 
 
-def run_collection(spark: SparkSession, sf_dir: str, out_base: str, per_month: int = 10) -> dict:
-    """Pipeline E: items -> top N per keyword x month -> URL dedupe -> JSON/CSV."""
-    items = items_from_events(spark, sf_dir)
-    top = it.top_per_month(items, per_month).drop("rank", "year", "month")
-    unique = it.dedupe_first(top.drop("upload_ts"))
+def run_collection(spark: SparkSession, items: DataFrame | str, out_base: str, per_month: int = 10,
+                   mode: str = "search", year: int | None = None, cap: int = 50) -> dict:
+    """Pipeline E: collected items -> ranking -> URL dedupe -> JSON/CSV.
+
+    ``mode="search"``: top ``per_month`` by views per keyword x month (the
+    month-windowed search).  ``mode="dump"``: the first ``cap`` records per
+    keyword, only those with a date (of ``year`` if given), ranked by views.
+    ``items`` needs keyword, url, view_count, upload_ts / upload_date and the
+    collection order ``seq_no``; a string is a driver-table folder."""
+    items = items_from_events(spark, items) if isinstance(items, str) else items
+    if mode == "dump":
+        ranked = it.year_filter_top(items, year, cap).drop("rank", "year")
+    else:
+        ranked = it.top_per_month(items, per_month).drop("rank", "year", "month")
+    unique = it.dedupe_first(ranked.drop("upload_ts"))
     sinks.write_items(unique, f"{out_base}/items_json", f"{out_base}/items_csv")
-    counts = it.collection_counts(top).first()
+    counts = it.collection_counts(ranked).first()
     return {"n_collected": counts["n_collected"], "n_unique": counts["n_unique"]}
 
 

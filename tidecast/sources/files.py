@@ -27,6 +27,7 @@ ORDER_SCHEMA = T.StructType([
 ])
 
 RAW_ITEM_SCHEMA = T.StructType([
+    T.StructField("keyword", T.StringType()),
     T.StructField("id", T.StringType()),
     T.StructField("title", T.StringType()),
     T.StructField("upload_date", T.StringType()),
