@@ -76,3 +76,10 @@ def test_word_analysis_and_collection(spark, tmpdir_path):
     assert col["n_unique"] <= col["n_collected"]
     rec = pipelines.run_word_forecast(spark, SF_SMALL, tmpdir_path)
     assert rec["status"] in ("success", "insufficient_data")
+
+
+def test_word_analysis_single_month(spark, tmpdir_path):
+    words, sales = monthly_word_lists(spark, SF_SMALL), monthly_sales(spark, SF_SMALL)
+    first = words.agg(F.min("month")).first()[0]
+    res = pipelines.run_word_analysis(spark, words, sales, tmpdir_path, method="ridge", month=first)
+    assert res["n_months"] == 1

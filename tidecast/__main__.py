@@ -45,6 +45,7 @@ def main(argv=None) -> None:
     w.add_argument("--method", default="gradient_boosting",
                    choices=("ridge", "lasso", "random_forest", "gradient_boosting"))
     w.add_argument("--top", type=int, default=10)
+    w.add_argument("--month", help="explain only this month (YYYY-MM)")
     w.add_argument("--out", required=True)
 
     p = sub.add_parser("word-forecast", help="next month's sales from monthly word scores")
@@ -74,7 +75,7 @@ def main(argv=None) -> None:
     elif a.job == "words":
         words, bad = files.load_word_lists(spark, a.words)
         sales = files.load_sales_csv(spark, a.sales)
-        res = pipelines.run_word_analysis(spark, words, sales, a.out, a.method, a.top)
+        res = pipelines.run_word_analysis(spark, words, sales, a.out, a.method, a.top, month=a.month)
         res["quarantined_files"] = bad.count()
     elif a.job == "word-forecast":
         scores, _ = files.load_word_scores(spark, a.scores)

@@ -91,16 +91,18 @@ def run_comparison(spark: SparkSession, facts: DataFrame | str, freqs=FREQS,
 
 def run_word_analysis(spark: SparkSession, words: DataFrame, sales: DataFrame, out_base: str,
                       method: str = "gradient_boosting", top_n: int = 10,
-                      predictions: DataFrame | None = None) -> dict:
+                      predictions: DataFrame | None = None, month: str | None = None) -> dict:
     """Pipeline D: importance (M6-M9) -> scores file -> top words -> per-month
-    explanations -> report file."""
+    explanations -> report file.  Importance is learned from all months;
+    ``month`` restricts the explanations to that month (PF6)."""
     imp = learn.word_importance(words, sales, method)
     sinks.write_word_scores(imp, f"{out_base}/word_scores")
     imp = spark.read.schema("word string, score double, raw_importance double, direction string") \
         .json(f"{out_base}/word_scores")
     top = {d: [(r["word"], r["score"]) for r in wd.top_words(imp, top_n, d).orderBy("rank").collect()]
            for d in ("all", "positive", "negative")}
-    expl = ex.explanations(words, imp, sales, predictions)
+    explain_words = words if month is None else words.where(F.col("month") == month)
+    expl = ex.explanations(explain_words, imp, sales, predictions)
     sinks.write_report(ex.report_lines(expl), f"{out_base}/report")
     return {"top_words": top, "n_months": expl.count()}
 
