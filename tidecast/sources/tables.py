@@ -31,31 +31,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order with the reference's order-CSV column names.
 
-    Lines are pre-aggregated per order before they meet ``orders`` (map-side
-    partial aggregation), and the aggregate is already hash-partitioned on the
-    order key, so the orders join adds a shuffle of ``orders`` only.  Joins are
-    left so that orders without lines keep NULL measures (pandas NaN).
-
-    Every right side is an aggregate grouped by its join key, so Catalyst
-    knows the key is unique and removes the whole left join when a query
-    uses none of its columns (a monthly total never touches part/customer).
+    Two per-order aggregates of ``lineitem``, both grouped by the order key:
+
+    * measures (quantity, first ship date, discount, return flag) are reduced
+      per order with map-side partial aggregation - one shuffle of already
+      reduced rows, hash-partitioned on the order key;
+    * the category (min part type) needs the part join; only the narrow
+      (orderkey, partkey) pairs are shuffled to meet ``part``.
+
+    ``orders`` joins both on the order key (left: orders without lines keep
+    NULL measures, as pandas NaN).  Every right side is an aggregate grouped by
+    its join key, so Catalyst knows the key is unique and removes a left join
+    whose columns a query does not use - a monthly total never touches part,
+    customer or even lineitem's category branch.  Parquet is columnar, so the
+    two lineitem branches read disjoint columns (plus the key).
     """
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_quantity", "l_discount", "l_returnflag", "l_shipdate")
+    lines = table(spark, sf_dir, "lineitem")
+    measures = (lines.groupBy("l_orderkey")
+                .agg(F.sum("l_quantity").alias("quantity"),
+                     F.min("l_shipdate").alias("first_ship"),
+                     F.avg("l_discount").alias("rating"),
+                     F.min("l_returnflag").alias("sentiment")))
     parts = (table(spark, sf_dir, "part").groupBy("p_partkey")
              .agg(F.min("p_type").alias("p_type")))
-    per_order = (lines.join(parts, lines.l_partkey == parts.p_partkey, "left")
-                 .groupBy("l_orderkey")
-                 .agg(F.sum("l_quantity").alias("quantity"),
-                      F.min("l_shipdate").alias("first_ship"),
-                      F.avg("l_discount").alias("rating"),
-                      F.min("p_type").alias("category"),
-                      F.min("l_returnflag").alias("sentiment")))
+    category = (lines.select(F.col("l_orderkey").alias("c_orderkey"), "l_partkey")
+                .join(parts, F.col("l_partkey") == parts.p_partkey, "left")
+                .groupBy("c_orderkey").agg(F.min("p_type").alias("category")))
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     customers = (table(spark, sf_dir, "customer").groupBy("c_custkey")
                  .agg(F.min("c_mktsegment").alias("c_mktsegment")))
-    facts = (orders.join(per_order, orders.o_orderkey == per_order.l_orderkey, "left")
+    facts = (orders.join(measures, orders.o_orderkey == measures.l_orderkey, "left")
+             .join(category, orders.o_orderkey == category.c_orderkey, "left")
              .join(customers, orders.o_custkey == customers.c_custkey, "left"))
     return facts.select(
         F.col("o_orderkey").alias("order_id"),
