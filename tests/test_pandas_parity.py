@@ -105,3 +105,34 @@ def test_window_features_match_pandas(spark):
     for c in exp.columns[1:]:
         np.testing.assert_allclose(got[c].to_numpy(float), exp[c].to_numpy(float), rtol=1e-9, atol=1e-6,
                                    err_msg=c)
+
+
+def test_sequences_trailing_and_pooled_scaling_match_numpy(spark):
+    from tidecast.operators import learn
+    from tidecast.operators import sequences as sq
+    rng = np.random.default_rng(11)
+    n, L = 30, 6
+    feats = ["a", "b", "c"]
+    X = np.round(rng.normal(100, 20, (n, 3)), 3)
+    pdf = pd.DataFrame(X, columns=feats)
+    pdf.insert(0, "period", [f"p{i:03d}" for i in range(n)])
+    pdf["y"] = np.round(rng.normal(5, 1, n), 3)
+    df = spark.createDataFrame(pdf)
+    seq = sq.build_sequences(df, feats, "y", L, extras=["a"], same_period_extras=True).orderBy("period").collect()
+    assert len(seq) == n - L
+    for i, r in enumerate(seq, start=L):                       # X[i] = rows i-L .. i-1, y = y[i]
+        np.testing.assert_allclose(np.array(r["x_seq"]), X[i - L:i])
+        assert r["y"] == pdf.y[i] and r["x_extra"] == [X[i, 0]]
+    # Trailing partial windows, population std (0 for a single value)
+    t = ts.trailing_stats(df, "y", 3).orderBy("period").toPandas()
+    for i in range(n):
+        w = pdf.y.to_numpy()[max(0, i - 2):i + 1]
+        assert t["y_tmean_3"][i] == pytest.approx(w.mean())
+        assert t["y_tstd_3"][i] == pytest.approx(w.std() if len(w) > 1 else 0.0, abs=1e-12)
+    # M3 pooled over timesteps: StandardScaler on X_seq.reshape(-1, F)
+    seq_df = sq.build_sequences(df, feats, "y", L)
+    (means, stds), _, ylo, yhi = learn._train_stats(seq_df, 3, 0)
+    stacked = np.concatenate([X[i - L:i] for i in range(L, n)])
+    np.testing.assert_allclose(means, stacked.mean(0), rtol=1e-12)
+    np.testing.assert_allclose(stds, stacked.std(0), rtol=1e-9)
+    assert (ylo, yhi) == (pdf.y[L:].min(), pdf.y[L:].max())
