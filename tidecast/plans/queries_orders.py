@@ -107,15 +107,16 @@ def feature_sql_columns(target: str, lags, windows, series_keys=(), order="perio
     return cols
 
 
-def _flagship_sql():
+def _flagship_sql(freq="monthly"):
     from .sql_blocks import BASE_AGG_SQL, pivot_sql_columns
-    feats = feature_sql_columns("total_sales", LAG_PRESETS["monthly"], ROLLING_PRESETS["monthly"])
+    feats = feature_sql_columns("total_sales", LAG_PRESETS[freq], ROLLING_PRESETS[freq])
     body = "SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in feats) + " FROM full_t"
     sql = with_facts(body, extra_ctes="full_t AS (" + period_table_sql(
-        "monthly", pivots=True, month_as_date=True, cast=False) + ")")
+        freq, pivots=True, month_as_date=True, cast=False) + ")")
     doubles = ([n for n, _, dbl in BASE_AGG_SQL if dbl] + [n for n, _ in pivot_sql_columns()]
                + [n for n, _ in feats])
-    return cast_wrap(sql, doubles, ["date", "month"])
+    dates = ["date", "month"] if freq == "monthly" else ["period", "date", "month"]
+    return cast_wrap(sql, doubles, dates)
 
 
 @register("features_monthly", _flagship_sql())
@@ -123,6 +124,16 @@ def features_monthly(spark, sf_dir):
     return comparable(feature_table(spark, sf_dir, "monthly"))
 
 
+def _features_query(freq):
+    def q(spark, sf_dir):
+        return comparable(feature_table(spark, sf_dir, freq))
+    return q
+
+
+for _freq in ("weekly", "daily"):
+    register(f"features_{_freq}", _flagship_sql(_freq))(_features_query(_freq))
+
+
 # --- SNK1 -> SRC1 round trip -------------------------------------------------------
 @register("orders_csv_roundtrip", _period_sql("monthly"))
 def orders_csv_roundtrip(spark, sf_dir):
