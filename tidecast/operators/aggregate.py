@@ -96,14 +96,18 @@ def period_partials(facts: DataFrame, freq: str, specs: list[PivotSpec], with_ba
         entries.append(F.struct(F.lit(BASE_KEY).alias("k"), F.lit(None).cast("string").alias("v")))
     entries += [F.struct(F.lit(sp.column).alias("k"), F.col(sp.column).cast("string").alias("v"))
                 for sp in specs]
+    # without base rows only the pivot measures are read, so Catalyst prunes the
+    # columns (and the joins) the base statistics would need
+    measures = (["order_id", "order_total", "quantity", "customer_id_x", "delivery_time_minutes", "rating"]
+                if with_base else ["order_id", "order_total"])
     rows = (facts.where(F.col("order_date").isNotNull())
-            .select(period_group_key("order_date", freq).alias("period"), "order_id", "order_total", "quantity",
-                    "customer_id_x", "delivery_time_minutes", "rating",
+            .select(period_group_key("order_date", freq).alias("period"), *measures,
                     F.explode(F.array(*entries)).alias("kv"))
-            .select("period", "kv.k", "kv.v", "order_id", "order_total", "quantity", "customer_id_x",
-                    "delivery_time_minutes", "rating")
+            .select("period", "kv.k", "kv.v", *measures)
             .where((F.col("k") == BASE_KEY) | F.col("v").isNotNull()))
-    agg = rows.groupBy("period", "k", "v").agg(*base_aggregates())
+    aggs = base_aggregates() if with_base else [F.count("order_id").alias("order_count"),
+                                                _z(F.sum("order_total")).alias("total_sales")]
+    agg = rows.groupBy("period", "k", "v").agg(*aggs)
     return agg.withColumn("period", period_label(F.col("period"), freq))
 
 
