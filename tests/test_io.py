@@ -111,3 +111,24 @@ def test_stream_equals_batch_in_any_session_zone(spark):
         assert got == {(str(r["d"]), r["event_type"]): r["count"] for r in exp}
     finally:
         spark.conf.set("spark.sql.session.timeZone", prev)
+
+
+def test_stream_upserts_across_micro_batches(spark, tmpdir_path):
+    # two files arrive as two micro-batches; the same day is updated by both
+    src = os.path.join(tmpdir_path, "src")
+    ev = table(spark, SF_SMALL, "events")
+    first_day = ev.agg(F.min(F.to_date("ts"))).first()[0]
+    day = ev.where(F.to_date("ts") == F.lit(first_day))
+    ids = [r[0] for r in day.select("event_id").orderBy("event_id").collect()]
+    half = ids[len(ids) // 2]
+    day.where(F.col("event_id") < half).coalesce(1).write.parquet(os.path.join(src, "a"))
+    day.where(F.col("event_id") >= half).coalesce(1).write.parquet(os.path.join(src, "b"))
+    import glob
+    import shutil
+    flat = os.path.join(tmpdir_path, "flat")
+    os.makedirs(flat)
+    for i, f in enumerate(sorted(glob.glob(os.path.join(src, "*", "part-*.parquet")))):
+        shutil.copy(f, os.path.join(flat, f"events-{i}.parquet"))
+    from tidecast.streaming import period_stream as ps
+    out = ps.run_available(spark, flat, "events-*.parquet", ev.schema, "ts", [], "value", files_per_batch=1)
+    assert out.count() == 1 and out.first()["n_events"] == len(ids)

@@ -1,7 +1,7 @@
 """ST1: incremental period aggregates from arriving event / order files.
 
 File-source ``readStream`` -> event time -> watermark -> ``window`` groupBy
--> ``foreachBatch`` upsert of the complete result into a parquet table.
+-> ``foreachBatch`` upsert of the updated windows into a versioned parquet table.
 State and offsets live under a checkpoint folder of the shared checkpoint
 root, so a restarted or re-scheduled query resumes exactly where it stopped.
 
@@ -10,8 +10,9 @@ root, so a restarted or re-scheduled query resumes exactly where it stopped.
   zone (day number * 86400 s + time of day), so daily windows start at
   midnight whatever ``spark.sql.session.timeZone`` says.
 * With ``availableNow`` the ``append`` mode withholds windows the watermark
-  has not closed; ``complete`` emits them all, so the sink rewrites the full
-  (small: periods x keys) result each micro-batch.
+  has not closed, so results use ``update``: every changed window is emitted
+  and merged into a versioned result table (periods x keys, small), while the
+  watermark evicts closed windows from the state store.
 * Streaming cannot count distinct values; monthly roll-ups and exact
   distinct counts are batch jobs over the daily partials (see aggregate).
 """
@@ -59,30 +60,54 @@ def period_stream(stream: DataFrame, ts_col: str, keys: list[str], value_col: st
             .select(window_day(F.col("w.start")).alias("period"), *keys, "n_events", "total_value", *extra))
 
 
+def _latest_version(spark: SparkSession, out_path: str, before: int | None = None) -> str | None:
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(f"{out_path.rstrip('/')}/v=*")
+    st = p.getFileSystem(conf).globStatus(p) or []
+    vs = sorted(str(x.getPath().toString()) for x in st if x.isDirectory())
+    if before is not None:
+        vs = [v for v in vs if int(v.rsplit("v=", 1)[1]) < before]
+    return vs[-1] if vs else None
+
+
 def run_available(spark: SparkSession, source_dir: str, file_glob: str, schema, ts_col: str,
                   keys: list[str], value_col: str, freq: str = "daily",
                   out_path: str | None = None, checkpoint: str | None = None,
-                  distinct_col: str | None = None) -> DataFrame:
+                  distinct_col: str | None = None, files_per_batch: int = 100) -> DataFrame:
     """Process every file available now, then stop; returns the result table.
 
-    ``maxFilesPerTrigger`` keeps each micro-batch bounded when a backlog of
-    files is waiting; the sink rewrites the complete result per batch.
+    ``update`` mode: the watermark lets the state store drop closed windows,
+    so state stays bounded on an endless stream.  Each micro-batch's updated
+    windows replace their rows of the previous result version in a new folder
+    ``v=<batch id>`` - re-running a batch after a failure rewrites the same
+    version from the same predecessor (idempotent).  ``maxFilesPerTrigger``
+    bounds a micro-batch when a backlog of files is waiting.
     """
-    out_path = out_path or scratch_path(spark, f"stream-{freq}-out")
+    out_path = (out_path or scratch_path(spark, f"stream-{freq}-out")).rstrip("/")
     checkpoint = checkpoint or scratch_path(spark, f"stream-{freq}-state")
     src = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-           .option("maxFilesPerTrigger", 100).parquet(source_dir))
+           .option("maxFilesPerTrigger", files_per_batch).parquet(source_dir))
     agg = period_stream(src, ts_col, keys, value_col, freq, distinct_col=distinct_col)
+    row_keys = ["period", *keys]
 
-    def upsert(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+    def upsert(batch: DataFrame, epoch: int) -> None:
+        prev = _latest_version(spark, out_path, before=epoch)
+        merged = batch
+        if prev is not None:
+            old = spark.read.parquet(prev)
+            merged = old.join(batch.select(*row_keys), row_keys, "left_anti").unionByName(batch)
+        merged.write.mode("overwrite").parquet(f"{out_path}/v={epoch:012d}")
 
-    q = (agg.writeStream.outputMode("complete").foreachBatch(upsert)
+    q = (agg.writeStream.outputMode("update").foreachBatch(upsert)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(out_path)
+    latest = _latest_version(spark, out_path)
+    if latest is None:
+        return agg.sparkSession.createDataFrame([], agg.schema)
+    return spark.read.parquet(latest)
 
 
 def monthly_rollup(daily: DataFrame, keys: list[str] = ()) -> DataFrame:
