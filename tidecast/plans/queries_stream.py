@@ -10,7 +10,8 @@ from .registry import comparable, register
 def _stream(freq):
     def q(spark, sf_dir):
         schema = table(spark, sf_dir, "events").schema
-        out = run_available(spark, sf_dir, "events.parquet", schema, "ts", ["event_type"], "value", freq)
+        out = run_available(spark, sf_dir, "events.parquet", schema, "ts", ["event_type"], "value", freq,
+                            state_partitions=spark.sparkContext.defaultParallelism)
         return comparable(out)
     return q
 
@@ -34,5 +35,6 @@ def stream_orders_monthly(spark, sf_dir):
     approximate distinct-customer count), exact monthly roll-up in batch."""
     schema = table(spark, sf_dir, "orders").schema
     daily = run_available(spark, sf_dir, "orders.parquet", schema, "o_orderdate", [], "o_totalprice",
-                          "daily", distinct_col="o_custkey")
+                          "daily", distinct_col="o_custkey",
+                          state_partitions=spark.sparkContext.defaultParallelism)
     return comparable(monthly_rollup(daily))

@@ -74,7 +74,8 @@ def _latest_version(spark: SparkSession, out_path: str, before: int | None = Non
 def run_available(spark: SparkSession, source_dir: str, file_glob: str, schema, ts_col: str,
                   keys: list[str], value_col: str, freq: str = "daily",
                   out_path: str | None = None, checkpoint: str | None = None,
-                  distinct_col: str | None = None, files_per_batch: int = 100) -> DataFrame:
+                  distinct_col: str | None = None, files_per_batch: int = 100,
+                  state_partitions: int | None = None) -> DataFrame:
     """Process every file available now, then stop; returns the result table.
 
     ``update`` mode: the watermark lets the state store drop closed windows,
@@ -83,6 +84,11 @@ def run_available(spark: SparkSession, source_dir: str, file_glob: str, schema,
     ``v=<batch id>`` - re-running a batch after a failure rewrites the same
     version from the same predecessor (idempotent).  ``maxFilesPerTrigger``
     bounds a micro-batch when a backlog of files is waiting.
+
+    ``state_partitions`` sizes the state store.  A stateful query records its
+    partition count in the checkpoint at its first start, so the session's
+    shuffle-partition setting is swapped in only while the query starts, then
+    restored.
     """
     out_path = (out_path or scratch_path(spark, f"stream-{freq}-out")).rstrip("/")
     checkpoint = checkpoint or scratch_path(spark, f"stream-{freq}-state")
@@ -99,9 +105,15 @@ def run_available(spark: SparkSession, source_dir: str, file_glob: str, schema,
             merged = old.join(batch.select(*row_keys), row_keys, "left_anti").unionByName(batch)
         merged.write.mode("overwrite").parquet(f"{out_path}/v={epoch:012d}")
 
-    q = (agg.writeStream.outputMode("update").foreachBatch(upsert)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    prev_parts = spark.conf.get("spark.sql.shuffle.partitions")
+    if state_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        q = (agg.writeStream.outputMode("update").foreachBatch(upsert)
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev_parts)
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     latest = _latest_version(spark, out_path)
