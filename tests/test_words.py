@@ -88,3 +88,12 @@ def test_report_formatting_python_rounding():
                          [{"word": "a", "score": 0.825, "impact": "high"}], [], "s")
     assert "1,234,568" in txt and "0.82" in txt        # correctly rounded, not half-up on decimals
     assert ex.FALL_HEADER not in txt
+
+
+def test_word_feature_vectors(spark, inputs):
+    words, sales = inputs
+    m = wd.word_score_matrix(sales, words.select("month", "word", "score"))
+    v = wd.word_feature_vectors(m)
+    cols = sorted(c for c in m.columns if c.startswith("word_score_"))
+    r = v.orderBy("month").first()
+    assert r["features"].toArray().tolist() == [r[c] for c in cols]

@@ -70,6 +70,14 @@ def word_score_matrix(sales: DataFrame, scores: DataFrame,
     return out.na.fill(0.0, [f"word_score_{v}" for v in vals]).drop("month_str")
 
 
+def word_feature_vectors(matrix: DataFrame, prefix: str = "word_score_") -> DataFrame:
+    """M2: the ``word_score_*`` columns of a score matrix as one ML vector per
+    row (columns by name, so the order matches the sorted vocabulary)."""
+    from pyspark.ml.feature import VectorAssembler
+    cols = sorted(c for c in matrix.columns if c.startswith(prefix))
+    return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(matrix)
+
+
 def training_set(words: DataFrame, sales: DataFrame) -> DataFrame:
     """Months present in both inputs; the first sales row of a month
     (earliest ``month`` value, then ``sales``) - an aggregate, not a window."""
