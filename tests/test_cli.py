@@ -51,3 +51,24 @@ def test_cli_items_from_dump(spark, tmpdir_path, capsys):
     main(["items", "--dump", dump, "--out", os.path.join(tmpdir_path, "out")])
     res = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert res == {"n_collected": 2, "n_unique": 1}      # 'c' has no date; a and b share a URL
+
+
+def test_cli_word_forecast_from_score_files(spark, tmpdir_path, capsys):
+    sdir, sales_dir = os.path.join(tmpdir_path, "scores"), os.path.join(tmpdir_path, "sales")
+    os.makedirs(sdir), os.makedirs(sales_dir)
+    months = [f"2023-{m:02d}" for m in range(1, 13)] + [f"2024-{m:02d}" for m in range(1, 7)]
+    lines = ["month,sales"]
+    for i, m in enumerate(months):
+        scores = {"rain": round(0.1 * (i % 5), 2), "sun": round(1 - 0.05 * i, 2)}
+        _write(os.path.join(sdir, f"{m}.json"), json.dumps(scores))
+        lines.append(f"{m}-01,{1000 + 37 * i + 200 * scores['rain']}")
+    _write(os.path.join(sdir, "2024-07.json"), '{"rain": 0.3, "sun": 0.2}')   # next month's words
+    _write(os.path.join(sdir, "bad.json"), "[1, 2")
+    _write(os.path.join(sales_dir, "sales.csv"), "\n".join(lines) + "\n")
+    out = os.path.join(tmpdir_path, "out")
+    main(["word-forecast", "--scores", sdir, "--sales", sales_dir, "--out", out])
+    res = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert res["status"] == "success" and res["n_samples"] == len(months) - 12
+    doc = json.loads(open([os.path.join(out, "prediction_words", f) for f in
+                           os.listdir(os.path.join(out, "prediction_words")) if f.endswith(".json")][0]).readline())
+    assert doc["status"] == "success" and doc["data_info"]["n_word_columns"] == 2
