@@ -72,3 +72,4 @@ def test_cli_word_forecast_from_score_files(spark, tmpdir_path, capsys):
     doc = json.loads(open([os.path.join(out, "prediction_words", f) for f in
                            os.listdir(os.path.join(out, "prediction_words")) if f.endswith(".json")][0]).readline())
     assert doc["status"] == "success" and doc["data_info"]["n_word_columns"] == 2
+    assert doc["data_info"]["source_month"] == "2024-07"          # next month's own word file

@@ -291,7 +291,10 @@ def word_forecast(matrix: DataFrame, next_vec: DataFrame, length: int = 12, min_
                               elasticNetParam=0.0).fit(design)
     pred = fitted.transform(design).withColumn("y_pred", F.col("prediction") * F.lit(yr) + F.lit(ylo))
     allm = met.regression_metrics(pred).first()
-    vec = {r["word"]: float(r["score"]) for r in next_vec.collect()}
+    vec_rows = next_vec.collect()                      # one row per vocabulary word
+    vec = {r["word"]: float(r["score"]) for r in vec_rows}
+    if vec_rows and "source_month" in vec_rows[0]:
+        rec["source_month"] = vec_rows[0]["source_month"]
     nxt = sq.next_window(m, feats, length).withColumn(
         "x_extra", _lit_array([vec.get(c[len("word_score_"):], 0.0) for c in word_cols]))
     out = fitted.transform(nxt.select(_design(nxt, len(feats), seq_stats, extra_stats).alias("features"))).first()
