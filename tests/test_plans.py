@@ -71,3 +71,20 @@ def test_hot_key_dedupe_and_top_n_are_exact(spark):
     assert d["hot"] == 0 and len(d) == 1 + (n - n // 3)
     top = it.top_n(df, ["keyword"], 5, [F.desc("view_count"), F.asc("seq_no")]).collect()
     assert [r["seq_no"] for r in sorted(top, key=lambda r: r["rank"])] == [6, 13, 20, 27, 34]
+
+
+def test_results_do_not_depend_on_aqe_or_partition_count(spark):
+    import __spark_entry__ as entry
+    from tools.oracle_check import rows_of
+    q = entry.queries()
+    names = ["vocabulary", "full_dataset_monthly", "items_top_n_month", "word_correlation_scores"]
+    base = {n: rows_of(q[n](spark, SF_SMALL).toPandas()) for n in names}
+    prev = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        for n in names:
+            assert rows_of(q[n](spark, SF_SMALL).toPandas()) == base[n], n
+    finally:
+        for k, v in prev.items():
+            spark.conf.set(k, v)
