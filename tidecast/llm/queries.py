@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_duplicates
+from .license_scan import COPYRIGHT_LINE, KNOWN, RIGHTS_RESERVED, SPELLINGS, known_licenses, scan_licenses
+from .url_rules import apply_url_rules
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,3 +35,58 @@ FROM n JOIN g ON n.t = g.t
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal up to A-Z case; the largest doc_id of a group stays."""
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
+
+
+#: The url rules (host, path, action).
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"),
+             ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+@query("op8_url_rules", """
+WITH r(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+                                       ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+u AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0
+                           THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+k AS (SELECT p.*, (SELECT max_by({'rule': r.host || r.path, 'verdict': r.verdict},
+                                 length(r.host) * 10000 + length(r.path))
+                   FROM r WHERE (p.host = r.host OR p.host LIKE '%.' || r.host)
+                            AND starts_with(p.path, r.path)) AS best FROM p)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM k
+""")
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return apply_url_rules(table(spark, sf_dir, "pages"), rules)
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _canonical_sql(c: str) -> str:
+    c = f"translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    c = f"regexp_replace({c}, {_sql_text(COPYRIGHT_LINE)}, ' ')"
+    c = f"regexp_replace({c}, {_sql_text(RIGHTS_RESERVED)}, ' ', 'g')"
+    for spelling, one in SPELLINGS:
+        c = f"replace({c}, {_sql_text(spelling)}, {_sql_text(one)})"
+    return f"trim(regexp_replace({c}, '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query("op10_license_scan", f"""
+WITH k AS (SELECT DISTINCT license, sha256({_canonical_sql('text')}) AS digest
+           FROM (VALUES {', '.join(f'({_sql_text(a)}, {_sql_text(b)})' for a, b in KNOWN)}) v(license, text)),
+l AS (SELECT doc_id, unnest(list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r'),
+                            lambda x: {_canonical_sql('x')})) AS c,
+             generate_subscripts(regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r'), 1) AS line_no
+      FROM documents),
+u AS (SELECT doc_id, line_no, c FROM l WHERE c <> ''
+      UNION ALL
+      SELECT doc_id, 0, string_agg(c, ' ' ORDER BY line_no) FROM l WHERE c <> '' GROUP BY doc_id)
+SELECT doc_id, CASE WHEN line_no = 0 THEN 'document' ELSE 'line' END AS unit, line_no::INTEGER AS line_no, license,
+       k.digest AS digest
+FROM u JOIN k ON sha256(u.c) = k.digest
+""")
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"), known_licenses(spark))
