@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_duplicates
 from .license_scan import COPYRIGHT_LINE, KNOWN, RIGHTS_RESERVED, SPELLINGS, known_licenses, scan_licenses
+from .packing import pack
 from .url_rules import apply_url_rules
 
+TOKENIZER = "word_bpe_49k.json"
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -90,3 +93,13 @@ FROM u JOIN k ON sha256(u.c) = k.digest
 """)
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"), known_licenses(spark))
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op1_packing")
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2, size=4096)
