@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import language_id
+from .common import fold, table
 from .exact_dedup import exact_duplicates
 from .license_scan import COPYRIGHT_LINE, KNOWN, RIGHTS_RESERVED, SPELLINGS, known_licenses, scan_licenses
 from .packing import pack
@@ -103,3 +104,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 @query("op1_packing")
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2, size=4096)
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    training = language_id.fit(docs, fold(F.col("doc_id"), 4) != 2)
+    return (language_id.identify(docs, training)
+            .select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score"))
