@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id
+from . import language_id, toxicity, wordpiece_counts
 from .common import fold, table
 from .exact_dedup import exact_duplicates
 from .license_scan import COPYRIGHT_LINE, KNOWN, RIGHTS_RESERVED, SPELLINGS, known_licenses, scan_licenses
@@ -112,3 +112,18 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     training = language_id.fit(docs, fold(F.col("doc_id"), 4) != 2)
     return (language_id.identify(docs, training)
             .select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score"))
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = wordpiece_counts.vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    return wordpiece_counts.count_tokens(table(spark, sf_dir, "documents"), pieces)
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 3) != 1)
+    return toxicity.score(docs, model).select(
+        "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
