@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, toxicity, wordpiece_counts
+from . import language_id, rule_ensemble, toxicity, wordpiece_counts
 from .common import fold, table
 from .exact_dedup import exact_duplicates
 from .license_scan import COPYRIGHT_LINE, KNOWN, RIGHTS_RESERVED, SPELLINGS, known_licenses, scan_licenses
 from .packing import pack
+from .spaced_seeds import MASKS, REACH, SHARE, decontaminate
 from .url_rules import apply_url_rules
 
 TOKENIZER = "word_bpe_49k.json"
@@ -127,3 +128,39 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select(
         "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+@query("op9_rule_ensemble")
+def op9_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = rule_ensemble.fit(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
+    return rule_ensemble.score(docs, rules).select(
+        "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def _seeds_sql(source: str, keep: str) -> str:
+    span = max(map(len, MASKS))
+    keys = ", ".join("[%s]" % ", ".join(f"w[p + {k}]" for k, c in enumerate(m) if c == "1") for m in MASKS)
+    return (f"SELECT {keep}, p - 1 AS pos, unnest([{keys}]) AS key, unnest(range({len(MASKS)})) AS mask FROM "
+            f"(SELECT {keep}, w, unnest(range(1, len(w) - {span} + 2)) AS p FROM {source} WHERE len(w) >= {span})")
+
+
+@query("op7_decontaminate", fr"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w
+           FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w
+      FROM benchmark),
+ds AS ({_seeds_sql('d', 'doc_id')}),
+bs AS ({_seeds_sql('b', 'item_id')}),
+h AS (SELECT ds.doc_id, bs.item_id, ds.pos AS word, bs.pos AS item_word FROM ds JOIN bs ON ds.key = bs.key AND ds.mask = bs.mask),
+c AS (SELECT h.doc_id, h.item_id, h.word, greatest(h.item_word - {REACH}, 0) AS f,
+             least(h.item_word + {max(map(len, MASKS)) + REACH}, len(b.w)) AS l, h.word - h.item_word AS s, d.w AS dw, b.w AS bw
+      FROM h JOIN d ON h.doc_id = d.doc_id JOIN b ON h.item_id = b.item_id),
+v AS (SELECT doc_id, item_id, word, l - f AS compared,
+             len(list_filter(range(f, l), lambda k: k + s >= 0 AND dw[(k + s + 1)::BIGINT] = bw[(k + 1)::BIGINT])) AS equal FROM c)
+SELECT doc_id, item_id, min(word)::BIGINT AS first_word, count(*) AS n_hits, max(equal)::BIGINT AS n_equal
+FROM v WHERE equal >= {SHARE} * compared GROUP BY ALL
+""")
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
