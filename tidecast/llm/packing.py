@@ -38,35 +38,151 @@ from .common import id_and_text, materialise, parts_for
 
 GROUPS = 256        # hash groups of documents
 HELD_BACK = 16      # groups whose ids are kept, so that they can be cut anywhere
-CACHED_WORDS = 300_000
+CACHED_WORDS = 3_000_000
+LATIN_END = "\u0250"         # letters below fold alike in Python and in the tokenizer
 ROWS_PER_BUCKET = 50_000
 
 
 # --- tokens ---------------------------------------------------------------
 
+BLANK, LINE_END = 32, 10
+
+
 class WordIds:
-    """Little-endian 32-bit ids of texts.  White space never joins tokens of
-    this tokenizer, so ids of blank-separated words are found once and reused."""
+    """Token ids of texts, found once per blank-separated word.
+
+    White space never joins tokens of this tokenizer, so a text's ids are those of
+    its words in turn.  Words are named by a 64-bit hash of their bytes (and
+    their length), computed for all words of a batch at once; hashes are kept
+    sorted, next to where a word's ids lie in one long array."""
 
-    def __init__(self, tokenizer_path: str):
+    def __init__(self, tokenizer_path: str, seed: int = 20_011):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.known: dict[str, bytes] = {}
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split) - self.known.keys())
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = list(set().union(*split))
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for word, enc in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[word] = np.asarray(enc.ids, dtype="<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        vocabulary = self.tokenizer.get_vocab()
+        self.word_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.word_end[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,;:!?"}
+        self.marks = {m: ids[0] for m, ids in self.marks.items() if len(ids) == 1}
+        self.values = np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+        self.base = 0x9E3779B97F4A7C15
+        self.inverse = pow(self.base, -1, 1 << 64)
+        self.power = self.unpower = np.ones(1, dtype=np.uint64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.empty(0, dtype=np.uint64)
+        self.first = np.empty(0, dtype=np.int64)
+        self.count = np.empty(0, dtype=np.int64)
+        self.ids = np.empty(0, dtype="<u4")
+
+    def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if len(self.power) <= len(data):
+            def powers(base):
+                steps = np.full(2 * len(data) + 1, base, dtype=np.uint64)
+                steps[0] = 1
+                return np.multiply.accumulate(steps)
+            self.power, self.unpower = powers(self.base), powers(self.inverse)
+        total = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(self.values[data] * self.power[:len(data)], out=total[1:])
+        h = (total[ends] - total[starts]) * self.unpower[starts] + (ends - starts).astype(np.uint64)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(29))
+
+    def encoded(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word.  Words of letters alone go through the tokenizer as
+        one text: each is one token run, whose last id is a word-end id."""
+        out: list = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if w.isalpha()]
+        runs = [plain[at:at + 2000] for at in range(0, len(plain), 2000)]
+        texts = [" ".join([words[i] for i in run]) for run in runs]
+        for run, enc in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.asarray(enc.ids, dtype="<u4")
+            ends = np.flatnonzero(self.word_end[ids]) + 1
+            if len(ends) == len(run):
+                for i, a, b in zip(run, [0, *ends.tolist()], ends.tolist()):
+                    out[i] = ids[a:b]
+        alone = [i for i, got in enumerate(out) if got is None]
+        for i, enc in zip(alone, self.tokenizer.encode_batch_fast([words[i] for i in alone], add_special_tokens=False)):
+            out[i] = np.asarray(enc.ids, dtype="<u4")
+        return out
+
+    def insert(self, keys: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+        """Add words that aren't known, in any order."""
+        order = np.argsort(keys)
+        first = len(self.ids) + np.cumsum(count) - count
+        self.ids = np.concatenate([self.ids, ids])
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.first, self.count = (np.insert(old, at, new[order]) for old, new in (
+            (self.keys, keys), (self.first, first), (self.count, count)))
+
+    def names(self, words: list[str]) -> np.ndarray:
+        """Hashes of words."""
+        raw = [w.encode() for w in words]
+        lengths = np.array([len(w) for w in raw], dtype=np.int64)
+        ends = np.cumsum(lengths)
+        return self.hashes(np.frombuffer(b"".join(raw), dtype=np.uint8), ends - lengths, ends)
+
+    def ids_at(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words in these rows, in turn; where each word's ids end)."""
+        count = self.count[rows]
+        upto = np.cumsum(count)
+        total = int(upto[-1]) if len(upto) else 0
+        return self.ids[np.repeat(self.first[rows] - (upto - count), count) + np.arange(total)], upto
+
+    def learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Add new words.  Case is folded and letters never join with marks: a word of
+        Latin letters, with or without one closing mark, is its lower-case letters' ids and the mark's."""
+        marks, low = self.marks, []
+        for w in words:
+            letters = w[:-1] if w[-1] in marks else w
+            low.append(letters.lower() if letters.isalpha() and (letters.isascii() or max(letters) < LATIN_END) else w)
+        bare = list(set(low))
+        names = self.names(bare)
+        new = np.flatnonzero(~self.has(names))
+        got = self.encoded([bare[i] for i in new])
+        self.insert(names[new], np.array([len(g) for g in got], dtype=np.int64), np.concatenate(got) if got else self.ids[:0])
+        built = np.flatnonzero(np.array([a != b for a, b in zip(words, low)], dtype=bool))
+        if not len(built):
+            return
+        ids, upto = self.ids_at(np.searchsorted(self.keys, self.names([low[i] for i in built])))
+        mark = np.array([marks.get(words[i][-1], 0) for i in built], dtype="<u4")
+        has_mark = np.array([words[i][-1] in marks for i in built], dtype=bool)
+        self.insert(keys[built], np.diff(upto, prepend=0) + has_mark, np.insert(ids, upto[has_mark], mark[has_mark]))
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), dtype=bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
+
+    def of(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in turn, where each text's ids end); a null text has none."""
+        text = text.cast(pa.large_string())
+        bounds = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset:text.offset + len(text) + 1]
+        raw = text.buffers()[2]
+        data = np.frombuffer(raw, dtype=np.uint8)[bounds[0]:bounds[-1]] if raw is not None else np.empty(0, np.uint8)
+        bounds = bounds - bounds[0]
+        solid = np.zeros(len(data) + 2, dtype=bool)          # with a blank before and after
+        solid[1:-1] = (data != BLANK) & (data != LINE_END)
+        edge = np.zeros(len(data) + 1, dtype=bool)
+        edge[bounds] = True
+        starts = np.flatnonzero(solid[1:-1] & (edge[:-1] | ~solid[:-2]))
+        ends = np.flatnonzero(solid[1:-1] & (edge[1:] | ~solid[2:])) + 1
+        if not len(starts):
+            return np.empty(0, dtype="<u4"), np.zeros(len(bounds) - 1, dtype=np.int64)
+        keys, sample, word = np.unique(self.hashes(data, starts, ends), return_index=True, return_inverse=True)
+        new = np.flatnonzero(~self.has(keys))
+        if len(self.keys) + 2 * len(new) > CACHED_WORDS:     # start anew with the words of these texts
+            self.clear()
+            new = np.arange(len(keys))
+        if len(new):
+            self.learn(keys[new], [bytes(data[a:b]).decode() for a, b in zip(starts[sample[new]], ends[sample[new]])])
+        ids, upto = self.ids_at(np.searchsorted(self.keys, keys)[word])
+        nth = np.searchsorted(starts, bounds[1:])            # words before each text's end
+        return ids, np.concatenate([[0], upto])[nth]
 
 
 _WORD_IDS: dict[str, WordIds] = {}
@@ -96,14 +212,14 @@ def _tokenise(tokenizer_path: str, end_id: int, size: int):
         from zlib import crc32
         ids_of = _WORD_IDS.get(tokenizer_path) or _WORD_IDS.setdefault(tokenizer_path, WordIds(tokenizer_path))
         for whole in batches:
-            for batch in slices_by_size(whole, "text"):
-                rows = []
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                for doc_id, grp, ids in zip(batch.column("doc_id").to_pylist(), batch.column("grp").to_pylist(), ids_of.of(texts)):
-                    ids += end
-                    tokens = len(ids) // 4
+            for batch in slices_by_size(whole, "text", 3_000_000):
+                rows, begin = [], 0
+                ids, upto = ids_of.of(batch.column("text"))
+                for doc_id, grp, stop in zip(batch.column("doc_id").to_pylist(), batch.column("grp").to_pylist(), upto.tolist()):
+                    own = ids[begin:stop].tobytes() + end
+                    begin, tokens = stop, len(own) // 4
                     for at in range(0, tokens, size):
-                        piece = ids[4 * at:4 * (at + size)]
+                        piece = own[4 * at:4 * (at + size)]
                         rows.append((doc_id, at, len(piece) // 4, crc32(piece), tokens, grp, piece if grp < HELD_BACK else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECES)] if rows
                                                  else [pa.array([], f.type) for f in PIECES], schema=PIECES)
