@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, materialise, parts_for
+from .word_hashes import ByteHasher, text_bytes, word_bounds
 
 GROUPS = 256        # hash groups of documents
 HELD_BACK = 16      # groups whose ids are kept, so that they can be cut anywhere
@@ -56,7 +57,7 @@ class WordIds:
     their length), computed for all words of a batch at once; hashes are kept
     sorted, next to where a word's ids lie in one long array."""
 
-    def __init__(self, tokenizer_path: str, seed: int = 20_011):
+    def __init__(self, tokenizer_path: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -66,10 +67,7 @@ class WordIds:
         self.word_end[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,;:!?"}
         self.marks = {m: ids[0] for m, ids in self.marks.items() if len(ids) == 1}
-        self.values = np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-        self.base = 0x9E3779B97F4A7C15
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.power = self.unpower = np.ones(1, dtype=np.uint64)
+        self.hasher = ByteHasher()
         self.clear()
 
     def clear(self) -> None:
@@ -78,20 +76,6 @@ class WordIds:
         self.count = np.empty(0, dtype=np.int64)
         self.ids = np.empty(0, dtype="<u4")
 
-    def hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if len(self.power) <= len(data):
-            def powers(base):
-                steps = np.full(2 * len(data) + 1, base, dtype=np.uint64)
-                steps[0] = 1
-                return np.multiply.accumulate(steps)
-            self.power, self.unpower = powers(self.base), powers(self.inverse)
-        total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(self.values[data] * self.power[:len(data)], out=total[1:])
-        h = (total[ends] - total[starts]) * self.unpower[starts] + (ends - starts).astype(np.uint64)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        return h ^ (h >> np.uint64(29))
-
     def encoded(self, words: list[str]) -> list[np.ndarray]:
         """Ids of each word.  Words of letters alone go through the tokenizer as
         one text: each is one token run, whose last id is a word-end id."""
@@ -124,7 +108,7 @@ class WordIds:
         raw = [w.encode() for w in words]
         lengths = np.array([len(w) for w in raw], dtype=np.int64)
         ends = np.cumsum(lengths)
-        return self.hashes(np.frombuffer(b"".join(raw), dtype=np.uint8), ends - lengths, ends)
+        return self.hasher.words(np.frombuffer(b"".join(raw), dtype=np.uint8), ends - lengths, ends)
 
     def ids_at(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the words in these rows, in turn; where each word's ids end)."""
@@ -160,20 +144,11 @@ class WordIds:
 
     def of(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, where each text's ids end); a null text has none."""
-        text = text.cast(pa.large_string())
-        bounds = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset:text.offset + len(text) + 1]
-        raw = text.buffers()[2]
-        data = np.frombuffer(raw, dtype=np.uint8)[bounds[0]:bounds[-1]] if raw is not None else np.empty(0, np.uint8)
-        bounds = bounds - bounds[0]
-        solid = np.zeros(len(data) + 2, dtype=bool)          # with a blank before and after
-        solid[1:-1] = (data != BLANK) & (data != LINE_END)
-        edge = np.zeros(len(data) + 1, dtype=bool)
-        edge[bounds] = True
-        starts = np.flatnonzero(solid[1:-1] & (edge[:-1] | ~solid[:-2]))
-        ends = np.flatnonzero(solid[1:-1] & (edge[1:] | ~solid[2:])) + 1
+        data, bounds = text_bytes(text)
+        starts, ends = word_bounds((data != BLANK) & (data != LINE_END), bounds)
         if not len(starts):
             return np.empty(0, dtype="<u4"), np.zeros(len(bounds) - 1, dtype=np.int64)
-        keys, sample, word = np.unique(self.hashes(data, starts, ends), return_index=True, return_inverse=True)
+        keys, sample, word = np.unique(self.hasher.words(data, starts, ends), return_index=True, return_inverse=True)
         new = np.flatnonzero(~self.has(keys))
         if len(self.keys) + 2 * len(new) > CACHED_WORDS:     # start anew with the words of these texts
             self.clear()
