@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import language_id, rule_ensemble, toxicity, wordpiece_counts
 from .common import fold, table
 from .exact_dedup import exact_duplicates
+from .jaccard_join import jaccard_components
 from .license_scan import COPYRIGHT_LINE, KNOWN, RIGHTS_RESERVED, SPELLINGS, known_licenses, scan_licenses
 from .packing import pack
 from .spaced_seeds import MASKS, REACH, SHARE, decontaminate
@@ -164,3 +165,8 @@ FROM v WHERE equal >= {SHARE} * compared GROUP BY ALL
 """)
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_jaccard_join")
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), threshold_percent=90)
