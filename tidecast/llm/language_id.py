@@ -218,3 +218,20 @@ def _predict(training: dict[str, str]):
 def identify(docs: DataFrame, training: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, lang_pred, score."""
     return id_and_text(docs, id_col, text_col).mapInArrow(_predict(training), "doc_id long, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, training: dict[str, str], text_col: str = "text", min_score: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` that have a language (and at least ``min_score``), all
+    columns; rows aren't shuffled or joined."""
+    key = hash(tuple(sorted(training.items())))
+
+    def run(batches):
+        parser = _PARSERS.get(key)
+        if parser is None:
+            _PARSERS.clear()
+            parser = _PARSERS[key] = CrossParser(training)
+        for whole in batches:
+            for batch in slices_by_size(whole, text_col):
+                langs, score = decide(parser.langs, *parser.phrases([t or "" for t in batch.column(text_col).to_pylist()]))
+                yield batch.filter(pa.array([lang != UNKNOWN and s >= min_score for lang, s in zip(langs, score)], pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)
