@@ -50,6 +50,7 @@ from .word_hashes import ByteHasher, mix, text_bytes, word_bounds
 
 HEAVY_SHARE = 1000            # a shingle of more than one document in so many comes last in the order
 MOST_SHINGLES = 4_000_000     # of a region that one task joins
+SHINGLES_PER_RUN = 2_000_000  # counted together when frequent ones are looked for
 BROADCAST_NODES = 1_000_000
 PIVOTS = 8
 
@@ -79,17 +80,27 @@ def shingle_sets(text: pa.Array, hasher: ByteHasher) -> list[np.ndarray]:
 
 
 def _heavy_counts(batches):
-    """(shingle, documents) of shingles frequent in a run of documents: whatever
-    is frequent in the whole table is frequent in some run."""
-    hasher = ByteHasher()
+    """(shingle, documents) of shingles frequent in a run of documents.  A shingle frequent in the
+    whole table is so in some run; the order only has to be one order, so missing one costs time, not results."""
+    hasher, held, total = ByteHasher(), [], 0
     schema = pa.schema([("shingle", pa.int64()), ("n", pa.int64())])
+
+    def counted():
+        shingle, n = np.unique(np.concatenate(held), return_counts=True)
+        often = n >= max(3, len(held) // HEAVY_SHARE)
+        return pa.RecordBatch.from_arrays([pa.array(shingle[often].view(np.int64)), pa.array(n[often])], schema=schema)
+
     for whole in batches:
-        for batch in slices_by_size(whole, "text", 8_000_000):
-            sets = [s for s in shingle_sets(batch.column("text"), hasher) if len(s)]
-            if sets:
-                shingle, n = np.unique(np.concatenate(sets), return_counts=True)
-                often = n >= max(3, len(sets) // HEAVY_SHARE)
-                yield pa.RecordBatch.from_arrays([pa.array(shingle[often].view(np.int64)), pa.array(n[often])], schema=schema)
+        for batch in slices_by_size(whole, "text"):
+            for s in shingle_sets(batch.column("text"), hasher):
+                if len(s):
+                    held.append(s)
+                    total += len(s)
+            if total >= SHINGLES_PER_RUN:
+                yield counted()
+                held, total = [], 0
+    if held:
+        yield counted()
 
 
 def heavy_shingles(texts: DataFrame, documents: int) -> np.ndarray:
@@ -411,7 +422,7 @@ def large_region_edges(sets: DataFrame, numerator: int, most_shingles: int) -> D
                         .select("region", "rep", "n", "shingles", "pivot", "pivot_n", "pivot_shingles")
                         .mapInPandas(_pivot_links(numerator), "region long, rep long, pivot long"), "jaccard-pivot-links")
     masks = (links.join(chosen.select("region", F.col("rep").alias("pivot"), "bit").distinct(), ["region", "pivot"])
-             .groupBy("region", "rep").agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("bit"))).alias("mask")))
+             .groupBy("region", "rep").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")))
     largest = (masks.groupBy("region", "mask").agg(F.count(F.lit(1)).alias("n"))
                .groupBy("region").applyInPandas(_largest, "region long, mask long"))
     settled = masks.join(largest.withColumnRenamed("mask", "best"), "region").where("mask & best <> 0").select("region", "rep", F.lit(0).alias("known"))

@@ -50,7 +50,7 @@ class ByteHasher:
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if len(self.power) <= len(data):
             def powers(base):
-                steps = np.full(2 * len(data) + 1, base, dtype=np.uint64)
+                steps = np.full(len(data) + len(data) // 8 + 1, base, dtype=np.uint64)
                 steps[0] = 1
                 return np.multiply.accumulate(steps)
             self.power, self.unpower = powers(self.base), powers(self.inverse)
