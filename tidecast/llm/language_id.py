@@ -95,16 +95,20 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 def parse_table(codes: np.ndarray, alphabet: int) -> np.ndarray:
     """Dense walk table: entry (state, code) is the next state's row offset;
-    where no longer match exists, the match restarts and the top bit is set."""
+    where no longer match exists, the match restarts and the top bit is set.
+    A letter that the training text lacks is a phrase of its own: it leads to
+    a state from which nothing matches."""
     go = suffix_automaton(codes.tolist())
-    first = np.zeros(alphabet, dtype=np.int32)
+    nowhere = len(go)
+    first = np.full(alphabet, nowhere * alphabet, dtype=np.int32)
     for c, s in go[0].items():
         first[c] = s * alphabet
-    table = np.tile(first | MISS, (len(go), 1))
+    table = np.tile(first | MISS, (len(go) + 1, 1))
+    table[0] = first
     for state, nexts in enumerate(go):
         for c, s in nexts.items():
             table[state, c] = s * alphabet
-    table[:, PAD] = np.arange(len(go), dtype=np.int32) * alphabet
+    table[:, PAD] = np.arange(len(go) + 1, dtype=np.int32) * alphabet
     return table.reshape(-1)
 
 
