@@ -41,7 +41,7 @@ GROUPS = 256        # hash groups of documents
 HELD_BACK = 16      # groups whose ids are kept, so that they can be cut anywhere
 CACHED_WORDS = 3_000_000
 LATIN_END = "\u0250"         # letters below fold alike in Python and in the tokenizer
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 5_000
 
 
 # --- tokens ---------------------------------------------------------------
