@@ -9,7 +9,8 @@ Jaccard distance is a metric; two documents link when theirs is at most
    n - ceil(threshold * n) of a set's n shingles, so replicating a set to the
    regions of its first n - ceil(threshold * n) + 1 pivots makes
    every linked pair meet in the region of its first common pivot.
-2. Inside a region, distances to fixed pivots (the empty set: the set's size; the hash
+2. A set stays in a region if the region holds a set of a size to link with.
+   Inside, distances to fixed pivots (the empty set: the set's size; the hash
    classes of shingles: counts per class) bound the distance of two sets by the
    triangle inequality.  Pairs within all bounds join their sets into one
    candidate region; a spanning forest is kept, not the pairs.
@@ -40,7 +41,7 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, materialise, parts_for
@@ -454,10 +455,14 @@ def jaccard_components(docs: DataFrame, threshold_percent: int = 90, id_col: str
     classes = materialise(described.where("doc_id is not null and n > 0").groupBy("print")
                           .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("pivots").alias("pivots"),
                                F.first("sketch").alias("sketch")), "jaccard-classes")
-    met = classes.select("rep", "print", "n", F.posexplode("pivots").alias("pos", "pivot"))
-    often = met.groupBy("pivot").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("pivot")
-    shared = met.join(often, "pivot", "left_semi").join(classes.select("print", "sketch"), "print")
-    pairs = materialise(shared.select("pivot", "rep", "n", F.col("pos").cast("long").alias("pos"), "sketch")
+    # in order of size, a set's nearest neighbours tell whether any set of its region is of a size to link with
+    by_size = Window.partitionBy("pivot").orderBy("n")
+    met = (classes.select("rep", "n", F.posexplode("pivots").alias("pos", "pivot"))
+           .withColumn("near", (100 * F.lag("n").over(by_size) >= threshold_percent * F.col("n"))
+                       | (100 * F.col("n") >= threshold_percent * F.lead("n").over(by_size)))
+           .where("near").drop("near"))
+    sketches = classes.select("rep", "n", "sketch")          # (rep, n) is a class, but for ids with several texts: more candidates then
+    pairs = materialise(met.join(sketches, ["rep", "n"]).select("pivot", "rep", "n", F.col("pos").cast("long").alias("pos"), "sketch")
                         .repartition("pivot").sortWithinPartitions("pivot", "n", "rep")
                         .mapInArrow(_candidates(threshold_percent), "a long, b long"), "jaccard-candidates")
     regions = connected_components(pairs).select(F.col("node").alias("rep"), F.col("component").alias("region"))
