@@ -50,7 +50,7 @@ def test_cli_items_from_dump(spark, tmpdir_path, capsys):
     _write(dump, "\n".join(json.dumps(r) for r in recs) + "\nnot json\n")
     main(["items", "--dump", dump, "--out", os.path.join(tmpdir_path, "out")])
     res = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
-    assert res == {"n_collected": 2, "n_unique": 1}      # 'c' has no date; a and b share a URL
+    assert res == {"n_collected": 2, "n_unique": 1, "quarantined_lines": 1}      # 'c' has no date; a and b share a URL
 
 
 def test_cli_word_forecast_from_score_files(spark, tmpdir_path, capsys):

@@ -4,6 +4,7 @@ import json
 import os
 
 from pyspark.ml.regression import LinearRegressionModel
+import pytest
 from pyspark.sql import functions as F
 
 from tidecast.params import ForecastParams
@@ -59,9 +60,13 @@ def test_item_dump_and_sinks(spark, tmpdir_path):
     d = tmpdir_path
     dump = os.path.join(d, "dump.jsonl")
     _write(dump, json.dumps({"id": "v1", "title": "t", "upload_date": "20240105", "view_count": None,
-                             "webpage_url": "", "uploader": "", "channel": "ch"}) + "\n\nnot json\n")
-    raw = files.load_item_dump(spark, dump)
-    assert raw.count() == 1
+                             "webpage_url": "", "uploader": "", "channel": "ch"}) + "\n\nnot json\n"
+           + "".join(json.dumps({"id": f"v{i}", "view_count": v}) + "\n" for i, v in enumerate(["7", 5.0, "many"], 2)))
+    raw, bad = files.load_item_dump(spark, dump)
+    assert [r["line"] for r in bad.collect()] == ["not json"]
+    assert [(r["id"], r["view_count"]) for r in raw.orderBy("seq_no").collect()] == [
+        ("v1", None), ("v2", 7), ("v3", 5), ("v4", None)]
+    raw = raw.where("id = 'v1'")
     from tidecast.operators.items import normalise_record
     rec = normalise_record(raw, keep=["id"]).first()
     assert rec["url"] == "watch?v=v1" and rec["channel_title"] == "ch" and rec["view_count"] == 0
@@ -132,3 +137,42 @@ def test_stream_upserts_across_micro_batches(spark, tmpdir_path):
     from tidecast.streaming import period_stream as ps
     out = ps.run_available(spark, flat, "events-*.parquet", ev.schema, "ts", [], "value", files_per_batch=1)
     assert out.count() == 1 and out.first()["n_events"] == len(ids)
+
+
+def test_stream_result_is_the_same_for_any_batches(spark, tmpdir_path):
+    """1, 4 and 40 files in shuffled name order, one file a batch: nothing is late, nothing is lost."""
+    import glob
+    import random
+    import shutil
+    from tidecast.streaming import period_stream as ps
+    orders = table(spark, SF_SMALL, "orders")
+    want = {(str(r["d"]), r["n"]) for r in orders.groupBy(F.to_date("o_orderdate").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    for n in (1, 4, 40):
+        src, flat = os.path.join(tmpdir_path, f"src{n}"), os.path.join(tmpdir_path, f"flat{n}")
+        orders.repartitionByRange(n, "o_orderdate").write.parquet(src)
+        files_ = sorted(glob.glob(os.path.join(src, "part-*.parquet")))
+        random.Random(n).shuffle(files_)
+        os.makedirs(flat)
+        for i, f in enumerate(files_):
+            shutil.copy(f, os.path.join(flat, f"orders-{i:03d}.parquet"))
+        out_path = os.path.join(tmpdir_path, f"out{n}")
+        out = ps.run_available(spark, flat, "orders-*.parquet", orders.schema, "o_orderdate", [], "o_totalprice",
+                               files_per_batch=max(1, n // 10), out_path=out_path, distinct_col="o_custkey")
+        assert {(str(r["period"]), r["n_events"]) for r in out.collect()} == want
+        assert out.where("approx_distinct > n_events or approx_distinct < 1").count() == 0
+        ps.compact(spark, out_path, os.path.join(tmpdir_path, f"compact{n}"), [])
+        again = ps.result(spark, os.path.join(tmpdir_path, f"compact{n}"), [])
+        assert {(str(r["period"]), r["n_events"]) for r in again.collect()} == want
+
+
+def test_orders_csv_by_name(spark, tmpdir_path):
+    names = [f.name for f in files.ORDER_SCHEMA][::-1] + ["note"]
+    row = {"order_id": "1", "order_date": "2024-01-02", "order_total": "3.5", "quantity": "2", "customer_id_x": "77", "note": "extra"}
+    path = os.path.join(tmpdir_path, "orders.csv")
+    _write(path, ",".join(names) + "\n" + ",".join(row.get(n, "") for n in names) + "\n")
+    got = files.load_orders_csv(spark, path).first()
+    assert (got["quantity"], got["customer_id_x"], got["order_total"], got["year_month"]) == (2.0, "77", 3.5, "2024-01")
+    assert "note" not in got.asDict()
+    _write(path, "order_id,order_date\n1,2024-01-02\n")
+    with pytest.raises(ValueError, match="order_total"):
+        files.load_orders_csv(spark, path)

@@ -58,7 +58,6 @@ def main(argv=None) -> None:
     i.add_argument("--tables")
     i.add_argument("--per-month", type=int, default=10)
     i.add_argument("--year", type=int, help="dump mode: keep items of this year only")
-    i.add_argument("--cap", type=int, default=50, help="dump mode: records kept per keyword")
     i.add_argument("--out", required=True)
 
     a = ap.parse_args(argv)
@@ -83,13 +82,13 @@ def main(argv=None) -> None:
     else:
         if a.dump:
             from .operators.items import normalise_record
-            raw = files.load_item_dump(spark, a.dump)
+            raw, bad = files.load_item_dump(spark, a.dump)
             # collection order = order in the dump; keyword of the search, '' if absent.
             # normalise_record turns dates to ISO; the year filter reads 'yyyyMMdd'.
-            items = (normalise_record(raw, keep=[F.monotonically_increasing_id().alias("seq_no"),
-                                                 F.coalesce(F.col("keyword"), F.lit("")).alias("keyword")])
+            items = (normalise_record(raw, keep=["seq_no", F.coalesce(F.col("keyword"), F.lit("")).alias("keyword")])
                      .withColumn("upload_date", F.regexp_replace(F.substring("upload_date", 1, 10), "-", "")))
-            res = pipelines.run_collection(spark, items, a.out, mode="dump", year=a.year, cap=a.cap)
+            res = pipelines.run_collection(spark, items, a.out, mode="dump", year=a.year)
+            res["quarantined_lines"] = bad.count()
         else:
             res = pipelines.run_collection(spark, a.tables, a.out, a.per_month)
     print(json.dumps(res, default=str))

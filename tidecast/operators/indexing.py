@@ -11,7 +11,7 @@ rows and partitions even under AQE or a lost executor.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -34,3 +34,25 @@ def dense_index(keys: DataFrame, col: str, index_col: str = "idx") -> DataFrame:
     off = F.create_map(*[x for pid, o in offsets.items() for x in (F.lit(pid), F.lit(o))])
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
     return ranked.select(col, (off[F.col("_pid")] + local).cast("bigint").alias(index_col))
+
+
+def split_rank(df: DataFrame, keys: list[str], order: list[Column], rank_col: str = "rank") -> DataFrame:
+    """``row_number()`` over (keys, order) without one task per key.
+
+    Rows are range-partitioned by (keys, order) and written once with their
+    partition number; a row's rank is its place inside (keys, partition)
+    plus the rows of the key in earlier partitions, one count per (keys, partition).
+    """
+    spread = df.repartitionByRange(*[F.col(k) for k in keys], *order)
+    placed = materialise(spread.withColumn("_part", F.spark_partition_id()), "split-rank")
+    counts = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_n"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    b = before.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), "_before")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    hit = F.col("_part") == F.col("_p")
+    for c in same:
+        hit = hit & c
+    return (placed.withColumn("_within", within).join(b, hit)
+            .withColumn(rank_col, (F.col("_within") + F.col("_before")).cast("int"))
+            .select(*df.columns, rank_col))

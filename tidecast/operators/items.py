@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .indexing import split_rank
+
 ITEM_COLUMNS = ["keyword", "title", "upload_date", "view_count", "description", "url", "source",
                 "channel_title", "like_count", "comment_count", "duration"]
 
@@ -57,17 +59,15 @@ def top_per_month(items: DataFrame, n: int = 10, ts_col: str = "upload_ts") -> D
                  [F.desc("view_count"), F.asc("url"), F.asc("seq_no")])
 
 
-def year_filter_top(items: DataFrame, year: int | None = None, cap: int = 50) -> DataFrame:
-    """T7 + PF7: per keyword the first ``cap`` results in collection order (the
-    search cap comes first), then only non-empty ``yyyyMMdd`` dates of the
-    year, ranked by views (ties: collection order)."""
-    capped = top_n(items, ["keyword"], cap, [F.asc("seq_no")]).drop("rank")
-    it = capped.where((F.col("upload_date") != "") & F.col("upload_date").isNotNull())
+def year_filter_top(items: DataFrame, year: int | None = None) -> DataFrame:
+    """T7 + PF7: the items with a non-empty ``yyyyMMdd`` date (of ``year``),
+    ranked by views per keyword and year (ties: collection order).  The rank is
+    found in many tasks, so one keyword may hold any share of the rows."""
+    it = items.where((F.col("upload_date") != "") & F.col("upload_date").isNotNull())
     it = it.withColumn("year", F.substring("upload_date", 1, 4))
     if year is not None:
         it = it.where(F.col("upload_date").startswith(str(year)))
-    w = Window.partitionBy("keyword", "year").orderBy(F.desc("view_count"), F.asc("seq_no"))
-    return it.withColumn("rank", F.row_number().over(w))
+    return split_rank(it, ["keyword", "year"], [F.desc("view_count"), F.asc("seq_no")], "rank")
 
 
 def iso_upload_date(raw: Column) -> Column:

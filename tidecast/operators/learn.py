@@ -250,7 +250,7 @@ def forecast(full: DataFrame, p: ForecastParams, model: str = "gbt",
 
 RECORD_SCHEMA = ("freq string, model string, status string, n_samples long, MAE double, MSE double, "
                  "RMSE double, R2 double, MAPE double, holdout_MAE double, holdout_RMSE double, "
-                 "last_period string, last_value double, predicted_value double, change_percent double")
+                 "last_period string, last_value double, predicted_value double, change_percent double, error string")
 
 
 def record_frame(spark, records: list[dict]) -> DataFrame:

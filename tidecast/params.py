@@ -21,11 +21,11 @@ SEQUENCE_FEATURES = ["order_count", "total_sales", "avg_order_value", "total_qua
 EXTRA_PREFIXES = ("cat_", "seg_", "delivery_", "sentiment_", "payment_")
 TARGETS = ("total_sales", "order_count", "avg_order_value")
 MIN_ROWS_FOR_YOY = 13          # yoy growth only when there are more than 12 rows
-MIN_DATA_MONTHS = 12           # sufficiency gate of the word pipeline
+MIN_DATA_MONTHS = 6            # sufficiency gate of the word pipeline
+MIN_SAMPLES = 4                # sufficiency gate of the demand forecast
 MIN_WINDOWS_COMPARE = 10       # a grain with fewer windows is skipped in the comparison
 VALIDATION_SHARE = 0.2
 TOP_ITEMS_PER_MONTH = 10
-ITEM_SEARCH_CAP = 50
 
 
 @dataclass
@@ -37,7 +37,7 @@ class ForecastParams:
     sequence_length: int | None = None
     validation_share: float = VALIDATION_SHARE
     same_period_extras: bool = False   # True reproduces the reference's same-row extras
-    min_windows: int = 1
+    min_windows: int = MIN_SAMPLES
     max_iter: int = 50
     seed: int = 42
     series_keys: list[str] = field(default_factory=list)

@@ -25,7 +25,7 @@ from ..operators import words as wd
 from ..params import FREQS, MIN_DATA_MONTHS, MIN_WINDOWS_COMPARE, ForecastParams
 from ..session import materialise
 from ..sources import sinks
-from ..sources.tables import items_from_events, monthly_sales, order_facts, shared_word_lists
+from ..sources.tables import items_from_events, monthly_sales, order_facts, shared_word_scores
 
 _MODEL_CLASSES = {"gbt": GBTRegressionModel, "huber": LinearRegressionModel}
 
@@ -85,7 +85,7 @@ def run_comparison(spark: SparkSession, facts: DataFrame | str, freqs=FREQS,
             rec.pop("_model", None)
         except Exception as e:  # noqa: BLE001 - the reference keeps going per grain
             rec = {"freq": freq, "model": model, "status": "error", "n_samples": None}
-            rec["error"] = str(e)[:500]
+            rec["error"] = str(e)
         records.append(rec)
     frame = learn.record_frame(spark, records)
     ok = [r for r in records if r.get("status") == "success"]
@@ -127,7 +127,7 @@ def run_word_forecast(spark: SparkSession, scores: DataFrame | str, out_base: st
     -> sequences -> model -> next month.  A string is a driver-table folder."""
     if isinstance(scores, str):
         sf_dir = scores
-        scores = shared_word_lists(spark, sf_dir).select("month", "word", "score")
+        scores = shared_word_scores(spark, sf_dir).select("month", "word", "score")
         sales = monthly_sales(spark, sf_dir)
     if not check_new_data(scores, sales):
         rec = {"status": "insufficient_data", "freq": "monthly", "model": "words_linear"}
@@ -138,17 +138,17 @@ def run_word_forecast(spark: SparkSession, scores: DataFrame | str, out_base: st
 
 
 def run_collection(spark: SparkSession, items: DataFrame | str, out_base: str, per_month: int = 10,
-                   mode: str = "search", year: int | None = None, cap: int = 50) -> dict:
+                   mode: str = "search", year: int | None = None) -> dict:
     """Pipeline E: collected items -> ranking -> URL dedupe -> JSON/CSV.
 
     ``mode="search"``: top ``per_month`` by views per keyword x month (the
-    month-windowed search).  ``mode="dump"``: the first ``cap`` records per
-    keyword, only those with a date (of ``year`` if given), ranked by views.
+    month-windowed search).  ``mode="dump"``: all records
+    with a date (of ``year`` if given), ranked by views per keyword.
     ``items`` needs keyword, url, view_count, upload_ts / upload_date and the
     collection order ``seq_no``; a string is a driver-table folder."""
     items = items_from_events(spark, items) if isinstance(items, str) else items
     if mode == "dump":
-        ranked = it.year_filter_top(items, year, cap).drop("rank", "year")
+        ranked = it.year_filter_top(items, year).drop("rank", "year")
     else:
         ranked = it.top_per_month(items, per_month).drop("rank", "year", "month")
     unique = it.dedupe_first(ranked.drop("upload_ts"))

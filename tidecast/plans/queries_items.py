@@ -45,15 +45,14 @@ def items_top_n_month(spark, sf_dir):
 
 
 @register("items_year_filter", isql("""
-, capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY seq_no) AS c FROM items) x
-             WHERE c <= 50)
+
 SELECT keyword, substr(upload_date, 1, 4) AS year,
        CAST(row_number() OVER (PARTITION BY keyword, substr(upload_date, 1, 4) ORDER BY view_count DESC, seq_no)
             AS INTEGER) AS rank, url, view_count, seq_no, upload_date
-FROM capped WHERE upload_date <> '' AND upload_date IS NOT NULL AND starts_with(upload_date, '2024')"""))
+FROM items WHERE upload_date <> '' AND upload_date IS NOT NULL AND starts_with(upload_date, '2024')"""))
 def items_year_filter(spark, sf_dir):
-    """T7 + PF7: first 50 results per keyword, those of 2024, ranked by views."""
-    top = it.year_filter_top(items_from_events(spark, sf_dir), 2024, 50)
+    """T7 + PF7: all items of 2024, ranked by views per keyword."""
+    top = it.year_filter_top(items_from_events(spark, sf_dir), 2024)
     return comparable(top.select("keyword", "year", "rank", "url", "view_count", "seq_no", "upload_date"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators import learn
 from ..operators import words as wd
 from ..params import ForecastParams
-from ..sources.tables import monthly_sales, order_facts, shared_word_lists
+from ..sources.tables import monthly_sales, order_facts, shared_word_lists, shared_word_scores
 from .registry import comparable, register
 
 
@@ -35,8 +35,8 @@ register("forecast_huber")(_forecast("huber"))
 @register("forecast_words")
 def forecast_words(spark, sf_dir):
     """Pipeline C: word-score matrix + sales sequences -> next month's sales."""
-    words, sales = shared_word_lists(spark, sf_dir), monthly_sales(spark, sf_dir)
-    scores = words.select("month", "word", "score")
+    scores = shared_word_scores(spark, sf_dir).select("month", "word", "score")
+    sales = monthly_sales(spark, sf_dir)
     matrix = wd.word_score_matrix(sales, scores)
     rec = learn.word_forecast(matrix, wd.next_month_vector(scores, sales))
     return comparable(learn.record_frame(spark, [rec]))

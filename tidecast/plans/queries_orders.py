@@ -18,7 +18,7 @@ def _period_sql(freq):
 
 def _period_query(freq):
     def q(spark, sf_dir):
-        return comparable(agg.aggregate_periods(order_facts(spark, sf_dir), freq))
+        return comparable(agg.aggregate_periods(order_facts(spark, sf_dir, category=False, segment=False), freq))
     return q
 
 
@@ -66,7 +66,7 @@ def _pivot_sql(name):
 
 def _pivot_query(name):
     def q(spark, sf_dir):
-        return comparable(agg.pivot_table(order_facts(spark, sf_dir), name, "monthly"))
+        return comparable(agg.pivot_table(order_facts(spark, sf_dir, category=name == "category", segment=name == "segment"), name, "monthly"))
     return q
 
 
@@ -137,10 +137,12 @@ for _freq in ("weekly", "daily"):
 # --- SNK1 -> SRC1 round trip -------------------------------------------------------
 @register("orders_csv_roundtrip", _period_sql("monthly"))
 def orders_csv_roundtrip(spark, sf_dir):
-    """Order facts written as the reference's order CSV (SNK-style writer),
-    read back with the typed CSV source (SRC1), then aggregated monthly."""
+    """Order facts written as an order CSV with its columns reversed and one
+    more in front, read back by name with the typed CSV source (SRC1), then aggregated monthly."""
     from ..session import scratch_path
     from ..sources.files import load_orders_csv
     path = scratch_path(spark, "orders-csv")
-    order_facts(spark, sf_dir).write.mode("overwrite").option("header", True).csv(path)
+    facts = order_facts(spark, sf_dir)
+    facts = facts.select(F.lit("x").alias("warehouse"), *reversed(facts.columns))
+    facts.write.mode("overwrite").option("header", True).csv(path)
     return comparable(agg.aggregate_periods(load_orders_csv(spark, path), "monthly"))

@@ -10,7 +10,7 @@ from ..operators import metrics as met
 from ..operators import scaling as sc
 from ..operators import sequences as sq
 from ..operators import timeseries as ts
-from ..params import (MIN_WINDOWS_COMPARE, SEQUENCE_FEATURES, SEQUENCE_LENGTH_PRESETS,
+from ..params import (MIN_SAMPLES, MIN_WINDOWS_COMPARE, SEQUENCE_FEATURES, SEQUENCE_LENGTH_PRESETS,
                       VALIDATION_SHARE, WORD_LAGS)
 from ..sources.tables import monthly_sales, order_facts
 from .registry import comparable, register
@@ -20,7 +20,7 @@ FREQ_ORDER = ("daily", "weekly", "monthly")
 
 
 def periods(spark, sf_dir, freq="monthly") -> DataFrame:
-    return agg.aggregate_periods(order_facts(spark, sf_dir), freq)
+    return agg.aggregate_periods(order_facts(spark, sf_dir, category=False, segment=False), freq)
 
 
 def pt_sql(body: str, freq: str = "monthly", extra: str = "") -> str:
@@ -404,12 +404,12 @@ def data_profile(spark, sf_dir):
 
 @register("sufficiency_gate", with_facts(f"""
 SELECT CAST(count(DISTINCT strftime(order_date, '%Y-%m')) AS BIGINT) AS n_periods,
-       CASE WHEN count(DISTINCT strftime(order_date, '%Y-%m')) - {_L} >= 1 THEN 'success'
+       CASE WHEN count(DISTINCT strftime(order_date, '%Y-%m')) - {_L} >= {MIN_SAMPLES} THEN 'success'
             ELSE 'insufficient_data' END AS status
 FROM facts WHERE order_date IS NOT NULL"""))
 def sufficiency_gate(spark, sf_dir):
-    """PF12: a run needs at least one window (periods - L >= 1)."""
+    """PF12: a run needs at least MIN_SAMPLES windows (periods - L)."""
     p = periods(spark, sf_dir)
     n = p.agg(F.count(F.lit(1)).alias("n_periods"))
-    return n.withColumn("status", F.when(F.col("n_periods") - _L >= 1, F.lit("success"))
+    return n.withColumn("status", F.when(F.col("n_periods") - _L >= MIN_SAMPLES, F.lit("success"))
                         .otherwise(F.lit("insufficient_data")))

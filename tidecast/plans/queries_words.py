@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import explain as ex
 from ..operators import words as wd
-from ..sources.tables import monthly_sales, monthly_word_lists, shared_word_lists
+from ..params import MIN_DATA_MONTHS
+from ..session import materialise
+from ..sources.tables import monthly_sales, monthly_word_lists, monthly_word_scores, shared_word_lists, shared_word_scores
 from .registry import comparable, register
 from .sql_blocks import cast_wrap
 
@@ -20,13 +22,17 @@ pp AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, l_partkey, count(*) AS n
        FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
 tok AS (SELECT month, unnest(string_split(p_name, ' ')) AS word, n FROM pp JOIN part ON l_partkey = p_partkey),
 wc AS (SELECT month, word, sum(n) AS n_lines FROM tok WHERE word <> '' GROUP BY 1, 2),
-rk AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY n_lines DESC, word) AS pos FROM wc),
-wl AS (SELECT month, word, pos, n_lines / max(n_lines) OVER (PARTITION BY month) AS score FROM rk WHERE pos <= 8),
+wa AS (SELECT month, word, row_number() OVER (PARTITION BY month ORDER BY n_lines DESC, word) AS pos,
+              n_lines / max(n_lines) OVER (PARTITION BY month) AS score,
+              n_lines * (SELECT sum(n_lines) FROM wc) > sum(n_lines) OVER (PARTITION BY word)
+                * sum(n_lines) OVER (PARTITION BY month) AS present FROM wc),
+wl AS (SELECT month, word, pos, score FROM wa WHERE present),
 sales AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, sum(o_totalprice) AS sales
           FROM orders GROUP BY 1),
 sm AS (SELECT strftime(month, '%Y-%m') AS month_str, arg_min(sales, (month, sales)) AS sales FROM sales GROUP BY 1),
 tr AS (SELECT m.month, sm.sales FROM (SELECT DISTINCT month FROM wl) m JOIN sm ON m.month = sm.month_str),
 vocab AS (SELECT DISTINCT word FROM wl),
+vocab_all AS (SELECT DISTINCT word FROM wa),
 grid AS (SELECT v.word, tr.month, tr.sales,
                 CASE WHEN wl.word IS NULL THEN 0.0 ELSE 1.0 END AS x
          FROM vocab v CROSS JOIN tr LEFT JOIN wl ON wl.word = v.word AND wl.month = tr.month),
@@ -43,14 +49,20 @@ def wsql(body: str) -> str:
 
 
 def _inputs(spark, sf_dir):
-    return shared_word_lists(spark, sf_dir), monthly_sales(spark, sf_dir)
+    """Word lists (presence) and monthly sales, each written once: several branches of a plan read them."""
+    return shared_word_lists(spark, sf_dir), materialise(monthly_sales(spark, sf_dir), "month-sales")
 
 
-@register("word_lists", cast_wrap(wsql("SELECT month, word, CAST(pos AS INTEGER) AS pos, score FROM wl"),
+def _scored(spark, sf_dir):
+    """Word scores of all tokens and monthly sales."""
+    return shared_word_scores(spark, sf_dir), materialise(monthly_sales(spark, sf_dir), "month-sales")
+
+
+@register("word_lists", cast_wrap(wsql("SELECT month, word, CAST(pos AS INTEGER) AS pos, score, present FROM wa"),
                                   ["score"]))
 def word_lists(spark, sf_dir):
-    """SRC4 shape: (month, word) lists with their position and score."""
-    return comparable(monthly_word_lists(spark, sf_dir))
+    """SRC4 shape: every token of every month with its position, score and presence in the list."""
+    return comparable(monthly_word_scores(spark, sf_dir))
 
 
 @register("vocabulary", wsql("SELECT word, CAST(row_number() OVER (ORDER BY word) - 1 AS BIGINT) AS idx FROM vocab"))
@@ -62,36 +74,36 @@ def vocabulary(spark, sf_dir):
 SELECT DISTINCT wl.month, wl.word, v.idx FROM wl
 JOIN (SELECT word, CAST(row_number() OVER (ORDER BY word) - 1 AS BIGINT) AS idx FROM vocab) v USING (word)"""))
 def multi_hot_long(spark, sf_dir):
-    words = monthly_word_lists(spark, sf_dir)
+    words = shared_word_lists(spark, sf_dir)
     return wd.multi_hot_long(words, wd.vocabulary(words))
 
 
 def _matrix_sql():
     cols = ", ".join(
-        f"CAST(coalesce(max(CASE WHEN wl.word = '{w}' THEN wl.score END), 0) AS FLOAT) AS \"word_score_{w}\""
+        f"CAST(coalesce(max(CASE WHEN wa.word = '{w}' THEN wa.score END), 0) AS FLOAT) AS \"word_score_{w}\""
         for w in TEST_VOCABULARY)
     return wsql(f"""
 SELECT CAST(s.month AS VARCHAR) AS month, CAST(s.sales AS FLOAT) AS sales, {cols}
-FROM sales s LEFT JOIN wl ON wl.month = strftime(s.month, '%Y-%m')
+FROM sales s LEFT JOIN wa ON wa.month = strftime(s.month, '%Y-%m')
 GROUP BY s.month, s.sales""")
 
 
 @register("word_score_matrix", _matrix_sql())
 def word_score_matrix(spark, sf_dir):
-    words, sales = _inputs(spark, sf_dir)
+    words, sales = _scored(spark, sf_dir)
     return comparable(wd.word_score_matrix(sales, words.select("month", "word", "score")))
 
 
 @register("next_month_words", wsql("""
 , ls AS (SELECT max(strftime(month, '%Y-%m')) AS last_sale FROM sales),
 tg AS (SELECT strftime(CAST(strptime(last_sale || '-01', '%Y-%m-%d') AS DATE) + INTERVAL 1 MONTH, '%Y-%m') AS target FROM ls),
-ch AS (SELECT target, CASE WHEN EXISTS (SELECT 1 FROM wl WHERE month = target) THEN target
-                           ELSE (SELECT max(month) FROM wl) END AS chosen FROM tg)
+ch AS (SELECT target, CASE WHEN EXISTS (SELECT 1 FROM wa WHERE month = target) THEN target
+                           ELSE (SELECT max(month) FROM wa) END AS chosen FROM tg)
 SELECT ch.target AS target_month, ch.chosen AS source_month, v.word,
        CAST(coalesce(w.score, 0) AS FLOAT) AS score
-FROM vocab v CROSS JOIN ch LEFT JOIN wl w ON w.word = v.word AND w.month = ch.chosen"""))
+FROM vocab_all v CROSS JOIN ch LEFT JOIN wa w ON w.word = v.word AND w.month = ch.chosen"""))
 def next_month_words(spark, sf_dir):
-    words, sales = _inputs(spark, sf_dir)
+    words, sales = _scored(spark, sf_dir)
     return comparable(wd.next_month_vector(words, sales))
 
 
@@ -226,14 +238,14 @@ def explain_report_lines(spark, sf_dir):
 
 
 @register("coverage_info", wsql("""
-SELECT array_to_string(list_sort(list(DISTINCT wl.month)), '|') AS input_data_months,
+SELECT array_to_string(list_sort(list(DISTINCT wa.month)), '|') AS input_data_months,
        (SELECT array_to_string(list_sort(list(DISTINCT strftime(month, '%Y-%m'))), '|') FROM sales) AS sales_data_months,
        (SELECT count(*) FROM sales) AS total_sales_months,
-       CAST(count(DISTINCT wl.month) AS BIGINT) AS total_input_months
-FROM wl"""))
+       CAST(count(DISTINCT wa.month) AS BIGINT) AS total_input_months
+FROM wa"""))
 def coverage_info(spark, sf_dir):
     """Months present in the word data and in the sales data."""
-    words, sales = _inputs(spark, sf_dir)
+    words, sales = _scored(spark, sf_dir)
     info = wd.coverage_info(words, sales)
     return info.withColumns({"input_data_months": F.array_join("input_data_months", "|"),
                              "sales_data_months": F.array_join("sales_data_months", "|")})
@@ -241,12 +253,12 @@ def coverage_info(spark, sf_dir):
 
 def _word_seq_sql():
     cells = ", ".join(
-        f"coalesce(max(CASE WHEN wl.word = '{w}' THEN wl.score END), 0) AS \"word_score_{w}\""
+        f"coalesce(max(CASE WHEN wa.word = '{w}' THEN wa.score END), 0) AS \"word_score_{w}\""
         for w in TEST_VOCABULARY)
     cols = ", ".join(f'"word_score_{w}"' for w in TEST_VOCABULARY)
     return wsql(f"""
 , mx AS (SELECT s.month, strftime(s.month, '%Y-%m') AS period, s.sales, {cells}
-         FROM sales s LEFT JOIN wl ON wl.month = strftime(s.month, '%Y-%m') GROUP BY s.month, s.sales),
+         FROM sales s LEFT JOIN wa ON wa.month = strftime(s.month, '%Y-%m') GROUP BY s.month, s.sales),
 t AS (SELECT *, row_number() OVER (ORDER BY period) AS rn FROM mx),
 u AS (UNPIVOT (SELECT rn, {cols}, sales FROM t) ON {cols}, sales INTO NAME feature VALUE value)
 SELECT r.period, CAST(s.rn - r.rn + 13 AS INTEGER) AS step, u.feature, CAST(u.value AS FLOAT) AS value
@@ -258,7 +270,7 @@ WHERE r.rn > 12""")
 def word_sequences(spark, sf_dir):
     """12-month windows of (word scores ++ sales), long view (sales last)."""
     from ..operators import sequences as sq
-    words, sales = _inputs(spark, sf_dir)
+    words, sales = _scored(spark, sf_dir)
     m = wd.word_score_matrix(sales, words.select("month", "word", "score"))
     feats = sorted(c for c in m.columns if c.startswith("word_score_")) + ["sales"]
     m = m.withColumn("period", F.date_format("month", "yyyy-MM"))
@@ -267,15 +279,15 @@ def word_sequences(spark, sf_dir):
 
 
 @register("word_data_gate", wsql("""
-SELECT CAST((SELECT count(DISTINCT month) FROM wl) AS BIGINT) AS n_word_months,
+SELECT CAST((SELECT count(DISTINCT month) FROM wa) AS BIGINT) AS n_word_months,
        CAST((SELECT count(*) FROM sales) AS BIGINT) AS n_sales_months,
-       CASE WHEN greatest((SELECT count(DISTINCT month) FROM wl), (SELECT count(*) FROM sales)) >= 12
+       CASE WHEN greatest((SELECT count(DISTINCT month) FROM wa), (SELECT count(*) FROM sales)) >= 6
             THEN 'success' ELSE 'insufficient_data' END AS status"""))
 def word_data_gate(spark, sf_dir):
-    """PF12 of the word pipeline: enough months in either input (>= 12)."""
-    words, sales = _inputs(spark, sf_dir)
+    """PF12 of the word pipeline: enough months in either input (>= 6)."""
+    words, sales = _scored(spark, sf_dir)
     w = words.agg(F.countDistinct("month").cast("bigint").alias("n_word_months"))
     s = sales.agg(F.count(F.lit(1)).cast("bigint").alias("n_sales_months"))
     g = wd.with_scalars(w, s)
-    return g.withColumn("status", F.when(F.greatest("n_word_months", "n_sales_months") >= 12,
+    return g.withColumn("status", F.when(F.greatest("n_word_months", "n_sales_months") >= MIN_DATA_MONTHS,
                                          F.lit("success")).otherwise(F.lit("insufficient_data")))

@@ -41,8 +41,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints, written tables and stream state.
 
     A cluster names it in ``spark.checkpoint.dir``; it is read from the
-    session and a local folder is only chosen when it is unset (tests), so
-    no job writes lineage-cutting data to a machine-local folder on a cluster.
+    session.  A temporary folder stands in only on a local master (tests); on a
+    cluster an unset folder is an error, as executors don't share local disks.
     """
     sc = spark.sparkContext
     root = sc.getCheckpointDir()
@@ -55,6 +55,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key
             root = None
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tidecast-ckpt-")
     sc.setCheckpointDir(root)
     return (sc.getCheckpointDir() or root).rstrip("/")

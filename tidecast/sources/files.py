@@ -55,11 +55,17 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
 def load_orders_csv(spark: SparkSession, path: str, schema: T.StructType = ORDER_SCHEMA) -> DataFrame:
     """Order CSV -> typed frame with ``order_date`` as timestamp and ``year_month``.
 
-    An unparsable date raises under ANSI mode, as ``pd.to_datetime`` does.
+    Columns are found by their names in the header, in any order; other
+    columns are left out and never parsed.  A missing column raises, and so does an unparsable
+    date under ANSI mode, as ``pd.to_datetime`` does.
     """
-    raw = spark.read.schema(schema).option("header", True).csv(path)
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    missing = [f.name for f in schema if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)} in the header")
+    typed = raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
     ts = F.to_timestamp_ntz("order_date")   # naive, like pd.to_datetime; no session-zone shift
-    return raw.withColumns({"order_date": ts, "year_month": F.date_format(ts, "yyyy-MM")})
+    return typed.withColumns({"order_date": ts, "year_month": F.date_format(ts, "yyyy-MM")})
 
 
 def order_summary(orders: DataFrame) -> DataFrame:
@@ -142,6 +148,24 @@ def load_importance(spark: SparkSession, path: str) -> DataFrame:
 
 
 # --- SRC6 ---------------------------------------------------------------------
-def load_item_dump(spark: SparkSession, path: str) -> DataFrame:
-    """Line-JSON item dump; blank and undecodable lines are dropped."""
-    return spark.read.schema(RAW_ITEM_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+def load_item_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Line-JSON item dump -> (records, quarantine).
+
+    ``seq_no`` orders records as they stand in the dump, files by name,
+    however Spark splits or packs the files.
+
+    Fields are read as text and counts converted leniently (``7``, ``"7"`` and
+    ``7.0`` are 7; anything else is NULL).  Lines that are no JSON object go
+    to the quarantine frame (file, line); blank lines are skipped.
+    """
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in RAW_ITEM_SCHEMA])
+    place = F.concat_ws(":", "_metadata.file_name", F.lpad(F.col("_metadata.file_block_start").cast("string"), 15, "0"),
+                        F.lpad(F.monotonically_increasing_id().cast("string"), 19, "0"))
+    lines = (spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), place.alias("seq_no"), F.trim("value").alias("line"))
+             .where("line <> ''").withColumn("r", F.from_json("line", text, {"mode": "PERMISSIVE"}))
+             .withColumn("ok", F.col("line").startswith("{") & F.try_parse_json("line").isNotNull()))
+    counts = {f.name for f in RAW_ITEM_SCHEMA if isinstance(f.dataType, T.LongType)}
+    good = lines.where("ok").select("seq_no", *[
+        (F.floor(F.col(f"r.{f.name}").try_cast("double")).cast("bigint") if f.name in counts else F.col(f"r.{f.name}")).alias(f.name)
+        for f in RAW_ITEM_SCHEMA])
+    return good, lines.where("not ok").select("file", "line")

@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_facts(spark: SparkSession, sf_dir: str, category: bool = True, segment: bool = True) -> DataFrame:
     """One row per order with the reference's order-CSV column names.
 
     Two per-order aggregates of ``lineitem``, both grouped by the order key:
@@ -40,11 +40,13 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
       (orderkey, partkey) pairs are shuffled to meet ``part``.
 
     ``orders`` joins both on the order key (left: orders without lines keep
-    NULL measures, as pandas NaN).  Every right side is an aggregate grouped by
-    its join key, so Catalyst knows the key is unique and removes a left join
-    whose columns a query does not use - a monthly total never touches part,
-    customer or even lineitem's category branch.  Parquet is columnar, so the
-    two lineitem branches read disjoint columns (plus the key).
+    NULL measures, as pandas NaN).  Those right sides are aggregates grouped by
+    the join key, so Catalyst knows the key is unique and removes a left join
+    whose columns a query does not use.  ``part`` and ``customer`` are joined
+    as they are (their keys are unique): the exchanges of both sides
+    stand right below the join, so AQE's skew join splits a hot part or
+    customer.  ``category`` and ``segment`` say whether these two branches
+    are wanted; the unwanted column is NULL.
     """
     lines = table(spark, sf_dir, "lineitem")
     measures = (lines.groupBy("l_orderkey")
@@ -52,18 +54,23 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.min("l_shipdate").alias("first_ship"),
                      F.avg("l_discount").alias("rating"),
                      F.min("l_returnflag").alias("sentiment")))
-    parts = (table(spark, sf_dir, "part").groupBy("p_partkey")
-             .agg(F.min("p_type").alias("p_type")))
-    category = (lines.select(F.col("l_orderkey").alias("c_orderkey"), "l_partkey")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    by_order = (lines.select(F.col("l_orderkey").alias("c_orderkey"), "l_partkey")
                 .join(parts, F.col("l_partkey") == parts.p_partkey, "left")
                 .groupBy("c_orderkey").agg(F.min("p_type").alias("category")))
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
-    customers = (table(spark, sf_dir, "customer").groupBy("c_custkey")
-                 .agg(F.min("c_mktsegment").alias("c_mktsegment")))
-    facts = (orders.join(measures, orders.o_orderkey == measures.l_orderkey, "left")
-             .join(category, orders.o_orderkey == category.c_orderkey, "left")
-             .join(customers, orders.o_custkey == customers.c_custkey, "left"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    facts = orders
+    if segment:                                              # first: the order-key joins keep its exchange plain
+        facts = facts.join(customers, orders.o_custkey == customers.c_custkey, "left")
+    else:
+        facts = facts.withColumn("c_mktsegment", F.lit(None).cast("string"))
+    facts = facts.join(measures, orders.o_orderkey == measures.l_orderkey, "left")
+    if category:
+        facts = facts.join(by_order, orders.o_orderkey == by_order.c_orderkey, "left")
+    else:
+        facts = facts.withColumn("category", F.lit(None).cast("string"))
     return facts.select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_orderdate").alias("order_date"),
@@ -108,26 +115,50 @@ def monthly_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(period_label(F.col("m"), "monthly").alias("month"), "word", "n_lines"))
 
 
-def monthly_word_lists(spark: SparkSession, sf_dir: str, top: int = 8) -> DataFrame:
-    """(month, word, pos, score): each month's ``top`` tokens, score = n / month max.
+def monthly_word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(month, word, pos, score, present) of every token of every month.
 
-    The window runs after the (month, word) aggregation, so a partition holds
-    one month's distinct tokens - bounded by the vocabulary, not by the data.
+    ``score`` is the count over the month's largest count.  ``present`` says
+    whether the token belongs to the month's word list: its share of the
+    month's tokens is above its share of all months' tokens, compared exactly
+    by cross-multiplication.  The (month, word) counts are written once; the
+    windows after them hold one month's or one word's rows.
     """
-    counts = monthly_word_counts(spark, sf_dir)
-    w = Window.partitionBy("month").orderBy(F.desc("n_lines"), F.asc("word"))
-    ranked = counts.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= top)
-    mx = Window.partitionBy("month")
-    return ranked.select("month", "word", "pos",
-                         (F.col("n_lines") / F.max("n_lines").over(mx)).alias("score"))
+    from ..operators.words import with_scalars
+    from ..session import materialise
+    counts = materialise(monthly_word_counts(spark, sf_dir), "word-counts")
+    total = counts.agg(F.sum("n_lines").alias("n_all"))
+    month, word = Window.partitionBy("month"), Window.partitionBy("word")
+    ranked = counts.withColumns({
+        "pos": F.row_number().over(month.orderBy(F.desc("n_lines"), F.asc("word"))),
+        "score": F.col("n_lines") / F.max("n_lines").over(month),
+        "n_month": F.sum("n_lines").over(month), "n_word": F.sum("n_lines").over(word)})
+
+    def exact(c):
+        return F.col(c).cast("decimal(19,0)")
+
+    return with_scalars(ranked, total).select(
+        "month", "word", "pos", "score",
+        (exact("n_lines") * exact("n_all") > exact("n_word") * exact("n_month")).alias("present"))
+
+
+def monthly_word_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(month, word, pos, score): the tokens present in each month's list."""
+    return monthly_word_scores(spark, sf_dir).where("present").drop("present")
+
+
+def shared_word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``monthly_word_scores`` written once to the shared checkpoint folder."""
+    from ..session import materialise
+    return materialise(monthly_word_scores(spark, sf_dir), "word-scores")
 
 
-def shared_word_lists(spark: SparkSession, sf_dir: str, top: int = 8) -> DataFrame:
+def shared_word_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``monthly_word_lists`` written once to the shared checkpoint folder and
     re-read: jobs that read the lists several times (vocabulary, training
     months, per-word statistics, explanations) run the lineitem join once."""
     from ..session import materialise
-    return materialise(monthly_word_lists(spark, sf_dir, top), "word-lists")
+    return materialise(monthly_word_lists(spark, sf_dir), "word-lists")
 
 
 def items_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,20 @@
 """ST1: incremental period aggregates from arriving event / order files.
 
-File-source ``readStream`` -> event time -> watermark -> ``window`` groupBy
--> ``foreachBatch`` upsert of the updated windows into a versioned parquet table.
-State and offsets live under a checkpoint folder of the shared checkpoint
-root, so a restarted or re-scheduled query resumes exactly where it stopped.
-
-* ``withWatermark`` rejects ``timestamp_ntz``; the wall-clock value is turned
-  into an epoch-aligned ``timestamp`` WITHOUT consulting the session time
-  zone (day number * 86400 s + time of day), so daily windows start at
+File-source ``readStream`` -> ``foreachBatch``: each micro-batch is aggregated
+to (period, keys) partials - counts, sums and distinct-count sketches, all of which
+add up - and written to a folder of its own, ``batch=<id>``.  The result is the
+sum of all partials.  So a late file is as good as an early one: there is no watermark, no
+window is ever closed, nothing is thrown away and no state is held; a batch
+that runs again after a failure overwrites its own folder only.
+:func:`compact` merges finished folders when there are many.
+
+* Offsets live under a checkpoint folder of the shared checkpoint root, so a
+  restarted query resumes exactly where it stopped.
+* The wall-clock value is turned into an epoch-aligned ``timestamp`` WITHOUT
+  consulting the session time zone, so daily windows start at
   midnight whatever ``spark.sql.session.timeZone`` says.
-* With ``availableNow`` the ``append`` mode withholds windows the watermark
-  has not closed, so results use ``update``: every changed window is emitted
-  and merged into a versioned result table (periods x keys, small), while the
-  watermark evicts closed windows from the state store.
-* Streaming cannot count distinct values; monthly roll-ups and exact
-  distinct counts are batch jobs over the daily partials (see aggregate).
+* Distinct counts are HyperLogLog sketches, which merge; months roll
+  up in batch over the daily partials.
 """
 
 from __future__ import annotations
@@ -40,86 +40,87 @@ def window_day(c: Column) -> Column:
     return F.date_from_unix_date(F.floor(F.unix_micros(c) / F.lit(86_400_000_000)).cast("int"))
 
 
-def period_stream(stream: DataFrame, ts_col: str, keys: list[str], value_col: str,
-                  freq: str = "daily", watermark: str = "1 day", distinct_col: str | None = None) -> DataFrame:
-    """Streaming (period, keys) -> event count and value sum (+ approximate
-    distinct count of ``distinct_col``: exact distinct is not streamable)."""
-    ev = stream.withColumn("_et", epoch_aligned(F.col(ts_col))).withWatermark("_et", watermark)
+def period_partials(batch: DataFrame, ts_col: str, keys: list[str], value_col: str,
+                    freq: str = "daily", distinct_col: str | None = None) -> DataFrame:
+    """(period, keys) -> event count and value sum (+ distinct sketch) of one micro-batch."""
+    et = epoch_aligned(F.col(ts_col))
     if freq == "daily":
-        win = F.window("_et", "1 day")
+        win = F.window(et, "1 day")
     elif freq == "weekly":
-        win = F.window("_et", "7 days", startTime=WEEK_START_OFFSET)
+        win = F.window(et, "7 days", startTime=WEEK_START_OFFSET)
     else:
         raise ValueError("streams aggregate daily or weekly; months roll up in batch")
     aggs = [F.count(F.lit(1)).alias("n_events"), F.sum(value_col).alias("total_value")]
     extra = []
     if distinct_col:
-        aggs.append(F.approx_count_distinct(distinct_col).alias("approx_distinct"))
-        extra = ["approx_distinct"]
-    return (ev.groupBy(win.alias("w"), *keys).agg(*aggs)
+        aggs.append(F.hll_sketch_agg(distinct_col).alias("distinct_sketch"))
+        extra = ["distinct_sketch"]
+    return (batch.groupBy(win.alias("w"), *keys).agg(*aggs)
             .select(window_day(F.col("w.start")).alias("period"), *keys, "n_events", "total_value", *extra))
 
 
-def _latest_version(spark: SparkSession, out_path: str, before: int | None = None) -> str | None:
+def merged(partials: DataFrame, keys: list[str]) -> DataFrame:
+    """Partials of any number of batches, in any order, added up."""
+    aggs = [F.sum("n_events").alias("n_events"), F.sum("total_value").alias("total_value")]
+    if "distinct_sketch" in partials.columns:
+        aggs.append(F.hll_union_agg("distinct_sketch").alias("distinct_sketch"))
+    return partials.groupBy("period", *keys).agg(*aggs)
+
+
+def _folders(spark: SparkSession, out_path: str) -> list[str]:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(f"{out_path.rstrip('/')}/v=*")
+    p = jvm.org.apache.hadoop.fs.Path(f"{out_path.rstrip('/')}/batch=*")
     st = p.getFileSystem(conf).globStatus(p) or []
-    vs = sorted(str(x.getPath().toString()) for x in st if x.isDirectory())
-    if before is not None:
-        vs = [v for v in vs if int(v.rsplit("v=", 1)[1]) < before]
-    return vs[-1] if vs else None
+    return sorted(str(x.getPath().toString()) for x in st if x.isDirectory())
+
+
+def result(spark: SparkSession, out_path: str, keys: list[str]) -> DataFrame | None:
+    """The stream's table so far; distinct counts as ``approx_distinct``."""
+    folders = _folders(spark, out_path)
+    if not folders:
+        return None
+    out = merged(spark.read.parquet(*folders), keys)
+    if "distinct_sketch" in out.columns:
+        out = out.withColumn("approx_distinct", F.hll_sketch_estimate("distinct_sketch")).drop("distinct_sketch")
+    return out
+
+
+def compact(spark: SparkSession, out_path: str, target: str, keys: list[str]) -> None:
+    """Write the partials of all finished batches as one ``batch=`` folder of ``target``."""
+    folders = _folders(spark, out_path)
+    if folders:
+        name = folders[-1].rsplit("/", 1)[1]
+        merged(spark.read.parquet(*folders), keys).write.mode("overwrite").parquet(f"{target.rstrip('/')}/{name}")
 
 
 def run_available(spark: SparkSession, source_dir: str, file_glob: str, schema, ts_col: str,
                   keys: list[str], value_col: str, freq: str = "daily",
                   out_path: str | None = None, checkpoint: str | None = None,
-                  distinct_col: str | None = None, files_per_batch: int = 100,
-                  state_partitions: int | None = None) -> DataFrame:
+                  distinct_col: str | None = None, files_per_batch: int = 100) -> DataFrame:
     """Process every file available now, then stop; returns the result table.
 
-    ``update`` mode: the watermark lets the state store drop closed windows,
-    so state stays bounded on an endless stream.  Each micro-batch's updated
-    windows replace their rows of the previous result version in a new folder
-    ``v=<batch id>`` - re-running a batch after a failure rewrites the same
-    version from the same predecessor (idempotent).  ``maxFilesPerTrigger``
-    bounds a micro-batch when a backlog of files is waiting.
-
-    ``state_partitions`` sizes the state store.  A stateful query records its
-    partition count in the checkpoint at its first start, so the session's
-    shuffle-partition setting is swapped in only while the query starts, then
-    restored.
-    """
+    ``maxFilesPerTrigger`` bounds a micro-batch when a backlog of files is
+    waiting; the result is the same for any split into batches and any order of files."""
     out_path = (out_path or scratch_path(spark, f"stream-{freq}-out")).rstrip("/")
     checkpoint = checkpoint or scratch_path(spark, f"stream-{freq}-state")
     src = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
            .option("maxFilesPerTrigger", files_per_batch).parquet(source_dir))
-    agg = period_stream(src, ts_col, keys, value_col, freq, distinct_col=distinct_col)
-    row_keys = ["period", *keys]
-
-    def upsert(batch: DataFrame, epoch: int) -> None:
-        prev = _latest_version(spark, out_path, before=epoch)
-        merged = batch
-        if prev is not None:
-            old = spark.read.parquet(prev)
-            merged = old.join(batch.select(*row_keys), row_keys, "left_anti").unionByName(batch)
-        merged.write.mode("overwrite").parquet(f"{out_path}/v={epoch:012d}")
-
-    prev_parts = spark.conf.get("spark.sql.shuffle.partitions")
-    if state_partitions:
-        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
-    try:
-        q = (agg.writeStream.outputMode("update").foreachBatch(upsert)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-        q.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", prev_parts)
+
+    def write_partials(batch: DataFrame, epoch: int) -> None:
+        (period_partials(batch, ts_col, keys, value_col, freq, distinct_col)
+         .write.mode("overwrite").parquet(f"{out_path}/batch={epoch:012d}"))
+
+    q = (src.writeStream.foreachBatch(write_partials)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    latest = _latest_version(spark, out_path)
-    if latest is None:
-        return agg.sparkSession.createDataFrame([], agg.schema)
-    return spark.read.parquet(latest)
+    out = result(spark, out_path, keys)
+    if out is None:
+        empty = spark.createDataFrame([], schema)
+        out = merged(period_partials(empty, ts_col, keys, value_col, freq), keys)
+    return out
 
 
 def monthly_rollup(daily: DataFrame, keys: list[str] = ()) -> DataFrame:
