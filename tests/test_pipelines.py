@@ -83,3 +83,35 @@ def test_word_analysis_single_month(spark, tmpdir_path):
     first = words.agg(F.min("month")).first()[0]
     res = pipelines.run_word_analysis(spark, words, sales, tmpdir_path, method="ridge", month=first)
     assert res["n_months"] == 1
+
+
+def test_reloaded_model_keeps_its_scalers_and_columns(spark, tmpdir_path):
+    """Sales times 100 and a new payment value after training: the saved scalers and columns are applied, nothing crashes."""
+    p = ForecastParams(freq="monthly", max_iter=10)
+    facts = order_facts(spark, SF_SMALL)
+    rec1 = pipelines.run_demand_forecast(spark, facts, tmpdir_path, p)
+    changed = (facts.withColumn("order_total", F.col("order_total") * 100)
+               .withColumn("payment_method", F.when(F.col("order_id") % 7 == 0, "Voucher").otherwise(F.col("payment_method"))))
+    rec2 = pipelines.run_demand_forecast(spark, changed, tmpdir_path, p, retrain=False)
+    assert rec2["status"] == "success"
+    ratio = rec2["predicted_value"] / rec1["predicted_value"]
+    assert not math.isclose(ratio, 100, rel_tol=0.02)      # freshly fitted scalers would just scale the prediction
+    again = pipelines.run_demand_forecast(spark, facts, tmpdir_path, p, retrain=False)
+    assert math.isclose(again["predicted_value"], rec1["predicted_value"], rel_tol=1e-9)
+
+
+def test_word_forecast_train_then_load(spark, tmpdir_path):
+    rec1 = pipelines.run_word_forecast(spark, SF_SMALL, tmpdir_path)
+    rec2 = pipelines.run_word_forecast(spark, SF_SMALL, tmpdir_path, retrain=False)
+    assert rec1["status"] == "success" and rec1["holdout_MAE"] is not None
+    assert math.isclose(rec1["predicted_value"], rec2["predicted_value"], rel_tol=1e-9)
+
+
+def test_year_filter_ranks_a_hot_keyword_whole(spark):
+    rows = [("hot" if i % 3 else "cold", f"{2023 + i % 2}0105", (i * 37) % 101, i) for i in range(3000)]
+    items = spark.createDataFrame(rows, "keyword string, upload_date string, view_count long, seq_no long")
+    got = {(r["keyword"], r["year"], r["seq_no"]): r["rank"] for r in it.year_filter_top(items).collect()}
+    groups = {}
+    for k, d, v, s in rows:
+        groups.setdefault((k, d[:4]), []).append((-v, s))
+    assert got == {(*g, s): n for g, own in groups.items() for n, (_, s) in enumerate(sorted(own), 1)}

@@ -83,13 +83,40 @@ def test_summary_default_sentence(spark):
     assert got == ex.NO_FACTOR_SENTENCE
 
 
-def test_report_formatting_python_rounding():
-    txt = ex._fmt_report("2024-01", 1234567.5, 1000.0,
-                         [{"word": "a", "score": 0.825, "impact": "high"}], [], "s")
+def _explained(spark, rows):
+    factor = "array<struct<rank:int,word:string,score:double,direction:string,impact:string>>"
+    return spark.createDataFrame(rows, "month string, predicted_sales double, actual_sales double, "
+                                 f"top_positive_factors {factor}, top_negative_factors {factor}, summary string")
+
+
+def test_report_formatting_python_rounding(spark):
+    up = [(1, "a", 0.825, "positive", "high")]
+    txt = ex.report_lines(_explained(spark, [("2024-01", 1234567.5, 1000.0, up, [], "s")])).first()["report"]
     assert "1,234,568" in txt and "0.82" in txt        # correctly rounded, not half-up on decimals
     assert ex.FALL_HEADER not in txt
 
 
+def test_report_error_line_and_missing_actual(spark):
+    rows = [("2024-01", 900.0, 1200.0, [], [], "s"), ("2024-02", 1300.5, 1200.0, [], [(1, "b", 0.4, "negative", "medium")], "s"),
+            ("2024-03", 10.0, None, [], [], "s")]
+    got = [r["report"] for r in ex.report_lines(_explained(spark, rows)).orderBy("month").collect()]
+    for (_, pred, actual, *_), txt in zip(rows, got):
+        if actual is None:
+            assert ex.ERROR_LINE.split("{")[0] not in txt
+        else:
+            assert ex.ERROR_LINE.format(diff=f"{pred - actual:,.0f}", pct=f"{(pred - actual) / actual * 100:+.1f}") in txt
+    assert ex.FALL_HEADER in got[1] and "0.40" in got[1]
+
+
+def test_predictions_replace_actuals_in_explanations(spark, inputs):
+    words, sales = inputs
+    month = words.agg(F.min("month")).first()[0]
+    predictions = spark.createDataFrame([(month, 123.0)], "month string, predicted double")
+    e = ex.explanations(words, wd.correlation_scores(words, sales), sales, predictions)
+    r = e.where(F.col("month") == month).first()
+    assert r["predicted_sales"] == 123.0 and r["actual_sales"] != 123.0
+
+
 def test_word_feature_vectors(spark, inputs):
     words, sales = inputs
     m = wd.word_score_matrix(sales, words.select("month", "word", "score"))

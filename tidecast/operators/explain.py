@@ -7,10 +7,10 @@ and one ``groupBy(month)`` that builds the factor arrays and the summary.
 
 from __future__ import annotations
 
-import pandas as pd
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The reference's summary and report wording (Korean), kept verbatim.
 RISE_LABEL = "매출 상승 요인: "
@@ -98,46 +98,50 @@ def explanations(month_words: DataFrame, importance: DataFrame, sales: DataFrame
 
 
 # --- F7 / F8: report text ------------------------------------------------------------
-# Number formatting follows Python's correctly rounded ``format`` (Java's
-# formatter rounds the shortest decimal string half-up and differs on ties),
-# so the per-month text is produced by an Arrow-batched pandas UDF: one row
-# per month, a small helper, never in a hot path.
-
-def _fmt_report(month, pred, actual, pos, neg, summ) -> str:
-    lines = ["\n" + REPORT_RULE, REPORT_TITLE.format(month=month), REPORT_RULE]
-    has_actual = actual is not None and not pd.isna(actual) and actual != 0
-    if has_actual:
-        lines.append(ACTUAL_LINE.format(value=f"{actual:,.0f}"))
-    lines.append(PREDICTED_LINE.format(value=f"{pred:,.0f}"))
-    if has_actual:
-        diff = pred - actual
-        lines.append(ERROR_LINE.format(diff=f"{diff:,.0f}", pct=f"{diff / actual * 100:+.1f}"))
-    lines.append(RISE_HEADER)
-    for fct in (pos if pos is not None else []):
-        lines.append(FACTOR_LINE.format(emoji=IMPACT_EMOJI[fct["impact"]], word=fct["word"],
-                                        score=f"{fct['score']:.2f}"))
-    if neg is not None and len(neg) > 0:
-        lines.append(FALL_HEADER)
-        for fct in neg:
-            lines.append(FACTOR_LINE.format(emoji=IMPACT_EMOJI[fct["impact"]], word=fct["word"],
-                                            score=f"{fct['score']:.2f}"))
-    lines.append(SUMMARY_LINE.format(summary=summ))
-    lines.append(REPORT_RULE + "\n")
-    return "\n".join(lines)
-
-
-@F.pandas_udf(T.StringType())
-def report_text(month: pd.Series, pred: pd.Series, actual: pd.Series, pos: pd.Series,
-                neg: pd.Series, summ: pd.Series) -> pd.Series:
-    return pd.Series([_fmt_report(*row) for row in zip(month, pred, actual, pos, neg, summ)])
+def _whole(c: Column) -> Column:
+    """1234567.5 -> '1,234,568' (half-even on the exact value, as Python's ``,.0f``)."""
+    return F.format_number(c, 0)
+
+
+def _fixed(c: Column, digits: int) -> Column:
+    return F.replace(F.format_number(c, digits), F.lit(","), F.lit(""))
+
+
+def _filled(template: str, **parts: Column) -> Column:
+    """A wording template with its ``{names}`` replaced by columns."""
+    pieces = []
+    for literal, name, _, _ in Formatter().parse(template):
+        if literal:
+            pieces.append(F.lit(literal))
+        if name:
+            pieces.append(parts[name])
+    return F.concat(*pieces)
+
+
+def _factor_lines(factors_col: Column) -> Column:
+    mark = F.create_map(*[F.lit(x) for pair in IMPACT_EMOJI.items() for x in pair])
+    return F.array_join(F.transform(factors_col, lambda f: _filled(
+        FACTOR_LINE, emoji=mark[f["impact"]], word=f["word"], score=_fixed(f["score"], 2))), "\n")
+
+
+def report_text() -> Column:
+    """The report of one month, from the columns of :func:`explanations`."""
+    pred, actual = F.col("predicted_sales"), F.col("actual_sales")
+    has_actual = actual.isNotNull() & (actual != 0)
+    diff = pred - actual
+    pct = diff / actual * 100
+    signed = F.concat(F.when(pct < 0, F.lit("")).otherwise(F.lit("+")), _fixed(pct, 1))
+    pos, neg = F.col("top_positive_factors"), F.col("top_negative_factors")
+    return F.concat_ws(
+        "\n", F.lit("\n" + REPORT_RULE), _filled(REPORT_TITLE, month=F.col("month")), F.lit(REPORT_RULE),
+        F.when(has_actual, _filled(ACTUAL_LINE, value=_whole(actual))),
+        _filled(PREDICTED_LINE, value=_whole(pred)),
+        F.when(has_actual, _filled(ERROR_LINE, diff=_whole(diff), pct=signed)),
+        F.lit(RISE_HEADER), F.when(F.size(pos) > 0, _factor_lines(pos)),
+        F.when(F.size(neg) > 0, F.lit(FALL_HEADER)), F.when(F.size(neg) > 0, _factor_lines(neg)),
+        _filled(SUMMARY_LINE, summary=F.col("summary")), F.lit(REPORT_RULE + "\n"))
 
 
 def report_lines(expl: DataFrame) -> DataFrame:
     """(month, report) - one text block per month; sort + join for the file."""
-    strip = lambda a: F.transform(a, lambda s: F.struct(s["word"].alias("word"),
-                                                         s["score"].alias("score"),
-                                                         s["impact"].alias("impact")))
-    return expl.select("month", report_text(
-        F.col("month"), F.col("predicted_sales"), F.col("actual_sales"),
-        strip(F.col("top_positive_factors")), strip(F.col("top_negative_factors")),
-        F.col("summary")).alias("report"))
+    return expl.select("month", report_text().alias("report"))

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (GBTRegressor, LinearRegression, RandomForestRegressor)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..params import EXTRA_PREFIXES, SEQUENCE_FEATURES, ForecastParams
+from ..params import EXTRA_PREFIXES, MIN_DATA_MONTHS, SEQUENCE_FEATURES, VALIDATION_SHARE, ForecastParams
 from . import aggregate as agg
 from . import metrics as met
 from . import sequences as sq
@@ -134,6 +134,39 @@ def word_importance(words: DataFrame, sales: DataFrame, method: str = "gradient_
     return normalise_importance(df)
 
 
+def importance_checks(words: DataFrame, sales: DataFrame, method: str) -> DataFrame:
+    """(word, violation, valid): how far the fitted model is from what defines it.
+
+    Ridge and lasso: each word's optimality condition, relative to the sum of
+    absolute terms in it (0 at the optimum).  Trees: by how much the importances
+    miss a sum of 1.  ``valid``: score within 0..1 and direction by the sign."""
+    words = words.select("month", "word").persist()
+    x, vocab, n, train = word_design(words, sales)
+    model, kind = fit_word_model(x, method, n)
+    coef = (model.coefficients if kind == "coef" else model.featureImportances).toArray().tolist()
+    spark = words.sparkSession
+    df = spark.createDataFrame([(i, w, float(v)) for i, (w, v) in enumerate(zip(vocab, coef))], "idx int, word string, raw_importance double")
+    if kind == "coef":
+        terms = (model.transform(x).select((F.col("y") - F.col("prediction")).alias("r"), F.posexplode(vector_to_array("features")).alias("idx", "x"))
+                 .groupBy("idx").agg(F.sum(F.col("x") * F.col("r")).alias("g"), F.sum(F.abs(F.col("x") * F.col("r"))).alias("size")))
+        w = F.col("raw_importance")
+        if method == "ridge":
+            gap = F.abs(F.col("g") - F.lit(RIDGE_ALPHA) * w)
+        else:
+            pull = F.lit(LASSO_ALPHA * n)
+            gap = F.when(w == 0, F.greatest(F.abs(F.col("g")) - pull, F.lit(0.0))).otherwise(F.abs(F.col("g") - pull * F.signum(w)))
+        checked = df.join(terms, "idx").withColumn("violation", gap / F.greatest(F.col("size"), F.lit(1.0)))
+    else:
+        checked = df.withColumn("violation", F.lit(abs(sum(coef) - 1.0)))
+    named = normalise_importance(df.select("word", "raw_importance")).select(
+        "word", ((F.col("score") >= 0) & (F.col("score") <= 1) & (F.col("direction") == F.when(F.col("raw_importance") > 0, "positive").otherwise("negative"))
+                 & (F.lit(kind == "coef") | (F.col("raw_importance") >= 0))).alias("valid"))
+    out = checked.select("word", F.round("violation", 4).alias("violation")).join(named, "word")
+    train.unpersist()
+    words.unpersist()
+    return out
+
+
 # --- sequence forecast (pipeline A) ------------------------------------------------
 def _extras(cols: list[str]) -> list[str]:
     return [c for c in cols if c.startswith(EXTRA_PREFIXES)]
@@ -175,18 +208,24 @@ def _design(seq: DataFrame, n_feat: int, seq_stats, extra_stats) -> Column:
 
 
 def forecast(full: DataFrame, p: ForecastParams, model: str = "gbt",
-             fitted=None) -> tuple[DataFrame, dict]:
+             saved: tuple | None = None) -> tuple[DataFrame, dict]:
     """M13 + M15 + M17: scale (fit on the training prefix), train, evaluate, predict.
 
     Returns (per-window predictions, prediction record).  ``model`` is
     ``gbt`` (GBTRegressor with the validation suffix as early-stopping set) or
     ``huber`` (LinearRegression with Huber loss, the reference's loss).
-    A previously saved model (M19) can be passed as ``fitted``; it is then
-    evaluated and used for the prediction instead of training a new one.
+    A saved (model, state) pair (M19) can be passed as ``saved``; it is then
+    evaluated and used for the prediction with its own columns, scalers and target range,
+    whatever the data now hold: columns it doesn't know are left out, columns that are gone count as 0.
     """
-    L = p.resolved_sequence_length()
-    extras = _extras(full.columns)
-    features = [c for c in SEQUENCE_FEATURES if c in full.columns]      # PF4: keep those present
+    fitted, state = saved or (None, None)
+    if state:
+        L, extras, features = state["length"], state["extras"], state["features"]
+        full = full.withColumns({c: F.lit(0.0) for c in features + extras if c not in full.columns})
+    else:
+        L = p.resolved_sequence_length()
+        extras = _extras(full.columns)
+        features = [c for c in SEQUENCE_FEATURES if c in full.columns]      # PF4: keep those present
     seq = sq.build_sequences(full, features, p.target, L, extras=extras,
                              same_period_extras=p.same_period_extras)
     if not p.same_period_extras:
@@ -200,8 +239,10 @@ def forecast(full: DataFrame, p: ForecastParams, model: str = "gbt",
         record.update(status="insufficient_data")
         seq.unpersist()
         return None, record
-    train = seq.where(~F.col("is_val"))
-    seq_stats, extra_stats, ylo, yhi = _train_stats(train, len(features), len(extras) if extras else 0)
+    if state:
+        seq_stats, extra_stats, ylo, yhi = state["seq_stats"], state["extra_stats"], state["ylo"], state["yhi"]
+    else:
+        seq_stats, extra_stats, ylo, yhi = _train_stats(seq.where(~F.col("is_val")), len(features), len(extras))
     yrange = (yhi - ylo) or 1.0
     design = seq.select("period", "y", "is_val", _design(seq, len(features), seq_stats, extra_stats)
                         .alias("features"), ((F.col("y") - F.lit(ylo)) / F.lit(yrange)).alias("y_scaled"))
@@ -244,10 +285,16 @@ def forecast(full: DataFrame, p: ForecastParams, model: str = "gbt",
         else 0.0,
         timestamp=_dt.datetime.now(_dt.timezone.utc).isoformat(timespec="seconds"))
     record["_model"] = fitted
+    record["_state"] = {"freq": p.freq, "kind": model, "target": p.target, "length": L, "features": features,
+                        "extras": extras, "seq_stats": seq_stats, "extra_stats": extra_stats, "ylo": ylo, "yhi": yhi}
     seq.unpersist()
     return pred, record
 
 
+def _number(row, name):
+    return float(row[name]) if row is not None and row[name] is not None else None
+
+
 RECORD_SCHEMA = ("freq string, model string, status string, n_samples long, MAE double, MSE double, "
                  "RMSE double, R2 double, MAPE double, holdout_MAE double, holdout_RMSE double, "
                  "last_period string, last_value double, predicted_value double, change_percent double, error string")
@@ -265,12 +312,19 @@ def forecast_from_facts(facts: DataFrame, p: ForecastParams, model: str = "gbt")
 
 
 # --- word-score forecast (pipeline C) -----------------------------------------------
-def word_forecast(matrix: DataFrame, next_vec: DataFrame, length: int = 12, min_months: int = 12,
-                  seed: int = SEED) -> dict:
+def word_forecast(matrix: DataFrame, next_vec: DataFrame, length: int = 12, min_months: int = MIN_DATA_MONTHS,
+                  validation_share: float = VALIDATION_SHARE, saved: tuple | None = None) -> dict:
     """M14 + M16: sequences of (word scores ++ sales) over ``length`` months plus
     the last timestep's word vector -> next month's sales; predicted with the
-    last ``length`` months and next month's word vector (J7)."""
-    word_cols = sorted(c for c in matrix.columns if c.startswith("word_score_"))
+    last ``length`` months and next month's word vector (J7).  Scalers and
+    model are fitted on the windows before the chronological validation suffix;
+    a ``saved`` (model, state) pair is applied with its own words and scalers."""
+    fitted, state = saved or (None, None)
+    if state:
+        word_cols, length = state["word_cols"], state["length"]
+        matrix = matrix.withColumns({c: F.lit(0.0) for c in word_cols if c not in matrix.columns})
+    else:
+        word_cols = sorted(c for c in matrix.columns if c.startswith("word_score_"))
     feats = word_cols + ["sales"]
     m = matrix.withColumn("period", F.date_format("month", "yyyy-MM")).persist()  # one row per month
     n_months = m.count()
@@ -281,16 +335,22 @@ def word_forecast(matrix: DataFrame, next_vec: DataFrame, length: int = 12, min_
         return rec
     seq = sq.build_sequences(m, feats, "sales", length)
     seq = seq.withColumn("x_extra", F.slice("x_last", 1, len(word_cols)))
+    seq = ts.chrono_split(seq, validation_share).withColumn("is_val", F.col("split") == "validation").persist()
     rec["n_samples"] = seq.count()
-    seq_stats, extra_stats, ylo, yhi = _train_stats(seq, len(feats), len(word_cols))
+    if state:
+        seq_stats, extra_stats, ylo, yhi = state["seq_stats"], state["extra_stats"], state["ylo"], state["yhi"]
+    else:
+        seq_stats, extra_stats, ylo, yhi = _train_stats(seq.where(~F.col("is_val")), len(feats), len(word_cols))
     yr = (yhi - ylo) or 1.0
-    design = seq.select("period", "y", _design(seq, len(feats), seq_stats, extra_stats).alias("features"),
+    design = seq.select("period", "y", "is_val", _design(seq, len(feats), seq_stats, extra_stats).alias("features"),
                         ((F.col("y") - F.lit(ylo)) / F.lit(yr)).alias("y_scaled"))
     design = sized_for_fit(design, rec["n_samples"])
-    fitted = LinearRegression(featuresCol="features", labelCol="y_scaled", regParam=1e-2,
-                              elasticNetParam=0.0).fit(design)
+    if fitted is None:
+        fitted = LinearRegression(featuresCol="features", labelCol="y_scaled", regParam=1e-2,
+                                  elasticNetParam=0.0).fit(design.where(~F.col("is_val")))
     pred = fitted.transform(design).withColumn("y_pred", F.col("prediction") * F.lit(yr) + F.lit(ylo))
     allm = met.regression_metrics(pred).first()
+    hold = met.regression_metrics(pred.where("is_val")).first()
     vec_rows = next_vec.collect()                      # one row per vocabulary word
     vec = {r["word"]: float(r["score"]) for r in vec_rows}
     if vec_rows and "source_month" in vec_rows[0]:
@@ -301,11 +361,16 @@ def word_forecast(matrix: DataFrame, next_vec: DataFrame, length: int = 12, min_
     last = ts.last_observation(m, "sales").first()
     predicted = float(out["prediction"]) * yr + ylo
     rec.update(status="success", **{k: float(allm[k]) for k in ("MAE", "MSE", "RMSE", "R2", "MAPE")},
+               holdout_MAE=_number(hold, "MAE"), holdout_RMSE=_number(hold, "RMSE"),
                n_word_columns=len(word_cols), sequence_length=length,
                timestamp=_dt.datetime.now(_dt.timezone.utc).isoformat(timespec="seconds"),
                last_period=str(last["last_period"]), last_value=float(last["last_value"]),
                predicted_value=predicted,
                change_percent=((predicted - float(last["last_value"])) / float(last["last_value"]) * 100)
                if last["last_value"] else 0.0)
+    rec["_model"] = fitted
+    rec["_state"] = {"kind": "words_linear", "word_cols": word_cols, "length": length, "seq_stats": seq_stats,
+                     "extra_stats": extra_stats, "ylo": ylo, "yhi": yhi}
+    seq.unpersist()
     m.unpersist()
     return rec

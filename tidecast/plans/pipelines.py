@@ -54,12 +54,13 @@ def run_demand_forecast(spark: SparkSession, facts: DataFrame | str, out_base: s
     if n_periods - p.resolved_sequence_length() < 1:
         rec = {"freq": p.freq, "model": model, "status": "insufficient_data", "n_samples": 0}
     else:
-        existing = None if retrain else sinks.load_latest_model(spark, f"{out_base}/models",
-                                                                _MODEL_CLASSES[model])
-        _, rec = learn.forecast(feats, p, model, fitted=existing)
-        if existing is None and "_model" in rec:
-            sinks.save_model(rec["_model"], f"{out_base}/models")
+        models = f"{out_base}/models/{p.freq}/{model}"       # one folder per grain and kind
+        saved = None if retrain else sinks.load_latest(spark, models, _MODEL_CLASSES[model])
+        _, rec = learn.forecast(feats, p, model, saved=saved)
+        if saved is None and "_model" in rec:
+            sinks.save_model(rec["_model"], models, state=rec["_state"])
     rec.pop("_model", None)
+    rec.pop("_state", None)
     elapsed = str(_dt.timedelta(seconds=time.perf_counter() - t0))
     sinks.write_prediction(spark, rec, f"{out_base}/prediction_{p.freq}", elapsed)
     rec["execution_time"] = elapsed
@@ -83,6 +84,7 @@ def run_comparison(spark: SparkSession, facts: DataFrame | str, freqs=FREQS,
             p = ForecastParams(freq=freq, min_windows=MIN_WINDOWS_COMPARE)
             _, rec = learn.forecast_from_facts(facts, p, model)
             rec.pop("_model", None)
+            rec.pop("_state", None)
         except Exception as e:  # noqa: BLE001 - the reference keeps going per grain
             rec = {"freq": freq, "model": model, "status": "error", "n_samples": None}
             rec["error"] = str(e)
@@ -122,9 +124,9 @@ def check_new_data(words: DataFrame, sales: DataFrame, min_months: int = MIN_DAT
 
 
 def run_word_forecast(spark: SparkSession, scores: DataFrame | str, out_base: str,
-                      sales: DataFrame | None = None) -> dict:
+                      sales: DataFrame | None = None, retrain: bool = True) -> dict:
     """Pipeline C: word scores (month, word, score) + sales (month, sales)
-    -> sequences -> model -> next month.  A string is a driver-table folder."""
+    -> sequences -> train or load -> next month.  A string is a driver-table folder."""
     if isinstance(scores, str):
         sf_dir = scores
         scores = shared_word_scores(spark, sf_dir).select("month", "word", "score")
@@ -132,7 +134,13 @@ def run_word_forecast(spark: SparkSession, scores: DataFrame | str, out_base: st
     if not check_new_data(scores, sales):
         rec = {"status": "insufficient_data", "freq": "monthly", "model": "words_linear"}
     else:
-        rec = learn.word_forecast(wd.word_score_matrix(sales, scores), wd.next_month_vector(scores, sales))
+        models = f"{out_base}/models/words"
+        saved = None if retrain else sinks.load_latest(spark, models, LinearRegressionModel)
+        rec = learn.word_forecast(wd.word_score_matrix(sales, scores), wd.next_month_vector(scores, sales), saved=saved)
+        if saved is None and "_model" in rec:
+            sinks.save_model(rec["_model"], models, state=rec["_state"])
+        rec.pop("_model", None)
+        rec.pop("_state", None)
     sinks.write_word_prediction(spark, rec, f"{out_base}/prediction_words")
     return rec
 

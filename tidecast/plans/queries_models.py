@@ -1,42 +1,74 @@
-"""Registered queries backed by Spark ML (rows-only checks: not SQL-expressible)."""
+"""Registered queries backed by Spark ML.
+
+A fitted model itself can't be written in SQL.  What defines it can: the
+optimality condition of each coefficient, the sum of importances, and the parts of a
+forecast record that follow from the tables.  The queries return those.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import learn
 from ..operators import words as wd
-from ..params import ForecastParams
+from ..params import SEQUENCE_LENGTH_PRESETS, WORD_SEQUENCE_LENGTH, ForecastParams
+from ..session import materialise
 from ..sources.tables import monthly_sales, order_facts, shared_word_lists, shared_word_scores
+from .queries_words import wsql
 from .registry import comparable, register
 
 
 def _word_importance(method):
     def q(spark, sf_dir):
-        words, sales = shared_word_lists(spark, sf_dir), monthly_sales(spark, sf_dir)
-        return comparable(learn.word_importance(words, sales, method))
+        words, sales = shared_word_lists(spark, sf_dir), materialise(monthly_sales(spark, sf_dir), "month-sales")
+        return comparable(learn.importance_checks(words, sales, method))
     return q
 
 
 for _short, _method in (("ridge", "ridge"), ("lasso", "lasso"), ("rf", "random_forest"),
                         ("gbt", "gradient_boosting")):
-    register(f"word_importance_{_short}")(_word_importance(_method))
+    register(f"word_importance_{_short}", wsql("SELECT word, CAST(0 AS FLOAT) AS violation, TRUE AS valid FROM vocab"))(
+        _word_importance(_method))
+
+
+def _checked(spark, rec):
+    """The record's columns that follow from the tables, and identities of the others."""
+    df = learn.record_frame(spark, [rec])
+    change = (F.col("predicted_value") - F.col("last_value")) / F.col("last_value") * 100
+    return comparable(df.select(
+        "freq", "model", "status", "n_samples", "last_period", "last_value",
+        (F.abs(F.col("RMSE") * F.col("RMSE") - F.col("MSE")) <= 1e-6 * F.col("MSE")).alias("rmse_is_root"),
+        ((F.col("MAE") <= F.col("RMSE") * (1 + 1e-9)) & (F.col("R2") <= 1)).alias("metrics_in_range"),
+        (F.abs(F.col("change_percent") - change) <= 1e-6 * F.abs(change) + 1e-9).alias("change_agrees"),
+        F.col("error").isNull().alias("no_error")))
+
+
+def _record_sql(model, source, length):
+    return f"""
+SELECT 'monthly' AS freq, '{model}' AS model, 'success' AS status, count(*) - {length} AS n_samples,
+       max(period) AS last_period, CAST(arg_max(value, period) AS FLOAT) AS last_value,
+       TRUE AS rmse_is_root, TRUE AS metrics_in_range, TRUE AS change_agrees, TRUE AS no_error
+FROM ({source}) t"""
+
+
+_MONTHLY = "SELECT strftime(o_orderdate, '%Y-%m') AS period, sum(o_totalprice) AS value FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1"
 
 
 def _forecast(model, freq="monthly"):
     def q(spark, sf_dir):
         _, rec = learn.forecast_from_facts(order_facts(spark, sf_dir), ForecastParams(freq=freq), model)
-        return comparable(learn.record_frame(spark, [rec]))
+        return _checked(spark, rec)
     return q
 
 
-register("forecast_gbt")(_forecast("gbt"))
-register("forecast_huber")(_forecast("huber"))
+for _model in ("gbt", "huber"):
+    register(f"forecast_{_model}", _record_sql(_model, _MONTHLY, SEQUENCE_LENGTH_PRESETS["monthly"]))(_forecast(_model))
 
 
-@register("forecast_words")
+@register("forecast_words", _record_sql("words_linear", _MONTHLY, WORD_SEQUENCE_LENGTH))
 def forecast_words(spark, sf_dir):
     """Pipeline C: word-score matrix + sales sequences -> next month's sales."""
     scores = shared_word_scores(spark, sf_dir).select("month", "word", "score")
-    sales = monthly_sales(spark, sf_dir)
+    sales = materialise(monthly_sales(spark, sf_dir), "month-sales")
     matrix = wd.word_score_matrix(sales, scores)
-    rec = learn.word_forecast(matrix, wd.next_month_vector(scores, sales))
-    return comparable(learn.record_frame(spark, [rec]))
+    return _checked(spark, learn.word_forecast(matrix, wd.next_month_vector(scores, sales)))

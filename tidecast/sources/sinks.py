@@ -4,6 +4,7 @@ items and model persistence."""
 from __future__ import annotations
 
 import datetime as _dt
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,10 +87,15 @@ def write_items(items: DataFrame, json_path: str, csv_path: str | None = None) -
     return False
 
 
-def save_model(model, base: str, now: _dt.datetime | None = None) -> str:
-    """SNK7: ``<base>/model_<yyyyMMdd_HHmmss>``; returns the path."""
+def save_model(model, base: str, now: _dt.datetime | None = None, state: dict | None = None) -> str:
+    """SNK7: ``<base>/model_<yyyyMMdd_HHmmss>``; returns the path.  ``state``
+    (columns, scalers, target range) is written first, to ``state_...`` beside it."""
     ts = (now or _dt.datetime.now(_dt.timezone.utc)).strftime("%Y%m%d_%H%M%S")
     path = f"{base.rstrip('/')}/model_{ts}"
+    if state is not None:
+        spark = SparkSession.getActiveSession()
+        (spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1)
+         .write.mode("overwrite").text(f"{base.rstrip('/')}/state_{ts}"))
     model.write().overwrite().save(path)
     return path
 
@@ -108,3 +114,13 @@ def load_latest_model(spark: SparkSession, base: str, model_cls):
     """The newest saved model, or None when there is none (then train)."""
     path = latest_model_path(spark, base)
     return model_cls.load(path) if path else None
+
+
+def load_latest(spark: SparkSession, base: str, model_cls) -> tuple | None:
+    """The newest saved (model, state), or None when there is none (then train)."""
+    path = latest_model_path(spark, base)
+    if path is None:
+        return None
+    folder, name = path.rsplit("/", 1)
+    lines = spark.read.text(f"{folder}/{name.replace('model_', 'state_', 1)}").collect()      # one line
+    return model_cls.load(path), json.loads(lines[0]["value"])
