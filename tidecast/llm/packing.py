@@ -39,6 +39,7 @@ from .word_hashes import ByteHasher, text_bytes, word_bounds
 
 GROUPS = 256        # hash groups of documents
 HELD_BACK = 16      # groups whose ids are kept, so that they can be cut anywhere
+COMPARED_TEXTS = 4
 CACHED_WORDS = 3_000_000
 LATIN_END = "\u0250"         # letters below fold alike in Python and in the tokenizer
 ROWS_PER_BUCKET = 5_000
@@ -60,8 +61,14 @@ class WordIds:
     def __init__(self, tokenizer_path: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        # for lower-case Latin words, which need no normalising and no pattern to be split at blanks
+        self.plain = Tokenizer.from_file(tokenizer_path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(),
+                                                            pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.compared = 0
         vocabulary = self.tokenizer.get_vocab()
         self.word_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.word_end[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
@@ -80,10 +87,16 @@ class WordIds:
         """Ids of each word.  Words of letters alone go through the tokenizer as
         one text: each is one token run, whose last id is a word-end id."""
         out: list = [None] * len(words)
-        plain = [i for i, w in enumerate(words) if w.isalpha()]
+        plain = [i for i, w in enumerate(words) if w.isalpha() and w == w.lower() and max(w) < LATIN_END] if self.plain else []
         runs = [plain[at:at + 2000] for at in range(0, len(plain), 2000)]
         texts = [" ".join([words[i] for i in run]) for run in runs]
-        for run, enc in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        if self.compared < COMPARED_TEXTS:                   # the short way has to agree with the whole tokenizer
+            for text in texts[:COMPARED_TEXTS]:
+                self.compared += 1
+                if self.plain.encode(text, add_special_tokens=False).ids != self.tokenizer.encode(text, add_special_tokens=False).ids:
+                    self.plain = None
+                    return self.encoded(words)
+        for run, enc in zip(runs, self.plain.encode_batch_fast(texts, add_special_tokens=False) if runs else []):
             ids = np.asarray(enc.ids, dtype="<u4")
             ends = np.flatnonzero(self.word_end[ids]) + 1
             if len(ends) == len(run):
