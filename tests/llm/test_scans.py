@@ -57,6 +57,8 @@ def test_license_scan(spark):
     assert got == {(1, "document", 0, "MIT"), (1, "line", 1, "MIT"), (2, "line", 2, "MIT"), (3, "document", 0, "CC-BY-NC-4.0"),
                    (3, "line", 2, "CC-BY-NC-4.0"), (None, "document", 0, "MIT"), (None, "line", 1, "MIT"),
                    (8, "line", 1, "MIT"), (8, "line", 2, "MIT")}
+    shuffled = scan_licenses(docs, known_licenses(spark), broadcast_licenses=0)
+    assert {(r["doc_id"], r["unit"], r["line_no"], r["license"]) for r in shuffled.collect()} == got
     assert scan_licenses(empty(spark), known_licenses(spark)).count() == 0
     assert scan_licenses(docs, known_licenses(spark).where("false")).count() == 0
     long_text = "\n".join(["filler line"] * 20_000 + ["Released under the MIT License."])

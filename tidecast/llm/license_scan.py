@@ -87,13 +87,14 @@ def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(KNOWN, "license string, text string")
 
 
-def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  broadcast_licenses: int = 50_000) -> DataFrame:
     """One row per entire text that is a known licence: doc_id, unit
     (``document`` or ``line``), line_no (0 for a document, else from 1),
     license, digest.
 
-    The join leaves the choice of broadcasting ``known`` to Spark's size
-    check; a larger table is joined by a shuffle of the digests alone."""
+    Up to ``broadcast_licenses`` known texts (they are counted) are broadcast, so
+    that texts aren't shuffled; more are joined by a shuffle of the digests alone."""
     lines = id_and_text(docs, id_col, text_col).select("doc_id", canonical_lines(F.col("text")).alias("lines"))
     whole = F.struct(F.lit(0).alias("line_no"), joined(F.col("lines")).alias("c"))
     each = F.filter(F.transform("lines", lambda x, i: F.struct((i + 1).cast("int").alias("line_no"), x.alias("c"))),
@@ -104,6 +105,8 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", tex
     texts = (known.select("license", digest(joined(canonical_lines(F.col("text")))).alias("digest"),
                           joined(canonical_lines(F.col("text"))).alias("c")).where("c <> ''")
              .select("license", "digest").distinct())
+    if known.count() <= broadcast_licenses:
+        texts = F.broadcast(texts)
     return (units.join(texts, "digest")
             .select("doc_id", F.when(F.col("line_no") == 0, "document").otherwise("line").alias("unit"),
                     "line_no", "license", "digest"))
