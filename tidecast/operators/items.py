@@ -25,6 +25,13 @@ def dedupe_first(items: DataFrame, key: str = "url", order_col: str = "seq_no")
     return kept.select(key, *[F.col(f"r.{c}").alias(c) for c in cols])
 
 
+def union_lists(first: DataFrame, *more: DataFrame) -> DataFrame:
+    """Collected lists as one; columns by name, missing ones NULL."""
+    for other in more:
+        first = first.unionByName(other, allowMissingColumns=True)
+    return first
+
+
 def dedupe_text(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """S2 on long texts: exact duplicates keep the lowest id.
 

@@ -91,7 +91,7 @@ def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     """Attach the columns of a ONE-row global aggregate to every row.
 
     ``scalars`` is a global aggregate, so its size is proven (one row); it is
-    broadcast on a constant key - an equi-join, no shuffle of ``df``, and
+    broadcast (Spark plans a nested loop over that one row): no shuffle of ``df`` and
     no driver round trip that would re-run the upstream plan.
     """
     return (df.withColumn("_one", F.lit(1))
@@ -152,13 +152,15 @@ def top_words_all_directions(importance: DataFrame, n: int = 10) -> DataFrame:
 
 
 def next_month_vector(scores: DataFrame, sales: DataFrame, as_of_month: str | None = None) -> DataFrame:
-    """J7 + PF14: next month's score of every vocabulary word (0 when absent).
+    """J7 + PF14: next month's score of every vocabulary word (0 when absent); no row without any sale.
 
     The next month is the month after the last sale (or ``as_of_month``);
     when no word file exists for it, the last month with words is used.
     """
     months = scores.select("month").distinct()
     last_sale = as_of_month or sales_month_key(sales).agg(F.max("month_str")).first()[0]
+    if last_sale is None:
+        return scores.select(F.lit("").alias("target_month"), F.lit("").alias("source_month"), "word", "score").limit(0)
     y, m = (int(x) for x in last_sale.split("-"))
     target = f"{y + m // 12:04d}-{m % 12 + 1:02d}"      # December rolls over
     has_target = months.where(F.col("month") == target).limit(1).count() > 0

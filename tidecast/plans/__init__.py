@@ -9,5 +9,6 @@ def load_all():
     from . import queries_items  # noqa: F401
     from . import queries_models  # noqa: F401
     from . import queries_stream  # noqa: F401
+    from . import queries_roundtrip  # noqa: F401
     from .registry import ORACLE, REGISTRY
     return REGISTRY, ORACLE

@@ -118,7 +118,7 @@ def items_normalise(spark, sf_dir):
 
 
 @register("items_enrich", """
-WITH hits AS (SELECT event_id, event_type AS keyword, user_id AS video_id FROM events WHERE event_type = 'view'),
+WITH hits AS (SELECT event_id, event_type AS keyword, user_id AS video_id FROM events),
 det AS (SELECT user_id AS video_id, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS view_count,
                count(*) AS like_count, CAST(NULL AS BIGINT) AS comment_count,
                CAST(max(trunc(value)) AS BIGINT) AS duration
@@ -127,9 +127,9 @@ SELECT h.event_id, h.keyword, h.video_id, coalesce(d.view_count, 0) AS view_coun
        d.like_count, d.comment_count, CAST(d.duration AS VARCHAR) AS duration
 FROM hits h LEFT JOIN det d USING (video_id)""")
 def items_enrich(spark, sf_dir):
-    """View hits ⟕ per-video details aggregated from purchase events."""
+    """All events as hits ⟕ per-video details; a video has details once it was purchased."""
     ev = table(spark, sf_dir, "events")
-    hits = ev.where(F.col("event_type") == "view").select(
+    hits = ev.select(
         "event_id", F.col("event_type").alias("keyword"), F.col("user_id").alias("video_id"))
     det = (ev.where(F.col("event_type") == "purchase").groupBy(F.col("user_id").alias("video_id"))
            .agg(F.sum(F.get_json_object("props", "$.k").cast("bigint")).alias("view_count"),

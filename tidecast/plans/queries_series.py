@@ -12,6 +12,8 @@ from ..operators import sequences as sq
 from ..operators import timeseries as ts
 from ..params import (MIN_SAMPLES, MIN_WINDOWS_COMPARE, SEQUENCE_FEATURES, SEQUENCE_LENGTH_PRESETS,
                       VALIDATION_SHARE, WORD_LAGS)
+from ..functions.calendar import period_group_key, period_label
+from ..session import materialise
 from ..sources.tables import monthly_sales, order_facts
 from .registry import comparable, register
 from .sql_blocks import cast_wrap, period_table_sql, with_facts
@@ -306,11 +308,20 @@ def residual_summary(spark, sf_dir):
 
 
 # --- M18 / A13 / PF11 / PF12: comparison across grains ----------------------------------
+def grain_totals(spark, sf_dir) -> dict[str, DataFrame]:
+    """(period, total_sales) per grain from one scan: days are summed once and rolled up."""
+    facts = order_facts(spark, sf_dir, category=False, segment=False).where(F.col("order_date").isNotNull())
+    days = materialise(facts.groupBy(F.to_date("order_date").alias("day")).agg(F.sum("order_total").alias("total")), "day-totals")
+    return {freq: (days.groupBy(period_group_key("day", freq).alias("k"))
+                   .agg(F.coalesce(F.sum("total"), F.lit(0.0)).alias("total_sales"))
+                   .select(period_label(F.col("k"), freq).alias("period"), "total_sales")) for freq in FREQ_ORDER}
+
+
 def compare_frame(spark, sf_dir) -> DataFrame:
-    facts = order_facts(spark, sf_dir)
+    totals = grain_totals(spark, sf_dir)
     parts = []
     for i, freq in enumerate(FREQ_ORDER):
-        p = agg.aggregate_periods(facts, freq)
+        p = totals[freq]
         nf = naive_forecast(p, SEQUENCE_LENGTH_PRESETS[freq])
         m = met.regression_metrics(nf).select(F.lit(freq).alias("freq"), F.lit(i).alias("ord"), "*")
         parts.append(m)
@@ -354,10 +365,10 @@ def compare_frequencies(spark, sf_dir):
 def next_period_frame(spark, sf_dir, k: int = 3) -> DataFrame:
     """Per grain: last period, last value, mean of the last k values as the
     reference-line prediction, and the change percent against the last value."""
-    facts = order_facts(spark, sf_dir)
+    totals = grain_totals(spark, sf_dir)
     out = []
     for freq in FREQ_ORDER:
-        p = agg.aggregate_periods(facts, freq).select(
+        p = totals[freq].select(
             F.col("period").cast("string").alias("period"), "total_sales")
         w = ts.series_window("period")
         p = p.withColumn("pred", F.avg("total_sales").over(w.rowsBetween(-(k - 1), 0)))
