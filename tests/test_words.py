@@ -124,3 +124,14 @@ def test_word_feature_vectors(spark, inputs):
     cols = sorted(c for c in m.columns if c.startswith("word_score_"))
     r = v.orderBy("month").first()
     assert r["features"].toArray().tolist() == [r[c] for c in cols]
+
+
+def test_fifty_thousand_words(spark):
+    """No ceiling on the vocabulary: sparse features, no literal per word."""
+    from tidecast.operators import learn
+    rows = [(f"2024-{m:02d}", f"w{(i * 7919 + m * 13) % 50_000:05d}") for m in range(1, 9) for i in range(9_000)]
+    words = spark.createDataFrame(rows, "month string, word string").distinct()
+    sales = spark.sql("SELECT make_date(2024, cast(id AS int), 1) AS month, cast(100 + id * id AS double) AS sales FROM range(1, 9)")
+    imp = learn.word_importance(words, sales, "lasso")
+    assert imp.count() == words.select("word").distinct().count() > 40_000
+    assert imp.where("score < 0 or score > 1").count() == 0

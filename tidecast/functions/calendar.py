@@ -58,11 +58,6 @@ def period_start_date(period, freq: str) -> Column:
     return period.cast("date")
 
 
-def month_string(c) -> Column:
-    """Timestamp/date -> 'yyyy-MM'; strings pass through unchanged."""
-    return F.date_format(_col(c), "yyyy-MM")
-
-
 def next_month_string(as_of) -> Column:
     """'yyyy-MM' of the calendar month after ``as_of`` (December rolls over)."""
     return F.date_format(F.add_months(F.trunc(_col(as_of).cast("date"), "MM"), 1), "yyyy-MM")

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import (GBTRegressor, LinearRegression, RandomForestRegressor)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ TREES = 100
 SEED = 42
 WORD_METHODS = ("ridge", "lasso", "random_forest", "gradient_boosting")
 HUBER_L2 = 0.1
-MAX_MODEL_WORDS = 10_000   # dense design columns; beyond it use the sparse correlation score (M10)
+NORMAL_EQUATION_WORDS = 4_096   # Spark's limit of the normal-equation solver
 
 
 # --- helpers ---------------------------------------------------------------------
@@ -57,28 +59,25 @@ def _scale_array(arr: Column, means, stds) -> Column:
 def word_design(words: DataFrame, sales: DataFrame):
     """J3 + M1 + sklearn StandardScaler: (month, y, features) and the vocabulary.
 
-    The vocabulary (sorted) is needed on the driver to name coefficients -
-    one entry per distinct word, the model's own dimension.
+    Features are sparse: presence over the word's population standard deviation.
+    Centring is left to the intercept, which no model here penalises (trees don't
+    see a shift at all).  The vocabulary (sorted) is needed on the driver to
+    name coefficients - one entry per word, the model's own dimension.
     """
     words = words.select("month", "word")
     train = training_set(words, sales).persist()   # one row per month
-    # vocabulary of ALL months (also months without a sale), bounded before it is collected
-    vocab = [r["word"] for r in words.select("word").distinct().orderBy("word")
-             .limit(MAX_MODEL_WORDS + 1).collect()]
-    if len(vocab) > MAX_MODEL_WORDS:
-        train.unpersist()
-        raise ValueError(f"more than {MAX_MODEL_WORDS} words: use words.correlation_scores (sparse)")
+    # vocabulary of ALL months, also months without a sale
+    vocab = [r["word"] for r in words.select("word").distinct().orderBy("word").collect()]
     n_months = train.count()
-    # presence rate per word over the training months (sparse groupBy)
-    pres = {r["word"]: r["n"] for r in
-            train.select(F.explode("words").alias("word")).groupBy("word").count()
-            .withColumnRenamed("count", "n").collect()}
-    means = [pres.get(w, 0) / n_months for w in vocab]
-    stds = [(p * (1 - p)) ** 0.5 for p in means]
-    voc = F.array(*[F.lit(w) for w in vocab])
-    hot = F.transform(voc, lambda w: F.when(F.array_contains(F.col("words"), w), 1.0).otherwise(0.0))
-    x = train.select("month", F.col("sales").cast("double").alias("y"),
-                     array_to_vector(_scale_array(hot, means, stds)).alias("features"))
+    if not n_months:
+        return train, vocab, 0, train
+    hot = (CountVectorizerModel.from_vocabulary(vocab, inputCol="words", outputCol="hot", binary=True)
+           .transform(train).select("month", F.col("sales").cast("double").alias("y"), "hot"))
+    # Spark's scaler divides by the sample standard deviation, sklearn's by the population's
+    unit = StandardScaler(inputCol="hot", outputCol="unit", withMean=False, withStd=True).fit(hot)
+    factor = (n_months / (n_months - 1)) ** 0.5 if n_months > 1 else 1.0
+    to_population = ElementwiseProduct(scalingVec=Vectors.dense([factor] * len(vocab)), inputCol="unit", outputCol="features")
+    x = to_population.transform(unit.transform(hot)).select("month", "y", "features")
     return sized_for_fit(x, n_months), vocab, n_months, train
 
 
@@ -86,7 +85,7 @@ def _y_pop_std(x: DataFrame) -> float:
     return float(x.agg(F.stddev_pop("y")).first()[0] or 0.0)
 
 
-def fit_word_model(x: DataFrame, method: str, n: int):
+def fit_word_model(x: DataFrame, method: str, n: int, words: int):
     """Fit one of the reference's four estimators on the standardised design."""
     if method == "ridge":
         # sklearn: ||y - Xw||² + α||w||².  Spark's normal-equation solver scales
@@ -94,7 +93,8 @@ def fit_word_model(x: DataFrame, method: str, n: int):
         # the closed-form minimiser (checked against NumPy in the tests).
         sy = _y_pop_std(x) or 1.0
         lr = LinearRegression(featuresCol="features", labelCol="y", regParam=RIDGE_ALPHA * sy / n,
-                              elasticNetParam=0.0, standardization=False, solver="normal")
+                              elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-10,
+                              solver="normal" if words <= NORMAL_EQUATION_WORDS else "l-bfgs")
         return lr.fit(x), "coef"
     if method == "lasso":
         # sklearn: 1/(2n)||y - Xw||² + α||w||₁; Spark's L1 path also works on
@@ -124,7 +124,7 @@ def word_importance(words: DataFrame, sales: DataFrame, method: str = "gradient_
         train.unpersist()
         words.unpersist()
         raise ValueError("no month has both words and sales")
-    model, kind = fit_word_model(x, method, n)
+    model, kind = fit_word_model(x, method, n, len(vocab))
     train.unpersist()
     words.unpersist()
     raw = (model.coefficients if kind == "coef" else model.featureImportances).toArray().tolist()
@@ -142,7 +142,7 @@ def importance_checks(words: DataFrame, sales: DataFrame, method: str) -> DataFr
     miss a sum of 1.  ``valid``: score within 0..1 and direction by the sign."""
     words = words.select("month", "word").persist()
     x, vocab, n, train = word_design(words, sales)
-    model, kind = fit_word_model(x, method, n)
+    model, kind = fit_word_model(x, method, n, len(vocab))
     coef = (model.coefficients if kind == "coef" else model.featureImportances).toArray().tolist()
     spark = words.sparkSession
     df = spark.createDataFrame([(i, w, float(v)) for i, (w, v) in enumerate(zip(vocab, coef))], "idx int, word string, raw_importance double")

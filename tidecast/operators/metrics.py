@@ -48,9 +48,3 @@ def residual_histogram(res: DataFrame, col: str = "abs_pct_error", bins: int = 2
     return (res.where(x.isNotNull()).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
             .withColumns({"bin_lo": F.lit(a) + (F.col("bin") - 1) * F.lit(width),
                           "bin_hi": F.lit(a) + F.col("bin") * F.lit(width)}))
-
-
-def best_by_r2(metrics: DataFrame, key: str = "freq", order_col: str = "ord") -> DataFrame:
-    """The successful row with the highest R2; ties -> first in ``order_col``."""
-    ok = metrics.where(F.col("status") == "success")
-    return ok.agg(F.min_by(F.col(key), F.struct(-F.col("R2"), F.col(order_col))).alias(f"best_{key}"))

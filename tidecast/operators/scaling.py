@@ -57,10 +57,6 @@ def standard_expr(c: Column | str, name: str, stats: StandardStats) -> Column:
     return (c.cast("double") - F.lit(stats.mean[name])) / F.lit(s)
 
 
-def apply_standard(df: DataFrame, cols: list[str], stats: StandardStats, suffix: str = "") -> DataFrame:
-    return df.withColumns({f"{c}{suffix}": standard_expr(c, c, stats) for c in cols})
-
-
 def fit_minmax(df: DataFrame, cols: list[str]) -> MinMaxStats:
     row = df.agg(*[F.min(_q(c)).alias(f"lo_{c}") for c in cols],
                  *[F.max(_q(c)).alias(f"hi_{c}") for c in cols]).first()
@@ -83,7 +79,3 @@ def inverse_minmax_expr(c: Column | str, name: str, stats: MinMaxStats | None) -
         raise ValueError("scaler is not fitted")
     c = _q(c) if isinstance(c, str) else c
     return c * F.lit(_range(stats, name)) + F.lit(stats.lo[name])
-
-
-def apply_minmax(df: DataFrame, cols: list[str], stats: MinMaxStats, suffix: str = "") -> DataFrame:
-    return df.withColumns({f"{c}{suffix}": minmax_expr(c, c, stats) for c in cols})

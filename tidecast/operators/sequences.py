@@ -66,8 +66,3 @@ def sequences_long(seq: DataFrame, features: list[str], order_col: str = "period
                  F.posexplode("vec").alias("fp", "value"))
     return b.select(*series_keys, order_col, "step",
                     F.element_at(names, F.col("fp") + 1).alias("feature"), "value")
-
-
-def flatten_sequences(seq: DataFrame) -> DataFrame:
-    """x_seq (L x F) ++ x_extra as one ``array<double>`` column ``features`` (ML input)."""
-    return seq.withColumn("features_arr", F.concat(F.flatten("x_seq"), F.col("x_extra")))

@@ -163,12 +163,3 @@ def run_collection(spark: SparkSession, items: DataFrame | str, out_base: str, p
     sinks.write_items(unique, f"{out_base}/items_json", f"{out_base}/items_csv")
     counts = it.collection_counts(ranked).first()
     return {"n_collected": counts["n_collected"], "n_unique": counts["n_unique"]}
-
-
-def naive_metrics(spark: SparkSession, sf_dir: str, freq: str, length: int) -> DataFrame:
-    """Reference line: lag-1 forecast metrics over the same windows as the model."""
-    p = agg.aggregate_periods(order_facts(spark, sf_dir), freq)
-    w = ts.series_window("period")
-    nf = (p.select(F.col("total_sales").alias("y"), F.lag("total_sales", 1).over(w).alias("y_pred"),
-                   F.row_number().over(w).alias("rn")).where(F.col("rn") > length))
-    return met.regression_metrics(nf)
