@@ -88,7 +88,7 @@ class WordIds:
         one text: each is one token run, whose last id is a word-end id."""
         out: list = [None] * len(words)
         plain = [i for i, w in enumerate(words) if w.isalpha() and w == w.lower() and max(w) < LATIN_END] if self.plain else []
-        runs = [plain[at:at + 2000] for at in range(0, len(plain), 2000)]
+        runs = [plain[at:at + 100] for at in range(0, len(plain), 100)]
         texts = [" ".join([words[i] for i in run]) for run in runs]
         if self.compared < COMPARED_TEXTS:                   # the short way has to agree with the whole tokenizer
             for text in texts[:COMPARED_TEXTS]:
