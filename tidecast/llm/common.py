@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from functools import wraps
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +39,18 @@ def fold(id_column: Column, modulus: int) -> Column:
 def parts_for(rows: int, rows_per_part: int, least: int = 1) -> int:
     """A partition count that grows with the rows."""
     return max(least, -(-int(rows) // rows_per_part))
+
+
+def tidy(run):
+    """A task's function over batches that hands freed memory back to the system
+    when it ends: workers are reused, and what they hold counts against their executor."""
+    @wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+    return tidied

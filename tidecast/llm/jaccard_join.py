@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise, parts_for
+from .common import id_and_text, materialise, tidy
 from .components import connected_components
 from .packing import slices_by_size
 from .word_hashes import ByteHasher, mix, text_bytes, word_bounds
@@ -106,7 +106,7 @@ def _heavy_counts(batches):
 
 def heavy_shingles(texts: DataFrame, documents: int) -> np.ndarray:
     """Shingles of more than one document in HEAVY_SHARE; at most the average set size times HEAVY_SHARE of them."""
-    found = (texts.mapInArrow(_heavy_counts, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = (texts.mapInArrow(tidy(_heavy_counts), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
              .where(F.col("n") > max(10, documents // HEAVY_SHARE)).select("shingle").toPandas())
     return np.sort(found["shingle"].to_numpy(dtype=np.int64).view(np.uint64))
 
@@ -144,7 +144,7 @@ def _described(heavy, numerator: int):
                     sketches.append(np.minimum(np.bincount(classes, minlength=sketch_width(n)), 255).astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()),
                                                   pa.array(pivots, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], schema=schema)
-    return run
+    return tidy(run)
 
 
 # --- step 2: candidate regions --------------------------------------------
@@ -261,7 +261,7 @@ def _candidates(numerator: int):
             edges = candidate_edges(table, numerator)
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], schema=schema)
-    return run
+    return tidy(run)
 
 
 # --- step 3: recursive join of whole sets ---------------------------------
@@ -376,7 +376,7 @@ def _join_regions(numerator: int, key: str):
                     out += joined(reps[a:b], [np.frombuffer(x, np.uint64) for x in raw[a:b]], numerator, known and known[a:b])
             out = [(x, y) for x, y in out if x != y]
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], schema=schema)
-    return run
+    return tidy(run)
 
 
 # --- step 4: regions beyond one task --------------------------------------
@@ -389,7 +389,7 @@ def _pivot_links(numerator: int):
             union = f["n"] + f["pivot_n"] - common
             f["linked"] = 100 * np.array(common, dtype=np.int64) >= numerator * union
             yield f[f["linked"]][["region", "rep", "pivot"]]
-    return run
+    return tidy(run)
 
 
 def _largest(f: pd.DataFrame) -> pd.DataFrame:
@@ -469,7 +469,7 @@ def jaccard_components(docs: DataFrame, threshold_percent: int = 90, id_col: str
     if regions.count() <= BROADCAST_NODES:
         regions = F.broadcast(regions)
     sets = materialise(texts.join(regions, F.col("doc_id") == F.col("rep")).select("region", "rep", "text")
-                       .mapInArrow(_sets_of, "region long, rep long, n long, shingles binary"), "jaccard-regions")
+                       .mapInArrow(tidy(_sets_of), "region long, rep long, n long, shingles binary"), "jaccard-regions")
     large = materialise(sets.groupBy("region").agg(F.sum("n").alias("n")).where(F.col("n") > most_shingles).select("region"), "jaccard-large-ids")
     links = (sets.join(large, "region", "left_anti").repartition("region").sortWithinPartitions("region", "rep")
              .mapInArrow(_join_regions(threshold_percent, "region"), "a long, b long"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, tidy
 from .packing import slices_by_size
 
 UNKNOWN = "und"
@@ -216,7 +216,7 @@ def _predict(training: dict[str, str]):
             for batch in slices_by_size(whole, "text"):
                 langs, score = decide(parser.langs, *parser.phrases([t or "" for t in batch.column("text").to_pylist()]))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(score)], schema=PREDICTIONS)
-    return run
+    return tidy(run)
 
 
 def identify(docs: DataFrame, training: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,4 +238,4 @@ def keep_identified(docs: DataFrame, training: dict[str, str], text_col: str = "
             for batch in slices_by_size(whole, text_col):
                 langs, score = decide(parser.langs, *parser.phrases([t or "" for t in batch.column(text_col).to_pylist()]))
                 yield batch.filter(pa.array([lang != UNKNOWN and s >= min_score for lang, s in zip(langs, score)], pa.bool_()))
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -34,13 +34,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise, parts_for
+from .common import id_and_text, materialise, parts_for, tidy
 from .word_hashes import ByteHasher, text_bytes, word_bounds
 
 GROUPS = 256        # hash groups of documents
 HELD_BACK = 16      # groups whose ids are kept, so that they can be cut anywhere
 COMPARED_TEXTS = 4
-CACHED_WORDS = 2_000_000
+CACHED_WORDS = 1_500_000
 LATIN_END = "\u0250"         # letters below fold alike in Python and in the tokenizer
 ROWS_PER_BUCKET = 5_000
 
@@ -200,7 +200,7 @@ def _tokenise(tokenizer_path: str, end_id: int, size: int):
         from zlib import crc32
         ids_of = _WORD_IDS.get(tokenizer_path) or _WORD_IDS.setdefault(tokenizer_path, WordIds(tokenizer_path))
         for whole in batches:
-            for batch in slices_by_size(whole, "text", 2_000_000):
+            for batch in slices_by_size(whole, "text", 1_500_000):
                 rows, begin = [], 0
                 ids, upto = ids_of.of(batch.column("text"))
                 for doc_id, grp, stop in zip(batch.column("doc_id").to_pylist(), batch.column("grp").to_pylist(), upto.tolist()):
@@ -211,7 +211,7 @@ def _tokenise(tokenizer_path: str, end_id: int, size: int):
                         rows.append((doc_id, at, len(piece) // 4, crc32(piece), tokens, grp, piece if grp < HELD_BACK else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECES)] if rows
                                                  else [pa.array([], f.type) for f in PIECES], schema=PIECES)
-    return run
+    return tidy(run)
 
 
 # --- patterns -------------------------------------------------------------

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, tidy
 from .packing import slices_by_size
 
 WINDOW, STRIDE = 64, 32
@@ -366,7 +366,7 @@ def _score(model: dict | None):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 got = scorer.scores(texts) if scorer else np.zeros(len(texts))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.float64())], schema=SCORES)
-    return run
+    return tidy(run)
 
 
 def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text
+from .common import id_and_text, tidy
 from .packing import slices_by_size
 
 WORD_START = "▁"
@@ -124,7 +124,7 @@ def _count(pieces: list[str]):
                     unknown.append(total // UNKNOWN)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(tokens, pa.int64()),
                                                   pa.array(unknown, pa.int64())], schema=COUNTS)
-    return run
+    return tidy(run)
 
 
 def count_tokens(docs: DataFrame, pieces: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
