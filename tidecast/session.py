@@ -26,6 +26,8 @@ _DEFAULT_CONF = {
 def build_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   driver_memory: str = "8g", extra: dict | None = None) -> SparkSession:
     """Local session for tests and the bench (a cluster passes its own)."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (here, os.environ.get("PYTHONPATH")) if x)   # for Python workers
     builder = (SparkSession.builder.master(f"local[{cpus}]")
                .appName("tidecast")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
