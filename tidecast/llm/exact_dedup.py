@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialise
@@ -81,12 +81,11 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = [F.col(f"`{c}`") for c in docs.columns]
 
     def one_of_each(side: DataFrame, on: list[str]) -> DataFrame:
-        side = side.select(F.col("hash").alias(h), F.col("keep_id").alias(i), *[c for c in on])
+        side = side.select(F.col("hash").alias(h), F.col("keep_id").alias(i), *on)
         hit = (F.col(f"d.{h}") == F.col(f"k.{h}")) & F.col(f"d.`{id_col}`").eqNullSafe(F.col(f"k.{i}"))
         if on:
             hit = hit & (norm == F.col("k.norm"))
         kept = marked.alias("d").join(side.alias("k"), hit, "left_semi")
-        from pyspark.sql import Window
         keys = [h, f"`{id_col}`"] + ([norm] if on else [])
         first = F.row_number().over(Window.partitionBy(*keys).orderBy(h))
         return kept.withColumn("__exact_nth", first).where("__exact_nth = 1").select(*names)
