@@ -19,7 +19,6 @@ from ..operators import aggregate as agg
 from ..operators import explain as ex
 from ..operators import items as it
 from ..operators import learn
-from ..operators import metrics as met
 from ..operators import timeseries as ts
 from ..operators import words as wd
 from ..params import FREQS, MIN_DATA_MONTHS, MIN_WINDOWS_COMPARE, ForecastParams
