@@ -54,3 +54,15 @@ def tidy(run):
             if trim is not None:
                 trim(0)
     return tidied
+
+
+_HELD: dict = {}
+
+
+def held(key, build):
+    """An object that a Python worker builds once and keeps from task to task, until
+    another operator's takes its place: only one is kept, to bound the worker's memory."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]

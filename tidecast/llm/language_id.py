@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, tidy
+from .common import held, id_and_text, tidy
 from .packing import slices_by_size
 
 UNKNOWN = "und"
@@ -200,7 +200,6 @@ def fit(docs: DataFrame, learn: Column, lang_col: str = "lang", id_col: str = "d
     return training_text([(r["lang"], r["text"]) for r in drawn.select("lang", "text").collect()], train_chars)
 
 
-_PARSERS: dict[int, CrossParser] = {}
 PREDICTIONS = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
@@ -208,10 +207,7 @@ def _predict(training: dict[str, str]):
     key = hash(tuple(sorted(training.items())))
 
     def run(batches):
-        parser = _PARSERS.get(key)
-        if parser is None:
-            _PARSERS.clear()
-            parser = _PARSERS[key] = CrossParser(training)
+        parser = held(("languages", key), lambda: CrossParser(training))
         for whole in batches:
             for batch in slices_by_size(whole, "text"):
                 langs, score = decide(parser.langs, *parser.phrases([t or "" for t in batch.column("text").to_pylist()]))
@@ -230,10 +226,7 @@ def keep_identified(docs: DataFrame, training: dict[str, str], text_col: str = "
     key = hash(tuple(sorted(training.items())))
 
     def run(batches):
-        parser = _PARSERS.get(key)
-        if parser is None:
-            _PARSERS.clear()
-            parser = _PARSERS[key] = CrossParser(training)
+        parser = held(("languages", key), lambda: CrossParser(training))
         for whole in batches:
             for batch in slices_by_size(whole, text_col):
                 langs, score = decide(parser.langs, *parser.phrases([t or "" for t in batch.column(text_col).to_pylist()]))

@@ -34,13 +34,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, materialise, parts_for, tidy
+from .common import held, id_and_text, materialise, parts_for, tidy
 from .word_hashes import ByteHasher, text_bytes, word_bounds
 
 GROUPS = 256        # hash groups of documents
 HELD_BACK = 16      # groups whose ids are kept, so that they can be cut anywhere
 COMPARED_TEXTS = 4
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 2_000_000
 LATIN_END = "\u0250"         # letters below fold alike in Python and in the tokenizer
 ROWS_PER_BUCKET = 5_000
 
@@ -173,9 +173,6 @@ class WordIds:
         return ids, np.concatenate([[0], upto])[nth]
 
 
-_WORD_IDS: dict[str, WordIds] = {}
-
-
 def slices_by_size(batch: pa.RecordBatch, column: str, chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about ``chars`` bytes of text each: bounds a task's memory."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -198,7 +195,7 @@ def _tokenise(tokenizer_path: str, end_id: int, size: int):
 
     def run(batches):
         from zlib import crc32
-        ids_of = _WORD_IDS.get(tokenizer_path) or _WORD_IDS.setdefault(tokenizer_path, WordIds(tokenizer_path))
+        ids_of = held(("word ids", tokenizer_path), lambda: WordIds(tokenizer_path))
         for whole in batches:
             for batch in slices_by_size(whole, "text", 1_500_000):
                 rows, begin = [], 0

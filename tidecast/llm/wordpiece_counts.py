@@ -19,7 +19,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, tidy
+from .common import held, id_and_text, tidy
 from .packing import slices_by_size
 
 WORD_START = "▁"
@@ -100,7 +100,6 @@ class KnownLengths(dict):
         return n
 
 
-_LENGTHS: dict[int, KnownLengths] = {}
 COUNTS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("n_unknown", pa.int64())])
 
 
@@ -108,10 +107,7 @@ def _count(pieces: list[str]):
     key = hash(tuple(pieces))
 
     def run(batches):
-        known = _LENGTHS.get(key)
-        if known is None:
-            _LENGTHS.clear()
-            known = _LENGTHS[key] = KnownLengths(PieceAutomaton(pieces))
+        known = held(("piece lengths", key), lambda: KnownLengths(PieceAutomaton(pieces)))
         get = known.__getitem__
         for whole in batches:
             for batch in slices_by_size(whole, "text"):
