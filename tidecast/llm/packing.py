@@ -40,7 +40,7 @@ from .word_hashes import ByteHasher, text_bytes, word_bounds
 GROUPS = 256        # hash groups of documents
 HELD_BACK = 16      # groups whose ids are kept, so that they can be cut anywhere
 COMPARED_TEXTS = 4
-CACHED_WORDS = 2_000_000
+CACHED_WORDS = 2_400_000
 LATIN_END = "\u0250"         # letters below fold alike in Python and in the tokenizer
 ROWS_PER_BUCKET = 5_000
 
