@@ -49,6 +49,12 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_path(spark):
+    path = np.random.default_rng(0).permutation(5_000).tolist()     # labels that move one hop a round need over 1,000 rounds
+    got = connected_components(spark.createDataFrame(list(zip(path, path[1:])), "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == [(i, 0) for i in range(5_000)]
+
+
 @pytest.mark.parametrize("most", [4_000_000, 3_000])           # 3000: every group is a large region of several blocks
 def test_jaccard_equals_brute_force(spark, most):
     rows = near_copies()

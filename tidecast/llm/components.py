@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by label spreading and pointer jumping."""
+"""Connected components of an edge table, by label spreading, root hooking and pointer jumping."""
 
 from __future__ import annotations
 
@@ -8,23 +8,25 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 
-def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b); the component is its
-    smallest node.  Each round takes the smallest label among a node and its
-    neighbours, then that label's own label, and is written to the shared folder."""
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                       .where("a <> b").distinct(), "cc-edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
-                         .select("node", F.least("node", "near").alias("label")), "cc-labels")
-    for _ in range(rounds):
-        near = (both.join(labels.select(F.col("node").alias("b"), "label"), "b")
-                .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near")))
-        spread = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("seen"))
-        up = labels.select(F.col("node").alias("seen"), F.col("label").alias("above"))
-        new = materialise(spread.join(up, "seen").select("node", F.least("seen", "above").alias("label"),
-                                                         (F.least("seen", "above") < F.col("label")).alias("moved")), "cc-labels")
+    smallest node.  Each round finds for every node the smallest label of the
+    labels of itself and its neighbours; the node and the label it had both take it, so that
+    whole trees hook onto each other and rounds grow with the logarithm of the longest
+    path.  Rounds go on until no label moves; each is written to the shared folder."""
+    both = (edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            .where("a <> b").distinct())
+    both = materialise(both.unionByName(both.select("a", F.col("a").alias("b")).distinct()), "cc-edges")     # each node its own neighbour
+    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")), "cc-labels")
+    moved = True
+    while moved:
+        above = labels.join(labels.select(F.col("node").alias("label"), F.col("label").alias("above")), "label")
+        found = (both.join(above.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
+                 .agg(F.min("above").alias("found"), F.min(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("label")))
+        told = found.select(F.explode(F.array(F.struct("node", "found", "label"),
+                                              F.struct(F.col("label").alias("node"), "found", F.lit(None).cast("long").alias("label")))).alias("t"))
+        new = materialise(told.select("t.*").groupBy("node").agg(F.min("found").alias("found"), F.min("label").alias("label"))
+                          .select("node", F.col("found").alias("label"), (F.col("found") < F.col("label")).alias("moved")), "cc-labels")
         moved = not new.where("moved").isEmpty()
         labels = new.drop("moved")
-        if not moved:
-            break
     return labels.select("node", F.col("label").alias("component"))
