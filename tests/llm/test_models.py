@@ -39,6 +39,15 @@ def test_language_id(spark):
     assert held[0] > 0.99 and held[1] >= 0 and held[2] <= 1
 
 
+@pytest.mark.parametrize("stray", ["abc", " "])
+def test_language_with_next_to_no_text_shortens_no_other(spark, stray):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    training = lang.fit(docs.unionByName(spark.createDataFrame([(-1, stray, "aa")], docs.schema)), F.lit(True))
+    assert training["aa"] == stray and min(len(t) for k, t in training.items() if k != "aa") > 1000
+    got = lang.identify(docs, training).join(docs.where("lang is not null and length(text) > 0").select("doc_id", "lang"), "doc_id")
+    assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.95
+
+
 def test_language_awkward(spark):
     docs = awkward(spark)
     training = {"en": "the cat and the dog of alpha beta gamma", "fr": "le chat et le chien de la maison noire de"}

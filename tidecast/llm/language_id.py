@@ -3,8 +3,10 @@
 For each language a suffix automaton of labelled text accepts exactly that
 text's substrings.  A document is parsed against each: a phrase is the longest
 match that starts where the last one ended, so the phrase count times the log
-of the training length is a cross-entropy estimate.  Training lengths are
-equal, so the language with the fewest phrases per letter wins.
+of the training length is a cross-entropy estimate.  Languages keep training texts of
+their own lengths.  To the length come the codes of the alphabet, as if each stood once before the
+text: so a text of a few letters costs no less than plain spelling, and the
+language of least cost wins.
 
 Automata are turned into dense tables, and documents into fixed-length
 segments (a phrase ends where its segment ends, alike for all languages), so a
@@ -17,7 +19,7 @@ other languages, so each half of the rows is first parsed with automata of the o
 half, and chunks that another language parses better are left out.
 
 Defined results: ``und`` with score 0 for a null text, an empty text and a text
-without letters; equal counts go to the first language in order; with no
+without letters; equal costs go to the first language in order; with no
 labelled rows every text is ``und``; null ids and repeated rows get a row
 each; other columns are ignored.
 """
@@ -116,7 +118,9 @@ class CrossParser:
     def __init__(self, training: dict[str, str]):
         self.langs = sorted(training)
         self.letters = LetterCodes(list(training.values()))
-        self.tables = [parse_table(self.letters.of(training[lang]), self.letters.size) for lang in self.langs]
+        codes = [self.letters.of(training[lang]) for lang in self.langs]
+        self.tables = [parse_table(c, self.letters.size) for c in codes]
+        self.cost = np.array([np.log(len(c) + self.letters.size) for c in codes])      # of a phrase
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(letters of each text, phrases by text and language)."""
@@ -142,16 +146,17 @@ class CrossParser:
             counts[:, k] = np.bincount(owner, weights=missed + 1, minlength=len(texts))
         return letters, counts
 
-
-def decide(langs: list[str], letters: np.ndarray, counts: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Language of fewest phrases; score: by how much of the next one's phrases it is shorter."""
-    if not langs:
-        return [UNKNOWN] * len(letters), np.zeros(len(letters))
-    best = counts.argmin(axis=1)
-    ordered = np.sort(counts, axis=1).astype(np.float64)
-    second = ordered[:, 1] if len(langs) > 1 else np.maximum(letters, 1) + 1.0
-    score = np.where(letters > 0, np.clip(1 - ordered[:, 0] / np.maximum(second, 1), 0, 1), 0.0)
-    return [langs[b] if n else UNKNOWN for b, n in zip(best, letters)], score
+    def decide(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """Language of least cost; score: by how much of the next one's cost it is cheaper."""
+        letters, counts = self.phrases(texts)
+        if not self.langs:
+            return [UNKNOWN] * len(letters), np.zeros(len(letters))
+        costs = counts * self.cost
+        best = costs.argmin(axis=1)
+        ordered = np.sort(costs, axis=1)
+        second = ordered[:, 1] if len(self.langs) > 1 else (np.maximum(letters, 1) + 1) * self.cost[0]
+        score = np.where(letters > 0, np.clip(1 - ordered[:, 0] / np.maximum(second, 1), 0, 1), 0.0)
+        return [self.langs[b] if n else UNKNOWN for b, n in zip(best, letters)], score
 
 
 def chunks(text: str, size: int = 400) -> list[str]:
@@ -159,7 +164,7 @@ def chunks(text: str, size: int = 400) -> list[str]:
 
 
 def training_text(rows: list[tuple[str, str]], train_chars: int) -> dict[str, str]:
-    """Equal amounts of text per language from labelled rows, foreign chunks left out."""
+    """At most ``train_chars`` characters of text per language from labelled rows, foreign chunks left out."""
     halves: list[dict[str, list[list[str]]]] = [{}, {}]
     nth: dict[str, int] = {}
     for lang, text in sorted(rows):
@@ -167,13 +172,12 @@ def training_text(rows: list[tuple[str, str]], train_chars: int) -> dict[str, st
         halves[n % 2].setdefault(lang, []).append(chunks(text))
 
     def mixed(of: dict[str, list[list[str]]]) -> dict[str, str]:
-        """The rows' chunks in turn, cut to one length for all languages."""
+        """The rows' chunks in turn."""
         texts = {}
         for lang, docs in of.items():
             turns = [d[i] for i in range(max(map(len, docs), default=0)) for d in docs if i < len(d)]
             texts[lang] = " ".join(turns)[:train_chars]
-        least = min(map(len, texts.values()), default=0)
-        return {lang: t[:least] for lang, t in texts.items() if t[:least]}
+        return {lang: t for lang, t in texts.items() if t}
 
     cleaned: dict[str, list[list[str]]] = {}
     for own, other in ((halves[0], halves[1]), (halves[1], halves[0])):
@@ -181,7 +185,7 @@ def training_text(rows: list[tuple[str, str]], train_chars: int) -> dict[str, st
         for lang, docs in own.items():
             for doc in docs:
                 if lang in parser.langs and len(parser.langs) > 1 and doc:
-                    langs, _ = decide(parser.langs, *parser.phrases(doc))
+                    langs, _ = parser.decide(doc)
                     doc = [c for c, found in zip(doc, langs) if found in (lang, UNKNOWN)]
                 if doc:
                     cleaned.setdefault(lang, []).append(doc)
@@ -210,7 +214,7 @@ def _predict(training: dict[str, str]):
         parser = held(("languages", key), lambda: CrossParser(training))
         for whole in batches:
             for batch in slices_by_size(whole, "text"):
-                langs, score = decide(parser.langs, *parser.phrases([t or "" for t in batch.column("text").to_pylist()]))
+                langs, score = parser.decide([t or "" for t in batch.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(score)], schema=PREDICTIONS)
     return tidy(run)
 
@@ -229,6 +233,6 @@ def keep_identified(docs: DataFrame, training: dict[str, str], text_col: str = "
         parser = held(("languages", key), lambda: CrossParser(training))
         for whole in batches:
             for batch in slices_by_size(whole, text_col):
-                langs, score = decide(parser.langs, *parser.phrases([t or "" for t in batch.column(text_col).to_pylist()]))
+                langs, score = parser.decide([t or "" for t in batch.column(text_col).to_pylist()])
                 yield batch.filter(pa.array([lang != UNKNOWN and s >= min_score for lang, s in zip(langs, score)], pa.bool_()))
     return docs.mapInArrow(tidy(run), docs.schema)
