@@ -48,6 +48,26 @@ def test_language_with_next_to_no_text_shortens_no_other(spark, stray):
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.95
 
 
+def test_languages_of_many_letters(spark):
+    rng = np.random.default_rng(5)
+    spans = {"el": (0x3B1, 24), "en": (97, 26), "ja": (0x3041, 80), "ru": (0x430, 32), "th": (0xE01, 40), "hi": (0x905, 50),
+             "ko": (0xAC00, 900), "zh": (0x4E00, 1500)}            # code points of Korean and Chinese come after the 250th letter
+
+    def text(k, n):                                           # few of a span's letters make most of a text
+        first, many = spans[k]
+        return "".join(chr(first + int(many * x ** 3)) if y else " " for x, y in zip(rng.random(n), rng.random(n) > 0.1))
+
+    rows = [(i, text(k, 2_000), k) for i, k in enumerate([*spans] * 6)]
+    training = lang.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert sorted(training) == sorted(spans)
+    given = {i: k for i, k in enumerate([*spans] * 3)}
+    held = spark.createDataFrame([(i, text(k, 100)) for i, k in given.items()], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in lang.identify(held, training).collect()} == given
+    codes = lang.LetterCodes(list(training.values()))
+    letters = sorted({c for t in training.values() for c in t if c != " "})
+    assert len({codes.of(c).tobytes() for c in letters}) == len(letters) > lang.SINGLES and codes.size < 256
+
+
 def test_language_awkward(spark):
     docs = awkward(spark)
     training = {"en": "the cat and the dog of alpha beta gamma", "fr": "le chat et le chien de la maison noire de"}

@@ -26,6 +26,9 @@ each; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -38,17 +41,27 @@ UNKNOWN = "und"
 SEGMENT = 256
 #: Codes of a table: 0 is any run of other characters, 1 a letter not in the training text, 2 the padding.
 SEPARATOR, UNSEEN, PAD = 0, 1, 2
+#: Up to SINGLES letters have a code each, else the MOST_USED most used ones; that bounds the tables' width.
+SINGLES, MOST_USED = 250, 64
 MISS = np.int32(-2**31)
 
 
 class LetterCodes:
-    """Characters -> small codes; upper and lower case alike."""
+    """Characters -> small codes; upper and lower case alike.  Of more than ``SINGLES``
+    letters the ``MOST_USED`` most used ones have a code each, any other is a pair of codes, one of
+    its row and one of its column in a square; none of these codes means anything else."""
 
     def __init__(self, texts: list[str]):
-        letters = sorted({c for t in texts for c in t.lower() if c.isalpha()})
-        codes = {c: i + 3 for i, c in enumerate(letters[:250])}
-        self.size = 3 + len(codes)
-        table = np.full(0x110000, SEPARATOR, dtype=np.uint8)
+        count = Counter(c for t in texts for c in t.lower() if c.isalpha())
+        letters = sorted(count)
+        if len(letters) > SINGLES:
+            letters = sorted(sorted(letters, key=lambda c: (-count[c], c))[:MOST_USED])
+        pairs = sorted(count.keys() - set(letters))
+        self.rows = 3 + len(letters)                          # the first code of a row; columns follow rows
+        self.side = math.isqrt(len(pairs) - 1) + 1 if pairs else 0
+        self.size = self.rows + 2 * self.side
+        codes = {c: i + 3 for i, c in enumerate(letters)} | {c: self.size + i for i, c in enumerate(pairs)}
+        table = np.full(0x110000, SEPARATOR, dtype=np.int32)
         for i in range(0x110000):
             c = chr(i)
             if c.isalpha():
@@ -62,6 +75,13 @@ class LetterCodes:
             same[0] = True
             np.logical_or(codes[1:] != SEPARATOR, codes[:-1] != SEPARATOR, out=same[1:])
             codes = codes[same]
+        pair = codes >= self.size
+        if pair.any():
+            at = np.flatnonzero(pair)
+            nth, at = codes[at] - self.size, at + np.arange(len(at))
+            codes = np.repeat(codes, 1 + pair)
+            codes[at] = self.rows + nth // self.side
+            codes[at + 1] = self.rows + self.side + nth % self.side
         return codes
 
 
