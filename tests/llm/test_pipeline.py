@@ -47,5 +47,5 @@ def test_stages_on_awkward_rows(spark):
 
 
 def test_every_operator_is_registered():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)

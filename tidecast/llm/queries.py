@@ -10,7 +10,9 @@ from .common import fold, table
 from .exact_dedup import exact_duplicates
 from .jaccard_join import jaccard_components
 from .license_scan import COPYRIGHT_LINE, KNOWN, RIGHTS_RESERVED, SPELLINGS, known_licenses, scan_licenses
+from .multiprobe import nearest_neighbours
 from .packing import pack
+from .periodic_runs import periodic_runs
 from .spaced_seeds import MASKS, REACH, SHARE, decontaminate
 from .url_rules import apply_url_rules
 
@@ -170,3 +172,36 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_jaccard_join")
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), threshold_percent=90)
+
+
+@query("op12_nearest_neighbours")
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
+def _with_planted_periods(docs: DataFrame) -> DataFrame:
+    """The query's input: of every id with crc32(id) % 10 = 0, the words from one place on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.size("words").cast("long")
+    split = (docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+             .withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.when(n > 0, F.col("g") % n))
+             .withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))))
+    a, p = F.col("a").cast("int"), F.col("p").cast("int")
+    again = F.flatten(F.array_repeat(F.slice("words", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    repeated = F.array_join(F.slice(F.concat(F.slice("words", F.lit(1), a), again), F.lit(1), n.cast("int")), " ")
+    return split.select("doc_id", F.when(n > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs(_with_planted_periods(docs), least=12)
+    longest = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period")))), 1)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return (found.withColumn("top", F.when(F.size("runs") > 0, longest))
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"), (-F.col("top.l")).alias("length"),
+                    F.col("top.period").alias("period"), F.floor(F.lit(1000) * -F.col("top.l") / F.col("top.period")).cast("long").alias("exponent_milli"),
+                    F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+                    F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")))
