@@ -13,6 +13,7 @@ from .license_scan import COPYRIGHT_LINE, KNOWN, RIGHTS_RESERVED, SPELLINGS, kno
 from .multiprobe import nearest_neighbours
 from .packing import pack
 from .periodic_runs import periodic_runs
+from .prefix_trie import prefix_trie, turn_digests
 from .spaced_seeds import MASKS, REACH, SHARE, decontaminate
 from .url_rules import apply_url_rules
 
@@ -205,3 +206,54 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("top.period").alias("period"), F.floor(F.lit(1000) * -F.col("top.l") / F.col("top.period")).cast("long").alias("exponent_milli"),
                     F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
                     F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")))
+
+
+#: CRC-32 of a decimal number's characters, bit by bit (DuckDB has no such function).
+def _crc32_sql(c: str) -> str:
+    step = "list_reduce(list_prepend(xor(r, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))"
+    bytes_ = f"list_transform(string_split({c}::VARCHAR, ''), lambda k: ascii(k)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda r, b: {step}), 4294967295)"
+
+
+@query("op11_prefix_trie", f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':'
+                                     || coalesce(role, '') || coalesce(text, ''))) AS place
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc32_sql('conv_id')} % 9 AS h
+      FROM (SELECT DISTINCT conv_id FROM t)),
+m AS (SELECT c.*, (SELECT count(*) FROM t WHERE t.conv_id = c.base AND t.place <= c.h) AS n_head FROM c),
+r AS (SELECT c.conv_id, t.place AS depth, role, text FROM c JOIN t ON t.conv_id = c.base AND t.place <= c.h
+      UNION ALL
+      SELECT m.conv_id, place - h + n_head, role, text FROM m JOIN t ON t.conv_id = m.conv_id AND place > h),
+e AS (SELECT conv_id, depth, strlen(text) AS n_bytes,
+             string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY depth) AS key
+      FROM r
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+x AS (SELECT *, md5(key) AS node, lag(md5(key)) OVER w AS up, depth = max(depth) OVER (PARTITION BY conv_id) AS last
+      FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+n AS (SELECT node, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n_bytes) AS saved,
+             sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256
+      FROM x GROUP BY node, depth),
+k AS (SELECT n.*, (SELECT count(*) FROM n AS o WHERE o.up = n.node AND o.depth = n.depth + 1) AS n_children FROM n),
+s AS (SELECT x.node, x.depth, sum(saved) AS saved_tokens, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves
+      FROM x JOIN k ON x.conv_id = k.conv_id AND x.depth <= k.depth GROUP BY x.node, x.depth)
+SELECT k.conv_id::BIGINT AS conv_id, k.depth::BIGINT AS depth, p.conv_id::BIGINT AS parent_conv_id, k.n_convs::BIGINT AS n_convs,
+       k.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, k.ends_sha256
+FROM k JOIN s ON k.node = s.node AND k.depth = s.depth LEFT JOIN n AS p ON k.up = p.node AND p.depth = k.depth - 1
+""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations are rebuilt first: conversation c begins with the first h turns of conversation c - c % 5."""
+    turns = turn_digests(table(spark, sf_dir, "conversations"))
+    head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    convs = turns.where("last").select("conv_id", F.col("place").alias("n"), (F.col("conv_id") - F.col("conv_id") % 5).alias("base"), head.alias("h"))
+    heads = turns.where("conv_id % 5 = 0 and place <= 8")                     # h is at most 8
+    found = (convs.where("base <> conv_id").join(heads.groupBy(F.col("conv_id").alias("base")).agg(F.max("place").alias("n_base")), "base", "left")
+             .withColumn("n_head", F.least(F.coalesce("n_base", F.lit(0)), "h")))
+    copied = (found.select("conv_id", "base", "h").join(heads.withColumnRenamed("conv_id", "base"), "base").where("place <= h")
+              .select("conv_id", F.col("place").alias("depth"), "h1", "h2", "n_bytes"))
+    shifts = found.where("n_head < h").select("conv_id", (F.col("h") - F.col("n_head")).alias("shift"))
+    own = (turns.where(F.col("conv_id") % 5 != 0).withColumn("h", head).where("place > h").join(shifts, "conv_id", "left")
+           .select("conv_id", (F.col("place") - F.coalesce("shift", F.lit(0))).alias("depth"), "h1", "h2", "n_bytes"))
+    bases = turns.where(F.col("conv_id") % 5 == 0).select("conv_id", F.col("place").alias("depth"), "h1", "h2", "n_bytes")
+    return prefix_trie(bases.unionByName(copied).unionByName(own), turnless=found.where("n_head = 0 and n <= h").select("conv_id"))
