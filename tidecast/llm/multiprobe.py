@@ -270,6 +270,8 @@ def _search(dtype: str, dim: int, most: int, products: int = 2_000_000):
                     found.append((own[s:s + step][query], ids[0][at], exact))
                 if sum(len(f[0]) for f in found[1:]) > products:
                     found = [_nearest(*(np.concatenate(x) for x in zip(*found)), most)]
+        if len(found) == 1 and not len(found[0][0]):
+            return
         query, other, score = _nearest(*(np.concatenate(x) for x in zip(*found)), most)
         for a in range(0, len(query), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[a:a + 50_000]) for x in (query, other, score)], schema=schema)
