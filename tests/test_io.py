@@ -69,7 +69,7 @@ def test_item_dump_and_sinks(spark, tmpdir_path):
     raw = raw.where("id = 'v1'")
     from tidecast.operators.items import normalise_record
     rec = normalise_record(raw, keep=["id"]).first()
-    assert rec["url"] == "watch?v=v1" and rec["channel_title"] == "ch" and rec["view_count"] == 0
+    assert rec["url"] == "https://www.youtube.com/watch?v=v1" and rec["channel_title"] == "ch" and rec["view_count"] == 0
     assert rec["upload_date"] == "2024-01-05T00:00:00"
     empty = raw.limit(0)
     assert sinks.write_items(empty, os.path.join(d, "j"), os.path.join(d, "c")) is False

@@ -25,11 +25,12 @@ def test_dense_index_is_dense_and_sorted(spark):
 
 
 def _design_numpy(spark, inputs):
-    x, vocab, n, train = learn.word_design(*inputs)
+    x, vocab, n, n_words = learn.word_design(*inputs)
+    vocab = [r["word"] for r in vocab.orderBy("idx").collect()]
+    assert len(vocab) == n_words
     rows = x.orderBy("month").collect()
     X = np.array([r["features"].toArray() for r in rows])
     y = np.array([r["y"] for r in rows])
-    train.unpersist()
     return X, y, vocab
 
 
@@ -135,3 +136,49 @@ def test_fifty_thousand_words(spark):
     imp = learn.word_importance(words, sales, "lasso")
     assert imp.count() == words.select("word").distinct().count() > 40_000
     assert imp.where("score < 0 or score > 1").count() == 0
+
+
+def _wide(spark, n_months, n_words, seed):
+    """(month, word) rows with many more words than months, in Spark, and the presence matrix."""
+    rng = np.random.default_rng(seed)
+    X = (rng.random((n_months, n_words)) < rng.uniform(0.05, 0.95, n_words)).astype(float)
+    X[np.arange(n_words) % n_months, np.arange(n_words)] = 1        # no word without a month
+    X[:, 1] = X[:, 0]                                   # equal columns
+    X[:, 2] = 1.0                                       # a constant one
+    y = 1000 + X[:, 3:9] @ np.array([300.0, -200, 150, 80, -60, 40]) + rng.normal(size=n_months) * 20
+    rows = [(f"{2000 + m // 12}-{m % 12 + 1:02d}", f"w{j:05d}") for m, j in zip(*np.nonzero(X))]
+    words = spark.createDataFrame(rows, "month string, word string")
+    sales = spark.createDataFrame([(f"{2000 + m // 12}-{m % 12 + 1:02d}-01", float(v)) for m, v in enumerate(y)], "month string, sales double")
+    return words, sales.withColumn("month", F.to_date("month")), X, y
+
+
+def test_more_words_than_months(spark):
+    """Dual ridge equals the closed form, and lasso the objective of coordinate descent, at p > n."""
+    words, sales, X, y = _wide(spark, 24, 150, 1)
+    std = X.std(0)
+    Z = np.where(std > 0, (X - X.mean(0)) / np.where(std > 0, std, 1), 0)
+    yc = y - y.mean()
+    got = {r["word"]: r["raw_importance"] for r in learn.word_importance(words, sales, "ridge").collect()}
+    want = np.linalg.solve(Z.T @ Z + learn.RIDGE_ALPHA * np.eye(Z.shape[1]), Z.T @ yc)
+    assert np.allclose([got[f"w{j:05d}"] for j in range(Z.shape[1])], want, rtol=1e-6, atol=1e-6)
+    got = {r["word"]: r["raw_importance"] for r in learn.word_importance(words, sales, "lasso").collect()}
+    w = np.array([got[f"w{j:05d}"] for j in range(Z.shape[1])])
+    gradient = Z.T @ (yc - Z @ w) / len(y)
+    assert (np.abs(gradient) <= learn.LASSO_ALPHA * (1 + 1e-4) + 1e-6 * np.abs(yc).mean()).all()
+    assert np.allclose(gradient[w != 0], learn.LASSO_ALPHA * np.sign(w[w != 0]), atol=1e-6 * np.abs(yc).mean())
+    assert (w != 0).sum() <= len(y)
+
+
+@pytest.mark.parametrize("method", ["ridge", "lasso"])
+def test_vocabulary_of_200_000_words(spark, method):
+    """Far more words than fit a dense design: no vocabulary on the driver, every condition holds."""
+    words = (spark.range(200_000, numPartitions=8).withColumn("word", F.concat(F.lit("w"), "id"))
+             .withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(23))))
+             .where(F.pmod(F.xxhash64("id", "m"), F.lit(100)) < 10 + F.pmod(F.xxhash64("id"), F.lit(60)))
+             .select(F.format_string("%d-%02d", (2000 + F.floor(F.col("m") / 12)).cast("int"), F.col("m") % 12 + 1).alias("month"), "word"))
+    sales = spark.createDataFrame([(f"{2000 + m // 12}-{m % 12 + 1:02d}-01", 1000.0 + 37 * ((m * 7) % 11)) for m in range(24)],
+                                  "month string, sales double").withColumn("month", F.to_date("month"))
+    checks = learn.importance_checks(words, sales, method)
+    counts = checks.agg(F.count(F.lit(1)), F.count_if(F.expr("violation > 0 or not valid"))).first()
+    assert counts[0] == words.select("word").distinct().count() > 198_000
+    assert counts[1] == 0

@@ -12,6 +12,8 @@ from string import Formatter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .words import first_sales
+
 # The reference's summary and report wording (Korean), kept verbatim.
 RISE_LABEL = "매출 상승 요인: "
 FALL_LABEL = "매출 하락 요인: "
@@ -79,9 +81,7 @@ def explanations(month_words: DataFrame, importance: DataFrame, sales: DataFrame
     counts = (month_words.select("month", "word").join(importance.select("word", F.lit(1).alias("known")), "word", "left")
               .groupBy("month").agg(F.count(F.lit(1)).alias("total_words"),
                                     F.count("known").alias("analyzed_words")))
-    first_sale = (sales.withColumn("m", F.date_format("month", "yyyy-MM")).groupBy("m")
-                  .agg(F.min_by("sales", F.struct("month", "sales")).alias("actual_sales"))
-                  .withColumnRenamed("m", "month"))
+    first_sale = first_sales(sales).select(F.col("month_str").alias("month"), F.col("sales").alias("actual_sales"))
     out = counts.join(arrays, "month", "left").join(first_sale, "month", "left")
     if predictions is not None:
         out = out.join(predictions.select("month", F.col("predicted").alias("_pred")), "month", "left")

@@ -88,7 +88,11 @@ def blank_to_null(c: Column) -> Column:
     return F.when(c == "", F.lit(None)).otherwise(c)
 
 
-def normalise_record(raw: DataFrame, url_prefix: str = "watch?v=", keep=()) -> DataFrame:
+#: Fixed value: what a record without an address gets before its id.
+URL_PREFIX = "https://www.youtube.com/watch?v="
+
+
+def normalise_record(raw: DataFrame, url_prefix: str = URL_PREFIX, keep=()) -> DataFrame:
     """Python-``or`` defaults of a dumped record (id, webpage_url, uploader, channel, ...)."""
     return raw.select(
         *keep,

@@ -10,19 +10,20 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.regression import (GBTRegressor, LinearRegression, RandomForestRegressor)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import EXTRA_PREFIXES, MIN_DATA_MONTHS, SEQUENCE_FEATURES, VALIDATION_SHARE, ForecastParams
+from ..session import materialise
 from . import aggregate as agg
 from . import metrics as met
 from . import sequences as sq
 from . import timeseries as ts
-from .words import normalise_importance, training_set
+from .dual import WordDesign, lasso_coefficients, optimality, ridge_coefficients
+from .words import normalise_importance, training_set, vocabulary, with_scalars
 
 RIDGE_ALPHA = 1.0
 LASSO_ALPHA = 0.1
@@ -30,7 +31,6 @@ TREES = 100
 SEED = 42
 WORD_METHODS = ("ridge", "lasso", "random_forest", "gradient_boosting")
 HUBER_L2 = 0.1
-NORMAL_EQUATION_WORDS = 4_096   # Spark's limit of the normal-equation solver
 
 
 # --- helpers ---------------------------------------------------------------------
@@ -57,81 +57,60 @@ def _scale_array(arr: Column, means, stds) -> Column:
 
 # --- word importance -----------------------------------------------------------------
 def word_design(words: DataFrame, sales: DataFrame):
-    """J3 + M1 + sklearn StandardScaler: (month, y, features) and the vocabulary.
+    """J3 + M1 + sklearn StandardScaler, for the tree models: (month, y, features), the indexed vocabulary
+    (word, idx), the numbers of months and words.
 
-    Features are sparse: presence over the word's population standard deviation.
-    Centring is left to the intercept, which no model here penalises (trees don't
-    see a shift at all).  The vocabulary (sorted) is needed on the driver to
-    name coefficients - one entry per word, the model's own dimension.
+    Features are sparse: presence over the word's population standard deviation (constant
+    words: 1), one row per training month.  Centring is left out (trees don't see a shift).
+    The vocabulary stays a distributed table; its size alone reaches the driver.
     """
-    words = words.select("month", "word")
-    train = training_set(words, sales).persist()   # one row per month
-    # vocabulary of ALL months, also months without a sale
-    vocab = [r["word"] for r in words.select("word").distinct().orderBy("word").collect()]
-    n_months = train.count()
-    if not n_months:
-        return train, vocab, 0, train
-    hot = (CountVectorizerModel.from_vocabulary(vocab, inputCol="words", outputCol="hot", binary=True)
-           .transform(train).select("month", F.col("sales").cast("double").alias("y"), "hot"))
-    # Spark's scaler divides by the sample standard deviation, sklearn's by the population's
-    unit = StandardScaler(inputCol="hot", outputCol="unit", withMean=False, withStd=True).fit(hot)
-    factor = (n_months / (n_months - 1)) ** 0.5 if n_months > 1 else 1.0
-    to_population = ElementwiseProduct(scalingVec=Vectors.dense([factor] * len(vocab)), inputCol="unit", outputCol="features")
-    x = to_population.transform(unit.transform(hot)).select("month", "y", "features")
-    return sized_for_fit(x, n_months), vocab, n_months, train
-
-
-def _y_pop_std(x: DataFrame) -> float:
-    return float(x.agg(F.stddev_pop("y")).first()[0] or 0.0)
-
-
-def fit_word_model(x: DataFrame, method: str, n: int, words: int):
-    """Fit one of the reference's four estimators on the standardised design."""
-    if method == "ridge":
-        # sklearn: ||y - Xw||² + α||w||².  Spark's normal-equation solver scales
-        # the penalty with the label's population std: λ = α·σ_pop(y) / n gives
-        # the closed-form minimiser (checked against NumPy in the tests).
-        sy = _y_pop_std(x) or 1.0
-        lr = LinearRegression(featuresCol="features", labelCol="y", regParam=RIDGE_ALPHA * sy / n,
-                              elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-10,
-                              solver="normal" if words <= NORMAL_EQUATION_WORDS else "l-bfgs")
-        return lr.fit(x), "coef"
-    if method == "lasso":
-        # sklearn: 1/(2n)||y - Xw||² + α||w||₁; Spark's L1 path also works on
-        # y / σ(y), so λ = α / σ(y) gives the same minimiser.
-        sy = _y_pop_std(x) or 1.0
-        lr = LinearRegression(featuresCol="features", labelCol="y", regParam=LASSO_ALPHA / sy,
-                              elasticNetParam=1.0, standardization=False, maxIter=1000, tol=1e-10)
-        return lr.fit(x), "coef"
+    words = materialise(words.select("month", "word").distinct(), "month-words")
+    train = materialise(training_set(words, sales).select("month", F.col("sales").cast("double").alias("y")), "train-months")
+    vocab = materialise(vocabulary(words), "vocabulary")          # of ALL months, also months without a sale
+    n_months, n_words = train.count(), vocab.count()
+    share = F.col("n") / F.lit(float(max(n_months, 1)))
+    held = words.join(train.select("month"), "month")
+    unit = held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).select("word", F.sqrt(share * (1 - share)).alias("std"))
+    cells = (held.join(unit, "word").where("std > 0").join(vocab, "word")
+             .groupBy("month").agg(F.sort_array(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), (1 / F.col("std")).alias("x")))).alias("cells")))
+    vector = F.udf(lambda cells: Vectors.sparse(n_words, [c["idx"] for c in cells or ()], [c["x"] for c in cells or ()]), VectorUDT())   # a row per month
+    x = train.join(cells, "month", "left").select("month", "y", vector("cells").alias("features"))
+    return sized_for_fit(x, n_months), vocab, n_months, n_words
+
+
+def fit_word_trees(x: DataFrame, method: str):
+    """One of the reference's two tree estimators on the design; (index, importance) of the words it uses."""
     if method == "random_forest":
-        rf = RandomForestRegressor(featuresCol="features", labelCol="y", numTrees=TREES, seed=SEED,
-                                   featureSubsetStrategy="all", maxDepth=20, minInstancesPerNode=1,
-                                   bootstrap=True)
-        return rf.fit(x), "importance"
-    if method == "gradient_boosting":
-        gb = GBTRegressor(featuresCol="features", labelCol="y", maxIter=TREES, maxDepth=3,
-                          stepSize=0.1, seed=SEED)
-        return gb.fit(x), "importance"
-    raise ValueError(f"unsupported method {method!r}")
+        est = RandomForestRegressor(featuresCol="features", labelCol="y", numTrees=TREES, seed=SEED,
+                                    featureSubsetStrategy="all", maxDepth=20, minInstancesPerNode=1,
+                                    bootstrap=True)
+    elif method == "gradient_boosting":
+        est = GBTRegressor(featuresCol="features", labelCol="y", maxIter=TREES, maxDepth=3,
+                           stepSize=0.1, seed=SEED)
+    else:
+        raise ValueError(f"unsupported method {method!r}")
+    used = est.fit(x).featureImportances
+    return x.sparkSession.createDataFrame([(int(i), float(v)) for i, v in zip(used.indices, used.values)], "idx long, raw_importance double")
+
+
+def _coefficients(words: DataFrame, sales: DataFrame, method: str) -> tuple[DataFrame, WordDesign | None]:
+    """(word, raw_importance) of every word, and the design of the linear methods."""
+    if method not in WORD_METHODS:
+        raise ValueError(f"unsupported method {method!r}")
+    if method in ("ridge", "lasso"):
+        design = WordDesign(words, training_set(words, sales))
+        fit = ridge_coefficients if method == "ridge" else lasso_coefficients
+        return materialise(fit(design, RIDGE_ALPHA if method == "ridge" else LASSO_ALPHA), "word-coefficients"), design
+    x, vocab, n, _ = word_design(words, sales)
+    if n == 0:
+        raise ValueError("no month has both words and sales")
+    used = fit_word_trees(x, method)                               # words in some split: bounded by the trees
+    return vocab.join(F.broadcast(used), "idx", "left").select("word", F.coalesce("raw_importance", F.lit(0.0)).alias("raw_importance")), None
 
 
 def word_importance(words: DataFrame, sales: DataFrame, method: str = "gradient_boosting") -> DataFrame:
     """M6-M9 + A12 + F5: (word, score, raw_importance, direction)."""
-    # (month, word) pairs are small (months x list length) and read three times here
-    words = words.select("month", "word").persist()
-    x, vocab, n, train = word_design(words, sales)
-    if n == 0:
-        train.unpersist()
-        words.unpersist()
-        raise ValueError("no month has both words and sales")
-    model, kind = fit_word_model(x, method, n, len(vocab))
-    train.unpersist()
-    words.unpersist()
-    raw = (model.coefficients if kind == "coef" else model.featureImportances).toArray().tolist()
-    spark = words.sparkSession
-    df = spark.createDataFrame([(w, float(v)) for w, v in zip(vocab, raw)],
-                               "word string, raw_importance double")
-    return normalise_importance(df)
+    return normalise_importance(_coefficients(words, sales, method)[0])
 
 
 def importance_checks(words: DataFrame, sales: DataFrame, method: str) -> DataFrame:
@@ -140,31 +119,17 @@ def importance_checks(words: DataFrame, sales: DataFrame, method: str) -> DataFr
     Ridge and lasso: each word's optimality condition, relative to the sum of
     absolute terms in it (0 at the optimum).  Trees: by how much the importances
     miss a sum of 1.  ``valid``: score within 0..1 and direction by the sign."""
-    words = words.select("month", "word").persist()
-    x, vocab, n, train = word_design(words, sales)
-    model, kind = fit_word_model(x, method, n, len(vocab))
-    coef = (model.coefficients if kind == "coef" else model.featureImportances).toArray().tolist()
-    spark = words.sparkSession
-    df = spark.createDataFrame([(i, w, float(v)) for i, (w, v) in enumerate(zip(vocab, coef))], "idx int, word string, raw_importance double")
-    if kind == "coef":
-        terms = (model.transform(x).select((F.col("y") - F.col("prediction")).alias("r"), F.posexplode(vector_to_array("features")).alias("idx", "x"))
-                 .groupBy("idx").agg(F.sum(F.col("x") * F.col("r")).alias("g"), F.sum(F.abs(F.col("x") * F.col("r"))).alias("size")))
-        w = F.col("raw_importance")
-        if method == "ridge":
-            gap = F.abs(F.col("g") - F.lit(RIDGE_ALPHA) * w)
-        else:
-            pull = F.lit(LASSO_ALPHA * n)
-            gap = F.when(w == 0, F.greatest(F.abs(F.col("g")) - pull, F.lit(0.0))).otherwise(F.abs(F.col("g") - pull * F.signum(w)))
-        checked = df.join(terms, "idx").withColumn("violation", gap / F.greatest(F.col("size"), F.lit(1.0)))
+    coefficients, design = _coefficients(words, sales, method)
+    if design is not None:
+        checked = optimality(design, coefficients, method, RIDGE_ALPHA if method == "ridge" else LASSO_ALPHA)
     else:
-        checked = df.withColumn("violation", F.lit(abs(sum(coef) - 1.0)))
-    named = normalise_importance(df.select("word", "raw_importance")).select(
+        total = coefficients.agg(F.abs(F.sum("raw_importance") - 1.0).alias("violation"))
+        checked = with_scalars(coefficients, total)
+    trees = F.lit(design is None)
+    named = normalise_importance(coefficients).select(
         "word", ((F.col("score") >= 0) & (F.col("score") <= 1) & (F.col("direction") == F.when(F.col("raw_importance") > 0, "positive").otherwise("negative"))
-                 & (F.lit(kind == "coef") | (F.col("raw_importance") >= 0))).alias("valid"))
-    out = checked.select("word", F.round("violation", 4).alias("violation")).join(named, "word")
-    train.unpersist()
-    words.unpersist()
-    return out
+                 & (~trees | (F.col("raw_importance") >= 0))).alias("valid"))
+    return checked.select("word", F.round("violation", 4).alias("violation")).join(named, "word")
 
 
 # --- sequence forecast (pipeline A) ------------------------------------------------

@@ -78,11 +78,16 @@ def word_feature_vectors(matrix: DataFrame, prefix: str = "word_score_") -> Data
     return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(matrix)
 
 
+def first_sales(sales: DataFrame) -> DataFrame:
+    """(month_str, sales): a month's first row by ``seq_no`` (its place in the file); sales
+    without that column go by (month, sales).  An aggregate, not a window."""
+    first = "seq_no" if "seq_no" in sales.columns else F.struct("month", "sales")
+    return sales_month_key(sales).groupBy("month_str").agg(F.min_by("sales", first).alias("sales"))
+
+
 def training_set(words: DataFrame, sales: DataFrame) -> DataFrame:
-    """Months present in both inputs; the first sales row of a month
-    (earliest ``month`` value, then ``sales``) - an aggregate, not a window."""
-    first_sale = (sales_month_key(sales).groupBy("month_str")
-                  .agg(F.min_by("sales", F.struct("month", "sales")).alias("sales")))
+    """Months present in both inputs, with the month's first sale."""
+    first_sale = first_sales(sales)
     wl = words.groupBy("month").agg(F.array_sort(F.collect_set("word")).alias("words"))
     return wl.join(first_sale.withColumnRenamed("month_str", "month"), "month")
 

@@ -107,7 +107,7 @@ WITH r AS (
   FROM events)
 SELECT id, coalesce(title, '') AS title, {_ISO.format(x='upload_date')} AS upload_date,
        coalesce(view_count, 0) AS view_count, coalesce(NULLIF(description, ''), '') AS description,
-       coalesce(NULLIF(webpage_url, ''), 'watch?v=' || coalesce(id, '')) AS url,
+       coalesce(NULLIF(webpage_url, ''), 'https://www.youtube.com/watch?v=' || coalesce(id, '')) AS url,
        coalesce(NULLIF(uploader, ''), NULLIF(channel, ''), '') AS channel_title,
        CASE WHEN duration IS NOT NULL AND CAST(duration AS VARCHAR) <> '0' THEN CAST(duration AS VARCHAR) END AS duration
 FROM r""")

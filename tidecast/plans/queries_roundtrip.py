@@ -120,7 +120,39 @@ def sales_csv_roundtrip(spark, sf_dir):
     """SRC3: monthly sales as one CSV file, read by the folder reader."""
     path = scratch_path(spark, "sales-csv")
     monthly_sales(spark, sf_dir).coalesce(1).write.option("header", True).csv(path)      # one row per month
-    return comparable(files.load_sales_csv(spark, path))
+    return comparable(files.load_sales_csv(spark, path).drop("seq_no"))
+
+
+def _daily_sales_csv(spark, sf_dir):
+    """Daily sales as one CSV file, the last day first, read by the folder reader."""
+    path = scratch_path(spark, "daily-sales-csv")
+    (table(spark, sf_dir, "orders").where("o_orderdate is not null").groupBy(F.col("o_orderdate").cast("date").alias("date"))
+     .agg(F.sum("o_totalprice").alias("sales")).coalesce(1).sortWithinPartitions(F.desc("date"))                          # one row per day
+     .write.option("header", True).csv(path))
+    return files.load_sales_csv(spark, path)
+
+
+_DAILY = """
+, daily AS (SELECT CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) AS sales FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1),
+fs AS (SELECT strftime(date, '%Y-%m') AS month, arg_max(sales, date) AS sales FROM daily GROUP BY 1)"""
+
+
+@register("training_set_first_sale", wsql(_DAILY + """
+SELECT fs.month, CAST(fs.sales AS FLOAT) AS sales, count(DISTINCT wl.word) AS n_words FROM fs JOIN wl ON wl.month = fs.month GROUP BY ALL"""))
+def training_set_first_sale(spark, sf_dir):
+    """SRC3 + J3: of a month's daily sales, the first row of the file counts."""
+    t = wd.training_set(shared_word_lists(spark, sf_dir), _daily_sales_csv(spark, sf_dir))
+    return comparable(t.select("month", "sales", F.size("words").cast("bigint").alias("n_words")))
+
+
+@register("explain_first_sale", wsql(_DAILY + """
+SELECT m.month, CAST(fs.sales AS FLOAT) AS actual_sales FROM (SELECT DISTINCT month FROM wl) m JOIN fs ON fs.month = m.month
+WHERE fs.sales <> 0"""))
+def explain_first_sale(spark, sf_dir):
+    """SRC3 + J4: the same rule in the explanations."""
+    words, sales = shared_word_lists(spark, sf_dir), materialise(_daily_sales_csv(spark, sf_dir), "daily-sales")
+    e = ex.explanations(words, wd.correlation_scores(words, sales), sales)
+    return comparable(e.select("month", "actual_sales"))
 
 
 @register("importance_roundtrip", wsql("SELECT word, CAST(score AS FLOAT) AS score, CAST(raw_importance AS FLOAT) AS raw_importance, direction FROM imp"))
@@ -132,6 +164,15 @@ def importance_roundtrip(spark, sf_dir):
     return comparable(files.load_importance(spark, path))
 
 
+@register("importance_object_roundtrip", wsql("SELECT word, CAST(score AS FLOAT) AS score, CAST(raw_importance AS FLOAT) AS raw_importance, direction FROM imp"))
+def importance_object_roundtrip(spark, sf_dir):
+    """SNK4 + SRC5 in the layout of one object."""
+    words, sales = shared_word_lists(spark, sf_dir), materialise(monthly_sales(spark, sf_dir), "month-sales")
+    path = scratch_path(spark, "word-scores-object")
+    sinks.write_importance_object(wd.correlation_scores(words, sales), path)
+    return comparable(files.load_importance(spark, path))
+
+
 @register("period_table_roundtrip", pt_sql("""
 SELECT period, order_count, CAST(total_sales AS FLOAT) AS total_sales, 'monthly' AS freq FROM pt"""))
 def period_table_roundtrip(spark, sf_dir):

@@ -7,7 +7,7 @@ the reference selects files before opening them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,16 +100,23 @@ def load_word_scores(spark: SparkSession, directory: str, month: str | None = No
     return good, bad
 
 
+def place_in_file() -> Column:
+    """Text that sorts rows of files by file name, then as they stand in the file."""
+    return F.concat_ws(":", "_metadata.file_name", F.lpad(F.col("_metadata.file_block_start").cast("string"), 15, "0"),
+                       F.lpad(F.monotonically_increasing_id().cast("string"), 19, "0"))
+
+
 # --- SRC3 ---------------------------------------------------------------------
 def load_sales_csv(spark: SparkSession, directory: str) -> DataFrame:
-    """First (lexicographic) ``*.csv`` of the folder -> (month date, sales double).
+    """First (lexicographic) ``*.csv`` of the folder -> (month date, sales double, seq_no).
 
     ``month`` is parsed; otherwise ``date`` is floored to its month start
-    (not aggregated).  No file -> empty frame with the same schema.
+    (not aggregated); ``seq_no`` orders rows as they stand in the file, however Spark splits
+    it.  No file -> empty frame with the same schema.
     """
     files = list_files(spark, f"{directory.rstrip('/')}/*.csv")
     if not files:
-        return spark.createDataFrame([], "month date, sales double")
+        return spark.createDataFrame([], "month date, sales double, seq_no string")
     raw = spark.read.option("header", True).csv(files[0])
     cols = set(raw.columns)
     if "month" in cols:
@@ -118,7 +125,7 @@ def load_sales_csv(spark: SparkSession, directory: str) -> DataFrame:
         month = F.trunc(F.to_date(F.to_timestamp("date")), "MM")
     else:
         raise ValueError("sales file needs a 'month' or 'date' column")
-    return raw.select(month.alias("month"), F.col("sales").cast("double").alias("sales"))
+    return raw.select(month.alias("month"), F.col("sales").cast("double").alias("sales"), place_in_file().alias("seq_no"))
 
 
 # --- SRC4 ---------------------------------------------------------------------
@@ -140,11 +147,24 @@ def load_word_lists(spark: SparkSession, directory: str):
 
 # --- SRC5 ---------------------------------------------------------------------
 IMPORTANCE_SCHEMA = "word string, score double, raw_importance double, direction string"
+IMPORTANCE_OBJECT_SCHEMA = ("word_scores map<string,double>, "
+                            "feature_importance map<string,struct<score:double,raw_importance:double,direction:string>>")
 
 
 def load_importance(spark: SparkSession, path: str) -> DataFrame:
-    """Saved word importance (written by ``sinks.write_word_scores``)."""
-    return spark.read.schema(IMPORTANCE_SCHEMA).json(path)
+    """Saved word importance, in either layout: one record a line (``sinks.write_word_scores``), or one
+    object with ``word_scores`` and ``feature_importance`` (``sinks.write_importance_object``).
+    A file in neither layout raises; an empty folder gives an empty frame."""
+    lines = spark.read.schema(IMPORTANCE_SCHEMA).json(path)
+    if not lines.where("word is not null").isEmpty():
+        return lines
+    objects = spark.read.option("multiLine", True).schema(IMPORTANCE_OBJECT_SCHEMA).json(path)
+    if not objects.where("feature_importance is not null").isEmpty():
+        return objects.select(F.explode("feature_importance").alias("word", "i")).select(
+            "word", "i.score", "i.raw_importance", "i.direction")
+    if not spark.read.text(path).where("trim(value) <> ''").isEmpty():
+        raise ValueError(f"{path}: neither records of words nor an object with feature_importance")
+    return lines
 
 
 # --- SRC6 ---------------------------------------------------------------------
@@ -159,9 +179,7 @@ def load_item_dump(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     to the quarantine frame (file, line); blank lines are skipped.
     """
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in RAW_ITEM_SCHEMA])
-    place = F.concat_ws(":", "_metadata.file_name", F.lpad(F.col("_metadata.file_block_start").cast("string"), 15, "0"),
-                        F.lpad(F.monotonically_increasing_id().cast("string"), 19, "0"))
-    lines = (spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), place.alias("seq_no"), F.trim("value").alias("line"))
+    lines = (spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), place_in_file().alias("seq_no"), F.trim("value").alias("line"))
              .where("line <> ''").withColumn("r", F.from_json("line", text, {"mode": "PERMISSIVE"}))
              .withColumn("ok", F.col("line").startswith("{") & F.try_parse_json("line").isNotNull()))
     counts = {f.name for f in RAW_ITEM_SCHEMA if isinstance(f.dataType, T.LongType)}

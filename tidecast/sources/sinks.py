@@ -70,6 +70,17 @@ def write_word_scores(importance: DataFrame, path: str) -> None:
     importance.orderBy(F.desc("score"), F.asc("word")).write.mode("overwrite").json(path)
 
 
+def write_importance_object(importance: DataFrame, path: str) -> None:
+    """SNK4 in the reference's layout: one JSON object with ``word_scores`` (highest first) and
+    ``feature_importance``.  One object means one task and one row; :func:`write_word_scores` has no such limit."""
+    words = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("_s"), "word", "score", "raw_importance", "direction")))
+    (importance.agg(words.alias("w")).select(
+        F.map_from_entries(F.transform("w", lambda x: F.struct(x["word"], x["score"]))).alias("word_scores"),
+        F.map_from_entries(F.transform("w", lambda x: F.struct(x["word"], F.struct(x["score"].alias("score"), x["raw_importance"].alias("raw_importance"),
+                                                                                   x["direction"].alias("direction"))))).alias("feature_importance"))
+     .coalesce(1).write.mode("overwrite").json(path))
+
+
 def write_report(reports: DataFrame, path: str) -> None:
     """SNK5: the all-months report, one block per month in month order.
 
