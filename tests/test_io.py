@@ -160,11 +160,90 @@ def test_stream_result_is_the_same_for_any_batches(spark, tmpdir_path):
                                files_per_batch=max(1, n // 10), out_path=out_path, distinct_col="o_custkey")
         assert {(str(r["period"]), r["n_events"]) for r in out.collect()} == want
         assert out.where("approx_distinct > n_events or approx_distinct < 1").count() == 0
-        ps.compact(spark, out_path, os.path.join(tmpdir_path, f"compact{n}"), [])
-        again = ps.result(spark, os.path.join(tmpdir_path, f"compact{n}"), [])
+        ps.compact(spark, out_path, [])
+        again = ps.result(spark, out_path, [])
+        assert len(ps.live_folders(spark, out_path)) == 1
         assert {(str(r["period"]), r["n_events"]) for r in again.collect()} == want
 
 
+def test_compaction_is_atomic_and_bounded(spark, tmpdir_path):
+    """Many batches leave few folders; a compaction that ends half-way, and a batch that runs again, change nothing."""
+    from tidecast.streaming import period_stream as ps
+    orders = table(spark, SF_SMALL, "orders")
+    days = orders.select(F.to_date("o_orderdate").alias("period"), "o_custkey", "o_totalprice", F.pmod("o_orderkey", F.lit(30)).alias("b")).persist()
+    want = {(r["period"], r["n"], r["c"]) for r in days.groupBy("period").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("o_custkey").alias("c")).collect()}
+    out_path = os.path.join(tmpdir_path, "out")
+
+    def write(b):
+        part = ps.period_partials(days.where(F.col("b") == b).withColumn("ts", F.col("period").cast("timestamp_ntz")), "ts", [], "o_totalprice",
+                                  exact_distinct="o_custkey")
+        part.coalesce(1).write.mode("overwrite").parquet(f"{out_path}/batch={b:012d}")
+
+    def got():
+        return {(r["period"], r["n_events"], r["n_distinct"]) for r in ps.result(spark, out_path, []).collect()}
+
+    for b in range(30):
+        write(b)
+        if b % 5 == 4:
+            ps.compact(spark, out_path, [])
+            assert len([f for f in os.listdir(out_path) if "=" in f]) <= 12
+    assert got() == want
+    before = ps.live_folders(spark, out_path)
+    real, ps.commit = ps.commit, lambda *a: (_ for _ in ()).throw(OSError("lost"))
+    try:
+        write(30)                                                      # an empty batch
+        with pytest.raises(OSError):
+            ps.compact(spark, out_path, [])
+    finally:
+        ps.commit = real
+    write(3)                                                           # covered by the manifest: not read again
+    assert ps.live_folders(spark, out_path)[:len(before)] == before and got() == want
+    ps.compact(spark, out_path, [])
+    assert got() == want and len(ps.live_folders(spark, out_path)) == 1
+    with pytest.raises(RuntimeError):
+        ps.commit(spark, out_path, 1 + len(range(6)), {"through": 0, "folders": []})
+    days.unpersist()
+
+
+def test_unfinished_saves_are_skipped(spark, tmpdir_path):
+    import datetime as dt
+    facts = order_facts(spark, SF_SMALL)
+    _, rec = learn.forecast_from_facts(facts, ForecastParams(freq="monthly", max_iter=5), "huber")
+    now = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    first = sinks.save_model(rec["_model"], tmpdir_path, now, rec["_state"])
+    second = sinks.save_model(rec["_model"], tmpdir_path, now, {**rec["_state"], "ylo": -7.0})       # the same second
+    assert {os.path.basename(m) for m in sinks.committed_models(spark, tmpdir_path)} == {os.path.basename(first), os.path.basename(second)}
+    newest = max(first, second)
+    os.makedirs(os.path.join(tmpdir_path, "model_20990101_000000_000000_ffffffff", "model"))          # died half-way
+    model, state = sinks.load_latest(spark, tmpdir_path, LinearRegressionModel)
+    assert model.coefficients == rec["_model"].coefficients
+    assert state["ylo"] == (-7.0 if newest == second else rec["_state"]["ylo"])
+
+
+def test_grains_from_one_scan(spark):
+    """Every grain equals its own aggregation; the daily table reads the orders once; names count as ids too."""
+    import contextlib
+    import io
+    from tidecast.operators import aggregate as agg
+    from tidecast.operators import grains
+    facts = order_facts(spark, SF_SMALL)
+    named = facts.withColumn("customer_id_x", F.concat(F.lit("c"), "customer_id_x"))
+    for source in (facts, named):
+        for freq, got in grains.full_datasets(source).items():
+            want = agg.full_dataset(source, freq)
+            assert got.columns == want.columns
+            a, b = ({str(r["period"]): r for r in x.collect()} for x in (got, want))
+            assert a.keys() == b.keys()
+            for k in a:
+                assert all(x == pytest.approx(y, rel=1e-9, abs=1e-6) if isinstance(y, float) else x == y for x, y in zip(a[k], b[k]))
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        grains.daily_partials(order_facts(spark, SF_SMALL, category=False, segment=False), []).explain("formatted")
+    scans = text.getvalue().split("== Physical Plan ==")[1].split("\n\n")[0]
+    assert scans.count("Scan parquet") == 2 and text.getvalue().count("orders.parquet") == 1          # orders and lineitem
+
+
 def test_orders_csv_by_name(spark, tmpdir_path):
     names = [f.name for f in files.ORDER_SCHEMA][::-1] + ["note"]
     row = {"order_id": "1", "order_date": "2024-01-02", "order_total": "3.5", "quantity": "2", "customer_id_x": "77", "note": "extra"}

@@ -172,13 +172,18 @@ def aggregate_periods(facts: DataFrame, freq: str = "monthly", *,
             partials = _materialise(partials)
             pivot_values = pivot_values_of(partials, pivots)
         agg, pivot_cols = _widen(partials, pivots, pivot_values)
+    return finished(agg, pivot_cols, freq, month_as_date, bool(pivots))
+
+
+def finished(agg: DataFrame, pivot_cols: list[str], freq: str, month_as_date: bool, with_pivots: bool) -> DataFrame:
+    """One row per period -> the period table: calendar columns added, columns in the reference's order."""
     date = period_start_date("period", freq)
     cal = calendar_columns(date)
     month = date if month_as_date else cal["month"]
     out = [F.col("period"), *[F.col(c) for c in BASE_COLUMNS], date.alias("date"),
            cal["day_of_week"].alias("day_of_week"), month.alias("month"),
            cal["week_of_year"].alias("week_of_year"), *[F.col(f"`{c}`") for c in pivot_cols]]
-    if freq == "monthly" and pivots:
+    if freq == "monthly" and with_pivots:
         out.append(F.col("period").alias("year_month"))
     return agg.select(*out)
 

@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate as agg
 from ..operators import explain as ex
+from ..operators import grains
 from ..operators import items as it
 from ..operators import learn
 from ..operators import timeseries as ts
 from ..operators import words as wd
 from ..params import FREQS, MIN_DATA_MONTHS, MIN_WINDOWS_COMPARE, ForecastParams
-from ..session import materialise
 from ..sources import sinks
 from ..sources.tables import items_from_events, monthly_sales, order_facts, shared_word_scores
 
@@ -71,17 +71,15 @@ def run_comparison(spark: SparkSession, facts: DataFrame | str, freqs=FREQS,
     """One forecast per grain; a failing grain is reported, not fatal;
     the best grain has the highest R2 among successful ones (A13).
 
-    The order facts (lines joined and reduced per order) are written once to
-    the shared folder, so the grains re-read one order-level table instead of
-    re-running the line joins per grain."""
+    The order facts are scanned once: all grains come from one written table of days
+    (``grains.full_datasets``)."""
     facts = order_facts(spark, facts) if isinstance(facts, str) else facts
-    if len(freqs) > 1:
-        facts = materialise(facts, "order-facts")
+    tables = grains.full_datasets(facts, freqs)
     records = []
     for freq in freqs:
         try:
             p = ForecastParams(freq=freq, min_windows=MIN_WINDOWS_COMPARE)
-            _, rec = learn.forecast_from_facts(facts, p, model)
+            _, rec = learn.forecast(tables[freq], p, model)
             rec.pop("_model", None)
             rec.pop("_state", None)
         except Exception as e:  # noqa: BLE001 - the reference keeps going per grain

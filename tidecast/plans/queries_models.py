@@ -7,12 +7,15 @@ forecast record that follow from the tables.  The queries return those.
 
 from __future__ import annotations
 
+from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import functions as F
 
+from ..operators import aggregate as agg
 from ..operators import learn
 from ..operators import words as wd
 from ..params import SEQUENCE_LENGTH_PRESETS, WORD_SEQUENCE_LENGTH, ForecastParams
-from ..session import materialise
+from ..session import materialise, scratch_path
+from ..sources import sinks
 from ..sources.tables import monthly_sales, order_facts, shared_word_lists, shared_word_scores
 from .queries_words import wsql
 from .registry import comparable, register
@@ -72,3 +75,17 @@ def forecast_words(spark, sf_dir):
     sales = materialise(monthly_sales(spark, sf_dir), "month-sales")
     matrix = wd.word_score_matrix(sales, scores)
     return _checked(spark, learn.word_forecast(matrix, wd.next_month_vector(scores, sales)))
+
+
+@register("forecast_saved_state", _record_sql("huber", _MONTHLY, SEQUENCE_LENGTH_PRESETS["monthly"]))
+def forecast_saved_state(spark, sf_dir):
+    """SNK7 + M19: a model is saved, a newer save ends half-way, and the forecast runs on what loads."""
+    full = materialise(agg.full_dataset(order_facts(spark, sf_dir), "monthly"), "full-dataset")
+    p, base = ForecastParams(freq="monthly"), scratch_path(spark, "saved-models")
+    _, rec = learn.forecast(full, p, "huber")
+    sinks.save_model(rec["_model"], base, state=rec["_state"])
+    rec["_model"].write().save(f"{base}/model_99991231_235959_000000_unfinished/model")
+    _, again = learn.forecast(full, p, "huber", saved=sinks.load_latest(spark, base, LinearRegressionModel))
+    if abs(again["predicted_value"] - rec["predicted_value"]) > 1e-6 * abs(rec["predicted_value"]):
+        raise AssertionError("the loaded model predicts something else")
+    return _checked(spark, again)

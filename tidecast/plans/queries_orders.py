@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregate as agg
+from ..operators import grains
 from ..operators import timeseries as ts
-from ..params import LAG_PRESETS, ROLLING_PRESETS
+from ..params import FREQS, LAG_PRESETS, ROLLING_PRESETS
 from ..sources.tables import order_facts
 from .registry import comparable, register
 from .sql_blocks import cast_wrap, period_sql, period_table_sql, with_facts
@@ -26,6 +27,21 @@ for _freq in ("monthly", "weekly", "daily"):
     register(f"period_agg_{_freq}", _period_sql(_freq))(_period_query(_freq))
 
 
+def _grains_sql():
+    names = ", ".join(agg.BASE_COLUMNS)
+    parts = [f"SELECT '{f}' AS freq, CAST(period AS VARCHAR) AS period, {names} FROM ({period_table_sql(f, pivots=False, month_as_date=False)}) p"
+             for f in FREQS]
+    return with_facts(" UNION ALL ".join(parts))
+
+
+@register("grains_one_scan", _grains_sql())
+def grains_one_scan(spark, sf_dir):
+    """A1 + PF1: three grains merged from one table of days, with exact distinct customers."""
+    tables = grains.grain_tables(order_facts(spark, sf_dir, category=False, segment=False))
+    out = [t.select(F.lit(f).alias("freq"), F.col("period").cast("string").alias("period"), *agg.BASE_COLUMNS) for f, t in tables.items()]
+    return comparable(out[0].unionByName(out[1]).unionByName(out[2]))
+
+
 # --- calendar features (F1-F3) ------------------------------------------------
 from ..functions.calendar import calendar_columns, cyclic_time_columns  # noqa: E402
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,33 +99,45 @@ def write_items(items: DataFrame, json_path: str, csv_path: str | None = None) -
     return False
 
 
+MARK = "_COMMITTED"
+
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    p = hadoop.Path(path)
+    return hadoop, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def save_model(model, base: str, now: _dt.datetime | None = None, state: dict | None = None) -> str:
-    """SNK7: ``<base>/model_<yyyyMMdd_HHmmss>``; returns the path.  ``state``
-    (columns, scalers, target range) is written first, to ``state_...`` beside it."""
-    ts = (now or _dt.datetime.now(_dt.timezone.utc)).strftime("%Y%m%d_%H%M%S")
-    path = f"{base.rstrip('/')}/model_{ts}"
-    if state is not None:
-        spark = SparkSession.getActiveSession()
-        (spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1)
-         .write.mode("overwrite").text(f"{base.rstrip('/')}/state_{ts}"))
-    model.write().overwrite().save(path)
+    """SNK7: one folder ``<base>/model_<yyyyMMdd_HHmmss_ffffff>_<random>`` with ``model``, ``state`` (columns,
+    scalers, target range) and a commit mark that is created last; returns the path.  A save that
+    ends half-way leaves a folder without the mark, which no reader looks at; two saves never share a folder."""
+    spark = SparkSession.getActiveSession()
+    ts = (now or _dt.datetime.now(_dt.timezone.utc)).strftime("%Y%m%d_%H%M%S_%f")
+    path = f"{base.rstrip('/')}/model_{ts}_{uuid.uuid4().hex[:8]}"
+    model.write().save(f"{path}/model")
+    spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(f"{path}/state")
+    hadoop, mark, fs = _file_system(spark, f"{path}/{MARK}")
+    fs.create(mark, False).close()
     return path
 
 
+def committed_models(spark: SparkSession, base: str) -> list[str]:
+    """Folders of finished saves, oldest first."""
+    hadoop, pattern, fs = _file_system(spark, f"{base.rstrip('/')}/model_*/{MARK}")
+    return sorted(str(s.getPath().getParent().toString()) for s in (fs.globStatus(pattern) or []))
+
+
 def latest_model_path(spark: SparkSession, base: str) -> str | None:
-    """Newest saved model folder (timestamped names sort chronologically)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/model_*")
-    st = p.getFileSystem(conf).globStatus(p)
-    dirs = sorted(str(s.getPath().toString()) for s in (st or []) if s.isDirectory())
-    return dirs[-1] if dirs else None
+    """Newest finished save (timestamped names sort chronologically)."""
+    saved = committed_models(spark, base)
+    return saved[-1] if saved else None
 
 
 def load_latest_model(spark: SparkSession, base: str, model_cls):
     """The newest saved model, or None when there is none (then train)."""
     path = latest_model_path(spark, base)
-    return model_cls.load(path) if path else None
+    return model_cls.load(f"{path}/model") if path else None
 
 
 def load_latest(spark: SparkSession, base: str, model_cls) -> tuple | None:
@@ -132,6 +145,5 @@ def load_latest(spark: SparkSession, base: str, model_cls) -> tuple | None:
     path = latest_model_path(spark, base)
     if path is None:
         return None
-    folder, name = path.rsplit("/", 1)
-    lines = spark.read.text(f"{folder}/{name.replace('model_', 'state_', 1)}").collect()      # one line
-    return model_cls.load(path), json.loads(lines[0]["value"])
+    lines = spark.read.text(f"{path}/state").collect()                         # one line
+    return model_cls.load(f"{path}/model"), json.loads(lines[0]["value"])

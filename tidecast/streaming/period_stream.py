@@ -6,22 +6,31 @@ add up - and written to a folder of its own, ``batch=<id>``.  The result is the
 sum of all partials.  So a late file is as good as an early one: there is no watermark, no
 window is ever closed, nothing is thrown away and no state is held; a batch
 that runs again after a failure overwrites its own folder only.
-:func:`compact` merges finished folders when there are many.
+
+:func:`compact` keeps the folders few: it merges all live partials into one ``compact=`` folder and
+then commits a new version of the manifest (which batch the merged folders reach, and their names), by
+one rename.  Readers take the newest manifest's folders and the batches after it.  A compaction that ends half-way has
+committed nothing; what it left is not in any manifest.  A batch that the manifest covers may run again:
+its folder is not read.  Folders go one compaction after they were replaced, so that results read before stay valid.
 
 * Offsets live under a checkpoint folder of the shared checkpoint root, so a
   restarted query resumes exactly where it stopped.
 * The wall-clock value is turned into an epoch-aligned ``timestamp`` WITHOUT
   consulting the session time zone, so daily windows start at
   midnight whatever ``spark.sql.session.timeZone`` says.
-* Distinct counts are HyperLogLog sketches, which merge; months roll
+* Distinct counts are HyperLogLog sketches, or exact bitmaps of integer ids; both merge. Months roll
   up in batch over the daily partials.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import distinct
 from ..session import scratch_path
 
 WEEK_START_OFFSET = "4 days"   # epoch day 0 is a Thursday: +4 days -> Monday windows
@@ -41,8 +50,9 @@ def window_day(c: Column) -> Column:
 
 
 def period_partials(batch: DataFrame, ts_col: str, keys: list[str], value_col: str,
-                    freq: str = "daily", distinct_col: str | None = None) -> DataFrame:
-    """(period, keys) -> event count and value sum (+ distinct sketch) of one micro-batch."""
+                    freq: str = "daily", distinct_col: str | None = None, exact_distinct: str | None = None) -> DataFrame:
+    """(period, keys) -> event count and value sum (+ distinct sketch) of one micro-batch; with ``exact_distinct``
+    (an integer column) one row per bucket of ids, with their bitmap."""
     et = epoch_aligned(F.col(ts_col))
     if freq == "daily":
         win = F.window(et, "1 day")
@@ -55,7 +65,12 @@ def period_partials(batch: DataFrame, ts_col: str, keys: list[str], value_col: s
     if distinct_col:
         aggs.append(F.hll_sketch_agg(distinct_col).alias("distinct_sketch"))
         extra = ["distinct_sketch"]
-    return (batch.groupBy(win.alias("w"), *keys).agg(*aggs)
+    buckets = []
+    if exact_distinct:
+        buckets = [distinct.bucket_of(F.col(exact_distinct)).alias(distinct.BUCKET)]
+        aggs.append(distinct.bits_of(F.col(exact_distinct)).alias(distinct.BITS))
+        extra += [distinct.BUCKET, distinct.BITS]
+    return (batch.groupBy(win.alias("w"), *keys, *buckets).agg(*aggs)
             .select(window_day(F.col("w.start")).alias("period"), *keys, "n_events", "total_value", *extra))
 
 
@@ -64,42 +79,103 @@ def merged(partials: DataFrame, keys: list[str]) -> DataFrame:
     aggs = [F.sum("n_events").alias("n_events"), F.sum("total_value").alias("total_value")]
     if "distinct_sketch" in partials.columns:
         aggs.append(F.hll_union_agg("distinct_sketch").alias("distinct_sketch"))
+    if distinct.BITS in partials.columns:
+        keys = [*keys, distinct.BUCKET]
+        aggs.append(F.bitmap_or_agg(distinct.BITS).alias(distinct.BITS))
     return partials.groupBy("period", *keys).agg(*aggs)
 
 
-def _folders(spark: SparkSession, out_path: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(f"{out_path.rstrip('/')}/batch=*")
-    st = p.getFileSystem(conf).globStatus(p) or []
-    return sorted(str(x.getPath().toString()) for x in st if x.isDirectory())
+def _files(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    p = hadoop.Path(path)
+    return hadoop, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _names(spark: SparkSession, pattern: str) -> list[str]:
+    _, p, fs = _files(spark, pattern)
+    return sorted(str(x.getPath().getName()) for x in (fs.globStatus(p) or []))
+
+
+def _manifest(spark: SparkSession, out_path: str, version: str | None = None) -> tuple[int, dict]:
+    """(version, manifest) of the newest commit, or of one version; (0, nothing covered) before the first."""
+    versions = [version] if version else _names(spark, f"{out_path}/manifest/v*")
+    if not versions:
+        return 0, {"through": -1, "folders": []}
+    line = spark.read.text(f"{out_path}/manifest/{versions[-1]}", wholetext=True).first()[0]
+    return int(versions[-1][1:]), json.loads(line)
+
+
+def _batches(spark: SparkSession, out_path: str) -> dict[int, str]:
+    return {int(n.split("=")[1]): n for n in _names(spark, f"{out_path}/batch=*")}
+
+
+def live_folders(spark: SparkSession, out_path: str) -> list[str]:
+    """Folders that make up the result: the newest manifest's, and the batches after it."""
+    out_path = out_path.rstrip("/")
+    _, manifest = _manifest(spark, out_path)
+    later = [n for i, n in sorted(_batches(spark, out_path).items()) if i > manifest["through"]]
+    return [f"{out_path}/{n}" for n in [*manifest["folders"], *later]]
 
 
 def result(spark: SparkSession, out_path: str, keys: list[str]) -> DataFrame | None:
-    """The stream's table so far; distinct counts as ``approx_distinct``."""
-    folders = _folders(spark, out_path)
+    """The stream's table so far; distinct counts as ``approx_distinct`` (sketches) or ``n_distinct`` (bitmaps)."""
+    folders = live_folders(spark, out_path)
     if not folders:
         return None
     out = merged(spark.read.parquet(*folders), keys)
+    if distinct.BITS in out.columns:
+        sketch = [F.hll_union_agg("distinct_sketch").alias("distinct_sketch")] if "distinct_sketch" in out.columns else []
+        out = out.groupBy("period", *keys).agg(F.sum("n_events").alias("n_events"), F.sum("total_value").alias("total_value"), *sketch,
+                                               F.sum(F.bitmap_count(distinct.BITS)).alias("n_distinct"))
     if "distinct_sketch" in out.columns:
         out = out.withColumn("approx_distinct", F.hll_sketch_estimate("distinct_sketch")).drop("distinct_sketch")
     return out
 
 
-def compact(spark: SparkSession, out_path: str, target: str, keys: list[str]) -> None:
-    """Write the partials of all finished batches as one ``batch=`` folder of ``target``."""
-    folders = _folders(spark, out_path)
-    if folders:
-        name = folders[-1].rsplit("/", 1)[1]
-        merged(spark.read.parquet(*folders), keys).write.mode("overwrite").parquet(f"{target.rstrip('/')}/{name}")
+def compact(spark: SparkSession, out_path: str, keys: list[str]) -> None:
+    """Merge the live partials into one folder, commit it, and drop what the commit before had replaced."""
+    out_path = out_path.rstrip("/")
+    version, manifest = _manifest(spark, out_path)
+    batches = _batches(spark, out_path)
+    through = max([manifest["through"], *batches])
+    folders = live_folders(spark, out_path)
+    if len(folders) < 2:
+        return
+    name = f"compact={through:012d}-{uuid.uuid4().hex[:8]}"
+    merged(spark.read.parquet(*folders), keys).write.parquet(f"{out_path}/{name}")
+    commit(spark, out_path, version + 1, {"through": through, "folders": [name]})
+    kept = {name, *manifest["folders"]}
+    gone = [n for i, n in batches.items() if i <= manifest["through"]]
+    gone += [n for n in _names(spark, f"{out_path}/compact=*") if n not in kept]
+    for n in gone:
+        _, p, fs = _files(spark, f"{out_path}/{n}")
+        fs.delete(p, True)
+    for n in _names(spark, f"{out_path}/manifest/v*")[:-2]:
+        _, p, fs = _files(spark, f"{out_path}/manifest/{n}")
+        fs.delete(p, False)
+
+
+def commit(spark: SparkSession, out_path: str, version: int, manifest: dict) -> None:
+    """Make a manifest the newest: written whole beside its place, then renamed; a version is committed once."""
+    hadoop, draft, fs = _files(spark, f"{out_path}/manifest/draft-{uuid.uuid4().hex}")
+    stream = fs.create(draft, False)
+    stream.write(bytearray(json.dumps(manifest).encode()))
+    stream.close()
+    final = hadoop.Path(f"{out_path}/manifest/v{version:012d}")
+    if fs.exists(final) or not fs.rename(draft, final):
+        raise RuntimeError(f"version {version} of {out_path} was committed by another job")
 
 
 def run_available(spark: SparkSession, source_dir: str, file_glob: str, schema, ts_col: str,
                   keys: list[str], value_col: str, freq: str = "daily",
                   out_path: str | None = None, checkpoint: str | None = None,
-                  distinct_col: str | None = None, files_per_batch: int = 100) -> DataFrame:
+                  distinct_col: str | None = None, files_per_batch: int = 100,
+                  exact_distinct: str | None = None, compact_every: int = 0) -> DataFrame:
     """Process every file available now, then stop; returns the result table.
 
+    With ``compact_every`` = n, partials are compacted after every n batches: fewer than 2n + 2 folders remain,
+    however many batches run.
+
     ``maxFilesPerTrigger`` bounds a micro-batch when a backlog of files is
     waiting; the result is the same for any split into batches and any order of files."""
     out_path = (out_path or scratch_path(spark, f"stream-{freq}-out")).rstrip("/")
@@ -108,8 +184,10 @@ def run_available(spark: SparkSession, source_dir: str, file_glob: str, schema,
            .option("maxFilesPerTrigger", files_per_batch).parquet(source_dir))
 
     def write_partials(batch: DataFrame, epoch: int) -> None:
-        (period_partials(batch, ts_col, keys, value_col, freq, distinct_col)
+        (period_partials(batch, ts_col, keys, value_col, freq, distinct_col, exact_distinct)
          .write.mode("overwrite").parquet(f"{out_path}/batch={epoch:012d}"))
+        if compact_every and (epoch + 1) % compact_every == 0:
+            compact(batch.sparkSession, out_path, keys)
 
     q = (src.writeStream.foreachBatch(write_partials)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
