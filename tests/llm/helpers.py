@@ -29,16 +29,16 @@ def empty(spark):
     return spark.createDataFrame([], DOC_SCHEMA)
 
 
-def shingles(text):
+def shingles(text, size=3):
     w = WORD.findall((text or "").translate(LOWER))
-    if len(w) >= 3:
-        return frozenset(tuple(w[i:i + 3]) for i in range(len(w) - 2))
+    if len(w) >= size:
+        return frozenset(tuple(w[i:i + size]) for i in range(len(w) - size + 1))
     return frozenset([tuple(w)]) if w else frozenset()
 
 
-def brute_components(rows, percent=90):
+def brute_components(rows, percent=90, size=3):
     """doc_id -> (set size, smallest reachable doc_id), by an inverted index over all shingles."""
-    sets = [(d, shingles(t)) for d, t in rows if d is not None]
+    sets = [(d, shingles(t, size)) for d, t in rows if d is not None]
     parent = {d: d for d, _ in sets}
 
     def find(x):

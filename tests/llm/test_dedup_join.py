@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -62,6 +63,26 @@ def test_jaccard_equals_brute_force(spark, most):
     assert {tuple(r) for r in got.collect()} == brute_components(rows)
 
 
+@pytest.mark.parametrize("size, percent", [(5, 80), (1, 70)])
+def test_other_shingles_and_hot_pivots(spark, size, percent):
+    rows = near_copies(seed=size, groups=4, copies=30)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), threshold_percent=percent, shingle_words=size, pivot_rows=7)
+    assert {tuple(r) for r in got.collect()} == brute_components(rows, percent, size)
+
+
+def test_templated_sets_are_not_all_pairs():
+    """Thousands of sets alike at 0.85, under the threshold: prefixes part them; linked ones are found."""
+    rng = np.random.default_rng(5)
+    template = rng.integers(0, 2**63, 276, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([template, rng.integers(0, 2**63, 24, dtype=np.uint64)])) for _ in range(3_000)]
+    for k in range(0, 200, 2):                                      # pairs that differ in few shingles
+        sets[k + 1] = np.unique(np.concatenate([sets[k][3:], rng.integers(0, 2**63, 3, dtype=np.uint64)]))
+    begun = time.perf_counter()
+    got = dict(joined(list(range(len(sets))), sets, 90))
+    assert got == {i: i - 1 if i < 200 and i % 2 else i for i in range(len(sets))}
+    assert time.perf_counter() - begun < 60
+
+
 def test_jaccard_awkward(spark):
     docs = awkward(spark)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]

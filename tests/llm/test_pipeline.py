@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tidecast.llm.queries import ORACLE_SQL, QUERIES
 
@@ -24,7 +26,7 @@ def test_stages_against_brute_force(spark):
         key = (t or "").translate(LOWER)
         largest[key] = max(d, largest.get(key, d))
     assert sorted(d for d, _ in pairs(unlike)) == sorted(largest.values())
-    assert sorted(d for d, _ in pairs(apart)) == sorted({c for _, _, c in brute_components(pairs(unlike))})
+    assert sorted(d for d, _ in pairs(apart)) == sorted({c for _, _, c in brute_components(pairs(unlike), 80, 5)})
     items = [" ".join((r["text"] or "").lower().split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     left = {d for d, _ in pairs(clean)}
     for d, t in pairs(apart):
@@ -44,6 +46,9 @@ def test_stages_on_awkward_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.materialise(stage(spark, docs, SF), "test-stage")
         assert docs.columns[0] == "doc_id"
+    for docs in (awkward(spark).select(*columns, F.lit(1).alias("a.b"), F.lit("x").alias("my col")),):
+        for _, stage in corpus_pipeline.STAGES[2:4]:
+            assert stage(spark, docs, SF).columns == docs.columns
 
 
 def test_every_operator_is_registered():

@@ -83,4 +83,11 @@ def test_decontaminate(spark, broadcast):
     assert set(got) == {(1, 10), (2, 10), (None, 10), (7, 10), (8, 10)}
     assert got[1, 10]["first_word"] == 50 and got[1, 10]["n_equal"] == 24
     assert decontaminate(empty(spark), benchmark, **limit).count() == 0
+    # 13 words from inside a long item are a quotation, 12 are not
+    quoted = awkward(spark, [(1, " ".join(noise[:9] + item[6:19] + noise[9:30])), (2, " ".join(noise[:9] + item[6:18] + noise[9:30]))])
+    assert {(r["doc_id"], r["n_equal"]) for r in decontaminate(quoted, benchmark, **limit).collect()} == {(1, 13)}
+    # rows of one id count their own hits: equal rows, different texts, null ids
+    again = awkward(spark, [(1, " ".join(item)), (1, " ".join(item)), (1, " ".join(noise)), (2, " ".join(item)), (None, " ".join(item)), (None, " ".join(noise[:4] + item))])
+    hits = {r["doc_id"]: r["n_hits"] for r in decontaminate(again, benchmark, **limit).collect()}
+    assert hits[1] == 2 * hits[2] == hits[None] == 2 * 3 * 16
     assert decontaminate(awkward(spark), benchmark.where("false"), **limit).count() == 0

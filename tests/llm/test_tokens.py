@@ -3,10 +3,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tidecast.llm.packing import best_pattern, cutting_stock, pack, padding, powers_of_two
+from tidecast.llm.packing import WordIds, best_pattern, cutting_stock, pack, padding, powers_of_two
 from tidecast.llm.wordpiece_counts import UNKNOWN, WORD_START, PieceAutomaton, count_tokens, vocabulary
 
 from .helpers import awkward, empty
@@ -58,6 +59,38 @@ def test_packing_table(spark):
     assert padding(lengths) <= 0.02 * sum(lengths)
 
 
+@pytest.mark.parametrize("least, most", [(6, 20), (10, 40), (20, 60)])
+def test_packing_short_documents(spark, least, most):
+    """Rounding up to a class of lengths would leave short documents much padding."""
+    rng = random.Random(least)
+    rows = [(i, " ".join(rng.choice(("word", "more", "text", "some")) for _ in range(rng.randrange(least, most)))) for i in range(8_000)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    lengths = check_packing(rows, got)
+    assert padding(lengths) <= 0.02 * sum(lengths)
+
+
+def test_packing_one_id(spark):
+    """A third of the rows share an id and a text, others have none."""
+    rows = [(7, "the same few words")] * 900 + [(None, f"text {i}") for i in range(900)] + [(i, "a b c " * (i % 50)) for i in range(900)]
+    check_packing(rows, pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect())
+
+
+def test_word_ids_equal_the_tokenizer():
+    """Words of any letters, cases and closing marks, also those whose lower case is no letter."""
+    rng = random.Random(9)
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    marks = ["", ".", ",", "!", "?", ":", ";", "'", ")", "..."]
+    texts = ["TAR\u0130H\u0130. GEM\u0130, deniz \u0130. \u0130\u0130!"] + [
+        " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 8))) + rng.choice(marks) for _ in range(12)) for _ in range(800)]
+    texts += [c + m for c in letters for m in marks]
+    encode = Tokenizer.from_file(PATH).encode
+    ids, upto = WordIds(PATH).of(pa.array(texts))
+    at = 0
+    for text, end in zip(texts, upto.tolist()):
+        assert ids[at:end].tolist() == encode(text, add_special_tokens=False).ids, text
+        at = end
+
+
 def test_cutting_stock_uses_demand_up():
     rng = np.random.default_rng(1)
     sizes = np.unique(rng.integers(1, 100, 60))

@@ -13,13 +13,15 @@ Jaccard distance is a metric; two documents link when theirs is at most
    Inside, distances to fixed pivots (the empty set: the set's size; the hash
    classes of shingles: counts per class) bound the distance of two sets by the
    triangle inequality.  Pairs within all bounds join their sets into one
-   candidate region; a spanning forest is kept, not the pairs.
+   candidate region; a spanning forest is kept, not the pairs.  A region of more than ``pivot_rows`` sets is cut
+   into blocks by hash, and every two blocks meet in a task of their own.
 3. Each candidate region gets its whole sets.  Documents are chosen as pivots and
    compared with all; a document's home is its nearest pivot, and it is replicated to every pivot
    within 2r of that distance, as two linked documents have distances to any
    pivot that differ by at most r.  Regions join recursively; a region that no
-   longer shrinks is finished by comparing pivots outside its largest component
-   with all others, skipping those that the distances to earlier pivots rule out.
+   longer shrinks is finished by comparing pivots outside its largest component with the documents that
+   share one of the rarest shingles (in the region) that a link can't do without, skipping
+   those that the distances to earlier pivots rule out.
 4. A candidate region beyond ``most_shingles`` is first compared with a few of
    its own documents in many tasks.  Documents linked to their largest component need no
    comparison with each other; the rest meets every block of the region, block by block.
@@ -27,7 +29,7 @@ Jaccard distance is a metric; two documents link when theirs is at most
 Identical sets are one class throughout, so copies are never paired.
 
 Shingles are named by 64-bit hashes of their words.  Defined results: a null text, an empty one or one
-without words has no shingles and is its own component; fewer than three words
+without words has no shingles and is its own component; fewer words than a shingle has
 are one shingle; a null id has a null component and links with nothing;
 repeated rows of an id with different texts are one node; an
 empty table gives an empty result; other columns are ignored.
@@ -54,12 +56,13 @@ MOST_SHINGLES = 4_000_000     # of a region that one task joins
 SHINGLES_PER_RUN = 2_000_000  # counted together when frequent ones are looked for
 BROADCAST_NODES = 1_000_000
 PIVOTS = 8
+PIVOT_ROWS = 20_000           # of a pivot's region that meet in one task
 
 
 # --- shingle sets ---------------------------------------------------------
 
-def shingle_sets(text: pa.Array, hasher: ByteHasher) -> list[np.ndarray]:
-    """Sorted distinct 3-word shingles (64-bit) of each text, A-Z lower-cased;
+def shingle_sets(text: pa.Array, hasher: ByteHasher, size: int = 3) -> list[np.ndarray]:
+    """Sorted distinct shingles of ``size`` words (64-bit) of each text, A-Z lower-cased;
     words are runs of bytes other than blank and control white space."""
     data, bounds = text_bytes(text)
     upper = (data >= 65) & (data <= 90)
@@ -68,45 +71,53 @@ def shingle_sets(text: pa.Array, hasher: ByteHasher) -> list[np.ndarray]:
     words = hasher.words(data, starts, ends) if len(starts) else np.empty(0, np.uint64)
     first = np.searchsorted(starts, bounds)
     one, two = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-    triples = mix(mix(words[:-2] * one + words[1:-1]) * two + words[2:]) if len(words) > 2 else np.empty(0, np.uint64)
+    places = max(0, len(words) - size + 1)
+    grams = words[:places].copy()
+    for k in range(1, size):
+        grams = mix(grams * (one if k == 1 else two) + words[k:places + k])
     sets = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-        if b - a >= 3:
-            sets.append(np.unique(triples[a:b - 2]))
-        elif b > a:                                          # one or two words: a shingle that no triple equals
-            sets.append(mix(words[a:a + 1] * two + words[a + 1:b].sum(dtype=np.uint64, keepdims=True) * one + np.uint64(b - a)))
+        if b - a >= size:
+            sets.append(np.unique(grams[a:b - size + 1]))
+        elif b > a:                                          # fewer words: one shingle that no whole one equals
+            short = np.full(1, b - a, dtype=np.uint64)
+            for w in words[a:b]:
+                short = mix(short * two + one + w)
+            sets.append(short)
         else:
             sets.append(np.empty(0, np.uint64))
     return sets
 
 
-def _heavy_counts(batches):
+def _heavy_counts(size: int):
     """(shingle, documents) of shingles frequent in a run of documents.  A shingle frequent in the
     whole table is so in some run; the order only has to be one order, so missing one costs time, not results."""
-    hasher, held, total = ByteHasher(), [], 0
     schema = pa.schema([("shingle", pa.int64()), ("n", pa.int64())])
 
-    def counted():
+    def counted(held):
         shingle, n = np.unique(np.concatenate(held), return_counts=True)
         often = n >= max(3, len(held) // HEAVY_SHARE)
         return pa.RecordBatch.from_arrays([pa.array(shingle[often].view(np.int64)), pa.array(n[often])], schema=schema)
 
-    for whole in batches:
-        for batch in slices_by_size(whole, "text"):
-            for s in shingle_sets(batch.column("text"), hasher):
-                if len(s):
-                    held.append(s)
-                    total += len(s)
-            if total >= SHINGLES_PER_RUN:
-                yield counted()
-                held, total = [], 0
-    if held:
-        yield counted()
+    def run(batches):
+        hasher, held, total = ByteHasher(), [], 0
+        for whole in batches:
+            for batch in slices_by_size(whole, "text"):
+                for s in shingle_sets(batch.column("text"), hasher, size):
+                    if len(s):
+                        held.append(s)
+                        total += len(s)
+                if total >= SHINGLES_PER_RUN:
+                    yield counted(held)
+                    held, total = [], 0
+        if held:
+            yield counted(held)
+    return tidy(run)
 
 
-def heavy_shingles(texts: DataFrame, documents: int) -> np.ndarray:
+def heavy_shingles(texts: DataFrame, documents: int, size: int) -> np.ndarray:
     """Shingles of more than one document in HEAVY_SHARE; at most the average set size times HEAVY_SHARE of them."""
-    found = (texts.mapInArrow(tidy(_heavy_counts), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = (texts.mapInArrow(_heavy_counts(size), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
              .where(F.col("n") > max(10, documents // HEAVY_SHARE)).select("shingle").toPandas())
     return np.sort(found["shingle"].to_numpy(dtype=np.int64).view(np.uint64))
 
@@ -116,7 +127,7 @@ def sketch_width(n: int) -> int:
     return max(32, 1 << (max(1, n // 8).bit_length() - 1))
 
 
-def _described(heavy, numerator: int):
+def _described(heavy, numerator: int, size: int):
     """(doc_id, n, print, pivots, sketch): fingerprint of the set, its first pivots, its counts by hash class."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("print", pa.binary()),
                         ("pivots", pa.list_(pa.int64())), ("sketch", pa.binary())])
@@ -126,7 +137,7 @@ def _described(heavy, numerator: int):
         for whole in batches:
             for batch in slices_by_size(whole, "text"):
                 prints, pivots, sketches, sizes = [], [], [], []
-                for s in shingle_sets(batch.column("text"), hasher):
+                for s in shingle_sets(batch.column("text"), hasher, size):
                     n = len(s)
                     sizes.append(n)
                     if not n:
@@ -314,9 +325,16 @@ class Region:
                 self.rest(docs, far, pivots, r)
 
     def rest(self, docs: np.ndarray, far: np.ndarray, done: np.ndarray, r: float) -> None:
-        """A region that doesn't shrink: compare documents outside the largest component, one by one."""
+        """A region that doesn't shrink: compare documents outside the largest component, one by one, with
+        those that share a shingle of both prefixes: ordered by their number in the region, linked sets
+        share one of their first n - ceil(threshold * n) + 1.  Of sets whose first common shingle comes late, what
+        follows it is too short for a link."""
         compared = np.zeros(len(docs), dtype=bool)
         compared[done] = True
+        token, of_doc, follow = self.prefixes(docs)
+        by_token = np.argsort(token, kind="stable")
+        listed, lists, rest_of = token[by_token], of_doc[by_token], follow[by_token]
+        starts = np.searchsorted(of_doc, np.arange(len(docs) + 1))
         while True:
             label = self.forest.labels()[docs]
             values, of, n = np.unique(label, return_inverse=True, return_counts=True)
@@ -325,12 +343,29 @@ class Region:
                 return
             p = int(left[0])
             compared[p] = True
-            near = (np.abs(far - far[:, p:p + 1]) <= r).all(axis=0) & (label != label[p])
-            size = self.size[docs]
-            near &= (self.numerator * size <= 100 * size[p]) & (self.numerator * size[p] <= 100 * size)
-            if near.any():
+            mine = token[starts[p]:starts[p + 1]]
+            low, high = np.searchsorted(listed, mine), np.searchsorted(listed, mine, side="right")
+            met = np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low) + np.arange(int((high - low).sum()))
+            near, first = np.unique(lists[met], return_index=True)
+            most = np.minimum(rest_of[met[first]], np.repeat(follow[starts[p]:starts[p + 1]], high - low)[first])     # common shingles at most
+            size = self.size[docs[near]]
+            near = near[(label[near] != label[p]) & ((100 + self.numerator) * most >= self.numerator * (size + self.size[docs[p]]))]
+            near = near[(np.abs(far[:, near] - far[:, p:p + 1]) <= r).all(axis=0)]
+            if len(near):
                 self.distances(int(docs[p]), docs[near])
 
+    def prefixes(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(shingle, place in ``docs``, shingles from it on) of every document's prefix: its rarest shingles within ``docs``."""
+        size = self.size[docs]
+        of = np.repeat(np.arange(len(docs)), size)
+        begin = np.cumsum(size) - size
+        _, token, n = np.unique(self.flat[np.repeat(self.start[docs] - begin, size) + np.arange(int(size.sum()))], return_inverse=True, return_counts=True)
+        order = np.lexsort((token, n[token], of))
+        first = size - -(-self.numerator * size // 100) + 1
+        at = np.arange(len(of)) - np.repeat(begin, size)
+        used = at < np.repeat(first, size)
+        return token[order][used], of[used], (np.repeat(size, size) - at)[used]
+
 
 def joined(ids: list[int], sets: list[np.ndarray], numerator: int, known: list[int] | None = None) -> list[tuple[int, int]]:
     """(id, smallest id of its component) of documents of one region; ``known``: label of components already found, -1 for none."""
@@ -351,14 +386,17 @@ def joined(ids: list[int], sets: list[np.ndarray], numerator: int, known: list[i
     return [(d, least[i]) for i, d in zip(label.tolist(), ids)]
 
 
-def _sets_of(batches):
-    hasher = ByteHasher()
+def _sets_of(size: int):
     schema = pa.schema([("region", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
-    for whole in batches:
-        for batch in slices_by_size(whole, "text"):
-            sets = shingle_sets(batch.column("text"), hasher)
-            yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("rep"), pa.array([len(s) for s in sets], pa.int64()),
-                                              pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+
+    def run(batches):
+        hasher = ByteHasher()
+        for whole in batches:
+            for batch in slices_by_size(whole, "text"):
+                sets = shingle_sets(batch.column("text"), hasher, size)
+                yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("rep"), pa.array([len(s) for s in sets], pa.int64()),
+                                                  pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+    return tidy(run)
 
 
 def _join_regions(numerator: int, key: str):
@@ -445,12 +483,12 @@ def large_region_edges(sets: DataFrame, numerator: int, most_shingles: int) -> D
 # --- the operator ---------------------------------------------------------
 
 def jaccard_components(docs: DataFrame, threshold_percent: int = 90, id_col: str = "doc_id", text_col: str = "text",
-                       most_shingles: int = MOST_SHINGLES) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id."""
+                       most_shingles: int = MOST_SHINGLES, shingle_words: int = 3, pivot_rows: int = PIVOT_ROWS) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id.  Shingles have ``shingle_words`` words."""
     spark = docs.sparkSession
     texts = id_and_text(docs, id_col, text_col)
-    heavy = spark.sparkContext.broadcast(heavy_shingles(texts.select("text"), texts.count()))     # bounded, see heavy_shingles
-    described = materialise(texts.mapInArrow(_described(heavy, threshold_percent),
+    heavy = spark.sparkContext.broadcast(heavy_shingles(texts.select("text"), texts.count(), shingle_words))     # bounded, see heavy_shingles
+    described = materialise(texts.mapInArrow(_described(heavy, threshold_percent, shingle_words),
                                              "doc_id long, n long, print binary, pivots array<long>, sketch binary"), "jaccard-sets")
     classes = materialise(described.where("doc_id is not null and n > 0").groupBy("print")
                           .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("pivots").alias("pivots"),
@@ -462,6 +500,14 @@ def jaccard_components(docs: DataFrame, threshold_percent: int = 90, id_col: str
                        | (100 * F.col("n") >= threshold_percent * F.lead("n").over(by_size)))
            .where("near").drop("near"))
     sketches = classes.select("rep", "n", "sketch")          # (rep, n) is a class, but for ids with several texts: more candidates then
+    hot = materialise(met.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / F.lit(pivot_rows)).cast("int").alias("blocks"))
+                      .where("blocks > 1"), "jaccard-hot-pivots")
+    if not hot.isEmpty():
+        met = materialise(met, "jaccard-met").join(hot, "pivot", "left").withColumn("block", F.pmod(F.xxhash64("rep"), F.coalesce("blocks", F.lit(1))).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("other")
+        met = (met.select("pivot", "rep", "n", "pos", "block", "blocks", other)
+               .select(F.when(F.col("blocks").isNull(), F.col("pivot"))
+                       .otherwise(F.xxhash64("pivot", F.least("block", "other"), F.greatest("block", "other"))).alias("pivot"), "rep", "n", "pos"))
     pairs = materialise(met.join(sketches, ["rep", "n"]).select("pivot", "rep", "n", F.col("pos").cast("long").alias("pos"), "sketch")
                         .repartition("pivot").sortWithinPartitions("pivot", "n", "rep")
                         .mapInArrow(_candidates(threshold_percent), "a long, b long"), "jaccard-candidates")
@@ -469,7 +515,7 @@ def jaccard_components(docs: DataFrame, threshold_percent: int = 90, id_col: str
     if regions.count() <= BROADCAST_NODES:
         regions = F.broadcast(regions)
     sets = materialise(texts.join(regions, F.col("doc_id") == F.col("rep")).select("region", "rep", "text")
-                       .mapInArrow(tidy(_sets_of), "region long, rep long, n long, shingles binary"), "jaccard-regions")
+                       .mapInArrow(_sets_of(shingle_words), "region long, rep long, n long, shingles binary"), "jaccard-regions")
     large = materialise(sets.groupBy("region").agg(F.sum("n").alias("n")).where(F.col("n") > most_shingles).select("region"), "jaccard-large-ids")
     links = (sets.join(large, "region", "left_anti").repartition("region").sortWithinPartitions("region", "rep")
              .mapInArrow(_join_regions(threshold_percent, "region"), "a long, b long"))

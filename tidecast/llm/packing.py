@@ -39,6 +39,7 @@ from .word_hashes import ByteHasher, text_bytes, word_bounds
 
 GROUPS = 256        # hash groups of documents
 HELD_BACK = 16      # groups whose ids are kept, so that they can be cut anywhere
+SHORT = 256         # pieces of fewer ids are kept in all groups: rounding costs them the most
 COMPARED_TEXTS = 4
 CACHED_WORDS = 2_400_000
 LATIN_END = "\u0250"         # letters below fold alike in Python and in the tokenizer
@@ -136,7 +137,8 @@ class WordIds:
         marks, low = self.marks, []
         for w in words:
             letters = w[:-1] if w[-1] in marks else w
-            low.append(letters.lower() if letters.isalpha() and (letters.isascii() or max(letters) < LATIN_END) else w)
+            folded = letters.lower()                 # must be letters too: a capital I with a dot becomes an i and a mark
+            low.append(folded if letters.isalpha() and folded.isalpha() and (letters.isascii() or max(letters) < LATIN_END) else w)
         bare = list(set(low))
         names = self.names(bare)
         new = np.flatnonzero(~self.has(names))
@@ -205,7 +207,8 @@ def _tokenise(tokenizer_path: str, end_id: int, size: int):
                     begin, tokens = stop, len(own) // 4
                     for at in range(0, tokens, size):
                         piece = own[4 * at:4 * (at + size)]
-                        rows.append((doc_id, at, len(piece) // 4, crc32(piece), tokens, grp, piece if grp < HELD_BACK else None))
+                        rows.append((doc_id, at, len(piece) // 4, crc32(piece), tokens, grp,
+                                     piece if grp < HELD_BACK or len(piece) < 4 * SHORT else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECES)] if rows
                                                  else [pa.array([], f.type) for f in PIECES], schema=PIECES)
     return tidy(run)
@@ -321,30 +324,40 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = 4096
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset."""
     spark = docs.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", F.lit("pack")), F.lit(GROUPS)).cast("int").alias("grp")
+    salt = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(GROUPS)).cast("int").alias("grp")    # repeated ids spread too
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, grp int, ids binary"
     pieces = materialise(id_and_text(docs, id_col, text_col).select("doc_id", "text", salt)
                          .mapInArrow(_tokenise(tokenizer_path, end_id, size), schema)
-                         .withColumn("cls", F.ceil(F.col("length") / grain).cast("int")), "pack-pieces")
+                         .withColumn("cls", F.ceil(F.col("length") / grain).cast("int"))
+                         .withColumn("uid", F.monotonically_increasing_id()), "pack-pieces")
     width = size // grain
     hist = np.zeros((GROUPS, width + 1), dtype=np.int64)     # pieces by (group, class): fixed size
-    tokens = np.zeros(GROUPS, dtype=np.int64)
+    tokens = np.zeros((GROUPS, width + 1), dtype=np.int64)
     for r in pieces.groupBy("grp", "cls").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("t")).collect():
         hist[r["grp"], r["cls"]] += r["n"]
-        tokens[r["grp"]] += r["t"]
+        tokens[r["grp"], r["cls"]] += r["t"]
+    short = np.arange(width + 1) < SHORT // grain
+
+    def held_back(held: int) -> np.ndarray:
+        """(group, class) cells that are poured: all classes of the first groups, then short ones of more."""
+        group = np.arange(GROUPS)[:, None]
+        return (group < min(held, HELD_BACK)) | (short[None, :] & (group < held))
 
     def solve(held: int):
-        demand = hist[held:].sum(axis=0)
+        poured = held_back(held)
+        demand = np.where(poured, 0, hist).sum(axis=0)
         sizes = np.flatnonzero(demand)
         made = cutting_stock(sizes, demand[sizes], width)
-        return sizes, made, sum(n for n, _ in made) * size - int(tokens[held:].sum())
+        return sizes, made, sum(n for n, _ in made) * size - int(tokens[~poured].sum())
 
+    kept = np.array([tokens[held_back(h)].sum() for h in range(GROUPS + 1)])
     held = 1
     sizes, made, slack = solve(held)
-    while slack > tokens[:held].sum() and held < HELD_BACK:
-        enough = np.flatnonzero(np.cumsum(tokens[:HELD_BACK]) >= slack)
-        held = min(HELD_BACK, max(held + 1, int(enough[0]) + 1 if len(enough) else HELD_BACK))
+    while slack > kept[held] and held < GROUPS:
+        enough = np.flatnonzero(kept >= slack)
+        held = min(GROUPS, max(held + 1, int(enough[0]) if len(enough) else GROUPS))
         sizes, made, slack = solve(held)
+    fluid_rows = (F.col("grp") < min(held, HELD_BACK)) | ((F.col("cls") < SHORT // grain) & (F.col("grp") < held))
 
     # slots: for each class, ranks from first_rank on lie in copies of one pattern
     slots, taken, first_seq = {}, np.zeros(len(sizes), dtype=np.int64), 0
@@ -358,7 +371,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = 4096
     n = int(hist.sum())
     buckets = parts_for(n, ROWS_PER_BUCKET)
     order = ["doc_id", "start", "ids_crc32", "doc_tokens"]
-    placed = (ranked(pieces.where(F.col("grp") >= held).drop("ids", "grp"), ["cls"], order, buckets, ["doc_id", "start"])
+    placed = (ranked(pieces.where(~fluid_rows).drop("ids", "grp"), ["cls"], order, buckets, ["doc_id", "start", "uid"])
               .join(F.broadcast(slot_rows), "cls")           # at most size / grain rows
               .withColumn("slot", F.element_at("slots", F.size(F.filter("slots", lambda s: s["first_rank"] <= F.col("rank")))))
               .withColumn("past", F.col("rank") - F.col("slot.first_rank"))
@@ -366,7 +379,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = 4096
     in_seq = Window.partitionBy("sequence_id").orderBy(F.desc("cls"), "past").rowsBetween(Window.unboundedPreceding, 0)
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     placed = placed.withColumn("offset", F.sum("length").over(in_seq) - F.col("length")).select(*columns)
-    poured_tokens = int(tokens[:held].sum())
+    poured_tokens = int(kept[held])
     if not poured_tokens:
         return placed
     placed = materialise(placed, "pack-placed")
@@ -384,8 +397,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = 4096
                                             F.lit(size).cast("long").alias("room"), (F.lit(slack) + F.col("id") * size).alias("at"))
     gaps = (gaps.select("sequence_id", "base", F.col("room").cast("long"), "at").unionByName(more)
             .unionByName(spark.createDataFrame(tail, "sequence_id long, base long, room long, at long")))
-    fluid = running(pieces.where(F.col("grp") < held).drop("cls", "grp"),
-                    F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts_for(n * held // GROUPS, ROWS_PER_BUCKET))), order, "length", "from")
+    fluid = running(pieces.where(fluid_rows).drop("cls", "grp"),
+                    F.pmod(F.xxhash64("doc_id", "start", "uid"), F.lit(parts_for(int(hist[held_back(held)].sum()), ROWS_PER_BUCKET))), order, "length", "from")
 
     def by_block(df: DataFrame, first: str, length: str) -> DataFrame:
         return df.withColumn("block", F.explode(F.sequence(F.floor(F.col(first) / size),

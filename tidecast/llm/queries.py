@@ -14,7 +14,7 @@ from .multiprobe import nearest_neighbours
 from .packing import pack
 from .periodic_runs import periodic_runs
 from .prefix_trie import prefix_trie, turn_digests
-from .spaced_seeds import MASKS, REACH, SHARE, decontaminate
+from .spaced_seeds import MASKS, REACH, RUN, SHARE, decontaminate
 from .url_rules import apply_url_rules
 
 TOKENIZER = "word_bpe_49k.json"
@@ -161,10 +161,11 @@ h AS (SELECT ds.doc_id, bs.item_id, ds.pos AS word, bs.pos AS item_word FROM ds
 c AS (SELECT h.doc_id, h.item_id, h.word, greatest(h.item_word - {REACH}, 0) AS f,
              least(h.item_word + {max(map(len, MASKS)) + REACH}, len(b.w)) AS l, h.word - h.item_word AS s, d.w AS dw, b.w AS bw
       FROM h JOIN d ON h.doc_id = d.doc_id JOIN b ON h.item_id = b.item_id),
-v AS (SELECT doc_id, item_id, word, l - f AS compared,
-             len(list_filter(range(f, l), lambda k: k + s >= 0 AND dw[(k + s + 1)::BIGINT] = bw[(k + 1)::BIGINT])) AS equal FROM c)
+e AS (SELECT doc_id, item_id, word, list_transform(range(f, l), lambda k: CASE WHEN k + s >= 0 AND dw[(k + s + 1)::BIGINT] = bw[(k + 1)::BIGINT]
+                                                                              THEN '1' ELSE '0' END) AS same FROM c),
+v AS (SELECT doc_id, item_id, word, len(same) AS compared, len(list_filter(same, lambda k: k = '1')) AS equal, array_to_string(same, '') AS marks FROM e)
 SELECT doc_id, item_id, min(word)::BIGINT AS first_word, count(*) AS n_hits, max(equal)::BIGINT AS n_equal
-FROM v WHERE equal >= {SHARE} * compared GROUP BY ALL
+FROM v WHERE equal >= {SHARE} * compared OR contains(marks, '{'1' * RUN}') GROUP BY ALL
 """)
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
