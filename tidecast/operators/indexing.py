@@ -36,7 +36,8 @@ def dense_index(keys: DataFrame, col: str, index_col: str = "idx") -> DataFrame:
     return ranked.select(col, (off[F.col("_pid")] + local).cast("bigint").alias(index_col))
 
 
-def split_rank(df: DataFrame, keys: list[str], order: list[Column], rank_col: str = "rank") -> DataFrame:
+def split_rank(df: DataFrame, keys: list[str], order: list[Column], rank_col: str = "rank",
+               rank_type: str = "int") -> DataFrame:
     """``row_number()`` over (keys, order) without one task per key.
 
     Rows are range-partitioned by (keys, order) and written once with their
@@ -54,5 +55,5 @@ def split_rank(df: DataFrame, keys: list[str], order: list[Column], rank_col: st
     for c in same:
         hit = hit & c
     return (placed.withColumn("_within", within).join(b, hit)
-            .withColumn(rank_col, (F.col("_within") + F.col("_before")).cast("int"))
+            .withColumn(rank_col, (F.col("_within") + F.col("_before")).cast(rank_type))
             .select(*df.columns, rank_col))

@@ -2,7 +2,8 @@
 
 All frames are row based (``rowsBetween``): gaps between periods are not
 filled, as in the reference.  The windows run after aggregation, so a series
-holds one row per period (bounded by the calendar, not by the data volume).
+holds one row per period (bounded by the calendar, not by the data volume);
+``long_series`` runs the same functions over series of any length.
 ``series_keys`` partitions the windows, so many series (per category,
 customer, part, ...) spread over all tasks.
 """
@@ -56,17 +57,14 @@ def add_growth(df: DataFrame, target: str, *, order_col: str = "period", series_
 
     The reference only creates the yoy column when the series has more than
     12 rows; here the column always exists (stable schema) and is 0 for
-    series of 12 rows or fewer, which is what a consumer of the filled frame
-    sees either way.
+    series of 12 rows or fewer (no row has another 12 rows before it), which is
+    what a consumer of the filled frame sees either way.
     """
     w = series_window(order_col, series_keys)
     x = F.col(target)
-    n_rows = F.count(F.lit(1)).over(Window.partitionBy(*series_keys)) if series_keys \
-        else F.count(F.lit(1)).over(Window.partitionBy())
     out = df.withColumns({
         f"{target}_mom_growth": pct_change(x, F.lag(x, 1).over(w)),
-        f"{target}_yoy_growth": F.when(n_rows > yoy_lag, pct_change(x, F.lag(x, yoy_lag).over(w)))
-                                 .otherwise(F.lit(0.0)),
+        f"{target}_yoy_growth": pct_change(x, F.lag(x, yoy_lag).over(w)),
     })
     return fill_numeric_nulls(out) if fill_all else out
 
