@@ -5,14 +5,18 @@ import io
 import re
 import contextlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidecast.operators import aggregate as agg
 from tidecast.operators import items as it
+from tidecast.plans import load_all
 from tidecast.sources.tables import items_from_events, monthly_word_counts, order_facts
 
 from .conftest import SF_SMALL
 
+QUERIES = load_all()[0]
+
 
 def plan(df) -> str:
     buf = io.StringIO()
@@ -120,3 +124,30 @@ def test_hot_part_and_customer_are_split(spark, tmpdir_path):
         finally:
             for k, v in old.items():
                 spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+ONE_SCAN = {"standard_scale": "orders", "standard_scale_sequences": "orders", "minmax_scale_roundtrip": "orders",
+            "residual_summary": "orders", "collection_coverage": "events"}
+
+
+@pytest.mark.parametrize("name", sorted(ONE_SCAN))
+def test_scaled_queries_scan_their_facts_once(spark, monkeypatch, name):
+    """Statistics and what they are applied to come from one written table; no row count or bound passes the driver."""
+    from tidecast.operators import items
+    from tidecast.plans import queries_series
+    written = []
+
+    def noted(df, label, write=queries_series.materialise):
+        written.append(plan(df))
+        return write(df, label)
+
+    def refused(self, *a, **k):
+        raise AssertionError("a driver round trip")
+
+    monkeypatch.setattr(queries_series, "materialise", noted)
+    monkeypatch.setattr(items, "materialise", noted)
+    for action in ("first", "collect", "count", "head", "toPandas"):
+        monkeypatch.setattr(type(spark.range(1)), action, refused)
+    final = plan(QUERIES[name](spark, SF_SMALL))
+    scans = [p.count(f"/{ONE_SCAN[name]}.parquet") for p in (*written, final)]
+    assert scans == [1, 0]

@@ -131,3 +131,27 @@ def test_chrono_split_counts(spark):
     df = spark.range(80).withColumnRenamed("id", "period")
     s = ts.chrono_split(df, 0.2).groupBy("split").count().collect()
     assert {r["split"]: r["count"] for r in s} == {"train": 64, "validation": 16}
+
+
+def test_weighted_statistics_equal_pooled_windows(spark):
+    """A row weighted by the training windows that hold it = statistics over the exploded windows."""
+    from tidecast.operators import sequences as sq
+    from tidecast.operators import timeseries as ts
+    for n, length in ((40, 6), (7, 6), (6, 6), (3, 6), (25, 1)):
+        df = spark.createDataFrame([(i, float((i * i) % 17), 5.0) for i in range(n)], "period long, x double, c double")
+        weighted = sc.window_weights(df, length, 0.2)
+        row = sc.standard_stats(weighted, ["x", "c"], weight="weight").first()
+        seq = ts.chrono_split(sq.build_sequences(df, ["x", "c"], "x", length), 0.2).where("split = 'train'")
+        pooled = sc.standard_stats(seq.select(F.explode("x_seq").alias("v")).select(F.col("v")[0].alias("x"), F.col("v")[1].alias("c")), ["x", "c"]).first()
+        assert row.asDict() == pytest.approx(pooled.asDict(), abs=1e-9)
+        assert row["_s_c"] == 1.0
+
+
+def test_scaled_frames_of_awkward_columns(spark):
+    df = spark.createDataFrame([(1, None, 2.0), (2, None, None), (3, None, 4.0)], "id long, `a.b` double, y double")
+    z = {r["id"]: r for r in sc.standard_scaled(df, sc.standard_stats(df, ["a.b", "y"]), ["a.b", "y"]).collect()}
+    assert [z[i]["y_z"] for i in (1, 2, 3)] == [-1.0, None, 1.0] and z[1]["a.b_z"] is None
+    s = sc.minmax_scaled(df, sc.minmax_stats(df, ["y"]), ["y"])
+    assert [r["back"] for r in s.select(sc.minmax_restored(F.col("y_scaled"), "y").alias("back")).collect()] == [2.0, None, 4.0]
+    none = df.limit(0)
+    assert sc.standard_scaled(none, sc.standard_stats(none, ["y"]), ["y"]).count() == 0

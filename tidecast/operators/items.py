@@ -12,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .indexing import split_rank
+from .words import with_scalars
 
 ITEM_COLUMNS = ["keyword", "title", "upload_date", "view_count", "description", "url", "source",
                 "channel_title", "like_count", "comment_count", "duration"]
@@ -120,19 +122,17 @@ def coverage(items: DataFrame, ts_col: str = "upload_ts") -> DataFrame:
     """J9 + A14: keyword x month grid between the first and last month of the
     collection, with item and distinct-URL counts (0 for empty cells).
 
-    The grid is generated per keyword with ``sequence`` over the two bound
-    months (a one-row aggregate) - no cross join - and the counts are joined
-    on (keyword, month).
+    Items are read once: their counts (a row per keyword and month) are
+    written, and keywords and bound months come from there.  The grid is
+    generated per keyword with ``sequence`` over the two bound months (a one-row
+    aggregate) - no cross join.  Without any month the result is empty.
     """
     m = F.trunc(F.to_date(F.col(ts_col)), "MM")
-    bounds = items.agg(F.min(m).alias("lo"), F.max(m).alias("hi")).first()
-    counts = (items.groupBy("keyword", m.alias("month"))
-              .agg(F.count(F.lit(1)).alias("n_items"), F.countDistinct("url").alias("n_urls")))
-    if bounds["lo"] is None:
-        return counts
-    grid = (items.select("keyword").distinct()
-            .select("keyword", F.explode(F.sequence(F.lit(bounds["lo"]), F.lit(bounds["hi"]),
-                                                    F.expr("INTERVAL 1 MONTH"))).alias("month")))
+    counts = materialise(items.groupBy("keyword", m.alias("month"))
+                         .agg(F.count(F.lit(1)).alias("n_items"), F.countDistinct("url").alias("n_urls")), "item-cells")
+    bounds = counts.agg(F.min("month").alias("_lo"), F.max("month").alias("_hi"))
+    months = F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 MONTH")))
+    grid = with_scalars(counts.select("keyword").distinct(), bounds).where("_lo is not null").select("keyword", months.alias("month"))
     return (grid.join(counts, ["keyword", "month"], "left")
             .select("keyword", F.date_format("month", "yyyy-MM").alias("month"),
                     F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),

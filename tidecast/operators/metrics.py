@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .words import with_scalars
+
 
 def metric_aggregates(y: str = "y", yhat: str = "y_pred") -> list[Column]:
     e = F.col(y) - F.col(yhat)
@@ -37,14 +39,14 @@ def residuals(df: DataFrame, y: str = "y", yhat: str = "y_pred") -> DataFrame:
 
 
 def residual_histogram(res: DataFrame, col: str = "abs_pct_error", bins: int = 20) -> DataFrame:
-    """Equal-width histogram (numpy convention: the maximum falls in the last bin)."""
-    x = F.col(col)
-    stats = res.where(x.isNotNull()).agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
-    if stats is None or stats["lo"] is None:
-        return res.sparkSession.createDataFrame([], "bin int, n long, bin_lo double, bin_hi double")
-    a, b = float(stats["lo"]), float(stats["hi"])
-    width = (b - a) / bins if b > a else 1.0
-    idx = F.least(F.floor((x - F.lit(a)) / F.lit(width)) + 1, F.lit(bins)).cast("int")
-    return (res.where(x.isNotNull()).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-            .withColumns({"bin_lo": F.lit(a) + (F.col("bin") - 1) * F.lit(width),
-                          "bin_hi": F.lit(a) + F.col("bin") * F.lit(width)}))
+    """Equal-width histogram (numpy convention: the maximum falls in the last bin) and the median:
+    bin, n, bin_lo, bin_hi, median; empty without values.  The bounds are a one-row aggregate
+    attached to ``res``: two passes, so hand in a written table where ``res`` is dear."""
+    x, filled = F.col(col), res.where(F.col(col).isNotNull())
+    bounds = filled.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.percentile(x, 0.5).alias("median"))
+    width = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / bins).otherwise(F.lit(1.0))
+    idx = F.least(F.floor((x - F.col("_lo")) / F.col("_width")) + 1, F.lit(bins)).cast("int")
+    placed = with_scalars(filled.select(col), bounds.withColumn("_width", width)).withColumn("bin", idx)
+    return (placed.groupBy("bin", "_lo", "_width", "median").agg(F.count(F.lit(1)).alias("n"))
+            .select("bin", "n", (F.col("_lo") + (F.col("bin") - 1) * F.col("_width")).alias("bin_lo"),
+                    (F.col("_lo") + F.col("bin") * F.col("_width")).alias("bin_hi"), "median"))

@@ -162,16 +162,13 @@ def next_month_vector(scores: DataFrame, sales: DataFrame, as_of_month: str | No
     The next month is the month after the last sale (or ``as_of_month``);
     when no word file exists for it, the last month with words is used.
     """
-    months = scores.select("month").distinct()
-    last_sale = as_of_month or sales_month_key(sales).agg(F.max("month_str")).first()[0]
-    if last_sale is None:
-        return scores.select(F.lit("").alias("target_month"), F.lit("").alias("source_month"), "word", "score").limit(0)
-    y, m = (int(x) for x in last_sale.split("-"))
-    target = f"{y + m // 12:04d}-{m % 12 + 1:02d}"      # December rolls over
-    has_target = months.where(F.col("month") == target).limit(1).count() > 0
-    chosen = target if has_target else months.agg(F.max("month")).first()[0]
-    vocab = scores.select("word").distinct()
-    picked = scores.where(F.col("month") == chosen).select("word", "score")
-    return (vocab.join(picked, "word", "left")
-            .select(F.lit(target).alias("target_month"), F.lit(chosen).alias("source_month"),
-                    "word", F.coalesce("score", F.lit(0.0)).alias("score")))
+    last = F.lit(as_of_month) if as_of_month else F.max("month_str")
+    following = F.date_format(F.add_months(F.to_date(F.concat("_last", F.lit("-01"))), 1), "yyyy-MM")
+    target = sales_month_key(sales).agg(last.alias("_last")).select(following.alias("target_month"))
+    months = with_scalars(scores.select("month").distinct(), target)
+    same = F.col("month") == F.col("target_month")
+    chosen = months.agg(F.max("target_month").alias("target_month"),
+                        F.coalesce(F.max(F.when(same, F.col("month"))), F.max("month")).alias("source_month"))
+    of_month = F.max(F.when(F.col("month") == F.col("source_month"), F.col("score")))
+    return (with_scalars(scores, chosen).where("target_month is not null")
+            .groupBy("target_month", "source_month", "word").agg(F.coalesce(of_month, F.lit(0.0)).alias("score")))

@@ -25,6 +25,11 @@ def periods(spark, sf_dir, freq="monthly") -> DataFrame:
     return agg.aggregate_periods(order_facts(spark, sf_dir, category=False, segment=False), freq)
 
 
+def written_periods(spark, sf_dir) -> DataFrame:
+    """The monthly period table, written once: what needs it twice scans the facts once."""
+    return materialise(periods(spark, sf_dir), "periods")
+
+
 def pt_sql(body: str, freq: str = "monthly", extra: str = "") -> str:
     """Body over the CTE ``pt`` (period table, doubles uncast, dates as DATE)."""
     ctes = "pt AS (" + period_table_sql(freq, pivots=False, month_as_date=False, cast=False) + ")"
@@ -196,11 +201,10 @@ def _std_sql():
 
 @register("standard_scale", _std_sql())
 def standard_scale(spark, sf_dir):
-    p = ts.chrono_split(periods(spark, sf_dir), VALIDATION_SHARE)
-    p = p.withColumn("is_train", F.col("split") == "train")
-    stats = sc.fit_standard(p.where("is_train"), SEQUENCE_FEATURES)
-    return comparable(p.select("period", "is_train",
-                               *[sc.standard_expr(c, c, stats).alias(f"{c}_z") for c in SEQUENCE_FEATURES]))
+    p = ts.chrono_split(written_periods(spark, sf_dir), VALIDATION_SHARE).withColumn("is_train", F.col("split") == "train")
+    stats = sc.standard_stats(p.where("is_train"), SEQUENCE_FEATURES)
+    scaled = sc.standard_scaled(p, stats, SEQUENCE_FEATURES)
+    return comparable(scaled.select("period", "is_train", *[f"{c}_z" for c in SEQUENCE_FEATURES]))
 
 
 # --- M3 pooled over the timesteps of the training windows ---------------------------
@@ -217,21 +221,12 @@ FROM lng JOIN st USING (feature)"""
 
 @register("standard_scale_sequences", _seq_std_sql())
 def standard_scale_sequences(spark, sf_dir):
-    """Pooled statistics: each feature over every timestep of every training window."""
-    p = periods(spark, sf_dir)
-    seq = ts.chrono_split(sq.build_sequences(p, SEQUENCE_FEATURES, "total_sales", _L), VALIDATION_SHARE)
-    long = sq.sequences_long(seq.withColumn("is_train", F.col("split") == "train")
-                             .select("period", "x_seq", "is_train"), SEQUENCE_FEATURES)
-    train = seq.where(F.col("split") == "train").select("period")
-    stats_df = (long.join(train, "period", "left_semi").groupBy("feature")
-                .agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s")).collect())
-    m = {r["feature"]: float(r["m"]) for r in stats_df}
-    s = {r["feature"]: float(r["s"]) or 1.0 for r in stats_df}
-    mexpr = F.create_map(*[x for k in m for x in (F.lit(k), F.lit(m[k]))])
-    sexpr = F.create_map(*[x for k in s for x in (F.lit(k), F.lit(s[k]))])
-    z = (F.col("value") - mexpr[F.col("feature")]) / sexpr[F.col("feature")]
-    return comparable(long.select("period", F.col("step").cast("int").alias("step"), "feature",
-                                  z.alias("value_z")))
+    """Pooled statistics: each feature over every timestep of every training window, a row counted as often as windows hold it."""
+    p = sc.window_weights(written_periods(spark, sf_dir), _L, VALIDATION_SHARE)
+    scaled = sc.standard_scaled(p, sc.standard_stats(p, SEQUENCE_FEATURES, weight="weight"), SEQUENCE_FEATURES)
+    z = scaled.select("period", "total_sales", *[F.col(f"{c}_z").alias(f"_{c}") for c in SEQUENCE_FEATURES])
+    long = sq.sequences_long(sq.build_sequences(z, [f"_{c}" for c in SEQUENCE_FEATURES], "total_sales", _L), SEQUENCE_FEATURES)
+    return comparable(long.select("period", F.col("step").cast("int").alias("step"), "feature", F.col("value").alias("value_z")))
 
 
 # --- M4/M5: min-max target scaling and its inverse --------------------------------
@@ -243,11 +238,10 @@ SELECT period, total_sales,
 FROM pt, (SELECT min(total_sales) AS lo, max(total_sales) AS hi FROM pt) mm"""),
     ["total_sales", "sales_scaled", "sales_restored"]))
 def minmax_scale_roundtrip(spark, sf_dir):
-    p = periods(spark, sf_dir).select("period", "total_sales")
-    stats = sc.fit_minmax(p, ["total_sales"])
-    scaled = sc.minmax_expr("total_sales", "total_sales", stats)
-    return comparable(p.select("period", "total_sales", scaled.alias("sales_scaled"),
-                               sc.inverse_minmax_expr(scaled, "total_sales", stats).alias("sales_restored")))
+    p = written_periods(spark, sf_dir).select("period", "total_sales")
+    scaled = sc.minmax_scaled(p, sc.minmax_stats(p, ["total_sales"]), ["total_sales"])
+    return comparable(scaled.select("period", "total_sales", F.col("total_sales_scaled").alias("sales_scaled"),
+                                    sc.minmax_restored(F.col("total_sales_scaled"), "total_sales").alias("sales_restored")))
 
 
 # --- A11 / E4: naive (lag-1) forecast over the model's windows ------------------------
@@ -300,11 +294,8 @@ FROM (SELECT least(CAST(floor((ape - lo) / CASE WHEN hi > lo THEN (hi - lo) / 20
 GROUP BY bin, median_ape""", extra=_naive_cte("monthly", _L)), ["median_ape"]))
 def residual_summary(spark, sf_dir):
     """20-bin histogram of absolute % errors and their median."""
-    res = met.residuals(naive_forecast(periods(spark, sf_dir), _L))
-    hist = met.residual_histogram(res, "abs_pct_error", 20)
-    median = res.agg(F.percentile("abs_pct_error", 0.5).alias("m")).first()["m"]
-    return comparable(hist.select(F.col("bin").cast("bigint").alias("bin"), "n",
-                                  F.lit(median).cast("double").alias("median_ape")))
+    hist = met.residual_histogram(met.residuals(naive_forecast(written_periods(spark, sf_dir), _L)), "abs_pct_error", 20)
+    return comparable(hist.select(F.col("bin").cast("bigint").alias("bin"), "n", F.col("median").alias("median_ape")))
 
 
 # --- M18 / A13 / PF11 / PF12: comparison across grains ----------------------------------
