@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregate as agg
 from ..operators import learn
 from ..operators import words as wd
+from ..operators.word_sequences import sparse_word_forecast
 from ..params import SEQUENCE_LENGTH_PRESETS, WORD_SEQUENCE_LENGTH, ForecastParams
 from ..session import materialise, scratch_path
 from ..sources import sinks
@@ -77,6 +78,22 @@ def forecast_words(spark, sf_dir):
     return _checked(spark, learn.word_forecast(matrix, wd.next_month_vector(scores, sales)))
 
 
+@register("forecast_words_sparse", wsql(f"""
+, mon AS ({_MONTHLY})
+SELECT word, CAST(0 AS FLOAT) AS violation, (SELECT count(*) - {WORD_SEQUENCE_LENGTH} FROM mon) AS n_samples,
+       (SELECT max(period) FROM mon) AS last_period, CAST((SELECT arg_max(value, period) FROM mon) AS FLOAT) AS last_value,
+       CAST(0 AS FLOAT) AS dual_miss
+FROM vocab_all"""))
+def forecast_words_sparse(spark, sf_dir):
+    """M14 without a wide matrix: each word's miss of the normal equations, and of the dual's predictions from the coefficients'."""
+    scores = shared_word_scores(spark, sf_dir).select("month", "word", "score")
+    sales = materialise(monthly_sales(spark, sf_dir), "month-sales")
+    rec, words = sparse_word_forecast(scores, sales, wd.next_month_vector(scores, sales), WORD_SEQUENCE_LENGTH)
+    return comparable(words.select("word", F.round("violation", 5).alias("violation"), F.lit(rec["n_samples"]).cast("bigint").alias("n_samples"),
+                                   F.lit(rec["last_period"]).alias("last_period"), F.lit(rec["last_value"]).alias("last_value"),
+                                   F.round(F.lit(rec["dual_miss"]), 6).alias("dual_miss")))
+
+
 @register("forecast_saved_state", _record_sql("huber", _MONTHLY, SEQUENCE_LENGTH_PRESETS["monthly"]))
 def forecast_saved_state(spark, sf_dir):
     """SNK7 + M19: a model is saved, a newer save ends half-way, and the forecast runs on what loads."""
