@@ -45,7 +45,7 @@ def test_cli_items_from_dump(spark, tmpdir_path, capsys):
     dump = os.path.join(tmpdir_path, "dump.jsonl")
     recs = [{"keyword": "k", "id": "a", "title": "t", "upload_date": "20240105", "view_count": 5},
             {"keyword": "k", "id": "b", "title": "t", "upload_date": "20240106", "view_count": 9,
-             "webpage_url": "watch?v=a"},
+             "webpage_url": "https://www.youtube.com/watch?v=a"},
             {"keyword": "k", "id": "c", "upload_date": "", "view_count": None}]
     _write(dump, "\n".join(json.dumps(r) for r in recs) + "\nnot json\n")
     main(["items", "--dump", dump, "--out", os.path.join(tmpdir_path, "out")])

@@ -47,6 +47,35 @@ def test_word_list_files(spark, tmpdir_path):
     assert [r["month"] for r in bad.collect()] == ["2024-03"]
 
 
+def test_one_bad_value_leaves_the_rest(spark, tmpdir_path):
+    d = tmpdir_path
+    _write(os.path.join(d, "2024-01.json"), ' \n{"a": 1, "b": "0.5", "c": true, "d": null, "e": [1], "f": {"g": 1}, "h": 1e3, "i": -0.25, "": 2}')
+    _write(os.path.join(d, "2024-02.json"), '{"a": 1, "a": 2}')                # a word twice
+    _write(os.path.join(d, "2024-03.json"), '{}')
+    _write(os.path.join(d, "2024-04.json"), '')
+    _write(os.path.join(d, "2024-05.json"), '[7, "x", ["y"], {"z": 1}, null, true, "x"]')
+    good, bad = files.load_word_scores(spark, d)
+    assert sorted(map(tuple, good.collect())) == [("2024-01", "", 2.0), ("2024-01", "a", 1.0), ("2024-01", "h", 1000.0), ("2024-01", "i", -0.25)]
+    wrong = {(r["month"], r["word"]): r["value"] for r in bad.collect()}
+    assert {k: wrong[k] for k in wrong if k[0] == "2024-01"} == {
+        ("2024-01", "b"): '"0.5"', ("2024-01", "c"): "true", ("2024-01", "d"): "null", ("2024-01", "e"): "[1]", ("2024-01", "f"): '{"g":1}'}
+    assert {k[0] for k in wrong if k[1] is None} >= {"2024-02", "2024-05"} and "2024-03" not in {k[0] for k in wrong}
+    words, odd = files.load_word_lists(spark, d)
+    got = sorted((r["month"], r["pos"], r["word"]) for r in words.collect() if r["month"] == "2024-05")
+    assert got == [("2024-05", 1, "7"), ("2024-05", 2, "x"), ("2024-05", 6, "true"), ("2024-05", 7, "x")]
+    assert sorted(r["value"] for r in odd.collect() if r["month"] == "2024-05") == ['["y"]', "null", '{"z":1}']
+
+
+def test_word_files_are_replaced_by_month(spark, tmpdir_path):
+    scores = spark.createDataFrame([("2024-01", "b", 0.5), ("2024-01", "a", 1.0), ("2024-02", "a", 0.25), (None, "a", 1.0)], "month string, word string, score double")
+    sinks.write_word_files(sinks.score_files(scores), tmpdir_path)
+    sinks.write_word_files(sinks.score_files(scores.where("month = '2024-02'").withColumn("score", F.lit(0.75))), tmpdir_path)
+    good, bad = files.load_word_scores(spark, tmpdir_path)
+    assert sorted(map(tuple, good.collect())) == [("2024-01", "a", 1.0), ("2024-01", "b", 0.5), ("2024-02", "a", 0.75)]
+    assert bad.count() == 0
+    assert sorted(f for f in os.listdir(tmpdir_path) if not f.startswith(".")) == ["2024-01.json", "2024-02.json"]
+
+
 def test_sales_csv_variants(spark, tmpdir_path):
     d = tmpdir_path
     assert files.load_sales_csv(spark, d).count() == 0                    # empty folder

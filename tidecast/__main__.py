@@ -75,7 +75,7 @@ def main(argv=None) -> None:
         words, bad = files.load_word_lists(spark, a.words)
         sales = files.load_sales_csv(spark, a.sales)
         res = pipelines.run_word_analysis(spark, words, sales, a.out, a.method, a.top, month=a.month)
-        res["quarantined_files"] = bad.count()
+        res["quarantined_files"] = bad.select("month").distinct().count()
     elif a.job == "word-forecast":
         scores, _ = files.load_word_scores(spark, a.scores)
         res = pipelines.run_word_forecast(spark, scores, a.out, sales=files.load_sales_csv(spark, a.sales))

@@ -204,3 +204,38 @@ def items_json_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "items")
     sinks.write_items(items, f"{path}/json", f"{path}/csv")
     return spark.read.schema(items.schema).json(f"{path}/json")
+
+
+# --- SRC2, SRC4: monthly word files -----------------------------------------------------
+# Files that are not as they should be - a wrong score, a list, a broken file.
+_ODD_FILES = [("1900-01", '{"rain": 0.5, "sun": "high", "wind": null}'), ("1900-02", '["rain", "sun", null]'), ("1900-03", '{"rain": 0.5')]
+
+
+def _word_files(spark, sf_dir):
+    path = scratch_path(spark, "word-files")
+    texts = sinks.score_files(shared_word_scores(spark, sf_dir).select("month", "word", "score"))
+    sinks.write_word_files(texts.unionByName(spark.createDataFrame(_ODD_FILES, "month string, value string")), path)
+    return path
+
+
+@register("word_score_files", wsql("""
+SELECT month, word, CAST(score AS FLOAT) AS score, NULL AS wrong FROM wa WHERE month IS NOT NULL
+UNION ALL SELECT * FROM (VALUES ('1900-01', 'rain', CAST(0.5 AS FLOAT), NULL), ('1900-01', 'sun', NULL, '"high"'), ('1900-01', 'wind', NULL, 'null'),
+  ('1900-02', NULL, NULL, '["rain", "sun", null]'), ('1900-03', NULL, NULL, '{"rain": 0.5')) odd"""))
+def word_score_files(spark, sf_dir):
+    """SRC2: a JSON file of scores a month, written and read again, odd files beside them."""
+    good, wrong = files.load_word_scores(spark, _word_files(spark, sf_dir))
+    return comparable(good.withColumn("wrong", F.lit(None).cast("string"))
+                      .unionByName(wrong.select("month", "word", F.lit(None).cast("double").alias("score"), F.trim("value", F.lit("\n")).alias("wrong"))))
+
+
+@register("word_list_files", wsql("""
+, o AS (SELECT month, word, row_number() OVER (PARTITION BY month ORDER BY word) AS pos FROM wa WHERE month IS NOT NULL)
+SELECT month, word, CAST(pos AS INTEGER) AS pos, NULL AS wrong FROM o
+UNION ALL SELECT * FROM (VALUES ('1900-01', 'rain', 1, NULL), ('1900-01', 'sun', 2, NULL), ('1900-01', 'wind', 3, NULL),
+  ('1900-02', 'rain', 1, NULL), ('1900-02', 'sun', 2, NULL), ('1900-02', NULL, NULL, 'null'), ('1900-03', NULL, NULL, '{"rain": 0.5')) odd"""))
+def word_list_files(spark, sf_dir):
+    """SRC4: the words of the same files with their places."""
+    good, wrong = files.load_word_lists(spark, _word_files(spark, sf_dir))
+    return (good.select("month", "word", F.col("pos").cast("int").alias("pos"), F.lit(None).cast("string").alias("wrong"))
+            .unionByName(wrong.select("month", "word", F.lit(None).cast("int").alias("pos"), F.trim("value", F.lit("\n")).alias("wrong"))))

@@ -85,19 +85,36 @@ def _whole_files(spark: SparkSession, directory: str, month: str | None) -> Data
                      "value")
 
 
+def _first_mark(value: Column) -> Column:
+    return F.substring(F.ltrim(value, F.lit(" \t\r\n")), 1, 1)
+
+
+def _entries(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """A row per member of every file's object or array: month, key (objects), pos (arrays, from 0), entry (variant)."""
+    parsed = files.select("month", F.try_parse_json("value").alias("v"))
+    return parsed.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("month", "key", "pos", F.col("value").alias("entry"))
+
+
+def _is_number(entry: Column) -> Column:
+    kind = F.schema_of_variant(entry)
+    return kind.startswith("BIGINT") | kind.startswith("DECIMAL") | kind.startswith("DOUBLE") | kind.startswith("FLOAT")
+
+
 def load_word_scores(spark: SparkSession, directory: str, month: str | None = None):
-    """Monthly ``{word: score}`` files -> ((month, word, score), quarantine).
+    """Monthly ``{word: score}`` files -> ((month, word, score), quarantine (month, word, value)).
 
     The month filter selects the file by name before it is read (the
-    reference's file-level pruning).  Files that are not a JSON object of
-    numbers go to the quarantine frame (month, value).
+    reference's file-level pruning).  A score that is no number (text, truth value, null, list, object) goes to the quarantine
+    alone, under its word; a file that is no JSON object, or names a word twice,
+    goes there whole, with a NULL word.
     """
     files = _whole_files(spark, directory, month)
-    parsed = files.withColumn("m", F.from_json("value", "map<string,double>"))
-    good = parsed.where(F.col("m").isNotNull()).select(
-        "month", F.explode("m").alias("word", "score"))
-    bad = parsed.where(F.col("m").isNull()).select("month", "value")
-    return good, bad
+    is_object = (_first_mark(F.col("value")) == "{") & F.try_parse_json("value").isNotNull()
+    scores = _entries(spark, files.where(is_object))
+    good = scores.where(_is_number(F.col("entry"))).select("month", F.col("key").alias("word"), F.try_variant_get("entry", "$", "double").alias("score"))
+    wrong = scores.where(~_is_number(F.col("entry"))).select("month", F.col("key").alias("word"), F.to_json("entry").alias("value"))
+    whole = files.where(~F.coalesce(is_object, F.lit(False))).select("month", F.lit(None).cast("string").alias("word"), "value")
+    return good, wrong.unionByName(whole)
 
 
 def place_in_file() -> Column:
@@ -130,19 +147,25 @@ def load_sales_csv(spark: SparkSession, directory: str) -> DataFrame:
 
 # --- SRC4 ---------------------------------------------------------------------
 def load_word_lists(spark: SparkSession, directory: str):
-    """Monthly word files holding a list, or an object (keys are the words).
+    """Monthly word files holding a list, or an object (its keys are the words, whatever the values).
 
-    -> ((month, word, pos), quarantine).  ``map<string,string>`` is used for
-    the keys so that a non-numeric value does not void the whole object.
+    -> ((month, word, pos), quarantine (month, word, value)); ``pos`` counts from 1 in file order.  Members of a list that
+    are no words (null, list, object) go to the quarantine alone, with a NULL word, as
+    files do that are neither list nor object; numbers and truth values are words as they are written.
     """
     files = _whole_files(spark, directory, None)
-    words = F.coalesce(F.from_json("value", "array<string>"),
-                       F.map_keys(F.from_json("value", "map<string,string>")))
-    parsed = files.withColumn("w", words)
-    good = parsed.where(F.col("w").isNotNull()).select(
-        "month", F.posexplode("w").alias("pos", "word")).withColumn("pos", F.col("pos") + 1)
-    bad = parsed.where(F.col("w").isNull()).select("month", "value")
-    return good, bad
+    keys = F.when(_first_mark(F.col("value")) == "{", F.json_object_keys("value"))
+    is_list = (_first_mark(F.col("value")) == "[") & F.try_parse_json("value").isNotNull()
+    named = files.withColumn("w", keys).where("w is not null").select("month", F.posexplode("w").alias("pos", "word"))
+    members = _entries(spark, files.where(is_list))
+    kind = F.schema_of_variant("entry")
+    is_word = ~(kind.startswith("VOID") | kind.startswith("ARRAY") | kind.startswith("OBJECT"))
+    listed = members.where(is_word).select("month", "pos", F.try_variant_get("entry", "$", "string").alias("word"))
+    good = named.unionByName(listed).select("month", (F.col("pos") + 1).alias("pos"), "word")
+    no_word = F.lit(None).cast("string").alias("word")
+    wrong = members.where(~is_word).select("month", no_word, F.to_json("entry").alias("value"))
+    whole = files.where(keys.isNull() & ~F.coalesce(is_list, F.lit(False))).select("month", no_word, "value")
+    return good, wrong.unionByName(whole)
 
 
 # --- SRC5 ---------------------------------------------------------------------

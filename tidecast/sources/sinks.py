@@ -82,6 +82,29 @@ def write_importance_object(importance: DataFrame, path: str) -> None:
      .coalesce(1).write.mode("overwrite").json(path))
 
 
+def write_word_files(texts: DataFrame, directory: str) -> None:
+    """(month, value) -> ``<directory>/<month>.json``, one file a month, as ``files.load_word_scores`` reads them.
+
+    Tasks write the files; the driver renames them, one a month.  A month that is there already is replaced."""
+    spark, directory = texts.sparkSession, directory.rstrip("/")
+    drafts = f"{directory}/_drafts-{uuid.uuid4().hex[:8]}"
+    texts.select("month", "value").repartition("month").write.partitionBy("month").text(drafts)
+    hadoop, written, fs = _file_system(spark, f"{drafts}/month=*/part-*")
+    for status in fs.globStatus(written) or []:
+        month = str(status.getPath().getParent().getName()).split("=", 1)[1]
+        final = hadoop.Path(f"{directory}/{month}.json")
+        fs.delete(final, False)
+        if not fs.rename(status.getPath(), final):
+            raise RuntimeError(f"{final} could not be written")
+    fs.delete(hadoop.Path(drafts), True)
+
+
+def score_files(scores: DataFrame) -> DataFrame:
+    """(month, word, score) -> (month, value): each month's scores as one JSON object, words in order."""
+    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "score"))))
+    return scores.where("month is not null and word is not null").groupBy("month").agg(F.to_json(pairs).alias("value"))
+
+
 def write_report(reports: DataFrame, path: str) -> None:
     """SNK5: the all-months report, one block per month in month order.
 
