@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import item_store as store
 from ..operators import items as it
+from ..session import scratch_path
 from ..sources.tables import items_from_events, table
 from .registry import comparable, register
 
@@ -31,6 +33,17 @@ def items_dedupe_url(spark, sf_dir):
     return comparable(it.dedupe_first(items_from_events(spark, sf_dir).drop("upload_ts")))
 
 
+@register("items_upsert", isql("""
+SELECT * EXCLUDE (rn, upload_ts) FROM (
+  SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq_no) AS rn FROM items) x WHERE rn = 1"""))
+def items_upsert(spark, sf_dir):
+    """S2 with arriving dumps: three batches, the latest items first, merged into a table kept by URL."""
+    arriving, path = items_from_events(spark, sf_dir).drop("upload_ts"), scratch_path(spark, "item-store")
+    for part in (2, 0, 1):
+        store.upsert(arriving.where(F.pmod(F.xxhash64("seq_no"), F.lit(3)) == part), path, n_buckets=8)
+    return comparable(store.items(spark, path))
+
+
 @register("items_top_n_month", isql("""
 SELECT keyword, year, month, CAST(rank AS INTEGER) AS rank, url, view_count, seq_no FROM (
   SELECT keyword, CAST(year(upload_ts) AS INTEGER) AS year, CAST(month(upload_ts) AS INTEGER) AS month,
