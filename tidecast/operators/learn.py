@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.regression import (GBTRegressor, LinearRegression, RandomForestRegressor)
 from pyspark.sql import Column, DataFrame
@@ -31,6 +31,8 @@ TREES = 100
 SEED = 42
 WORD_METHODS = ("ridge", "lasso", "random_forest", "gradient_boosting")
 HUBER_L2 = 0.1
+HUBER_DELTA = 1.0                 # the reference's loss: squared up to an error of 1 on the scaled target, linear beyond
+HUBER_ROUNDS, HUBER_TOLERANCE = 100, 1e-9
 
 
 # --- helpers ---------------------------------------------------------------------
@@ -220,11 +222,7 @@ def forecast(full: DataFrame, p: ForecastParams, model: str = "gbt",
                            validationTol=0.01)
         fitted = est.fit(design)
     elif model == "huber":
-        # L·F + extras features exceed the training windows (p > n): a firm L2
-        # penalty converges (and generalises) where a weak one runs out of iterations.
-        est = LinearRegression(featuresCol="features", labelCol="y_scaled", loss="huber", epsilon=1.35,
-                               regParam=HUBER_L2, elasticNetParam=0.0, maxIter=200, tol=1e-5)
-        fitted = est.fit(design.where(~F.col("is_val")))
+        fitted = fit_huber(design.where(~F.col("is_val")))
     else:
         raise ValueError(f"unknown model {model!r}")
     pred = fitted.transform(design).withColumn(
@@ -256,6 +254,60 @@ def forecast(full: DataFrame, p: ForecastParams, model: str = "gbt",
     return pred, record
 
 
+def training_windows(full: DataFrame, state: dict, p: ForecastParams) -> DataFrame:
+    """(period, y_scaled, features): the windows a model of this state was fitted on, scaled as for its fit."""
+    seq = sq.build_sequences(full, state["features"], state["target"], state["length"], extras=state["extras"], same_period_extras=p.same_period_extras)
+    if not p.same_period_extras:
+        seq = seq.where(F.col("x_extra").isNotNull())
+    train = ts.chrono_split(seq, p.validation_share).where("split = 'train'")
+    return train.select("period", ((F.col("y") - F.lit(state["ylo"])) / F.lit((state["yhi"] - state["ylo"]) or 1.0)).alias("y_scaled"),
+                        _design(seq, len(state["features"]), state["seq_stats"], state["extra_stats"]).alias("features"))
+
+
+def fit_huber(train: DataFrame, penalty: float = HUBER_L2, delta: float = HUBER_DELTA, rounds: int = HUBER_ROUNDS):
+    """The linear model that minimises mean(H(y_scaled - Xw - b)) + penalty / 2 x |w|^2, H the Huber loss of a fixed ``delta``.
+
+    Reweighted least squares: rows beyond ``delta`` weigh delta / |residual|, and each round is one exact solve of the
+    normal equations, until no weight moves, at most ``rounds`` times; no round raises the loss.  Far outliers among fewer rows
+    than coefficients need many rounds: ``huber_optimality`` tells what is left.  (A loss whose scale is fitted too has no minimum here: there
+    are more coefficients than windows, so the scale shrinks to 0.)  Spark's penalty is relative to the
+    label's spread and to the sum of weights; both are taken out again, so that it means the same in every round.
+    """
+    rows, model = train.select("features", "y_scaled").withColumn("weight", F.lit(1.0)), None
+    n = None
+    for _ in range(rounds):
+        w, y = F.col("weight"), F.col("y_scaled")
+        total, count, mean = rows.agg(F.sum(w), F.count(w), F.sum(w * y) / F.sum(w)).first()
+        spread = rows.agg(F.sqrt(F.sum(w * F.pow(y - F.lit(mean), 2)) / F.sum(w))).first()[0]
+        n = n or count
+        model = LinearRegression(featuresCol="features", labelCol="y_scaled", weightCol="weight", regParam=penalty * n / total * spread,
+                                 elasticNetParam=0.0, standardization=False).fit(rows)
+        residual = F.abs(F.col("y_scaled") - F.col("prediction"))
+        scored = model.transform(rows).withColumn("new", F.when(residual > delta, F.lit(delta) / residual).otherwise(F.lit(1.0)))
+        moved = scored.agg(F.max(F.abs(F.col("new") - w))).first()[0]
+        if moved <= HUBER_TOLERANCE:
+            break
+        rows = (model.transform(train.select("features", "y_scaled"))
+                .select("features", "y_scaled", F.when(residual > delta, F.lit(delta) / residual).otherwise(F.lit(1.0)).alias("weight")))
+    return model
+
+
+def huber_optimality(train: DataFrame, model, penalty: float = HUBER_L2, delta: float = HUBER_DELTA) -> DataFrame:
+    """(step, violation): how far a fit is from the conditions of ``fit_huber``'s minimum, relative to the size of their terms (0 there).
+
+    Coefficient j (``step`` is its place): mean(psi x X_j) + penalty x w_j = 0, psi the residual cut at +-delta.  Intercept (step -1): mean(psi) = 0.
+    """
+    error = F.col("prediction") - F.col("y_scaled")
+    psi = F.greatest(F.least(error, F.lit(delta)), F.lit(-delta))
+    rows = model.transform(train).select(psi.alias("psi"), F.concat(F.array(F.lit(1.0)), vector_to_array("features")).alias("x"))
+    cells = rows.select("psi", F.posexplode("x").alias("place", "x"))                   # training windows x coefficients
+    weights = train.sparkSession.createDataFrame([(0, 0.0)] + [(i + 1, float(w)) for i, w in enumerate(model.coefficients)], "place int, w double")
+    sums = cells.groupBy("place").agg(F.avg(F.col("psi") * F.col("x")).alias("g"), F.avg(F.abs(F.col("psi") * F.col("x"))).alias("size"))
+    pull = F.lit(penalty) * F.col("w")
+    return sums.join(F.broadcast(weights), "place").select(
+        (F.col("place") - 1).alias("step"), F.coalesce(F.try_divide(F.abs(F.col("g") + pull), F.col("size") + F.abs(pull)), F.lit(0.0)).alias("violation"))
+
+
 def _number(row, name):
     return float(row[name]) if row is not None and row[name] is not None else None
 

@@ -14,7 +14,7 @@ from ..operators import aggregate as agg
 from ..operators import learn
 from ..operators import words as wd
 from ..operators.word_sequences import sparse_word_forecast
-from ..params import SEQUENCE_LENGTH_PRESETS, WORD_SEQUENCE_LENGTH, ForecastParams
+from ..params import SEQUENCE_FEATURES, SEQUENCE_LENGTH_PRESETS, VALIDATION_SHARE, WORD_SEQUENCE_LENGTH, ForecastParams
 from ..session import materialise, scratch_path
 from ..sources import sinks
 from ..sources.tables import monthly_sales, order_facts, shared_word_lists, shared_word_scores
@@ -94,6 +94,36 @@ def forecast_words_sparse(spark, sf_dir):
                                    F.round(F.lit(rec["dual_miss"]), 6).alias("dual_miss")))
 
 
+_HUBER_CELLS = ("SELECT * FROM (SELECT unnest(range(%d)) AS step) s" % (SEQUENCE_LENGTH_PRESETS["monthly"] * len(SEQUENCE_FEATURES)))
+
+
+@register("forecast_huber_optimality", f"SELECT CAST(step AS INTEGER) AS step, CAST(0 AS FLOAT) AS violation FROM ({_HUBER_CELLS} UNION ALL SELECT -1) c")
+def forecast_huber_optimality(spark, sf_dir):
+    """Each window coefficient's (and the intercept's, step -1) miss of the minimum's condition; every other coefficient must meet it too."""
+    full, p = materialise(agg.full_dataset(order_facts(spark, sf_dir), "monthly"), "full-dataset"), ForecastParams(freq="monthly")
+    _, rec = learn.forecast(full, p, "huber")
+    checked = learn.huber_optimality(learn.training_windows(full, rec["_state"], p), rec["_model"])
+    own = F.col("step") < rec["_state"]["length"] * len(rec["_state"]["features"])
+    return comparable(checked.select("step", F.round("violation", 6).alias("violation")).where(own | (F.col("violation") > 0)))
+
+
+@register("forecast_huber_windows", f"""
+WITH m AS ({_MONTHLY}), t AS (SELECT period, value, row_number() OVER (ORDER BY period) AS rn, count(*) OVER () - {SEQUENCE_LENGTH_PRESETS["monthly"]} AS n FROM m)
+SELECT period, CAST(value AS FLOAT) AS y, rn - {SEQUENCE_LENGTH_PRESETS["monthly"]} > floor(n * {1.0 - VALIDATION_SHARE}) AS is_val, TRUE AS metrics_agree
+FROM t WHERE rn > {SEQUENCE_LENGTH_PRESETS["monthly"]}""")
+def forecast_huber_windows(spark, sf_dir):
+    """The written prediction of every window; the record's metrics are computed from it again, in another form."""
+    pred, rec = learn.forecast_from_facts(order_facts(spark, sf_dir), ForecastParams(freq="monthly"), "huber")
+    pred = materialise(pred, "window-predictions")
+    e, y = F.col("y") - F.col("y_pred"), F.col("y")
+    again = pred.agg(F.avg(F.abs(e)).alias("MAE"), F.sqrt(F.avg(e * e)).alias("RMSE"), (1 - F.avg(e * e) / F.var_pop(y)).alias("R2"),
+                     (F.avg(F.abs(e / y)) * 100).alias("MAPE"), F.avg(F.when(F.col("is_val"), F.abs(e))).alias("holdout_MAE"))
+    agree = F.lit(True)
+    for c in again.columns:
+        agree = agree & (F.abs(F.col(c) - F.lit(rec[c])) <= 1e-6 * F.abs(F.col(c)))
+    return comparable(wd.with_scalars(pred, again).select("period", "y", "is_val", agree.alias("metrics_agree")))
+
+
 @register("forecast_saved_state", _record_sql("huber", _MONTHLY, SEQUENCE_LENGTH_PRESETS["monthly"]))
 def forecast_saved_state(spark, sf_dir):
     """SNK7 + M19: a model is saved, a newer save ends half-way, and the forecast runs on what loads."""
