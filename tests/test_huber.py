@@ -39,7 +39,8 @@ def test_more_coefficients_than_rows(spark):
     """Slow to end (100 rounds left a violation of 0.001 here), but every round lowers the loss."""
     rng = np.random.default_rng(12)
     x = rng.normal(size=(12, 20))
-    y = x @ rng.normal(size=20) * 0.1
+    x[:, -1] = 2.0
+    y = x @ rng.normal(size=20) * 0.1 + 0.02 * rng.normal(size=12)
     y[:3] += 5
     train, losses = frame(spark, x, y), []
     for rounds in (1, 2, 4, 8):
