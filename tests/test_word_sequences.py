@@ -20,12 +20,12 @@ def made(spark, months, words, seed, held=0.5):
     return x, sales, scores, s, upcoming
 
 
-def dense(x, sales, length, train, penalty):
+def dense(x, sales, length, train, penalty, offset=1):
     """The same ridge with every window written out: (predictions, coefficients)."""
     months = len(sales)
     rows = np.column_stack([x[:months], sales])
     windows = np.stack([rows[i:i + length] for i in range(months - length + 1)])
-    extra = np.stack([*(x[i + length - 1] for i in range(months - length)), x[months]])
+    extra = np.stack([*(x[i + length - offset] for i in range(months - length)), x[months]])
 
     def scaled(a, of):
         std = of.std(0)
@@ -41,12 +41,12 @@ def dense(x, sales, length, train, penalty):
     return ((z - centre) @ w + y[:train].mean()) * (hi - lo) + lo, w
 
 
-@pytest.mark.parametrize("months,words,length", [(20, 6, 3), (15, 25, 4), (9, 3, 1)])
-def test_equals_dense_ridge(spark, months, words, length):
+@pytest.mark.parametrize("months,words,length,offset", [(20, 6, 3, 1), (15, 25, 4, 1), (9, 3, 1, 1), (20, 6, 3, 0), (15, 25, 4, 0), (9, 3, 1, 0)])
+def test_equals_dense_ridge(spark, months, words, length, offset):
     x, sales, scores, s, upcoming = made(spark, months, words, seed=months)
-    record, table = ws.sparse_word_forecast(scores, s, upcoming, length, min_months=3)
+    record, table = ws.sparse_word_forecast(scores, s, upcoming, length, min_months=3, word_offset=offset)
     train = int((months - length) * 0.8)
-    predicted, w = dense(x, sales, length, train, record["penalty"])
+    predicted, w = dense(x, sales, length, train, record["penalty"], offset)
     assert record["predicted_value"] == pytest.approx(predicted[-1], rel=1e-9)
     assert record["MAE"] == pytest.approx(np.abs(predicted[:-1] - sales[length:]).mean(), rel=1e-9)
     rows = {r["word"]: r for r in table.collect()}

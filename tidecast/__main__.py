@@ -32,11 +32,13 @@ def main(argv=None) -> None:
     f.add_argument("--freq", choices=FREQS, default="monthly")
     f.add_argument("--model", choices=("huber", "gbt"), default="huber")
     f.add_argument("--no-retrain", action="store_true", help="use the newest saved model if any")
+    f.add_argument("--drop-partial-last", action="store_true", help="leave out a last period that the orders don't reach the end of")
     f.add_argument("--out", required=True)
 
     c = sub.add_parser("compare", help="forecast quality per time grain")
     c.add_argument("--orders")
     c.add_argument("--tables")
+    c.add_argument("--drop-partial-last", action="store_true")
     c.add_argument("--out", required=True)
 
     w = sub.add_parser("words", help="word importance, top words and per-month explanations")
@@ -44,6 +46,7 @@ def main(argv=None) -> None:
     w.add_argument("--sales", required=True, help="folder holding the monthly sales CSV")
     w.add_argument("--method", default="gradient_boosting",
                    choices=("ridge", "lasso", "random_forest", "gradient_boosting"))
+    w.add_argument("--direction-source", default="importance", choices=("importance", "corr"))
     w.add_argument("--top", type=int, default=10)
     w.add_argument("--month", help="explain only this month (YYYY-MM)")
     w.add_argument("--out", required=True)
@@ -51,6 +54,7 @@ def main(argv=None) -> None:
     p = sub.add_parser("word-forecast", help="next month's sales from monthly word scores")
     p.add_argument("--scores", required=True, help="folder of YYYY-MM.json {word: score} files")
     p.add_argument("--sales", required=True)
+    p.add_argument("--word-offset", type=int, default=1, choices=(0, 1), help="months from the words learned from to the target")
     p.add_argument("--out", required=True)
 
     i = sub.add_parser("items", help="top items per keyword x month, deduplicated by URL")
@@ -65,20 +69,22 @@ def main(argv=None) -> None:
     if a.job in ("forecast", "compare"):
         facts = a.tables or files.load_orders_csv(spark, a.orders)
         if a.job == "forecast":
-            res = pipelines.run_demand_forecast(spark, facts, a.out, ForecastParams(freq=a.freq), a.model,
-                                                retrain=not a.no_retrain)
+            res = pipelines.run_demand_forecast(spark, facts, a.out, ForecastParams(freq=a.freq, drop_partial_last=a.drop_partial_last),
+                                                a.model, retrain=not a.no_retrain)
         else:
-            frame = pipelines.run_comparison(spark, facts)
+            frame = pipelines.run_comparison(spark, facts, drop_partial_last=a.drop_partial_last)
             frame.write.mode("overwrite").json(f"{a.out}/comparison")
             res = [r.asDict() for r in frame.collect()]
     elif a.job == "words":
         words, bad = files.load_word_lists(spark, a.words)
         sales = files.load_sales_csv(spark, a.sales)
-        res = pipelines.run_word_analysis(spark, words, sales, a.out, a.method, a.top, month=a.month)
+        res = pipelines.run_word_analysis(spark, words, sales, a.out, a.method, a.top, month=a.month,
+                                         direction_source=a.direction_source)
         res["quarantined_files"] = bad.select("month").distinct().count()
     elif a.job == "word-forecast":
         scores, _ = files.load_word_scores(spark, a.scores)
-        res = pipelines.run_word_forecast(spark, scores, a.out, sales=files.load_sales_csv(spark, a.sales))
+        res = pipelines.run_word_forecast(spark, scores, a.out, sales=files.load_sales_csv(spark, a.sales),
+                                          word_offset=a.word_offset)
     else:
         if a.dump:
             from .operators.items import normalise_record

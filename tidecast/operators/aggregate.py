@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import (calendar_columns, period_group_key, period_key, period_label,
                                   period_start_date)
 from ..session import materialise
+from .words import with_scalars
 
 BASE_COLUMNS = ["order_count", "total_sales", "avg_order_value", "std_order_value",
                 "total_quantity", "avg_quantity", "unique_customers", "avg_delivery_time",
@@ -212,6 +213,17 @@ def full_dataset(facts: DataFrame, freq: str = "monthly",
                              month_as_date=True)
 
 
+def drop_partial_last(periods: DataFrame, facts: DataFrame, freq: str, ts_col: str = "order_date") -> DataFrame:
+    """``periods`` (a table with ``period``) without the period that the facts don't reach the last day of.
+
+    The last day is one aggregate over one column of the facts, attached as a one-row frame.  No dated
+    fact: nothing is complete, and the result is empty."""
+    start = period_start_date("period", freq)
+    end = {"daily": start, "weekly": F.date_add(start, 6), "monthly": F.last_day(start)}[freq]
+    last = facts.agg(F.to_date(F.max(ts_col)).alias("_last_day"))
+    return with_scalars(periods, last).where(end <= F.col("_last_day")).drop("_last_day")
+
+
 def aggregate_monthly(facts: DataFrame) -> DataFrame:
     """A2: monthly A1 with ``year_month`` and ``month := date`` (older callers)."""
     m = aggregate_periods(facts, "monthly")

@@ -23,7 +23,7 @@ from . import metrics as met
 from . import sequences as sq
 from . import timeseries as ts
 from .dual import WordDesign, lasso_coefficients, optimality, ridge_coefficients
-from .words import normalise_importance, training_set, vocabulary, with_scalars
+from .words import correlation_scores, normalise_importance, training_set, vocabulary, with_scalars
 
 RIDGE_ALPHA = 1.0
 LASSO_ALPHA = 0.1
@@ -110,9 +110,17 @@ def _coefficients(words: DataFrame, sales: DataFrame, method: str) -> tuple[Data
     return vocab.join(F.broadcast(used), "idx", "left").select("word", F.coalesce("raw_importance", F.lit(0.0)).alias("raw_importance")), None
 
 
-def word_importance(words: DataFrame, sales: DataFrame, method: str = "gradient_boosting") -> DataFrame:
-    """M6-M9 + A12 + F5: (word, score, raw_importance, direction)."""
-    return normalise_importance(_coefficients(words, sales, method)[0])
+def word_importance(words: DataFrame, sales: DataFrame, method: str = "gradient_boosting", direction_source: str = "importance") -> DataFrame:
+    """M6-M9 + A12 + F5: (word, score, raw_importance, direction).
+
+    ``direction_source``: ``importance`` takes the sign of the importance, which trees never make negative; ``corr``
+    takes that of the word's correlation with sales (M10), whatever the method."""
+    if direction_source not in ("importance", "corr"):
+        raise ValueError(f"unknown direction source {direction_source!r}")
+    found = normalise_importance(_coefficients(words, sales, method)[0])
+    if direction_source == "importance":
+        return found
+    return found.drop("direction").join(correlation_scores(words, sales).select("word", "direction"), "word")
 
 
 def importance_checks(words: DataFrame, sales: DataFrame, method: str) -> DataFrame:
@@ -209,7 +217,7 @@ def forecast(full: DataFrame, p: ForecastParams, model: str = "gbt",
     if state:
         seq_stats, extra_stats, ylo, yhi = state["seq_stats"], state["extra_stats"], state["ylo"], state["yhi"]
     else:
-        seq_stats, extra_stats, ylo, yhi = _train_stats(seq.where(~F.col("is_val")), len(features), len(extras))
+        seq_stats, extra_stats, ylo, yhi = _train_stats(seq if p.scale_on_all else seq.where(~F.col("is_val")), len(features), len(extras))
     yrange = (yhi - ylo) or 1.0
     design = seq.select("period", "y", "is_val", _design(seq, len(features), seq_stats, extra_stats)
                         .alias("features"), ((F.col("y") - F.lit(ylo)) / F.lit(yrange)).alias("y_scaled"))
@@ -233,7 +241,7 @@ def forecast(full: DataFrame, p: ForecastParams, model: str = "gbt",
     by_scope = {r["scope"]: r for r in met.regression_metrics(scoped, group_cols=["scope"]).collect()}
     allm = by_scope["all"]
     hold = by_scope.get("holdout") or {"MAE": None, "RMSE": None}
-    nxt = sq.next_window(full, features, L, extras=extras)
+    nxt = sq.last_training_window(seq) if p.next_from_training else sq.next_window(full, features, L, extras=extras)
     nxt_pred = fitted.transform(nxt.select(
         _design(nxt, len(features), seq_stats, extra_stats).alias("features"))).first()
     last = ts.last_observation(full, p.target).first()
@@ -325,20 +333,25 @@ def record_frame(spark, records: list[dict]) -> DataFrame:
 
 def forecast_from_facts(facts: DataFrame, p: ForecastParams, model: str = "gbt"):
     full = agg.full_dataset(facts, p.freq)
-    return forecast(full, p, model)
+    return forecast(agg.drop_partial_last(full, facts, p.freq) if p.drop_partial_last else full, p, model)
 
 
 # --- word-score forecast (pipeline C) -----------------------------------------------
 def word_forecast(matrix: DataFrame, next_vec: DataFrame, length: int = 12, min_months: int = MIN_DATA_MONTHS,
-                  validation_share: float = VALIDATION_SHARE, saved: tuple | None = None) -> dict:
+                  validation_share: float = VALIDATION_SHARE, saved: tuple | None = None, word_offset: int = 1) -> dict:
     """M14 + M16: sequences of (word scores ++ sales) over ``length`` months plus
     the last timestep's word vector -> next month's sales; predicted with the
     last ``length`` months and next month's word vector (J7).  Scalers and
     model are fitted on the windows before the chronological validation suffix;
-    a ``saved`` (model, state) pair is applied with its own words and scalers."""
+    a ``saved`` (model, state) pair is applied with its own words and scalers.
+
+    ``word_offset``: the word vector learned from is that of so many months before the target; 1 as in the
+    reference, 0 for the target month's own, which is what the prediction is given."""
+    if word_offset not in (0, 1):
+        raise ValueError("word_offset is 0 or 1")
     fitted, state = saved or (None, None)
     if state:
-        word_cols, length = state["word_cols"], state["length"]
+        word_cols, length, word_offset = state["word_cols"], state["length"], state.get("word_offset", 1)
         matrix = matrix.withColumns({c: F.lit(0.0) for c in word_cols if c not in matrix.columns})
     else:
         word_cols = sorted(c for c in matrix.columns if c.startswith("word_score_"))
@@ -350,8 +363,10 @@ def word_forecast(matrix: DataFrame, next_vec: DataFrame, length: int = 12, min_
         rec.update(status="insufficient_data")
         m.unpersist()
         return rec
-    seq = sq.build_sequences(m, feats, "sales", length)
-    seq = seq.withColumn("x_extra", F.slice("x_last", 1, len(word_cols)))
+    own = word_cols if word_offset == 0 else None
+    seq = sq.build_sequences(m, feats, "sales", length, extras=own)
+    if not own:
+        seq = seq.withColumn("x_extra", F.slice("x_last", 1, len(word_cols)))
     seq = ts.chrono_split(seq, validation_share).withColumn("is_val", F.col("split") == "validation").persist()
     rec["n_samples"] = seq.count()
     if state:
@@ -387,7 +402,7 @@ def word_forecast(matrix: DataFrame, next_vec: DataFrame, length: int = 12, min_
                if last["last_value"] else 0.0)
     rec["_model"] = fitted
     rec["_state"] = {"kind": "words_linear", "word_cols": word_cols, "length": length, "seq_stats": seq_stats,
-                     "extra_stats": extra_stats, "ylo": ylo, "yhi": yhi}
+                     "extra_stats": extra_stats, "ylo": ylo, "yhi": yhi, "word_offset": word_offset}
     seq.unpersist()
     m.unpersist()
     return rec

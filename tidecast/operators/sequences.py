@@ -57,6 +57,15 @@ def next_window(df: DataFrame, features: list[str], length: int, *,
             .where(F.size("x_seq") == length))
 
 
+def last_training_window(seq: DataFrame, *, order_col: str = "period", series_keys=()) -> DataFrame:
+    """The newest row of ``build_sequences`` per series, which the reference predicts the "next" period
+    from although its target is the last observed period (D4, for parity).  An aggregate, not a window."""
+    columns = [c for c in seq.columns if c not in series_keys]
+    newest = F.max_by(F.struct(*[F.col(f"`{c}`") for c in columns]), F.col(order_col)).alias("newest")
+    rows = seq.groupBy(*series_keys).agg(newest)
+    return rows.where(F.col("newest").isNotNull()).select(*series_keys, "newest.*")
+
+
 def sequences_long(seq: DataFrame, features: list[str], order_col: str = "period",
                    series_keys=()) -> DataFrame:
     """(keys, period, step 1..L oldest first, feature, value) view of ``x_seq``."""

@@ -1,7 +1,7 @@
 """Forecast from word-score sequences of any vocabulary (W8, M14, M16): ridge in its dual, words kept sparse.
 
 A window of ``length`` months has length x (words + 1) features (each month's scores and its sales) and the
-last month's scores once more (for the forecast: the next month's, J7).  There are far more features than windows, and
+last month's scores once more (with ``word_offset`` 0 the target month's; for the forecast: the next month's, J7).  There are far more features than windows, and
 far more words than a frame has columns, so no window is ever built:
 
 * a word is one row, (word, cells): its scores other than 0 by month number.  Scaling statistics pool a month as
@@ -49,12 +49,16 @@ class SequenceDesign:
     Months are numbered 0 .. n-1; number n is the month to forecast, of which only the scores are known.
     Window o (of ``windows``) has months o .. o+length-1 and month o+length as its target."""
 
-    def __init__(self, scores: DataFrame, sales: DataFrame, upcoming: DataFrame, length: int, validation_share: float = VALIDATION_SHARE):
+    def __init__(self, scores: DataFrame, sales: DataFrame, upcoming: DataFrame, length: int, validation_share: float = VALIDATION_SHARE,
+                 word_offset: int = 1):
         rows = (sales_month_key(sales).where("month_str is not null").select("month_str", F.col("sales").cast("double").alias("sales"))
                 .orderBy("month_str", "sales").limit(MAX_MONTHS + 1).collect())
         if len(rows) > MAX_MONTHS:
             raise ValueError(f"more than {MAX_MONTHS} months")
+        if word_offset not in (0, 1):
+            raise ValueError("word_offset is 0 or 1")
         self.spark, self.length, self.n = scores.sparkSession, length, len(rows)
+        self.end = length - word_offset                 # the month of a window whose scores stand once more
         self.periods, self.sales = [r["month_str"] for r in rows], np.array([r["sales"] for r in rows], dtype=float)
         self.windows = max(self.n - length, 0)
         self.train = int(np.floor(self.windows * (1.0 - validation_share)))
@@ -63,7 +67,7 @@ class SequenceDesign:
         pooled, last = np.zeros(self.n + 1), np.zeros(self.n + 1)
         for o in range(self.train):
             pooled[o:o + length] += 1
-            last[o + length - 1] += 1
+            last[o + self.end] += 1
         self.pooled = pooled[:self.n]
         numbered = self.spark.createDataFrame([(r["month_str"], i) for i, r in enumerate(rows)], "month string, m int")
         held = scores.select("month", "word", F.col("score").cast("double").alias("x")).where("word is not null")
@@ -110,7 +114,7 @@ class SequenceDesign:
         months = gram["1"][:self.n, :self.n] + np.outer(self.sales_z, self.sales_z)
         starts = np.arange(self.windows + 1)
         out = sum(months[np.ix_(starts + t, starts + t)] for t in range(self.length))
-        ends = np.append(np.arange(self.windows) + self.length - 1, self.n)
+        ends = np.append(np.arange(self.windows) + self.end, self.n)
         return out + gram["2"][np.ix_(ends, ends)]
 
     def solve(self, k: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +151,7 @@ class SequenceDesign:
 
     def _at_end(self, values: np.ndarray, inv: str) -> Column:
         by_window = _numbers(values)
-        return _sum("cells", lambda c: F.coalesce(F.get(by_window, c["m"] - (self.length - 1)), F.lit(0.0)) * c["x"]) * F.col(inv)
+        return _sum("cells", lambda c: F.coalesce(F.get(by_window, c["m"] - self.end), F.lit(0.0)) * c["x"]) * F.col(inv)
 
     def coefficients(self, dual: np.ndarray) -> DataFrame:
         """One row per word: ``steps`` (coefficient of the word's scaled score at each step, oldest first) and ``extra``."""
@@ -163,9 +167,10 @@ class SequenceDesign:
 
         in_steps = F.transform(F.filter("cells", lambda c: c["m"] < self.n), lambda c: F.transform(
             "steps", lambda w, t: part(c["m"] - t, w * c["x"] * F.col("inv1"))))
-        # the forecast's window ends with month n-1, but its extra scores are month n's
-        at_end = F.transform(F.filter("cells", lambda c: c["m"] != self.n - 1), lambda c: part(
-            F.when(c["m"] == self.n, F.lit(self.windows)).otherwise(c["m"] - (self.length - 1)), F.col("extra") * c["x"] * F.col("inv2")))
+        # the forecast's extra scores are month n's; with an offset, those of month n-1 stand in no window once more
+        held = F.filter("cells", lambda c: (c["m"] == self.n) | (c["m"] < self.windows + self.end))
+        at_end = F.transform(held, lambda c: part(
+            F.when(c["m"] == self.n, F.lit(self.windows)).otherwise(c["m"] - self.end), F.col("extra") * c["x"] * F.col("inv2")))
         both = coefficients.select(F.explode(F.concat(F.flatten(in_steps), at_end)).alias("p")).where(F.col("p.o").between(0, self.windows))
         sums = both.groupBy(F.col("p.o").alias("o")).agg(F.sum("p.v").alias("v")).collect()           # a row per window
         offset = coefficients.agg(F.sum(F.aggregate("steps", F.lit(0.0), lambda s, w: s + w) * F.col("mean1") * F.col("inv1")
@@ -191,11 +196,12 @@ class SequenceDesign:
 
 
 def sparse_word_forecast(scores: DataFrame, sales: DataFrame, upcoming: DataFrame, length: int = 12, min_months: int = MIN_DATA_MONTHS,
-                         validation_share: float = VALIDATION_SHARE) -> tuple[dict, DataFrame | None]:
+                         validation_share: float = VALIDATION_SHARE, word_offset: int = 1) -> tuple[dict, DataFrame | None]:
     """(record, words' coefficients with violations) of the ridge forecast.
 
-    ``scores``: (month, word, score); ``sales``: (month, sales); ``upcoming``: the next month's (word, score), J7."""
-    design = SequenceDesign(scores, sales, upcoming, length, validation_share)
+    ``scores``: (month, word, score); ``sales``: (month, sales); ``upcoming``: the next month's (word, score), J7.
+    ``word_offset``: months from the extra scores learned from to the target (1 as in the reference, or 0)."""
+    design = SequenceDesign(scores, sales, upcoming, length, validation_share, word_offset)
     record = {"freq": "monthly", "model": "words_ridge_sparse", "n_samples": design.windows}
     if design.n < min_months or design.train == 0:
         return {**record, "status": "insufficient_data"}, None

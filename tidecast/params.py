@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 FREQS = ("daily", "weekly", "monthly")
 
@@ -40,7 +40,9 @@ class ForecastParams:
     min_windows: int = MIN_SAMPLES
     max_iter: int = 50
     seed: int = 42
-    series_keys: list[str] = field(default_factory=list)
+    drop_partial_last: bool = False    # True leaves out a last period whose days the data don't reach the end of
+    next_from_training: bool = False   # True predicts from the last training window, as the reference does: its target is known already
+    scale_on_all: bool = False         # True fits the scalers on the validation windows too, as the reference does
 
     def resolved_lags(self) -> list[int]:
         return self.lags if self.lags is not None else LAG_PRESETS[self.freq]

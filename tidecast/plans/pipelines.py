@@ -32,6 +32,8 @@ _MODEL_CLASSES = {"gbt": GBTRegressionModel, "huber": LinearRegressionModel}
 def feature_table(facts: DataFrame, p: ForecastParams) -> DataFrame:
     """J1 + W1 + W4 + W6 at the requested grain (what SNK1 stores)."""
     full = agg.full_dataset(facts, p.freq)
+    if p.drop_partial_last:
+        full = agg.drop_partial_last(full, facts, p.freq)
     return ts.add_time_series_features(full, p.target, p.resolved_lags(), p.resolved_windows())
 
 
@@ -67,19 +69,20 @@ def run_demand_forecast(spark: SparkSession, facts: DataFrame | str, out_base: s
 
 
 def run_comparison(spark: SparkSession, facts: DataFrame | str, freqs=FREQS,
-                   model: str = "huber") -> DataFrame:
+                   model: str = "huber", drop_partial_last: bool = False) -> DataFrame:
     """One forecast per grain; a failing grain is reported, not fatal;
     the best grain has the highest R2 among successful ones (A13).
 
     The order facts are scanned once: all grains come from one written table of days
-    (``grains.full_datasets``)."""
+    (``grains.full_datasets``).  ``drop_partial_last`` leaves out each grain's unfinished last period."""
     facts = order_facts(spark, facts) if isinstance(facts, str) else facts
     tables = grains.full_datasets(facts, freqs)
     records = []
     for freq in freqs:
         try:
             p = ForecastParams(freq=freq, min_windows=MIN_WINDOWS_COMPARE)
-            _, rec = learn.forecast(tables[freq], p, model)
+            table = agg.drop_partial_last(tables[freq], facts, freq) if drop_partial_last else tables[freq]
+            _, rec = learn.forecast(table, p, model)
             rec.pop("_model", None)
             rec.pop("_state", None)
         except Exception as e:  # noqa: BLE001 - the reference keeps going per grain
@@ -97,11 +100,13 @@ def run_comparison(spark: SparkSession, facts: DataFrame | str, freqs=FREQS,
 
 def run_word_analysis(spark: SparkSession, words: DataFrame, sales: DataFrame, out_base: str,
                       method: str = "gradient_boosting", top_n: int = 10,
-                      predictions: DataFrame | None = None, month: str | None = None) -> dict:
+                      predictions: DataFrame | None = None, month: str | None = None,
+                      direction_source: str = "importance") -> dict:
     """Pipeline D: importance (M6-M9) -> scores file -> top words -> per-month
     explanations -> report file.  Importance is learned from all months;
-    ``month`` restricts the explanations to that month (PF6)."""
-    imp = learn.word_importance(words, sales, method)
+    ``month`` restricts the explanations to that month (PF6).  ``direction_source="corr"`` takes
+    directions from correlations with sales (D6)."""
+    imp = learn.word_importance(words, sales, method, direction_source)
     sinks.write_word_scores(imp, f"{out_base}/word_scores")
     imp = spark.read.schema("word string, score double, raw_importance double, direction string") \
         .json(f"{out_base}/word_scores")
@@ -121,7 +126,7 @@ def check_new_data(words: DataFrame, sales: DataFrame, min_months: int = MIN_DAT
 
 
 def run_word_forecast(spark: SparkSession, scores: DataFrame | str, out_base: str,
-                      sales: DataFrame | None = None, retrain: bool = True) -> dict:
+                      sales: DataFrame | None = None, retrain: bool = True, word_offset: int = 1) -> dict:
     """Pipeline C: word scores (month, word, score) + sales (month, sales)
     -> sequences -> train or load -> next month.  A string is a driver-table folder."""
     if isinstance(scores, str):
@@ -133,7 +138,8 @@ def run_word_forecast(spark: SparkSession, scores: DataFrame | str, out_base: st
     else:
         models = f"{out_base}/models/words"
         saved = None if retrain else sinks.load_latest(spark, models, LinearRegressionModel)
-        rec = learn.word_forecast(wd.word_score_matrix(sales, scores), wd.next_month_vector(scores, sales), saved=saved)
+        rec = learn.word_forecast(wd.word_score_matrix(sales, scores), wd.next_month_vector(scores, sales), saved=saved,
+                                  word_offset=word_offset)
         if saved is None and "_model" in rec:
             sinks.save_model(rec["_model"], models, state=rec["_state"])
         rec.pop("_model", None)

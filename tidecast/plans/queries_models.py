@@ -78,20 +78,45 @@ def forecast_words(spark, sf_dir):
     return _checked(spark, learn.word_forecast(matrix, wd.next_month_vector(scores, sales)))
 
 
-@register("forecast_words_sparse", wsql(f"""
+_SPARSE_SQL = wsql(f"""
 , mon AS ({_MONTHLY})
 SELECT word, CAST(0 AS FLOAT) AS violation, (SELECT count(*) - {WORD_SEQUENCE_LENGTH} FROM mon) AS n_samples,
        (SELECT max(period) FROM mon) AS last_period, CAST((SELECT arg_max(value, period) FROM mon) AS FLOAT) AS last_value,
        CAST(0 AS FLOAT) AS dual_miss
-FROM vocab_all"""))
-def forecast_words_sparse(spark, sf_dir):
-    """M14 without a wide matrix: each word's miss of the normal equations, and of the dual's predictions from the coefficients'."""
-    scores = shared_word_scores(spark, sf_dir).select("month", "word", "score")
-    sales = materialise(monthly_sales(spark, sf_dir), "month-sales")
-    rec, words = sparse_word_forecast(scores, sales, wd.next_month_vector(scores, sales), WORD_SEQUENCE_LENGTH)
-    return comparable(words.select("word", F.round("violation", 5).alias("violation"), F.lit(rec["n_samples"]).cast("bigint").alias("n_samples"),
-                                   F.lit(rec["last_period"]).alias("last_period"), F.lit(rec["last_value"]).alias("last_value"),
-                                   F.round(F.lit(rec["dual_miss"]), 6).alias("dual_miss")))
+FROM vocab_all""")
+
+
+def _sparse_words(word_offset):
+    def q(spark, sf_dir):
+        """M14 without a wide matrix: each word's miss of the normal equations, and of the dual's predictions from the coefficients'."""
+        scores = shared_word_scores(spark, sf_dir).select("month", "word", "score")
+        sales = materialise(monthly_sales(spark, sf_dir), "month-sales")
+        rec, words = sparse_word_forecast(scores, sales, wd.next_month_vector(scores, sales), WORD_SEQUENCE_LENGTH, word_offset=word_offset)
+        return comparable(words.select("word", F.round("violation", 5).alias("violation"), F.lit(rec["n_samples"]).cast("bigint").alias("n_samples"),
+                                       F.lit(rec["last_period"]).alias("last_period"), F.lit(rec["last_value"]).alias("last_value"),
+                                       F.round(F.lit(rec["dual_miss"]), 6).alias("dual_miss")))
+    return q
+
+
+register("forecast_words_sparse", _SPARSE_SQL)(_sparse_words(1))
+register("forecast_words_same_month", _SPARSE_SQL)(_sparse_words(0))       # D7: learned from the target month's own words
+
+
+@register("word_direction_by_correlation", wsql("SELECT word, direction FROM imp"))
+def word_direction_by_correlation(spark, sf_dir):
+    """A tree model's words with the directions of their correlations."""
+    words, sales = shared_word_lists(spark, sf_dir), materialise(monthly_sales(spark, sf_dir), "month-sales")
+    return learn.word_importance(words, sales, "random_forest", direction_source="corr").select("word", "direction")
+
+
+@register("forecast_huber_parity", _record_sql("huber", _MONTHLY, SEQUENCE_LENGTH_PRESETS["monthly"]).replace(f"count(*) - {SEQUENCE_LENGTH_PRESETS['monthly']} AS n_samples", f"count(*) - {SEQUENCE_LENGTH_PRESETS['monthly']} AS n_samples, TRUE AS predicts_last_window"))
+def forecast_huber_parity(spark, sf_dir):
+    """D3, D4, D14 as in the reference: same-period extras, scalers of all windows, the prediction of the last training window."""
+    p = ForecastParams(freq="monthly", same_period_extras=True, next_from_training=True, scale_on_all=True)
+    pred, rec = learn.forecast_from_facts(order_facts(spark, sf_dir), p, "huber")
+    newest = pred.agg(F.max_by("y_pred", "period").alias("newest"))
+    same = F.abs(F.col("newest") - F.lit(rec["predicted_value"])) <= 1e-6 * F.abs("newest")
+    return wd.with_scalars(_checked(spark, rec), newest).select("*", same.alias("predicts_last_window")).drop("newest")
 
 
 _HUBER_CELLS = ("SELECT * FROM (SELECT unnest(range(%d)) AS step) s" % (SEQUENCE_LENGTH_PRESETS["monthly"] * len(SEQUENCE_FEATURES)))

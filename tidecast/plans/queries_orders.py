@@ -10,7 +10,7 @@ from ..operators import timeseries as ts
 from ..params import FREQS, LAG_PRESETS, ROLLING_PRESETS
 from ..sources.tables import order_facts
 from .registry import comparable, register
-from .sql_blocks import cast_wrap, period_sql, period_table_sql, with_facts
+from .sql_blocks import cast_wrap, date_sql, period_sql, period_table_sql, with_facts
 
 
 def _period_sql(freq):
@@ -162,3 +162,20 @@ def orders_csv_roundtrip(spark, sf_dir):
     facts = facts.select(F.lit("x").alias("warehouse"), *reversed(facts.columns))
     facts.write.mode("overwrite").option("header", True).csv(path)
     return comparable(agg.aggregate_periods(load_orders_csv(spark, path), "monthly"))
+
+
+def _complete_sql():
+    last = {"daily": "start", "weekly": "start + 6", "monthly": "last_day(start)"}
+    parts = [f"SELECT '{freq}' AS freq, CAST(period AS VARCHAR) AS period, order_count, CAST(total_sales AS FLOAT) AS total_sales "
+             f"FROM (SELECT *, {date_sql(freq)} AS start FROM ({period_table_sql(freq, pivots=False, month_as_date=False, cast=False)}) p) t "
+             f"WHERE {last[freq]} <= (SELECT CAST(max(o_orderdate) AS DATE) FROM orders)" for freq in FREQS]
+    return with_facts(" UNION ALL ".join(parts))
+
+
+@register("complete_periods", _complete_sql())
+def complete_periods(spark, sf_dir):
+    """Every grain's periods without a last one that the orders don't reach the end of."""
+    facts = order_facts(spark, sf_dir, category=False, segment=False)
+    tables = [agg.drop_partial_last(agg.aggregate_periods(facts, freq), facts, freq)
+              .select(F.lit(freq).alias("freq"), F.col("period").cast("string").alias("period"), "order_count", "total_sales") for freq in FREQS]
+    return comparable(tables[0].unionByName(tables[1]).unionByName(tables[2]))

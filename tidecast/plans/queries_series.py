@@ -160,6 +160,14 @@ def sequences_monthly(spark, sf_dir):
     return comparable(long.withColumn("step", F.col("step").cast("int")))
 
 
+@register("last_training_window", f"SELECT * FROM ({_seq_long_sql()}) q WHERE period = (SELECT max(strftime(o_orderdate, '%Y-%m')) FROM orders)")
+def last_training_window(spark, sf_dir):
+    """D4, for parity: the window that the reference forecasts from; its target is the last observed month."""
+    seq = sq.build_sequences(periods(spark, sf_dir), SEQUENCE_FEATURES, "total_sales", _L)
+    long = sq.sequences_long(sq.last_training_window(seq), SEQUENCE_FEATURES)
+    return comparable(long.withColumn("step", F.col("step").cast("int")))
+
+
 @register("sequence_targets", cast_wrap(pt_sql(f"""
 SELECT period, total_sales AS y,
   lag(CAST(order_count AS DOUBLE), 1) OVER w AS last_order_count,
