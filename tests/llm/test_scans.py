@@ -1,8 +1,13 @@
 import random
+import textwrap
 
+import duckdb
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from tidecast.llm.license_scan import known_licenses, scan_licenses
+from tidecast.llm.license_scan import ENTIRE, known_licenses, scan_licenses
+from tidecast.llm.queries import ORACLE_SQL
 from tidecast.llm.spaced_seeds import decontaminate
 from tidecast.llm.url_rules import apply_url_rules
 
@@ -65,6 +70,45 @@ def test_license_scan(spark):
     assert [r["line_no"] for r in scan_licenses(awkward(spark, [(1, long_text)]), known_licenses(spark)).collect()] == [20_001]
 
 
+def wrapped(text, width, mark=""):
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
+@pytest.mark.parametrize("license,titles,text", ENTIRE)
+def test_entire_licenses(spark, license, titles, text):
+    """A published file: title, copyright lines and wrapped text, at any width, in a comment block, with other spellings."""
+    head, tail = "Copyright (c) 2015-2020, J. Q. Public and others", "All rights reserved."
+    docs = [(i, f"{titles[0]}\n\n{head}\n{tail}\n\n{wrapped(text, width)}\n") for i, width in enumerate((30, 61, 72, 10_000))]
+    docs += [(10, f"/*\n * {head}\n *\n{wrapped(text, 66, ' * ')}\n */"), (11, text.replace("copyright holder", "copyright owner").upper()),
+             (12, f"prose before\n\n{wrapped(text, 50, '# ')}\n\nprose after"), (13, wrapped(text, 70)[:-30]), (14, f"{wrapped(text, 70)}\nand more")]
+    got = scan_licenses(awkward(spark, docs), known_licenses(spark)).where(F.col("license") == license).collect()
+    assert {r["doc_id"] for r in got if r["unit"] == "document"} == {0, 1, 2, 3, 10, 11}
+    assert {(r["doc_id"], r["line_no"]) for r in got if r["unit"] == "paragraph" and r["doc_id"] in (0, 1, 2, 10, 12)} >= {(0, 6), (1, 6), (2, 6), (10, 4), (12, 3)}
+    assert not {r["doc_id"] for r in got if r["unit"] != "line"} & {13, 14}
+
+
+def test_copyright_statement_ends_with_its_sentence(spark):
+    docs = [(1, "Copyright 2020 X. Released under the MIT License."), (2, "(c) 2019 Foo, Inc. All rights reserved. Licensed under CC BY 4.0."),
+            (3, "# Copyright (C) 2020 J. Smith"), (4, "© Jones.\tThis work is licensed under the GNU General Public License, version 3."),
+            (5, "copyright notice. Released under the MIT License."), (6, "Copyright 2020 X. Other words. released"),
+            (7, "a\u2028Copyright 2020 X\u2028. Released under the MIT License."), (8, "Copyright 2020 X\u0085")]
+    got = {(r["doc_id"], r["license"]) for r in scan_licenses(awkward(spark, docs), known_licenses(spark)).where("unit = 'line'").collect()}
+    assert got == {(1, "MIT"), (2, "CC-BY-4.0"), (4, "GPL-3.0")}
+
+
+def test_license_paragraphs_equal_sql(spark):
+    """The query's SQL over made-up documents, as the tables hold no wrapped licence."""
+    rng = random.Random(9)
+    lines = ["", " ", " * ", "Released under the", "MIT License.", "Released under the MIT License.", "Copyright (c) 2020 A", "prose", "Licensed under CC BY 4.0."]
+    rows = [(i, rng.choice(["\n", "\r\n", "\r"]).join(rng.choice(lines) for _ in range(rng.randrange(0, 12)))) for i in range(3000)]
+    con = duckdb.connect()
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])
+    con.register("documents", documents)
+    want = con.execute(ORACLE_SQL["op10_license_scan"]).fetchall()
+    got = [tuple(r) for r in scan_licenses(spark.createDataFrame(documents), known_licenses(spark)).collect()]
+    assert sorted(got) == sorted(want) and {r[1] for r in got} == {"document", "paragraph", "line"}
+
+
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_decontaminate(spark, broadcast):
     rng = random.Random(4)

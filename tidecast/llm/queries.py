@@ -9,7 +9,7 @@ from . import language_id, rule_ensemble, toxicity, wordpiece_counts
 from .common import fold, table
 from .exact_dedup import exact_duplicates
 from .jaccard_join import jaccard_components
-from .license_scan import COPYRIGHT_LINE, KNOWN, RIGHTS_RESERVED, SPELLINGS, known_licenses, scan_licenses
+from .license_scan import COPYRIGHT_STATEMENT, RIGHTS_RESERVED, SPELLINGS, known_licenses, known_texts, scan_licenses
 from .multiprobe import nearest_neighbours
 from .packing import pack
 from .periodic_runs import periodic_runs
@@ -76,24 +76,31 @@ def _sql_text(s: str) -> str:
 
 def _canonical_sql(c: str) -> str:
     c = f"translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    c = f"regexp_replace({c}, {_sql_text(COPYRIGHT_LINE)}, ' ')"
+    c = f"regexp_replace({c}, {_sql_text(COPYRIGHT_STATEMENT)}, '\\1')"
     c = f"regexp_replace({c}, {_sql_text(RIGHTS_RESERVED)}, ' ', 'g')"
+    return _spelled_sql(f"trim(regexp_replace({c}, '[^a-z0-9]+', ' ', 'g'))")
+
+
+def _spelled_sql(c: str) -> str:
     for spelling, one in SPELLINGS:
         c = f"replace({c}, {_sql_text(spelling)}, {_sql_text(one)})"
-    return f"trim(regexp_replace({c}, '[^a-z0-9]+', ' ', 'g'))"
+    return c
 
 
 @query("op10_license_scan", f"""
 WITH k AS (SELECT DISTINCT license, sha256({_canonical_sql('text')}) AS digest
-           FROM (VALUES {', '.join(f'({_sql_text(a)}, {_sql_text(b)})' for a, b in KNOWN)}) v(license, text)),
+           FROM (VALUES {', '.join(f'({_sql_text(a)}, {_sql_text(b)})' for a, b in known_texts())}) v(license, text)),
 l AS (SELECT doc_id, unnest(list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r'),
                             lambda x: {_canonical_sql('x')})) AS c,
              generate_subscripts(regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r'), 1) AS line_no
       FROM documents),
-u AS (SELECT doc_id, line_no, c FROM l WHERE c <> ''
+b AS (SELECT *, sum((c = '')::INTEGER) OVER (PARTITION BY doc_id ORDER BY line_no) AS blanks FROM l),
+u AS (SELECT doc_id, 'line' AS unit, line_no, c FROM l WHERE c <> ''
+      UNION ALL
+      SELECT doc_id, 'document', 0, {_spelled_sql("string_agg(c, ' ' ORDER BY line_no)")} FROM l WHERE c <> '' GROUP BY doc_id
       UNION ALL
-      SELECT doc_id, 0, string_agg(c, ' ' ORDER BY line_no) FROM l WHERE c <> '' GROUP BY doc_id)
-SELECT doc_id, CASE WHEN line_no = 0 THEN 'document' ELSE 'line' END AS unit, line_no::INTEGER AS line_no, license,
+      SELECT doc_id, 'paragraph', min(line_no), {_spelled_sql("string_agg(c, ' ' ORDER BY line_no)")} FROM b WHERE c <> '' GROUP BY doc_id, blanks HAVING count(*) > 1)
+SELECT doc_id, unit, line_no::INTEGER AS line_no, license,
        k.digest AS digest
 FROM u JOIN k ON sha256(u.c) = k.digest
 """)
