@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 import tidecast.llm.language_id as lang
 import tidecast.llm.rule_ensemble as rules
 import tidecast.llm.toxicity as tox
+from tidecast.llm.common import labelled_sample
 from tidecast.llm.queries import QUERIES
 
 from .helpers import awkward, empty
@@ -147,6 +148,90 @@ def test_toxicity_awkward(spark):
     assert rules.fit(docs, labels, F.lit(True)).rules == []
 
 
+@pytest.mark.parametrize("k", [1, 7, 200, 100_000])
+def test_labelled_sample_is_the_smallest_hashes(spark, k):
+    """Two classes of unequal size, repeated and null ids, other labels; no class is ranked whole."""
+    ids = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 50 == 0, 1).when(F.col("id") % 50 == 1, 2).otherwise(0).alias("toxic"))
+    labels = ids.union(ids.where("doc_id < 500")).union(spark.createDataFrame([(None, 1), (7, None), (60_000, 1)], "doc_id long, toxic int"))
+    learn = F.col("doc_id") % 3 != 1
+    drawn = labelled_sample(labels, learn, "toxic", "doc_id", k)
+    rows = labels.where(learn).where("doc_id is not null and toxic in (0, 1)").distinct().withColumn("h", F.xxhash64("doc_id")).collect()
+    want = {(r["doc_id"], c) for c in (0, 1) for r in sorted((r for r in rows if r["toxic"] == c), key=lambda r: r["h"])[:k]}
+    got = [tuple(r) for r in drawn.collect()]
+    assert set(got) == want and len(got) == len(want)
+    if k == 200:
+        ranked = labels.where(learn).select(F.xxhash64("doc_id").alias("h"), "toxic").where("toxic = 0").distinct()
+        bound = max(r["h"] for r in rows if (r["doc_id"], 0) in want)
+        assert ranked.where(F.shiftright("h", 48) <= bound >> 48).count() < 2 * k
+    assert labelled_sample(labels.limit(0), learn, "toxic", "doc_id", k).count() == 0
+
+
+def plain_logit(model, words):
+    """One window's logit, word by word in double precision; padding is the empty word."""
+    inputs = tox.word_inputs(model, tox.features(words + [""] * (tox.WINDOW - len(words)))).astype(float)
+    h_size, states = tox.HIDDEN, {}
+    for d in (0, 1):
+        h = np.zeros(h_size)
+        for t in (range(tox.WINDOW) if d == 0 else range(tox.WINDOW - 1, -1, -1)):
+            x = model["inp"][d].astype(float) @ inputs[t] + model["bias"][d][:, 0]
+            rec = model["rec"][d].astype(float) @ h
+            z, r = (rules.sigmoid(x[i * h_size:(i + 1) * h_size] + rec[i * h_size:(i + 1) * h_size]) for i in (0, 1))
+            h = z * h + (1 - z) * np.tanh(x[2 * h_size:] + r * rec[2 * h_size:])
+            states[t, d] = h
+    weight = np.array([np.exp(sum(model["att"][d] @ states[t, d] for d in (0, 1))) for t in range(len(words))])
+    weight /= weight.sum()
+    return sum(w * sum(model["out"][d] @ states[t, d] for d in (0, 1)) for t, w in enumerate(weight)) + model["shift"][0]
+
+
+def test_scores_equal_window_by_window_passes():
+    rng = np.random.default_rng(3)
+    model = tox.new_model(rng)
+    model["bias"] += rng.standard_normal(model["bias"].shape).astype(np.float32) * 0.3
+    model["curve"] = np.array([2.5, 0.1])
+    vocabulary = ["w" + str(i) for i in range(90)] + ["STUPID!", "é", "x" * 95]
+    texts = [" ".join(rng.choice(vocabulary, n)) for n in (1, 2, 40, 63, 64, 65, 96, 97, 300)] + ["", " \n "]
+    got = tox.Scorer(model).scores(texts, at_once=7)
+    for text, score in zip(texts, got):
+        words = tox.words_of(text)
+        top = [plain_logit(model, words[s:s + tox.WINDOW]) for s in tox.window_starts(len(words))]
+        assert score == pytest.approx(rules.sigmoid(2.5 * (max(top) - 0.1)) if top else 0.0, abs=1e-5)
+
+
+def test_lasso_meets_its_optimality_conditions():
+    rng = np.random.default_rng(5)
+    a = (rng.random((500, 30)) < 0.3).astype(float)
+    y = (rng.random(500) < rules.sigmoid(2 * a[:, 0] - 3 * a[:, 1] + a[:, 2])).astype(float)
+    for penalty in (0.02, 0.005):
+        bias, w = rules.lasso_logistic(a, y, penalty, rounds=4000)
+        error = rules.sigmoid(a @ w + bias) - y
+        slope = a.T @ error / len(y)
+        assert abs(error.mean()) < 1e-5
+        assert np.abs(slope[w != 0] + penalty * np.sign(w[w != 0])).max() < 1e-5 and (np.abs(slope[w == 0]) <= penalty + 1e-5).all()
+        assert 0 < (w != 0).sum() < 30
+
+
+def test_split_is_the_best_of_all():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        x, grad, hess = rng.random((60, 3)).round(1), rng.standard_normal(60), rng.random(60) + 0.1
+        cuts = [np.unique(x[:, k]) for k in range(3)]
+        found: list = []
+        rules._grow(x, cuts, grad, hess, np.arange(60), (), 1, found)
+
+        def gain(k, cut):
+            low = x[:, k] <= cut
+            if min(low.sum(), (~low).sum()) < 5:
+                return -np.inf
+            return sum(grad[s].sum() ** 2 / (hess[s].sum() + 1) for s in (low, ~low)) - grad.sum() ** 2 / (hess.sum() + 1)
+
+        best = max(gain(k, c) for k in range(3) for c in cuts[k])
+        if best > 1e-6:
+            assert [above for ((_, above, _),) in found] == [False, True]
+            assert gain(found[0][0][0], found[0][0][2]) == pytest.approx(best)
+        else:
+            assert not found
+
+
 def test_compiled_rules_equal_numpy(spark):
     docs = awkward(spark)
     rows, names = rules.with_statistics(docs.select("doc_id", "text"))

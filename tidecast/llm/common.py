@@ -6,7 +6,7 @@ import ctypes
 from functools import wraps
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise  # noqa: F401 - re-exported for the operators
@@ -36,6 +36,21 @@ def fold(id_column: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def labelled_sample(labels: DataFrame, learn: Column, label_col: str, id_col: str, rows_per_class: int) -> DataFrame:
+    """(doc_id, label): of each class (0, 1) the ``rows_per_class`` distinct ids of smallest hash where ``learn``.
+
+    A class is never ranked whole: counts of the hash's first 16 bits (65,536 a class at most)
+    bound what can be drawn, and only rows up to that bound are ranked."""
+    rows = (labels.where(learn).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
+            .where("doc_id is not null and label in (0, 1)").distinct().withColumn("hash", F.xxhash64("doc_id")).withColumn("first", F.shiftright("hash", 48)))
+    counts = rows.groupBy("label", "first").agg(F.count(F.lit(1)).alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("label").orderBy("first")))
+    bound = upto.groupBy("label").agg(F.min(F.when(F.col("upto") >= rows_per_class, F.col("first"))).alias("bound"))       # two rows
+    near = rows.join(F.broadcast(bound), "label").where(F.col("first") <= F.coalesce("bound", "first"))
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("hash", "doc_id"))
+    return near.withColumn("nth", nth).where(F.col("nth") <= rows_per_class).select("doc_id", "label")
+
+
 def parts_for(rows: int, rows_per_part: int, least: int = 1) -> int:
     """A partition count that grows with the rows."""
     return max(least, -(-int(rows) // rows_per_part))

@@ -18,10 +18,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, id_and_text
+from .common import LOWER, UPPER, id_and_text, labelled_sample
 
 MARKS = "#$%&*@^~=+<>_\\"
 STOPS = ".,;:!?"
@@ -197,10 +197,8 @@ def train(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 24, depth
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id",
         text_col: str = "text", rows_per_class: int = 3000) -> Rules:
     """Fit on at most ``rows_per_class`` labelled rows of each class: the ids of smallest hash where ``learn``."""
-    nth = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    drawn = (labels.where(learn).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
-             .where("doc_id is not null and label in (0, 1)").distinct().withColumn("nth", nth).where(F.col("nth") <= rows_per_class))
-    rows, names = with_statistics(id_and_text(docs, id_col, text_col).join(F.broadcast(drawn.drop("nth")), "doc_id"))
+    drawn = labelled_sample(labels, learn, label_col, id_col, rows_per_class)
+    rows, names = with_statistics(id_and_text(docs, id_col, text_col).join(F.broadcast(drawn), "doc_id"))
     got = sorted(tuple(r) for r in rows.select("doc_id", "label", *names).collect())      # bounded by the parameter
     data = np.array([r[1:] for r in got], dtype=np.float64).reshape(len(got), 1 + len(names))
     return train(data[:, 1:], data[:, 0], names)

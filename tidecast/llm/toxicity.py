@@ -22,10 +22,10 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, tidy
+from .common import id_and_text, labelled_sample, tidy
 from .packing import slices_by_size
 
 WINDOW, STRIDE = 64, 32
@@ -305,10 +305,8 @@ def _logistic_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id",
         text_col: str = "text", rows_per_class: int = 1500) -> dict | None:
     """Train on at most ``rows_per_class`` labelled rows of each class: the ids of smallest hash where ``learn``."""
-    nth = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    drawn = (labels.where(learn).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
-             .where("doc_id is not null and label in (0, 1)").distinct().withColumn("nth", nth).where(F.col("nth") <= rows_per_class))
-    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(drawn.drop("nth")), "doc_id")     # bounded by the parameter
+    drawn = labelled_sample(labels, learn, label_col, id_col, rows_per_class)
+    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(drawn), "doc_id")     # bounded by the parameter
     got = sorted((r["doc_id"], r["text"] or "", r["label"]) for r in rows.distinct().collect())
     return train([t for _, t, _ in got], [y for _, _, y in got])
 
